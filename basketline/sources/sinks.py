@@ -49,7 +49,7 @@ def replace_keys(old: DataFrame, new: DataFrame, keys: Sequence[str],
 
 
 def append_runs(log: DataFrame, run: DataFrame) -> DataFrame:
-    """Append with a union of the columns; a column a run lacks is null."""
+    """Append with a union of the columns; a column either side lacks is null there."""
     return log.unionByName(run, allowMissingColumns=True)
 
 
