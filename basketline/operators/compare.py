@@ -171,7 +171,8 @@ def summarize_weeks(weekly: DataFrame, weeks: Sequence, keys: Sequence[str]) ->
 
     ``weekly`` holds week, rel_diff_pct and sig next to the keys.
     """
-    cell = F.concat(F.format_string("%+.1f", "rel_diff_pct"), F.when(F.col("sig") != 0, "*").otherwise(""))
+    text = F.concat(F.format_string("%+.1f", "rel_diff_pct"), F.when(F.col("sig") != 0, "*").otherwise(""))
+    cell = F.when(F.col("rel_diff_pct").isNotNull(), text)
     return weekly.groupBy(*keys).agg(
         *[F.max(F.when(F.col("week") == F.lit(w), cell)).alias(f"wk {w}") for w in weeks],
         F.avg("rel_diff_pct").alias("mean"), F.stddev_samp("rel_diff_pct").alias("sd"),

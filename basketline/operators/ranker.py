@@ -91,10 +91,15 @@ def lambda_gradients(rows: DataFrame, truncation: int, sigma: float = 1.0, group
                      *[F.sum(F.coalesce(F.get("_pairs", F.lit(p))["h"], F.lit(0.0))).over(whole).alias(f"h{p}")
                        for p in range(truncation)])
     shared = paired.withColumn("_given", given)
-    own = {x: F.aggregate("_pairs", F.lit(0.0), lambda a, t, x=x: a + t[x]) for x in "gh"}
-    back = {x: F.when(in_top, F.get(F.array(*[F.col(f"_given.{x}{p}") for p in range(truncation)]),
-                                    F.col("_pos") - 1)).otherwise(0.0) for x in "gh"}
-    return shared.withColumns({"gradient": own["g"] - back["g"], "hessian": own["h"] + back["h"]}).drop(
+
+    def own(part: str) -> Column:
+        return F.aggregate("_pairs", F.lit(0.0), lambda total, p: total + p[part])
+
+    def back(part: str) -> Column:
+        by_position = F.array(*[F.col(f"_given.{part}{p}") for p in range(truncation)])
+        return F.when(in_top, F.get(by_position, F.col("_pos") - 1)).otherwise(0.0)
+
+    return shared.withColumns({"gradient": own("g") - back("g"), "hessian": own("h") + back("h")}).drop(
         "_pos", "_top", "_n_pos", "_pairs", "_given")
 
 

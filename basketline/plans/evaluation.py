@@ -118,7 +118,7 @@ def diagnose_fallback(folds: Folds, windows: Sequence[int | None] = WINDOWS, rep
     gaps = compare.compare_models(scores, pairs, ["week"], replicates, seed, metrics=("ap",), scopes=(SEGMENTS[0],))
     star = F.when(F.col("sig") != 0, "*").otherwise("")
     text = F.when(F.col("verdict") == "identical", "identical").otherwise(
-        F.concat(F.format_string("%+.1f%%", "rel_diff_pct"), star))
+        F.when(F.col("rel_diff_pct").isNotNull(), F.concat(F.format_string("%+.1f%%", "rel_diff_pct"), star)))
     gaps = gaps.select("week", F.col("a_model").alias("model"), text.alias("seg0_vs_7d"))
     return (points.join(gaps, ["week", "model"], "left")
             .withColumn("seg0_vs_7d", F.when(F.col("model") == base, "").otherwise(F.col("seg0_vs_7d")))

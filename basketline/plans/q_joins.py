@@ -41,10 +41,10 @@ def j2(spark, sf):
 
 @query("j3_fallback_for_unknown", final(with_(*order_folds_sql((0, 1)), *pools_sql([7, 28]),
     """own AS (SELECT * FROM (SELECT week, customer_id, article_id, row_number() OVER (PARTITION BY week, customer_id
-    ORDER BY count(*) DESC, article_id) AS rank FROM h GROUP BY ALL) WHERE rank <= 12)""",
+    ORDER BY count(*) DESC, article_id) AS rank FROM h GROUP BY week, customer_id, article_id) WHERE rank <= 12)""",
     select="""SELECT c.week, c.customer_id, string_agg(o.article_id, ',' ORDER BY o.rank) AS items, false AS used_fallback FROM cust c
-  JOIN own o USING (week, customer_id) GROUP BY ALL UNION ALL SELECT c.week, c.customer_id, string_agg(p.article_id, ',' ORDER BY p.rank), true
-  FROM cust c ANTI JOIN own USING (week, customer_id) JOIN pool p ON p.week = c.week AND p."window" = '7d' AND p.rank <= 12 GROUP BY ALL"""),
+  JOIN own o USING (week, customer_id) GROUP BY c.week, c.customer_id UNION ALL SELECT c.week, c.customer_id, string_agg(p.article_id, ',' ORDER BY p.rank), true
+  FROM cust c ANTI JOIN own USING (week, customer_id) JOIN pool p ON p.week = c.week AND p."window" = '7d' AND p.rank <= 12 GROUP BY c.week, c.customer_id"""),
     i="customer_id", d="week", s="items used_fallback"))
 def j3(spark, sf):
     """Own best sellers, or the 7-day list for customers without history."""
