@@ -4,13 +4,13 @@ from __future__ import annotations
 
 import math
 from collections.abc import Mapping, Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from basketline.functions.ids import dense_index
 from basketline.operators.segments import with_scope
+from basketline.session import materialize, spread
 
 SUMMARY_SCOPES = ("aggregate", "3+ purchases")  # scopes of the across-week summary
 DRAWS_PER_DIGEST = 8
@@ -31,7 +31,10 @@ def digest_draws(digest: Column) -> Column:
     """Eight Poisson(1) weights out of one md5 digest. Fixed-width hex text sorts like the number it spells."""
     def weight(j: int) -> Column:
         u = F.substring(digest, 1 + 4 * j, 4)
-        return reduce(lambda x, y: x + y, [(u >= cut).cast("int") for cut in poisson_cuts()])
+        draw = F.when(u < poisson_cuts()[0], 0)
+        for n, cut in enumerate(poisson_cuts()[1:], start=1):
+            draw = draw.when(u < cut, n)
+        return draw.otherwise(len(poisson_cuts()))
     return F.array(*[weight(j) for j in range(DRAWS_PER_DIGEST)])
 
 
@@ -46,11 +49,14 @@ def differences_wide(scores: DataFrame, pairs: Sequence[tuple[str, str]], by: Se
 def pair_differences(scores: DataFrame, pairs: Sequence[tuple[str, str]], by: Sequence[str],
                      metrics: Sequence[str] = ("ap", "hit")) -> DataFrame:
     """One row per (by, customer, pair, metric) with a, b and d = a - b."""
+    return pair_rows(differences_wide(scores, pairs, by, metrics), pairs, by, metrics)
+
+
+def pair_rows(wide: DataFrame, pairs: Sequence[tuple[str, str]], by: Sequence[str], metrics: Sequence[str]) -> DataFrame:
     cells = F.array(*[
         F.struct(F.lit(a).alias("a_model"), F.lit(b).alias("b_model"), F.lit(x).alias("metric"),
                  F.col(f"`{a}|{x}`").alias("a"), F.col(f"`{b}|{x}`").alias("b"))
         for a, b in pairs for x in metrics])
-    wide = differences_wide(scores, pairs, by, metrics)
     return wide.select(*by, "customer_id", "segment", F.inline(cells)).withColumn("d", F.col("a") - F.col("b"))
 
 
@@ -66,9 +72,11 @@ def poisson_bootstrap(rows: DataFrame, by: Sequence[str], values: Mapping[str, C
     blocks = math.ceil(replicates / DRAWS_PER_DIGEST)
     digest = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("_block").cast("string"), F.col(unit).cast("string")))
     names = list(values)
-    held = rows.select(*keys, unit, *[values[n].alias(n) for n in names])
+    held = spread(rows.select(*keys, unit, *[values[n].alias(n) for n in names]), unit)
+    # the digest is a column of its own: a generator does not share subexpressions
     drawn = (held.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-             .select(*keys, *names, "_block", F.posexplode(digest_draws(digest)).alias("_j", "_w"))
+             .withColumn("_digest", digest)
+             .select(*keys, *names, "_block", F.posexplode(digest_draws(F.col("_digest"))).alias("_j", "_w"))
              .withColumn("replicate", F.col("_block") * DRAWS_PER_DIGEST + F.col("_j"))
              .filter((F.col("replicate") < replicates) & (F.col("_w") > 0)))
     sums = drawn.groupBy(*keys, "replicate").agg(
@@ -89,7 +97,7 @@ def resample_bootstrap(diffs: DataFrame, by: Sequence[str], replicates: int, see
     """
     numbered = dense_index(diffs.select(*by, unit, F.col(value).alias("_d")), [*by, unit], "_at")
     sizes = numbered.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_from"))
-    slots = numbered.join(F.broadcast(sizes), list(by)).withColumn("_slot", F.col("_at") - F.col("_from"))
+    slots = spread(numbered.join(F.broadcast(sizes), list(by)), "_at").withColumn("_slot", F.col("_at") - F.col("_from"))
     b = F.explode(F.sequence(F.lit(0), F.lit(replicates - 1)))
     text = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("replicate").cast("string"), F.col("_slot").cast("string")))
     draw = F.conv(F.substring(text, 1, 8), 16, 10).cast("bigint") % F.col("_n")
@@ -121,10 +129,9 @@ def point_differences(diffs: DataFrame, by: Sequence[str]) -> DataFrame:
         F.avg("d").alias("diff"), F.max(F.abs("d")).alias("_widest"))
 
 
-def pair_intervals(scores: DataFrame, pairs: Sequence[tuple[str, str]], by: Sequence[str], replicates: int,
+def pair_intervals(wide: DataFrame, pairs: Sequence[tuple[str, str]], by: Sequence[str], replicates: int,
                    seed: int = 42, metrics: Sequence[str] = ("ap", "hit")) -> DataFrame:
     """95% interval per (by, scope, pair, metric); all pairs share one pass of draws."""
-    wide = differences_wide(scores, pairs, by, metrics)
     cells = {f"d{i}": (a, b, x) for i, (a, b, x) in enumerate((a, b, x) for a, b in pairs for x in metrics)}
     values = {n: F.col(f"`{a}|{x}`") - F.col(f"`{b}|{x}`") for n, (a, b, x) in cells.items()}
     means = poisson_bootstrap(wide, by, values, replicates, seed)
@@ -151,8 +158,9 @@ def compare_models(scores: DataFrame, pairs: Sequence[tuple[str, str]], by: Sequ
                    scopes: Sequence[str] | None = None) -> DataFrame:
     """Point difference, relative gap, 95% interval, sign and verdict per (by, pair, metric, scope)."""
     keys = [*by, "a_model", "b_model", "metric", "scope"]
-    points = point_differences(with_scope(pair_differences(scores, pairs, by, metrics)), keys)
-    bounds = pair_intervals(scores, pairs, by, replicates, seed, metrics)
+    wide = materialize(differences_wide(scores, pairs, by, metrics))  # both branches read it
+    points = point_differences(with_scope(pair_rows(wide, pairs, by, metrics)), keys)
+    bounds = pair_intervals(wide, pairs, by, replicates, seed, metrics)
     if scopes is not None:
         points = points.filter(F.col("scope").isin(*scopes))
     same = F.col("_widest") == 0

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from basketline.functions import blocks
 from basketline.functions.lists import top_k
+from basketline.session import spread
 
 REPURCHASE, DISCOVER = "repurchase", "discover"
 MODES = (REPURCHASE, DISCOVER)
@@ -72,7 +73,7 @@ def _broadcast_items(users, items, k, owned, modes) -> DataFrame:
     table = items.select("item_id", "features").toPandas().sort_values("item_id")
     ids = table["item_id"].to_numpy(dtype=np.int64)
     shared = users.sparkSession.sparkContext.broadcast((ids, _vectors(table["features"])))
-    rows = _with_owned(users, owned, ["user_id"])
+    rows = spread(_with_owned(users, owned, ["user_id"]), "user_id")
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ids, matrix = shared.value
@@ -111,7 +112,8 @@ def _grid(users, items, k, owned, modes, n_items) -> DataFrame:
             return pd.DataFrame({"user_id": [], "mode": [], "items": [], "scores": []})
         return pd.concat(parts)
 
-    partial = left.groupBy("ub", "ib").cogroup(right.groupBy("ub", "ib")).applyInPandas(cell, _schema(users))
+    cells = spread(left, "ub", "ib").groupBy("ub", "ib").cogroup(spread(right, "ub", "ib").groupBy("ub", "ib"))
+    partial = cells.applyInPandas(cell, _schema(users))
     rows = partial.select("user_id", "mode", F.explode(F.arrays_zip("items", "scores")).alias("x")).select(
         "user_id", "mode", F.col("x.items").alias("item_id"), F.col("x.scores").alias("score"))
     best = top_k(rows, ["user_id", "mode"], [F.desc("score"), F.asc("item_id")], k)

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from basketline.functions import blocks
 from basketline.functions.lists import to_lists, top_k
 from basketline.operators.popularity import K, article_counts, count_order
+from basketline.session import materialize, spread
 
 TOP_ITEMS = 5000
 DENSE_ITEMS = 6000  # largest n whose n x n similarity is broadcast (288 MB); beyond it rows are joined
@@ -29,6 +30,14 @@ def catalogue(history: DataFrame, n_items: int = TOP_ITEMS) -> DataFrame:
     return best.select("article_id", (F.row_number().over(w) - 1).alias("col"))
 
 
+def numbered(history: DataFrame, article_ids: Sequence[int]) -> DataFrame:
+    """The collected catalogue as a table again, so that later plans do not count the log once more."""
+    spark = history.sparkSession
+    rows = pd.DataFrame({"article_id": article_ids, "col": range(len(article_ids))})
+    key = history.schema["article_id"].dataType.simpleString()
+    return spark.createDataFrame(rows, f"article_id {key}, col int")
+
+
 def interactions(history: DataFrame, items: DataFrame) -> DataFrame:
     """Distinct (customer_id, article_id, col) over the catalogue; items has at most n rows."""
     return (history.select("customer_id", "article_id").join(F.broadcast(items), "article_id").distinct())
@@ -57,7 +66,7 @@ def cooccurrence(customer_baskets: DataFrame, n_items: int) -> DataFrame:
             a, b = a[upper], b[upper]
             yield pd.DataFrame({"a": a, "b": b, "together": total[a, b].astype(np.int64)})
 
-    partial = customer_baskets.select("cols").mapInPandas(count, "a int, b int, together bigint")
+    partial = spread(customer_baskets.select("cols")).mapInPandas(count, "a int, b int, together bigint")
     return partial.groupBy("a", "b").agg(F.sum("together").alias("together"))
 
 
@@ -78,9 +87,11 @@ class ItemItem:
 
     def __init__(self, history: DataFrame, n_items: int = TOP_ITEMS):
         self.items = catalogue(history, n_items)
-        self.baskets = baskets(interactions(history, self.items))
-        self.article_ids = [r[0] for r in self.items.orderBy("col").collect()]  # at most n ids
-        self.similarity = cosine(cooccurrence(self.baskets, len(self.article_ids)))
+        ids = [r[0] for r in self.items.orderBy("col").collect()]  # at most n ids
+        self.article_ids = ids
+        self.items = numbered(history, ids)
+        self.baskets = materialize(baskets(interactions(history, self.items)))
+        self.similarity = cosine(cooccurrence(self.baskets, len(ids)))
 
     def similarity_by_article(self) -> DataFrame:
         names = self.items
@@ -127,7 +138,7 @@ class ItemItem:
                             "items": [ids[c[np.isfinite(v)]] for c, v in zip(cols, values)]})
 
         key = wanted.schema["customer_id"].dataType.simpleString()
-        return wanted.mapInPandas(score, f"customer_id {key}, exclusion boolean, items array<bigint>")
+        return spread(wanted, "customer_id").mapInPandas(score, f"customer_id {key}, exclusion boolean, items array<bigint>")
 
     def _by_join(self, wanted: DataFrame, k: int, exclude: bool) -> DataFrame:
         """The same lists by joining similarity rows, for catalogues too wide to broadcast."""

@@ -80,17 +80,22 @@ def owned_in_pool(history: DataFrame, lists: DataFrame) -> DataFrame:
             .groupBy("week", "customer_id").agg(F.collect_set("article_id").alias("owned")))
 
 
+def _not_owned() -> Column:
+    return F.array_except("items", F.coalesce("owned", F.array().cast("array<bigint>")))
+
+
 def exclusion_lists(customers: DataFrame, lists: DataFrame, history: DataFrame, k: int = K) -> DataFrame:
     """The first k pool articles each customer does not own; a heavy buyer may get fewer."""
     owned = owned_in_pool(history, lists)
-    kept = F.array_except("items", F.coalesce("owned", F.array().cast("array<bigint>")))
     return (customers.join(owned, ["week", "customer_id"], "left").join(F.broadcast(lists), "week")
-            .withColumn("items", F.slice(kept, 1, k)).drop("owned"))
+            .withColumn("items", F.slice(_not_owned(), 1, k)).drop("owned"))
 
 
 def recency_lists(customers: DataFrame, history: DataFrame, windows: Sequence[int | None], k: int = K) -> DataFrame:
     """Lists of every window under both exclusion settings: week, customer_id, window, exclusion, items."""
     lists = popularity_lists(history, windows)
-    kept = exclusion_lists(customers, lists, history, k).withColumn("exclusion", F.lit(True))
-    plain = same_list_for_all(customers, lists, k).withColumn("exclusion", F.lit(False))
-    return kept.unionByName(plain)
+    given = customers.join(owned_in_pool(history, lists), ["week", "customer_id"], "left").join(F.broadcast(lists), "week")
+    settings = F.array(
+        F.struct(F.lit(True).alias("exclusion"), F.slice(_not_owned(), 1, k).alias("items")),
+        F.struct(F.lit(False).alias("exclusion"), F.slice("items", 1, k).alias("items")))
+    return given.select(*customers.columns, "window", F.inline(settings))

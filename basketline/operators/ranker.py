@@ -21,7 +21,7 @@ from basketline.operators.features import FEATURES
 from basketline.session import materialize
 
 K = 12
-MISSING = -1.0  # trees need a value; every known feature is at or above it
+MISSING = -1e9  # trees need a value; every known feature is above it
 GROUP = ("week", "customer_id")
 DAY_LIMIT = 28
 

@@ -11,7 +11,7 @@ from basketline.plans import evaluation
 from basketline.plans.q_joins import (FEATURES_SQL, LIST28, MONTHS, PAIRED, count_as, list28, monthly_curve, window_scores)
 from basketline.plans.q_prepare import CAND_POP, CAND_RECENT, CUSTOMERS, candidates_sql, event_candidates
 from basketline.plans.q_sources import META
-from basketline.plans.registry import (CLEAN, METRICS, ORDER_LOG, SCOPED, compare_sql, event_folds, event_folds_sql, final,
+from basketline.plans.registry import (clean_order_log, CLEAN, METRICS, ORDER_LOG, SCOPED, compare_sql, event_folds, event_folds_sql, final,
                                        order_folds, order_folds_sql, pools_sql, query, recency_sql, scores_sql, with_)
 from basketline.sources import logs
 from basketline.sources.sinks import model_version
@@ -22,7 +22,7 @@ REPLICATES = 200
 @query("a1_popularity", final(with_(ORDER_LOG, CLEAN, select="""SELECT article_id, cnt, rank FROM (SELECT article_id, count(*) AS cnt,
   row_number() OVER (ORDER BY count(*) DESC, article_id) AS rank FROM clean GROUP BY article_id) WHERE rank <= 200"""), i="article_id cnt rank"))
 def a1(spark: SparkSession, sf: str) -> DataFrame:
-    return popularity.top_articles(prepare.clean_transactions(logs.order_log(spark, sf)), 200)
+    return popularity.top_articles(clean_order_log(spark, sf), 200)
 
 
 @query("a2_recent_popularity", final(with_(*order_folds_sql((0, 1, 2)), *pools_sql([7, 14, 28, None]),
@@ -35,7 +35,7 @@ def a2(spark, sf):
     select="""SELECT article_id, cnt, rank FROM (SELECT article_id, count(*) AS cnt, row_number() OVER (ORDER BY count(*) DESC, article_id) AS rank
   FROM clean, sh WHERE t_dat > as_of - 7 AND t_dat <= as_of GROUP BY article_id) WHERE rank <= 12"""), i="article_id cnt rank"))
 def a3(spark, sf):
-    log = prepare.clean_transactions(logs.order_log(spark, sf))
+    log = clean_order_log(spark, sf)
     as_of = log.agg(F.date_sub(F.max("t_dat"), 10)).scalar()
     return popularity.recent_top(log, as_of, 7)
 

@@ -12,7 +12,7 @@ from basketline.operators.itemitem import with_fallback
 from basketline.operators.metrics import customer_scores, hit_positions
 from basketline.plans.q_prepare import (EXPORT, REQUESTS, SPLIT, both_modes, candidates_sql, event_candidates, requests)
 from basketline.plans.q_sources import EXPORT_ROWS, FALLBACK_ROW, META
-from basketline.plans.registry import (CLEAN, EVENT_LOG, ORDER_LOG, event_folds, event_folds_sql, final,
+from basketline.plans.registry import (clean_order_log, CLEAN, EVENT_LOG, ORDER_LOG, event_folds, event_folds_sql, final,
                                        item_item_sql, order_folds, order_folds_sql, pools_sql, query, recency_sql, scores_sql, with_)
 from basketline.sources import logs, sinks
 
@@ -196,7 +196,7 @@ def j12(spark, sf):
 @query("u1_concat_splits", final(with_(ORDER_LOG, CLEAN, SPLIT, select="""SELECT count(*) AS n, count(DISTINCT customer_id) AS n_customers,
   max(t_dat) AS history_end FROM sp WHERE split <> 'test'"""), i="n n_customers", d="history_end"))
 def u1(spark, sf):
-    log = temporal_split(prepare.clean_transactions(logs.order_log(spark, sf)))
+    log = temporal_split(clean_order_log(spark, sf))
     train, val = (log.filter(F.col("split") == s).drop("split") for s in ("train", "val"))
     return train.unionByName(val).agg(count_as("n"), F.countDistinct("customer_id").alias("n_customers"), F.max("t_dat").alias("history_end"))
 

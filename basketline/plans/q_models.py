@@ -17,7 +17,7 @@ from basketline.plans.q_aggregates import WEEKLY as WEEKLY_SQL
 from basketline.plans.q_joins import DOTS, FEATURES_SQL, PAIRED, count_as, scored_rows, vectors, window_scores
 from basketline.plans.q_prepare import CAND_N, CAND_POP, CAND_RECENT, event_candidates
 from basketline.plans.q_sources import SMALL_ALS
-from basketline.plans.registry import (CLEAN, EVENT_LOG, METRICS, SCOPED, SETTING, bootstrap_sql, compare_sql, event_folds, event_folds_sql,
+from basketline.plans.registry import (clean_event_log, CLEAN, EVENT_LOG, METRICS, SCOPED, SETTING, bootstrap_sql, compare_sql, event_folds, event_folds_sql,
                                        final, item_item_sql, order_folds, order_folds_sql, pools_sql, query, recency_sql, scores_sql,
                                        two_models_sql, with_)
 from basketline.session import materialize, scratch_path
@@ -158,7 +158,7 @@ def m10(spark, sf):
 @query("m11_sweep")
 def m11(spark, sf):
     """Two variants against a frozen config over two weeks, both settings."""
-    log = prepare.clean_transactions(logs.event_log(spark, sf))
+    log = clean_event_log(spark, sf)
     end = last_day(log)
     weeks = event_folds(spark, sf, (0, 1)).weeks
     frozen = {**SMALL_ALS, "iterations": 3}
@@ -266,7 +266,7 @@ def m18(spark, sf):
 @query("m18_rolling_backtest")
 def m18_backtest(spark, sf):
     """Three models over two weekly folds: stored scores, paired intervals, one row per comparison."""
-    log = prepare.clean_transactions(logs.event_log(spark, sf))
+    log = clean_event_log(spark, sf)
     weeks = event_folds(spark, sf, (0, 1)).weeks
     store = ScoreStore(spark, scratch_path(spark, "backtest"))
     scores = evaluation.backtest(log, weeks, store, SMALL_ALS, blocks=ALS_BLOCKS)

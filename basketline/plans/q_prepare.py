@@ -12,7 +12,7 @@ from basketline.operators import guards, popularity, prepare, ranker
 from basketline.operators.metrics import customer_scores, map_by_positions
 from basketline.operators.itemitem import ItemItem
 from basketline.plans import reranking
-from basketline.plans.registry import (CLEAN, EVENT_LOG, ORDER_LOG, event_folds, event_folds_sql, final, item_item_sql,
+from basketline.plans.registry import (clean_event_log, clean_order_log, CLEAN, EVENT_LOG, ORDER_LOG, event_folds, event_folds_sql, final, item_item_sql,
                                        order_folds, order_folds_sql, pools_sql, query, scores_sql, with_)
 from basketline.sources import logs
 
@@ -142,7 +142,7 @@ SPLIT = """sp AS (SELECT *, CASE WHEN t_dat < mx - 13 THEN 'train' WHEN t_dat <
 
 
 def split_log(spark: SparkSession, sf: str) -> DataFrame:
-    return fold_ops.temporal_split(prepare.clean_transactions(logs.order_log(spark, sf)))
+    return fold_ops.temporal_split(clean_order_log(spark, sf))
 
 
 @query("p12_temporal_split", final(with_(ORDER_LOG, CLEAN, SPLIT, select="""SELECT split, count(*) AS n, min(t_dat) AS first_day,
@@ -158,7 +158,7 @@ def p12(spark, sf):
   FROM (SELECT split, count(*) AS n FROM sp GROUP BY split)"""), i="n_clean n_split n_splits", s="conserved"))
 def p13(spark, sf):
     parts = fold_ops.split_counts(split_log(spark, sf)).agg(F.sum("n").alias("n_split"), F.count(F.lit(1)).alias("n_splits"))
-    whole = prepare.clean_transactions(logs.order_log(spark, sf)).agg(F.count(F.lit(1)).alias("n_clean"))
+    whole = clean_order_log(spark, sf).agg(F.count(F.lit(1)).alias("n_clean"))
     return guards.side_by_side(whole, parts).withColumn("conserved", F.col("n_clean") == F.col("n_split"))
 
 
@@ -183,7 +183,7 @@ def p15(spark, sf):
     f = event_folds(spark, sf, (0, 1))
     for week in f.weeks:
         fold_ops.refuse_leak(f.history.filter(F.col("week") == F.lit(week)), week)
-    last = prepare.clean_transactions(logs.event_log(spark, sf)).agg(F.max("t_dat")).scalar()
+    last = clean_event_log(spark, sf).agg(F.max("t_dat")).scalar()
     return f.history.groupBy("week").agg((F.max("t_dat") < F.col("week")).alias("history_ok")).withColumn(
         "whole_log_refused", last >= F.col("week"))
 
@@ -379,7 +379,7 @@ def v3(spark, sf):
   WHEN as_of < latest THEN 'older than the served list' ELSE 'ok' END AS reason FROM dd, bd"""), d="as_of", s="reason"))
 def v4(spark, sf):
     days = logs.table(spark, sf, "lineitem").select(F.to_date("l_shipdate").alias("as_of")).distinct()
-    log = prepare.clean_transactions(logs.order_log(spark, sf))
+    log = clean_order_log(spark, sf)
     low, high = log.agg(F.min("t_dat")).scalar(), log.agg(F.max("t_dat")).scalar()
     return days.select("as_of", guards.refresh_reason(F.col("as_of"), low, high, F.date_sub(high, 28)).alias("reason"))
 
@@ -398,7 +398,7 @@ def v5(spark, sf):
   max(t_dat) = (SELECT max(CAST(o_orderdate AS DATE)) FROM orders) AS matches FROM clean"""), d="history_end", s="matches"))
 def v6(spark, sf):
     recorded = logs.table(spark, sf, "orders").agg(F.max(F.to_date("o_orderdate"))).first()[0]
-    return guards.history_end_matches(prepare.clean_transactions(logs.order_log(spark, sf)), recorded)
+    return guards.history_end_matches(clean_order_log(spark, sf), recorded)
 
 
 @query("v7_list_parity", final(with_(*order_folds_sql((0, 1, 2)), *pools_sql([7, 14]),

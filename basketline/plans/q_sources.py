@@ -15,7 +15,7 @@ from basketline.operators.folds import temporal_split
 from basketline.operators.lookup import FALLBACK_SOURCE, latest_fallback
 from basketline.plans.evaluation import recency_models
 from basketline.plans.q_prepare import EXPORT, SPLIT, both_modes, candidates_sql, event_candidates
-from basketline.plans.registry import (CLEAN, EVENT_LOG, ORDER_LOG, SCOPED, event_folds, event_folds_sql, final, item_item_sql,
+from basketline.plans.registry import (clean_order_log, CLEAN, EVENT_LOG, ORDER_LOG, SCOPED, event_folds, event_folds_sql, final, item_item_sql,
                                        order_folds, order_folds_sql, pools_sql, query, recency_sql, scores_sql, with_)
 from basketline.session import scratch_path
 from basketline.sources import artifact, logs, sinks
@@ -231,7 +231,7 @@ def fallback_table(spark: SparkSession, sf: str):
 
 def refreshed(spark: SparkSession, sf: str) -> DataFrame:
     f, table = fallback_table(spark, sf)
-    log = prepare.clean_transactions(logs.order_log(spark, sf))
+    log = clean_order_log(spark, sf)
     as_of = log.agg(F.max("t_dat")).first()[0]
     top = popularity.recent_top(log, F.lit(as_of), 7)
     items = popularity.to_lists(top.withColumn("_k", F.lit(1)), ["_k"]).select("items")
@@ -253,7 +253,7 @@ def s16(spark, sf):
     path = scratch_path(spark, "fallbacks")
     refreshed(spark, sf).write.parquet(path)
     newest = latest_fallback(spark.read.parquet(path))
-    log = prepare.clean_transactions(logs.order_log(spark, sf))
+    log = clean_order_log(spark, sf)
     top = popularity.recent_top(log, log.agg(F.max("t_dat")).scalar(), 7)
     items = popularity.to_lists(top.withColumn("_k", F.lit(1)), ["_k"]).select(F.col("items").alias("expected"))
     return newest.select("as_of", "items", (F.col("items") == items.scalar()).alias("as_written"))

@@ -12,7 +12,9 @@ from pyspark.sql import types as T
 
 from basketline.operators.folds import Folds, build_folds, fold_weeks, last_day
 from basketline.operators.prepare import clean_transactions
+from basketline.session import path_exists, scratch_path
 from basketline.sources import logs
+from basketline.sources.sinks import laid_out_by_day
 
 Build = Callable[[SparkSession, str], DataFrame]
 
@@ -90,14 +92,35 @@ BAND = "CASE WHEN {n} = 0 THEN '0 purchases' WHEN {n} <= 2 THEN '1-2 purchases'
 ORDER_TARGET, ORDER_HISTORY = 28, 365  # order lines are sparse: a longer target and a bounded history fill every band
 
 
+_PREPARED: dict[tuple[str, str, str], str] = {}
+
+
+def prepared_log(spark: SparkSession, sf_dir: str, source: Callable[[SparkSession, str], DataFrame]) -> DataFrame:
+    """The cleaned log, written once per application in date order; later queries prune on its dates."""
+    key = (spark.sparkContext.applicationId, sf_dir, source.__name__)
+    if key not in _PREPARED or not path_exists(spark, f"{_PREPARED[key]}/_SUCCESS"):
+        path = scratch_path(spark, source.__name__)
+        laid_out_by_day(clean_transactions(source(spark, sf_dir))).write.parquet(path)
+        _PREPARED[key] = path
+    return spark.read.parquet(_PREPARED[key])
+
+
+def clean_order_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prepared_log(spark, sf_dir, logs.order_log)
+
+
+def clean_event_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prepared_log(spark, sf_dir, logs.event_log)
+
+
 def order_folds(spark: SparkSession, sf_dir: str, offsets: Sequence[int] = (0,)) -> Folds:
-    log = clean_transactions(logs.order_log(spark, sf_dir))
+    log = clean_order_log(spark, sf_dir)
     latest = last_day(log) - dt.timedelta(days=ORDER_TARGET - 1)
     return build_folds(log, fold_weeks(latest, offsets, ORDER_TARGET), ORDER_TARGET, ORDER_HISTORY)
 
 
 def event_folds(spark: SparkSession, sf_dir: str, offsets: Sequence[int] = (0,)) -> Folds:
-    log = clean_transactions(logs.event_log(spark, sf_dir))
+    log = clean_event_log(spark, sf_dir)
     return build_folds(log, fold_weeks(last_day(log) - dt.timedelta(days=6), offsets), 7)
 
 

@@ -60,3 +60,12 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     """Whether a path exists on whatever file system its scheme names."""
     hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
     return hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop_path)
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Partition rows that are cheap to ship but expensive to process over the whole cluster.
+
+    AQE sizes shuffle partitions by bytes and would merge such rows into a few long tasks; a
+    partition count given by number is left alone.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
