@@ -103,7 +103,7 @@ def top_n(fitted: FittedALS, customers: DataFrame, n: int) -> DataFrame:
 
 
 def training_loss(fitted: FittedALS) -> DataFrame:
-    """One row: the implicit objective divided by the matrix size.
+    """One row: the implicit objective divided by the total confidence of the matrix.
 
     Pairs without a purchase enter through the two Gram matrices, so no customer x article grid is
     ever formed.
@@ -114,7 +114,8 @@ def training_loss(fitted: FittedALS) -> DataFrame:
     dot = F.aggregate(products, F.lit(0.0), lambda a, x: a + x)
     seen = fitted.data.pairs.join(users, "customer_idx").join(items, "article_idx").withColumn("p", dot)
     confidence = 1 + F.lit(float(fitted.config["alpha"])) * F.col("weight")
-    observed = seen.agg(F.sum(confidence * (1 - F.col("p")) ** 2 - F.col("p") ** 2).alias("observed"))
+    observed = seen.agg(F.sum(confidence * (1 - F.col("p")) ** 2 - F.col("p") ** 2).alias("observed"),
+                        F.sum(confidence - 1).alias("extra"))
     gu = gram(fitted.model.userFactors).withColumnRenamed("value", "gu")
     gv = gram(fitted.model.itemFactors).withColumnRenamed("value", "gv")
     everywhere = gu.join(gv, ["i", "j"]).agg(F.sum(F.col("gu") * F.col("gv")).alias("everywhere"))
@@ -125,7 +126,7 @@ def training_loss(fitted: FittedALS) -> DataFrame:
     one = [d.withColumn("_one", F.lit(1)) for d in (observed, everywhere, reg)]
     joined = one[0].join(one[1], "_one").join(one[2], "_one")
     total = F.col("observed") + F.col("everywhere") + F.lit(float(fitted.config["regularization"])) * F.col("norms")
-    return joined.select((total / F.lit(float(sizes[0]) * sizes[1])).alias("loss"))
+    return joined.select((total / (F.lit(float(sizes[0]) * sizes[1]) + F.col("extra"))).alias("loss"))
 
 
 def loss_curve(data: Interactions, config: Mapping[str, float], iterations: Sequence[int], seed: int = SEED,

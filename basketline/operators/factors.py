@@ -95,11 +95,11 @@ def _grid(users, items, k, owned, modes, n_items) -> DataFrame:
     n_ib = max(1, math.ceil(n_items / ITEM_BLOCK))
     n_ub = max(1, math.ceil(users.count() / USER_BLOCK))
     block_of = F.pmod(F.xxhash64("item_id"), F.lit(n_ib)).cast("int")
-    spread = users.select("user_id", "features").withColumn(
+    copies = users.select("user_id", "features").withColumn(
         "ib", F.explode(F.sequence(F.lit(0), F.lit(n_ib - 1))))
     if owned is not None:
         owned = owned.withColumn("ib", block_of)
-    left = (_with_owned(spread, owned, ["user_id", "ib"])
+    left = (_with_owned(copies, owned, ["user_id", "ib"])
             .withColumn("ub", F.pmod(F.xxhash64("user_id"), F.lit(n_ub)).cast("int")))
     right = (items.select("item_id", "features").withColumn("ib", block_of)
              .withColumn("ub", F.explode(F.sequence(F.lit(0), F.lit(n_ub - 1)))))
@@ -112,6 +112,7 @@ def _grid(users, items, k, owned, modes, n_items) -> DataFrame:
             return pd.DataFrame({"user_id": [], "mode": [], "items": [], "scores": []})
         return pd.concat(parts)
 
+    # a cell is small but its product is not
     cells = spread(left, "ub", "ib").groupBy("ub", "ib").cogroup(spread(right, "ub", "ib").groupBy("ub", "ib"))
     partial = cells.applyInPandas(cell, _schema(users))
     rows = partial.select("user_id", "mode", F.explode(F.arrays_zip("items", "scores")).alias("x")).select(

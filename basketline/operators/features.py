@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from basketline.functions.windows import days_before_cutoff
 from basketline.operators.folds import refuse_leak
 
+# The feature columns, in order.
 FEATURES = ("als_score", "als_rank", "src_als", "src_pop", "src_recent",
             "item_cnt_7d", "item_cnt_28d", "item_price_mean_28d",
             "ci_count", "ci_days_since", "cust_n_purchases", "cust_days_since_last")

@@ -20,7 +20,7 @@ from basketline.operators.popularity import K, article_counts, count_order
 from basketline.session import materialize, spread
 
 TOP_ITEMS = 5000
-DENSE_ITEMS = 6000  # largest n whose n x n similarity is broadcast (288 MB); beyond it rows are joined
+DENSE_ITEMS = 5000  # largest n whose n x n similarity is broadcast (200 MB); beyond it rows are joined
 
 
 def catalogue(history: DataFrame, n_items: int = TOP_ITEMS) -> DataFrame:
@@ -71,15 +71,17 @@ def cooccurrence(customer_baskets: DataFrame, n_items: int) -> DataFrame:
 
 
 def cosine(together: DataFrame) -> DataFrame:
-    """(a, b, sim) both ways with the diagonal: together / sqrt(n_a * n_b)."""
+    """(a, b, sim) for a <= b: together / sqrt(n_a * n_b). The diagonal stays in."""
     sizes = together.filter("a = b").select(F.col("a").alias("item"), F.col("together").alias("n"))
     left = F.broadcast(sizes.select(F.col("item").alias("a"), F.col("n").alias("n_a")))  # <= n rows
     right = F.broadcast(sizes.select(F.col("item").alias("b"), F.col("n").alias("n_b")))
-    sims = together.join(left, "a").join(right, "b").withColumn(
-        "sim", F.col("together") / F.sqrt(F.col("n_a").cast("double") * F.col("n_b")))
-    upper = sims.select("a", "b", "sim")
-    lower = upper.filter("a < b").select(F.col("b").alias("a"), F.col("a").alias("b"), "sim")
-    return upper.unionByName(lower)
+    sim = F.col("together") / F.sqrt(F.col("n_a").cast("double") * F.col("n_b"))
+    return together.join(left, "a").join(right, "b").select("a", "b", sim.alias("sim"))
+
+
+def both_ways(upper: DataFrame) -> DataFrame:
+    """A symmetric table out of its upper half."""
+    return upper.unionByName(upper.filter("a < b").select(F.col("b").alias("a"), F.col("a").alias("b"), "sim"))
 
 
 class ItemItem:
@@ -91,7 +93,8 @@ class ItemItem:
         self.article_ids = ids
         self.items = numbered(history, ids)
         self.baskets = materialize(baskets(interactions(history, self.items)))
-        self.similarity = cosine(cooccurrence(self.baskets, len(ids)))
+        self.upper = cosine(cooccurrence(self.baskets, len(ids)))
+        self.similarity = both_ways(self.upper)
 
     def similarity_by_article(self) -> DataFrame:
         names = self.items
@@ -115,9 +118,10 @@ class ItemItem:
 
     def _by_block(self, wanted: DataFrame, k: int, settings: Sequence[bool]) -> DataFrame:
         n = len(self.article_ids)
-        edges = self.similarity.toPandas()  # n x n cells at most, n <= DENSE_ITEMS
+        edges = self.upper.toPandas()  # at most n (n + 1) / 2 cells, n <= DENSE_ITEMS
         dense = np.zeros((n, n))
         dense[edges["a"], edges["b"]] = edges["sim"]
+        dense[edges["b"], edges["a"]] = edges["sim"]
         sims = wanted.sparkSession.sparkContext.broadcast(dense)
         ids = np.asarray(self.article_ids, dtype=np.int64)
         modes = tuple(settings)

@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from basketline.functions.ids import dense_index
+from basketline.operators.profiling import exact_median
 
+# The columns the cleaning rules name.
 KEY_FIELDS = ("customer_id", "article_id", "t_dat")
 FLAGS = ("FN", "Active")
 TEXT_COLUMNS = ("detail_desc", "prod_name", "product_code")
@@ -73,7 +75,7 @@ def impute_age(customers: DataFrame) -> DataFrame:
     """Median age for unknown ages, with a flag that tells imputed from known."""
     if "age" not in customers.columns:
         return customers
-    median = customers.agg(F.median("age")).scalar()
+    median = exact_median(customers, "age").scalar()
     return (customers.withColumn("age_missing", F.isnull("age").cast("tinyint"))
             .withColumn("age", F.coalesce("age", median)))
 

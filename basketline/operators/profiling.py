@@ -67,38 +67,50 @@ def cardinalities(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return values.groupBy("column_name").agg(F.count(F.lit(1)).alias("n_distinct"))
 
 
-def latency_summary(log: DataFrame, value: str, by: Sequence[str], step: float = 1.0) -> DataFrame:
-    """n, mean, nearest-rank percentiles and max per group, rounded as the report prints them.
+def running_counts(df: DataFrame, value: str, by: Sequence[str] = (), step: float = 1.0) -> DataFrame:
+    """(by, v, c, cum, n): each distinct value with its count, the count up to it and the group's count.
 
-    Equal values are counted first. The nearest rank is read off a running count in two levels:
-    totals per step-wide range, then the values inside a range. A group with most of the rows is
-    therefore spread over its ranges.
+    Two levels: totals per step-wide range, then the values inside a range. A group with most of the
+    rows is therefore spread over its ranges, and no task holds a group's values.
     """
     keys = list(by)
-    counted = log.groupBy(*keys, F.col(value).alias("v")).agg(F.count(F.lit(1)).alias("c")).withColumn(
-        "range", F.floor(F.col("v") / step))
-    per_range = counted.groupBy(*keys, "range").agg(F.sum("c").alias("_in"))
-    group = Window.partitionBy(*keys)
-    before = group.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    counted = df.filter(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("v")).agg(
+        F.count(F.lit(1)).alias("c")).withColumn("_range", F.floor(F.col("v") / step))
+    per_range = counted.groupBy(*keys, "_range").agg(F.sum("c").alias("_in"))
+    group = Window.partitionBy(*keys)  # one row per range
+    before = group.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     per_range = per_range.select(
-        *keys, "range", F.coalesce(F.sum("_in").over(before), F.lit(0)).alias("_before"), F.sum("_in").over(group).alias("n"))
-    inside = Window.partitionBy(*keys, "range").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = counted.join(per_range, [*keys, "range"]).withColumn("cum", F.sum("c").over(inside) + F.col("_before"))
+        *keys, "_range", F.coalesce(F.sum("_in").over(before), F.lit(0)).alias("_before"), F.sum("_in").over(group).alias("n"))
+    inside = Window.partitionBy(*keys, "_range").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+    return counted.join(per_range, [*keys, "_range"]).withColumn(
+        "cum", F.sum("c").over(inside) + F.col("_before")).drop("_range", "_before")
+
+
+def at_rank(rank: Column) -> Column:
+    """The value at a 1-based rank, over running_counts rows."""
+    return F.min(F.when(F.col("cum") >= rank, F.col("v")))
+
 
+def exact_median(df: DataFrame, value: str, by: Sequence[str] = (), step: float = 1.0) -> DataFrame:
+    """(by, median): the mean of the two middle values."""
+    low, high = at_rank(F.expr("(n + 1) div 2")), at_rank(F.expr("n div 2 + 1"))
+    return running_counts(df, value, by, step).groupBy(*by).agg(((low + high) / 2).alias("median"))
+
+
+def latency_summary(log: DataFrame, value: str, by: Sequence[str], step: float = 1.0) -> DataFrame:
+    """n, mean, nearest-rank percentiles and max per group, rounded as the report prints them."""
     def nearest(p: int) -> Column:
         # integer ceil(p * n / 100), at least 1
-        k = F.greatest(F.expr(f"({p} * n + 99) div 100"), F.lit(1))
-        return F.round(F.min(F.when(F.col("cum") >= k, F.col("v"))), 3).alias(f"p{p}")
+        return F.round(at_rank(F.greatest(F.expr(f"({p} * n + 99) div 100"), F.lit(1))), 3).alias(f"p{p}")
 
-    return ranked.groupBy(*keys).agg(
+    return running_counts(log, value, by, step).groupBy(*by).agg(
         F.sum("c").alias("n"), F.round(F.sum(F.col("v") * F.col("c")) / F.sum("c"), 3).alias("mean"),
         nearest(50), nearest(90), nearest(95), nearest(99), F.round(F.max("v"), 3).alias("max"))
 
 
 def upper_median(runs: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
     """The upper of the two middle values over runs."""
-    return runs.groupBy(*by).agg(F.sort_array(F.collect_list(value)).alias("v")).select(
-        *by, F.element_at("v", (F.expr("size(v) div 2") + 1).cast("int")).alias(value))
+    return running_counts(runs, value, by).groupBy(*by).agg(at_rank(F.expr("n div 2 + 1")).alias(value))
 
 
 def relative_change(curve: DataFrame, step: str, value: str) -> DataFrame:

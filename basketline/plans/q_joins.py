@@ -291,12 +291,14 @@ def vectors(spark, sf, key):
 
 
 def scored_rows(lists):
+    """List positions with the score in billionths, the unit the scores are rounded to."""
+    score = F.round(F.col("x.scores") * 1e9).cast("bigint")
     return lists.select("user_id", "mode", F.posexplode(F.arrays_zip("items", "scores")).alias("p", "x")).select(
-        "user_id", "mode", (F.col("p") + 1).alias("rank"), F.col("x.items").alias("item_id"), F.col("x.scores").alias("score"))
+        "user_id", "mode", (F.col("p") + 1).alias("rank"), F.col("x.items").alias("item_id"), score.alias("score"))
 
 
-@query("w6_block_top_k", final(with_(DOTS, select="""SELECT user_id, 'repurchase' AS mode, rank, item_id, score FROM (SELECT *, row_number() OVER
-  (PARTITION BY user_id ORDER BY score DESC, item_id) AS rank FROM dt) WHERE rank <= 5"""), i="user_id rank item_id", f="score", s="mode"))
+@query("w6_block_top_k", final(with_(DOTS, select="""SELECT user_id, 'repurchase' AS mode, rank, item_id, round(score * 1e9) AS score FROM (SELECT *, row_number() OVER
+  (PARTITION BY user_id ORDER BY score DESC, item_id) AS rank FROM dt) WHERE rank <= 5"""), i="user_id rank item_id score", s="mode"))
 def w6(spark, sf):
     """The grid of user and item blocks, as used for factor tables too large to broadcast."""
     lists = factors.score_top_k(vectors(spark, sf, "user_id"), vectors(spark, sf, "item_id"), 5, broadcast_bytes=0)

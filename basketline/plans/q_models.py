@@ -10,7 +10,7 @@ from basketline.operators import als as als_ops
 from basketline.operators import compare, factors, features, metrics, popularity, prepare, profiling, ranker, segments
 from basketline.operators.candidates import candidate_recall
 from basketline.operators.folds import build_folds, last_day
-from basketline.operators.itemitem import ItemItem, baskets, catalogue, cooccurrence, cosine, interactions, weighted_interactions, with_fallback
+from basketline.operators.itemitem import ItemItem, baskets, both_ways, catalogue, cooccurrence, cosine, interactions, weighted_interactions, with_fallback
 from basketline.plans import evaluation, reranking
 from basketline.plans.q_aggregates import OVERLAP, REPLICATES, WEEKS4, event_features, weekly_scores
 from basketline.plans.q_aggregates import WEEKLY as WEEKLY_SQL
@@ -61,7 +61,7 @@ def m3_wide(spark, sf):
     """Per article over the whole order-log catalogue: neighbours, total and closest similarity."""
     history = order_folds(spark, sf).history
     items = catalogue(history)
-    sims = cosine(cooccurrence(baskets(interactions(history, items)), items.count()))
+    sims = both_ways(cosine(cooccurrence(baskets(interactions(history, items)), items.count())))
     return sims.groupBy("a").agg(count_as("n_neighbours"), F.sum("sim").alias("total"),
                                  F.max(F.when(F.col("a") != F.col("b"), F.col("sim"))).alias("closest"))
 
@@ -129,9 +129,9 @@ def m8(spark, sf):
     return als_ops.top_n(fitted, f.customers, CAND_N)
 
 
-@query("m9_factor_scoring", final(with_(DOTS, select="""SELECT user_id, mode, rank, item_id, score FROM (SELECT *, row_number() OVER
+@query("m9_factor_scoring", final(with_(DOTS, select="""SELECT user_id, mode, rank, item_id, round(score * 1e9) AS score FROM (SELECT *, row_number() OVER
   (PARTITION BY mode, user_id ORDER BY score DESC, item_id) AS rank FROM dt, (VALUES ('repurchase'), ('discover')) m(mode)
-  WHERE NOT (mode = 'discover' AND user_id = item_id)) WHERE rank <= 12"""), i="user_id rank item_id", f="score", s="mode"))
+  WHERE NOT (mode = 'discover' AND user_id = item_id)) WHERE rank <= 12"""), i="user_id rank item_id score", s="mode"))
 def m9(spark, sf):
     """Both modes from one product; a vector owns itself."""
     users = vectors(spark, sf, "user_id")
