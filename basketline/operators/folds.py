@@ -84,8 +84,8 @@ def build_folds(log: DataFrame, weeks: Sequence[dt.date], target_days: int = 7,
     def tagged(rows: DataFrame, keep) -> DataFrame:
         if len(weeks) == 1:
             return rows.withColumn("week", F.lit(weeks[0]))
-        tags = F.filter(F.array(*[F.lit(w) for w in weeks]), keep)
-        return rows.withColumn("week", F.explode(tags))
+        tags = F.array(*[F.when(keep(F.lit(w)), F.lit(w)) for w in weeks])
+        return rows.withColumn("week", F.explode(tags)).filter(F.col("week").isNotNull())
 
     past = log.filter(F.col("t_dat") < F.lit(last))
     if history_days is not None:

@@ -52,7 +52,7 @@ def window_counts(history: DataFrame, windows: Sequence[int | None]) -> DataFram
             rows = rows.filter(age < max(bounded))
     else:
         tags = F.array(F.lit(window_label(None)))
-    tagged = rows.select("week", "article_id", F.explode(F.array_compact(tags)).alias("window"))
+    tagged = rows.select("week", "article_id", F.explode(tags).alias("window")).filter(F.col("window").isNotNull())
     return article_counts(tagged, ["week", "window"])
 
 

@@ -16,22 +16,26 @@ from basketline.operators.metrics import customer_scores
 from basketline.operators.popularity import K, exclusion_lists, popularity_lists, same_list_for_all
 from basketline.operators.ranker import (Ranker, complete, discover_only, lists_by, personal_baseline,
                                          repurchase_popularity, route_cold)
+from basketline.session import materialize
 
 SCORE_KEYS = ("week", "model", "customer_id", "segment")
 
 
 def als_personal(folds: Folds, n: int, config, blocks: int | None = None) -> DataFrame:
-    """(week, customer_id, article_id, score, rank) from ALS for one week."""
+    """(week, customer_id, article_id, score, rank) from ALS for one week.
+
+    Written out: the candidate union reads it once for the rows and once for who has any.
+    """
     fitted = als_ops.fit_als(als_ops.index_interactions(folds.history), config, blocks=blocks)
-    return als_ops.top_n(fitted, folds.customers, n).withColumn("week", F.lit(folds.weeks[0]))
+    return materialize(als_ops.top_n(fitted, folds.customers, n).withColumn("week", F.lit(folds.weeks[0])))
 
 
 def item_item_personal(folds: Folds, n: int, n_items: int) -> DataFrame:
     """The same shape from item-item lists; the rank stands in for a score."""
     lists = ItemItem(folds.history, n_items).recommend(folds.customers, n, settings=(False,))
     rows = lists.select("customer_id", F.posexplode("items").alias("pos", "article_id"))
-    return rows.select(F.lit(folds.weeks[0]).alias("week"), "customer_id", "article_id",
-                       (-(F.col("pos") + 1)).cast("double").alias("score"), (F.col("pos") + 1).alias("rank"))
+    return materialize(rows.select(F.lit(folds.weeks[0]).alias("week"), "customer_id", "article_id",
+                                   (-(F.col("pos") + 1)).cast("double").alias("score"), (F.col("pos") + 1).alias("rank")))
 
 
 def labelled_candidates(folds: Folds, personal: DataFrame, n: int, pop_k: int = 50, recent_days: int = 28,
