@@ -181,17 +181,18 @@ def m12(spark, sf):
     return candidate_recall(rows, f.segmented_customers(), f.truth, (5, 10, 20), CAND_POP, config)
 
 
-RANKER = {"rounds": 8, "learning_rate": 0.2, "depth": 4, "min_rows": 10, "truncation": 12}
+RANKER = {"rounds": 6, "learning_rate": 0.2, "depth": 4, "min_rows": 10, "truncation": 12}
 
 
-def ranked_week(spark, sf):
+def ranked_week(spark, sf, discover=False):
     """Train on the week before, score the last week."""
     train, test = event_folds(spark, sf, (1,)), event_folds(spark, sf)
     frames = []
     for f in (train, test):
         rows = reranking.labelled_candidates(f, reranking.item_item_personal(f, CAND_N, 5000), CAND_N, CAND_POP, CAND_RECENT, "ii")
         frames.append(materialize(reranking.features_of(f, rows, "ii")))
-    return test, frames[1], ranker.train_ranker(frames[0], **RANKER)
+    learned = ranker.discover_only(frames[0]) if discover else frames[0]
+    return test, frames[1], ranker.train_ranker(learned, **RANKER)
 
 
 @query("m13_lambdarank")
@@ -209,6 +210,13 @@ def m14(spark, sf):
     return spread.select("n_scores", F.inline(shares))
 
 
+@query("b3_ranker_gaps_discover")
+def b3_ranker(spark, sf):
+    """Never-bought candidates only: the ranker against its baselines, with intervals."""
+    f, rows, fitted = ranked_week(spark, sf, discover=True)
+    return reranking.ranking_report(f, rows, fitted, discover=True, replicates=REPLICATES)[1]
+
+
 RULE = """ru AS (SELECT *, CASE WHEN ci_days_since <= 28 THEN 1e9 - ci_days_since ELSE item_cnt_7d END AS rule FROM ft)"""
 
 

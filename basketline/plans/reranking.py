@@ -12,7 +12,8 @@ from basketline.operators.candidates import candidate_rows
 from basketline.operators.features import build_features
 from basketline.operators.folds import Folds
 from basketline.operators.itemitem import ItemItem
-from basketline.operators.metrics import customer_scores
+from basketline.operators.compare import relative_gaps
+from basketline.operators.metrics import customer_scores, metrics_by_scope
 from basketline.operators.popularity import K, exclusion_lists, popularity_lists, same_list_for_all
 from basketline.operators.ranker import (Ranker, complete, discover_only, lists_by, personal_baseline,
                                          repurchase_popularity, route_cold)
@@ -81,3 +82,11 @@ def model_pairs(models: Sequence[str]) -> list[tuple[str, str]]:
     first = [("ranker", m) for m in ("ALS", "pop7d", "repurchase+pop") if m in models]
     return first + [("ranker+cold", m) for m in ("pop7d", "repurchase+pop") if m in models]
 
+
+
+def ranking_report(folds: Folds, features: DataFrame, ranker: Ranker, discover: bool = False,
+                   replicates: int = 2000) -> tuple[DataFrame, DataFrame]:
+    """Metrics per (model, scope), and the ranker's relative gaps with their intervals per scope."""
+    scores = materialize(scored_models(folds, ranked_models(folds, features, ranker, discover)))
+    models = ["ALS", "pop7d", "ranker", "ranker+cold"] + ([] if discover else ["repurchase+pop"])
+    return metrics_by_scope(scores, ["model"]), relative_gaps(scores, model_pairs(models), ["week"], replicates)

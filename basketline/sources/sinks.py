@@ -86,7 +86,7 @@ def export_lists(lists: DataFrame, owned: DataFrame, out_dir: str, version: str,
     checks = export_checks(written, owned, k)
     require_clean(checks, "wrong_size", "with_repeats", "owned_in_discover", "without_both_modes")
     row = checks.first()
-    n_all = lists.select("customer_id").distinct().count()
+    n_all = row["n_customers"] if limit is None else lists.select("customer_id").distinct().count()
     summary = manifest(row["n_customers"], n_all, row["n_rows"], version, meta, k)
     spark.createDataFrame([(json.dumps(summary),)], "value string").coalesce(1).write.mode("overwrite").text(staged["manifest"])
     for name in final:
