@@ -68,4 +68,8 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     AQE sizes shuffle partitions by bytes and would merge such rows into a few long tasks; a
     partition count given by number is left alone.
     """
-    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+    spark = df.sparkSession
+    width = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if spark.sparkContext.master.startswith("local"):
+        width = min(width, 2 * spark.sparkContext.defaultParallelism)
+    return df.repartition(width, *keys)
