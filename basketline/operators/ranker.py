@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from basketline.functions.lists import to_lists, top_k
 from basketline.operators.features import FEATURES
-from basketline.session import materialize
+from basketline.session import materialize, spread
 
 K = 12
 MISSING = -1e9  # trees need a value; every known feature is above it
@@ -137,7 +137,8 @@ def train_ranker(features: DataFrame, rounds: int = 300, learning_rate: float =
     stays short and a lost executor repeats at most those rounds.
     """
     rows = assemble(with_positive(features), columns).select(*GROUP, "article_id", "label", "vector")
-    rows = materialize(grouped_for_training(rows).withColumn("score", F.lit(0.0)))
+    # a fixed width by customer: the windows and every tree fit keep this partitioning
+    rows = spread(materialize(rows.withColumn("score", F.lit(0.0))), *GROUP)
     ranker = Ranker([], learning_rate, columns)
     held: DataFrame | None = None
     for n in range(rounds):
@@ -151,7 +152,7 @@ def train_ranker(features: DataFrame, rounds: int = 300, learning_rate: float =
         rows = tree.transform(graded).withColumn("score", F.col("score") + learning_rate * F.col("_step")).select(
             *GROUP, "article_id", "label", "vector", "score")
         if (n + 1) % checkpoint_every == 0:
-            rows = materialize(rows)
+            rows = spread(materialize(rows), *GROUP)
         previous, held = held, graded
         if previous is not None and (n + 1) % checkpoint_every == 0:
             previous.unpersist()
