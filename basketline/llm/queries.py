@@ -6,14 +6,28 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from basketline.llm import mixing, packing, sql, token_counts, token_files
+from basketline.llm import fingerprints, langid, mixing, packing, secrets, sql, token_counts, token_files, topk
 from basketline.llm.common import table
 from basketline.session import scratch_path
 
 END_ID = 1
 
 
+def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(table(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda s: s["rank"] < len(secrets.BASE))
+    counts = [F.size(secrets.of_rank(F.col("spans"), rank)).cast("bigint").alias(f"n_{rule.name}")
+              for rank, rule in enumerate(secrets.BASE)]
+    return found.select("doc_id", *counts, F.sha2(secrets.joined(base), 256).alias("base_sha256"),
+                        secrets.joined(F.col("spans")).alias("spans"))
+
+
+def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), END_ID)
 
@@ -29,14 +43,27 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_positions(spark, folder)
 
 
+def op8_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(topk.integer_vectors(table(spark, sf_dir, "embeddings")), F.col("vec_id") % 50 == 0, 5)
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return langid.identify(docs, langid.fit(docs))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_secrets": op1_secrets,
+    "op2_fingerprints": op2_fingerprints,
     "op3_packing": op3_packing,
     "op6_mixing": op6_mixing,
     "op7_token_files": op7_token_files,
+    "op8_top_k": op8_top_k,
     "op9_token_counts": op9_token_counts,
+    "op10_language_id": op10_language_id,
 }
-ORACLE_SQL: dict[str, str] = {"op6_mixing": sql.MIXING}
+ORACLE_SQL: dict[str, str] = {"op1_secrets": sql.SECRETS, "op6_mixing": sql.MIXING, "op8_top_k": sql.TOP_K}

@@ -21,3 +21,39 @@ k AS (SELECT d.*, source_size, target, floor(target)::BIGINT AS budget,
   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
 SELECT doc_id, size, source_size, target,
   (epochs * size + greatest(0, least(size, budget - epochs * source_size - before)))::BIGINT AS taken, source FROM k"""
+
+TOP_K = r"""WITH e AS (
+  SELECT vec_id, min(list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT)) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+  GROUP BY vec_id),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, list_sum(list_transform(list_zip(q.v, c.v), lambda z: coalesce(z[1], 0) * coalesce(z[2], 0)))::BIGINT AS score
+  FROM e q JOIN e c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+SELECT query_id, rank::INT AS rank, vec_id, score FROM r WHERE rank <= 5"""
+
+_ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)"""
+_KINDS = (("assign", _ASSIGN, 2, 6), ("access", "AKIA[A-Z0-9]+", 0, 20), ("hex", "[0-9a-f]{24,}", 0, 24),
+          ("pem", "-----BEGIN [A-Z ]*PRIVATE KEY-----", 0, 0), ("forge", "gh[pousr]_[A-Za-z0-9]{36,}", 0, 0),
+          ("webtoken", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", 0, 0))
+
+
+def _secrets() -> str:
+    """Spans from the gaps that splitting leaves between matches."""
+    parts = [f"""SELECT id, {rank} AS rank, '{name}' AS kind, list_transform(range(1, len(m) + 1), lambda i: {{
+    'start': list_sum([0] || list_transform(g[1:i], lambda x: length(x)))::BIGINT + list_sum([0] || list_transform(m[1:i-1], lambda x: length(x)))::BIGINT,
+    'size': length(m[i])::BIGINT, 'part': length(p[i])}}) AS s FROM (SELECT id, regexp_extract_all(text, '{pattern}', 0) AS m,
+    regexp_extract_all(text, '{pattern}', {group}) AS p, string_split_regex(text, '{pattern}') AS g FROM d
+    WHERE regexp_matches(text, '{pattern}'))""" for rank, (name, pattern, group, _) in enumerate(_KINDS)]
+    least = " ".join(f"WHEN {rank} THEN {least}" for rank, (*_, least) in enumerate(_KINDS))
+    return f"""WITH d AS (SELECT row_number() OVER () AS id, doc_id, coalesce(text, '') AS text FROM documents WHERE doc_id IS NOT NULL),
+a AS ({' UNION ALL '.join(parts)}),
+b AS (SELECT id, rank, kind, unnest(s) AS x FROM a),
+c AS (SELECT id, rank, kind, x.start AS start, concat(kind, ':', x.start, ':', x.start + x.size) AS span FROM b
+  WHERE x.part >= CASE rank {least} END),
+f AS (SELECT id, count(*) FILTER (rank = 0) AS n_assign, count(*) FILTER (rank = 1) AS n_access, count(*) FILTER (rank = 2) AS n_hex,
+  string_agg(span, ',' ORDER BY start, rank) FILTER (rank < 3) AS base, string_agg(span, ',' ORDER BY start, rank) AS spans FROM c GROUP BY id)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+  sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN f USING (id)"""
+
+
+SECRETS = _secrets()
