@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from basketline.llm import fingerprints, langid, mixing, packing, secrets, sql, token_counts, token_files, topk
+from basketline.llm import fingerprints, jaccard, langid, mixing, packing, secrets, sql, token_counts, token_files, topk
 from basketline.llm.common import table
 from basketline.session import scratch_path
 
@@ -32,6 +32,10 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), END_ID)
 
 
+def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicate_classes(table(spark, sf_dir, "documents"))
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (mixing.mix_documents(table(spark, sf_dir, "documents"))
             .select("doc_id", "size", "source_size", "target", "taken", "source"))
@@ -60,10 +64,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secrets": op1_secrets,
     "op2_fingerprints": op2_fingerprints,
     "op3_packing": op3_packing,
+    "op4_jaccard_join": op4_jaccard_join,
     "op6_mixing": op6_mixing,
     "op7_token_files": op7_token_files,
     "op8_top_k": op8_top_k,
     "op9_token_counts": op9_token_counts,
     "op10_language_id": op10_language_id,
 }
-ORACLE_SQL: dict[str, str] = {"op1_secrets": sql.SECRETS, "op6_mixing": sql.MIXING, "op8_top_k": sql.TOP_K}
+ORACLE_SQL: dict[str, str] = {"op1_secrets": sql.SECRETS, "op4_jaccard_join": sql.JACCARD, "op6_mixing": sql.MIXING, "op8_top_k": sql.TOP_K}

@@ -57,3 +57,17 @@ SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_acc
 
 
 SECRETS = _secrets()
+
+JACCARD = r"""WITH RECURSIVE w AS (
+  SELECT row_number() OVER () AS id, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents WHERE doc_id IS NOT NULL),
+s AS (SELECT id, doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+  ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' '))) END AS s FROM w),
+t AS (SELECT id, len(s) AS n, unnest(s) AS x FROM s),
+o AS (SELECT a.id AS a, b.id AS b, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS n FROM t a JOIN t b ON a.x = b.x AND a.id < b.id
+  AND least(a.n, b.n) * 100 >= greatest(a.n, b.n) * 80 GROUP BY a.id, b.id),
+e AS (SELECT a, b FROM o WHERE 100 * n >= 80 * (na + nb - n)),
+l AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+r(id, reached) AS (SELECT id, id FROM s UNION SELECT r.id, l.b FROM r JOIN l ON r.reached = l.a)
+SELECT s.doc_id, len(s.s)::BIGINT AS n_shingles, c.component_id FROM s JOIN (
+  SELECT r.id, min(d.doc_id) AS component_id FROM r JOIN s d ON r.reached = d.id GROUP BY r.id) c ON s.id = c.id"""
