@@ -13,6 +13,7 @@ each; rows without a doc_id take no part; no rows give no pieces.
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterator
 
@@ -26,8 +27,6 @@ from basketline.llm.text import slices
 from basketline.llm.token_files import encoder
 from basketline.llm.tokens import with_end
 
-RANK_ROWS = 100_000  # pieces of one length that one task numbers
-
 
 def cut_pieces(docs: DataFrame, tokenizer_path: str, end_id: int, size: int) -> DataFrame:
     """doc_id, start, length, ids_crc32, doc_tokens of every piece."""
@@ -93,7 +92,7 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int, size: int = 2048) ->
     runs = places(shortest_pack_first(histogram, size))
     key = runs["length"] << 44 | runs["first"]
 
-    parts = -(-max(histogram.values(), default=1) // RANK_ROWS)
+    parts = math.isqrt(max(histogram.values(), default=1)) + 1  # as many parts of a length as rows in a part, at most
     part = F.pmod(F.xxhash64("doc_id", "start"), F.lit(parts))
     cut = cut.withColumn("part", part)
     earlier = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)

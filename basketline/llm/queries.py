@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from basketline.llm import fingerprints, jaccard, langid, mixing, packing, secrets, sql, token_counts, token_files, topk
+from basketline.llm import brown, fingerprints, jaccard, langid, mixing, packing, secrets, sql, token_counts, token_files, topk
 from basketline.llm.common import table
 from basketline.session import scratch_path
 
@@ -36,6 +36,10 @@ def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicate_classes(table(spark, sf_dir, "documents"))
 
 
+def op5_class_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return brown.score(table(spark, sf_dir, "documents"), brown.input_split())
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (mixing.mix_documents(table(spark, sf_dir, "documents"))
             .select("doc_id", "size", "source_size", "target", "taken", "source"))
@@ -65,6 +69,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_fingerprints": op2_fingerprints,
     "op3_packing": op3_packing,
     "op4_jaccard_join": op4_jaccard_join,
+    "op5_class_model": op5_class_model,
     "op6_mixing": op6_mixing,
     "op7_token_files": op7_token_files,
     "op8_top_k": op8_top_k,

@@ -117,12 +117,19 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(first word of each text, 64-bit hash of every word), letters A-Z lower-cased."""
+    return words_with_tails(texts)[:2]
+
+
+def words_with_tails(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """word_hashes() and, as one number, the last two bytes of every word."""
     offsets, data = raw(texts)
     first, starts, ends = word_bounds(offsets, data)
     if not len(starts):
-        return first, np.zeros(0, np.uint64)
+        return first, np.zeros(0, np.uint64), np.zeros(0, np.int64)
     up, down = _power_tables(len(data) + 1)
     total = np.zeros(len(data) + 1, np.uint64)
     np.cumsum((LOWER[data].astype(np.uint64) + np.uint64(1)) * up[:len(data)], out=total[1:])
     value = (total[ends] - total[starts]) * down[starts]
-    return first, mix(value ^ mix((ends - starts).astype(np.uint64)))
+    last = LOWER[data[ends - 1]].astype(np.int64)
+    tails = last + 256 * np.where(ends - starts > 1, LOWER[data[np.maximum(ends - 2, 0)]], 0).astype(np.int64)
+    return first, mix(value ^ mix((ends - starts).astype(np.uint64))), tails
