@@ -12,7 +12,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def documents(df: DataFrame, *more: str) -> DataFrame:
+def documents(df: DataFrame, *more: str | Column) -> DataFrame:
     """doc_id as bigint, text (null: empty) and the named columns; rows without a doc_id take no part."""
     return (df.where(F.col("doc_id").isNotNull())
             .select(F.col("doc_id").cast("bigint").alias("doc_id"),
@@ -31,5 +31,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
-def width(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+def with_text(rows: DataFrame, row: str, text: Column, columns: list[str]) -> DataFrame:
+    """The struct column `row` as columns again, with another text and, if it is there, n_chars."""
+    changed = {"text": text, "n_chars": F.char_length(text).cast("bigint")}
+    return rows.select(*[changed[c].alias(c) if c in changed else F.col(row)[c].alias(c) for c in columns])

@@ -199,9 +199,8 @@ class SetJoin:
         both = both.withColumn("overlap", F.size(F.array_intersect("ta", "tb")).cast("bigint"))
         return both.where(links_by_size(F.col("overlap"), F.size("ta"), F.size("tb"), self.percent)).select("a", "b", "overlap")
 
-    def classes(self) -> DataFrame:
-        """doc_id, n_shingles, component_id of every document."""
-        percent = self.percent
+    def classed(self) -> DataFrame:
+        """doc_id, sid, n, component (a set's name) of every document with words."""
         plain = written(self.prefixes(np.zeros(0, np.uint64), None), "groups")
         frequent = self.frequent_hashes(plain)
         kept = plain
@@ -227,12 +226,59 @@ class SetJoin:
 
         links = self._links(rows, groups)
         joined = components(links).withColumnRenamed("node", "sid")
-        classed = members.join(joined, "sid", "left").withColumn("component", F.coalesce("component", "sid"))
+        return members.join(joined, "sid", "left").withColumn("component", F.coalesce("component", "sid"))
+
+    def classes(self) -> DataFrame:
+        """doc_id, n_shingles, component_id of every document."""
+        classed = written(self.classed(), "classed")
         least = classed.groupBy("component").agg(F.min("doc_id").alias("component_id"))
         full = classed.join(least, "component").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
         empty = self._over_sets(lambda d, s: [(d, 0, d)] if not len(s) else [], "doc_id bigint, n_shingles bigint, component_id bigint")
         return full.unionByName(empty)
 
+    def representatives(self, docs: DataFrame) -> DataFrame:
+        """The documents, all their columns, with one for each class: the smallest doc_id, and of its rows one.
+
+        A document without words is a class of its own. Rows to leave out are known by a hash of doc_id
+        and set; up to MOST_IN_TASKS of them are sent to the tasks, more are found by a join.
+        """
+        classed = written(self.classed(), "classed")
+        rows = F.count(F.lit(1)).alias("rows")
+        texts = classed.groupBy("component", "doc_id", "sid").agg(rows)
+        first = texts.groupBy("component").agg(F.min(F.struct("doc_id", "sid")).alias("first"))
+        texts = written(texts.join(first, "component").select(
+            F.xxhash64("doc_id", "sid").alias("key"), "rows", (F.struct("doc_id", "sid") == F.col("first")).alias("stays")), "texts")
+        dropped, repeated = texts.where("NOT stays").select("key"), texts.where("stays AND rows > 1").select("key")
+        columns, shingle = docs.columns, self.shingle
+        whole = docs.where(F.col("doc_id").isNotNull()).select(
+            F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
+            F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"))
+
+        def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for rows, texts in slices(batch):
+                    sids = [digest(s) if len(s) else None for s in shingle_sets(texts, shingle)]
+                    yield pa.RecordBatch.from_pydict({"doc_id": rows.column("doc_id"), "sid": pa.array(sids, pa.int64()), "row": rows.column("row")})
+
+        whole = whole.mapInArrow(named, f"doc_id bigint, sid bigint, row {whole.schema['row'].dataType.simpleString()}")
+        whole = whole.withColumn("key", F.when(F.col("sid").isNotNull(), F.xxhash64("doc_id", "sid")))
+        if dropped.count() <= MOST_IN_TASKS:
+            known = self.spark.sparkContext.broadcast(np.sort(dropped.toArrow()["key"].to_numpy()))
+
+            def staying(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                for batch in batches:
+                    key = batch.column("key")
+                    gone = member(key.fill_null(0).to_numpy(), known.value) & key.is_valid().to_numpy(zero_copy_only=False)
+                    yield batch.filter(pa.array(~gone))
+
+            whole = whole.mapInArrow(staying, whole.schema)
+        else:
+            whole = whole.join(dropped, "key", "left_anti")
+        if not repeated.isEmpty():
+            twice = whole.join(repeated, "key", "left_semi").withColumn("k", F.row_number().over(Window.partitionBy("key").orderBy(F.lit(0))))
+            whole = whole.join(repeated, "key", "left_anti").select("row").unionByName(twice.where("k = 1").select("row"))
+        return whole.select("row.*")
+
     def _links(self, rows: DataFrame, groups: DataFrame) -> DataFrame:
         percent = self.percent
         frequent = rows.where(F.col("m") > BUCKET)
@@ -288,3 +334,8 @@ def _group(prefix_hashes: np.ndarray, n: int) -> int:
 def near_duplicate_classes(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest doc_id reachable by links) of every document."""
     return SetJoin(docs, shingle, percent).classes()
+
+
+def one_of_each(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
+    """The documents with one left of each group of near duplicates."""
+    return SetJoin(docs, shingle, percent).representatives(docs)

@@ -269,13 +269,15 @@ def _limits(n: np.ndarray, cost: np.ndarray) -> tuple[float, float, float]:
     return middle, max(short, 1.0), float(np.median(away)) * 1.4826
 
 
-def identify(docs: DataFrame, model: Model | None, *more: str) -> DataFrame:
-    """doc_id, held_out, lang_pred, score, rejected, bits (mean cost) and the named columns of every document, in one pass."""
+def identify(docs: DataFrame, model: Model | None, whole_rows: bool = False) -> DataFrame:
+    """doc_id, held_out, lang_pred, score, rejected, bits (mean cost) of every document, in one pass.
+
+    With `whole_rows`, the document itself is kept as the struct `row`.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the sample
-    kept = docs.where(F.col("doc_id").isNotNull()).withColumn("_id", F.col("doc_id").cast("bigint"))
-    names = list(dict.fromkeys(["text", *more]))
-    kept = kept.select("_id", id_fold().alias("_fold"), *names)
-    types = dict(kept.dtypes)
+    kept = docs.where(F.col("doc_id").isNotNull()).select(
+        F.col("doc_id").cast("bigint").alias("doc_id"), id_fold().alias("fold"), F.col("text").cast("string").alias("text"),
+        *([F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")] if whole_rows else []))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shared.value) if shared.value else None
@@ -291,10 +293,14 @@ def identify(docs: DataFrame, model: Model | None, *more: str) -> DataFrame:
                 else:
                     score, rejected = np.zeros(len(texts)), np.ones(len(texts), bool)
                     bits, language = score, [UNKNOWN] * len(texts)
-                out = {"doc_id": rows.column("_id"), "held_out": pa.array(rows.column("_fold").to_numpy() == HELD_OUT),
+                out = {"doc_id": rows.column("doc_id"), "held_out": pa.array(rows.column("fold").to_numpy() == HELD_OUT),
                        "lang_pred": pa.array(language, pa.string()), "score": pa.array(score), "rejected": pa.array(rejected), "bits": pa.array(bits)}
-                yield pa.RecordBatch.from_arrays([*out.values(), *(rows.column(c) for c in more)], names=[*out, *(f"_{c}" for c in more)])
+                yield pa.RecordBatch.from_pydict(out | ({"row": rows.column("row")} if whole_rows else {}))
+
+    schema = "doc_id bigint, held_out boolean, lang_pred string, score double, rejected boolean, bits double"
+    return kept.mapInArrow(run, schema + (f", row {kept.schema['row'].dataType.simpleString()}" if whole_rows else ""))
+
 
-    schema = ", ".join(["doc_id bigint, held_out boolean, lang_pred string, score double, rejected boolean, bits double",
-                        *(f"`_{c}` {types[c]}" for c in more)])
-    return kept.mapInArrow(run, schema)
+def accepted(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+    """The documents that are not rejected, with all their columns."""
+    return identify(docs, fit(docs, sample_rows), whole_rows=True).where(~F.col("rejected")).select("row.*")

@@ -22,8 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from basketline.llm.common import documents, written
-from basketline.llm.text import slices, word_counts
+from basketline.llm.common import documents, with_text, written
+from basketline.llm.text import raw, slices, word_bounds, word_counts
 
 WEIGHTS = (5, 2, 1)
 SHARE, REPEAT = 1.5, 2
@@ -86,3 +86,34 @@ def mix(sizes: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = SHARE
 def mix_documents(docs: DataFrame) -> DataFrame:
     """doc_id, source, size, source_size, target, taken of every document; texts are read once."""
     return mix(written(sized(docs), "sizes"))
+
+
+def mixed_corpus(docs: DataFrame) -> DataFrame:
+    """The mix itself, with all columns: a row for each time that a document is taken; the one in which a source's
+    budget ends has its text cut after the last word that is taken, and n_chars follows."""
+    columns = docs.columns
+    rows = documents(docs, "source", F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row")).withColumn("h", F.xxhash64("text"))
+    same = Window.partitionBy("doc_id", "h").orderBy(F.lit(0))
+    sizes = written(sized(docs.withColumn("h", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))), "h"), "sizes")
+    taken = mix(sizes).where("taken > 0").select("doc_id", "h", "size", "taken", F.row_number().over(same).alias("k"))
+    rows = rows.withColumn("k", F.row_number().over(same)).join(taken, ["doc_id", "h", "k"])
+    rest = F.col("taken") % F.col("size")
+    words = F.concat(F.array_repeat(F.col("size"), (F.col("taken") / F.col("size")).cast("int")), F.when(rest > 0, F.array(rest)).otherwise(F.expr("array()")))
+    copies = rows.withColumn("words", F.explode(words))
+    full = copies.where("words = size").select("row.*")
+    part = copies.where("words < size").select("text", "words", "row")
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            short = [first_words(t, n) for t, n in zip(batch.column("text").to_pylist(), batch.column("words").to_pylist())]
+            yield pa.RecordBatch.from_pydict({"text": pa.array(short, pa.string()), "row": batch.column("row")})
+
+    part = part.mapInArrow(cut, f"text string, row {part.schema['row'].dataType.simpleString()}")
+    return full.unionByName(with_text(part, "row", F.col("text"), columns))
+
+
+def first_words(text: str, words: int) -> str:
+    """The text up to the end of its `words`-th word."""
+    offsets, data = raw(pa.array([text]))
+    _, _, ends = word_bounds(offsets, data)
+    return data[:ends[words - 1]].tobytes().decode()

@@ -25,7 +25,7 @@ from re import _parser as parser
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from basketline.llm.common import documents
+from basketline.llm.common import documents, with_text
 
 
 @dataclass(frozen=True)
@@ -128,12 +128,12 @@ def spans_of(rule: Rule, text: Column) -> Column:
     return F.when(text.rlike(rule.pattern), spans)
 
 
-def scan(docs: DataFrame, rules: Sequence[Rule] = RULES, keep: Sequence[str] = ()) -> DataFrame:
-    """doc_id, spans: array of (start, rank, end) by start and then rule, rank being the rule's place in `rules`.
+def scan(docs: DataFrame, rules: Sequence[Rule] = RULES, whole_rows: bool = False) -> DataFrame:
+    """doc_id, text, spans: array of (start, rank, end) by start and then rank, rank being the rule's place in `rules`.
 
-    The named columns of the documents are kept, `text` too if it is named.
+    With `whole_rows`, the document itself is kept as the struct `row`.
     """
-    rows = documents(docs, *[c for c in keep if c not in ("doc_id", "text")])
+    rows = documents(docs, *([F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")] if whole_rows else []))
     met = candidates(rows, rules).withColumnRenamed("doc_id", "_id")
     rows = rows.join(met, F.col("doc_id") == F.col("_id"), "left")
     empty = F.expr("CAST(array() AS array<struct<start:int,rank:int,end:int>>)")
@@ -145,7 +145,7 @@ def scan(docs: DataFrame, rules: Sequence[Rule] = RULES, keep: Sequence[str] = (
         if trigram_query(rule.pattern):
             spans = F.when(F.array_contains(F.coalesce(F.col("rules"), F.array().cast("array<string>")), rule.name), spans)
         found.append(F.coalesce(spans, empty))
-    return rows.withColumn("spans", F.sort_array(F.concat(*found))).select("doc_id", *[c for c in keep if c != "doc_id"], "spans")
+    return rows.withColumn("spans", F.sort_array(F.concat(*found))).drop("_id", "rules")
 
 
 def joined(spans: Column, rules: Sequence[Rule] = RULES) -> Column:
@@ -160,9 +160,7 @@ def of_rank(spans: Column, rank: int) -> Column:
 
 
 def redact(docs: DataFrame, mark: str = "[SECRET]", rules: Sequence[Rule] = RULES) -> DataFrame:
-    """The documents' columns with every span of the text replaced by `mark`; spans that overlap are one."""
-    columns = docs.columns
-    keep = [c for c in columns if c != "doc_id"]
+    """The documents with every span of the text replaced by `mark`; spans that overlap are one. n_chars follows the text."""
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def step(state: Column, s: Column) -> Column:
@@ -172,4 +170,5 @@ def redact(docs: DataFrame, mark: str = "[SECRET]", rules: Sequence[Rule] = RULE
                         F.when(fresh, F.concat(state["out"], upto, F.lit(mark))).otherwise(state["out"]).alias("out"))
 
     text = F.aggregate("spans", start, step, lambda s: F.concat(s["out"], F.substring("text", s["at"] + 1, F.length("text"))))
-    return scan(docs, rules, keep).withColumn("text", F.when(F.size("spans") > 0, text).otherwise(F.col("text"))).select(*columns)
+    rows = scan(docs, rules, whole_rows=True).withColumn("clean", F.when(F.size("spans") > 0, text).otherwise(F.col("row.text")))
+    return with_text(rows, "row", F.col("clean"), docs.columns)
