@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 
@@ -32,31 +32,27 @@ def top_columns(scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     return np.take_along_axis(part, order, axis=1), np.take_along_axis(values, order, axis=1)
 
 
-def indicator(baskets: list[np.ndarray], width: int, dtype=np.float64) -> np.ndarray:
-    """0/1 rows: one per basket of column numbers."""
-    out = np.zeros((len(baskets), width), dtype=dtype)
-    rows = np.repeat(np.arange(len(baskets)), [len(b) for b in baskets])
-    if len(rows):
-        out[rows, np.concatenate(baskets)] = 1
-    return out
+def pair_counts(baskets: Iterable[np.ndarray], cells: int = CELLS) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(a, b, how often) of the column pairs a <= b in sorted baskets, at most `cells` pairs at once.
 
-
-def add_cooccurrence(total: np.ndarray, baskets: list[np.ndarray]) -> None:
-    """Add the co-occurrence counts of some baskets (sets of columns) to an n x n total.
-
-    Short baskets are counted pair by pair, long ones as a matrix product, whichever touches
-    fewer cells.
+    A pair may come several times; the counts are to be added up.
     """
-    width = total.shape[0]
-    limit = max(8, width // 32)
-    short = [b for b in baskets if 0 < len(b) <= limit]
-    long = [b for b in baskets if len(b) > limit]
-    step = max(1, CELLS // limit ** 2)
-    for at in range(0, len(short), step):
-        part = short[at:at + step]
-        codes = np.concatenate([(b[:, None] * width + b[None, :]).ravel() for b in part])
-        found, times = np.unique(codes, return_counts=True)
-        total.ravel()[found] += times.astype(total.dtype)
-    for at in batch_slices(len(long), width):
-        block = indicator(long[at], width, np.float32)
-        total += (block.T @ block).astype(total.dtype)
+    waiting: list[np.ndarray] = []
+    size = 0
+
+    def counted() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        found, times = np.unique(np.concatenate(waiting), return_counts=True)
+        return found >> 31, found & 0x7FFFFFFF, times
+
+    for basket in baskets:
+        step = max(1, cells // max(1, len(basket)))
+        for start in range(0, len(basket), step):
+            left = basket[start:start + step]
+            codes = (left[:, None] << 31 | basket[None, :])[left[:, None] <= basket[None, :]]
+            waiting.append(codes)
+            size += len(codes)
+            if size >= cells:
+                yield counted()
+                waiting, size = [], 0
+    if waiting:
+        yield counted()

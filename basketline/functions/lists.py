@@ -36,4 +36,6 @@ def array_literal(items: Column | str) -> Column:
 
 def parse_array_literal(text: Column | str, element: str = "bigint") -> Column:
     column = F.col(text) if isinstance(text, str) else text
-    return F.split(F.btrim(F.btrim(column), F.lit("{}")), ",").cast(f"array<{element}>")
+    inner = F.btrim(F.btrim(column), F.lit("{}"))
+    parts = F.when(F.btrim(inner) == "", F.array().cast("array<string>")).otherwise(F.split(inner, ","))
+    return parts.cast(f"array<{element}>")

@@ -120,4 +120,4 @@ def refuse_leak(history: DataFrame, cutoff: dt.date) -> None:
     """Point-in-time guard: no history row on or after the cutoff."""
     latest = history.agg(F.max("t_dat")).first()[0]
     if latest is not None and latest >= cutoff:
-        raise ValueError(f"history has rows on or after {cutoff}: the latest is {latest}")
+        raise ValueError(f"a sale of {latest} is not known yet at the cutoff {cutoff}")

@@ -1,8 +1,8 @@
-"""Item-item collaborative filtering over the n most popular articles.
+"""Item-item collaborative filtering over the whole catalogue, or its n most popular articles.
 
-The similarity is bounded by n x n whatever the log size. Co-occurrence is accumulated inside each
-task, so customer pairs of articles are never emitted; a customer's basket is a set of at most n
-columns, which also bounds the heaviest customer.
+Co-occurrence is counted sparsely: each task counts the pairs of its customers' baskets in bounded
+batches, and only counted cells are shuffled. No task holds a matrix of the catalogue and nothing
+comes back to the driver; a large basket is counted a slice at a time.
 """
 
 from __future__ import annotations
@@ -15,32 +15,24 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from basketline.functions import blocks
+from basketline.functions.ids import dense_index
 from basketline.functions.lists import to_lists, top_k
 from basketline.operators.popularity import K, article_counts, count_order
 from basketline.session import materialize, spread
 
-TOP_ITEMS = 5000
-DENSE_ITEMS = 5000  # largest n whose n x n similarity is broadcast (200 MB); beyond it rows are joined
 
-
-def catalogue(history: DataFrame, n_items: int = TOP_ITEMS) -> DataFrame:
-    """(article_id, col): the n best sellers numbered 0.. in popularity order."""
-    best = article_counts(history).orderBy(*count_order()).limit(n_items)
+def catalogue(history: DataFrame, n_items: int | None = None) -> DataFrame:
+    """(article_id, col): articles numbered 0.. in popularity order, all of them or the n best sellers."""
+    counts = article_counts(history)
+    if n_items is None:
+        return dense_index(counts.select((-F.col("cnt")).alias("less"), "article_id"), ["less", "article_id"], "col").drop("less")
     w = Window.orderBy(*count_order())  # at most n_items rows
-    return best.select("article_id", (F.row_number().over(w) - 1).alias("col"))
-
-
-def numbered(history: DataFrame, article_ids: Sequence[int]) -> DataFrame:
-    """The collected catalogue as a table again, so that later plans do not count the log once more."""
-    spark = history.sparkSession
-    rows = pd.DataFrame({"article_id": article_ids, "col": range(len(article_ids))})
-    key = history.schema["article_id"].dataType.simpleString()
-    return spark.createDataFrame(rows, f"article_id {key}, col int")
+    return counts.orderBy(*count_order()).limit(n_items).select("article_id", (F.row_number().over(w) - 1).cast("bigint").alias("col"))
 
 
 def interactions(history: DataFrame, items: DataFrame) -> DataFrame:
-    """Distinct (customer_id, article_id, col) over the catalogue; items has at most n rows."""
-    return (history.select("customer_id", "article_id").join(F.broadcast(items), "article_id").distinct())
+    """Distinct (customer_id, article_id, col) over the catalogue."""
+    return history.select("customer_id", "article_id").distinct().join(items, "article_id").select("customer_id", "article_id", "col")
 
 
 def weighted_interactions(history: DataFrame) -> DataFrame:
@@ -53,28 +45,22 @@ def baskets(pairs: DataFrame) -> DataFrame:
     return pairs.groupBy("customer_id").agg(F.sort_array(F.collect_list("col")).alias("cols"))
 
 
-def cooccurrence(customer_baskets: DataFrame, n_items: int) -> DataFrame:
+def cooccurrence(customer_baskets: DataFrame) -> DataFrame:
     """(a, b, together) for a <= b: customers holding both columns."""
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros((n_items, n_items), dtype=np.int32)
         for batch in batches:
-            blocks.add_cooccurrence(total, [np.asarray(c, dtype=np.int64) for c in batch["cols"]])
-        for rows in blocks.batch_slices(n_items, n_items):
-            a, b = np.nonzero(total[rows])
-            a = a + rows.start
-            upper = a <= b
-            a, b = a[upper], b[upper]
-            yield pd.DataFrame({"a": a, "b": b, "together": total[a, b].astype(np.int64)})
-
-    partial = spread(customer_baskets.select("cols")).mapInPandas(count, "a int, b int, together bigint")
+            for a, b, n in blocks.pair_counts(np.asarray(c, dtype=np.int64) for c in batch["cols"]):
+                yield pd.DataFrame({"a": a, "b": b, "together": n})
+
+    partial = spread(customer_baskets.select("cols")).mapInPandas(count, "a bigint, b bigint, together bigint")
     return partial.groupBy("a", "b").agg(F.sum("together").alias("together"))
 
 
 def cosine(together: DataFrame) -> DataFrame:
     """(a, b, sim) for a <= b: together / sqrt(n_a * n_b). The diagonal stays in."""
     sizes = together.filter("a = b").select(F.col("a").alias("item"), F.col("together").alias("n"))
-    left = F.broadcast(sizes.select(F.col("item").alias("a"), F.col("n").alias("n_a")))  # <= n rows
-    right = F.broadcast(sizes.select(F.col("item").alias("b"), F.col("n").alias("n_b")))
+    left = sizes.select(F.col("item").alias("a"), F.col("n").alias("n_a"))
+    right = sizes.select(F.col("item").alias("b"), F.col("n").alias("n_b"))
     sim = F.col("together") / F.sqrt(F.col("n_a").cast("double") * F.col("n_b"))
     return together.join(left, "a").join(right, "b").select("a", "b", sim.alias("sim"))
 
@@ -85,86 +71,43 @@ def both_ways(upper: DataFrame) -> DataFrame:
 
 
 class ItemItem:
-    """Fitted item-item model: catalogue, customer baskets and similarity."""
+    """Fitted item-item model: catalogue, customer baskets and similarity, each a table."""
 
-    def __init__(self, history: DataFrame, n_items: int = TOP_ITEMS):
-        self.items = catalogue(history, n_items)
-        ids = [r[0] for r in self.items.orderBy("col").collect()]  # at most n ids
-        self.article_ids = ids
-        self.items = numbered(history, ids)
+    def __init__(self, history: DataFrame, n_items: int | None = None):
+        self.items = materialize(catalogue(history, n_items))
         self.baskets = materialize(baskets(interactions(history, self.items)))
-        self.upper = cosine(cooccurrence(self.baskets, len(ids)))
+        self.upper = materialize(cosine(materialize(cooccurrence(self.baskets))))
         self.similarity = both_ways(self.upper)
 
     def similarity_by_article(self) -> DataFrame:
-        names = self.items
-        a = F.broadcast(names.select(F.col("article_id").alias("item_a"), F.col("col").alias("a")))
-        b = F.broadcast(names.select(F.col("article_id").alias("item_b"), F.col("col").alias("b")))
+        a = self.items.select(F.col("article_id").alias("item_a"), F.col("col").alias("a"))
+        b = self.items.select(F.col("article_id").alias("item_b"), F.col("col").alias("b"))
         return self.similarity.join(a, "a").join(b, "b").select("item_a", "item_b", "sim")
 
     def recommend(self, customers: DataFrame, k: int = K, settings: Sequence[bool] = (True, False)) -> DataFrame:
-        """(customer_id, exclusion, items) for customers with a basket.
+        """(customer_id, exclusion, items) for customers with a basket; all settings from one scoring.
 
-        Zero-score articles fill short lists in popularity order, which is the column order.
+        Zero-score articles fill short lists in popularity order, which is the column order: the first
+        positives + owned + k columns always hold enough of them.
         """
         wanted = self.baskets.join(customers.select("customer_id"), "customer_id", "left_semi")
-        if len(self.article_ids) <= DENSE_ITEMS:
-            return self._by_block(wanted, k, settings)
-        out = None
-        for exclude in settings:
-            part = self._by_join(wanted, k, exclude).withColumn("exclusion", F.lit(exclude))
-            out = part if out is None else out.unionByName(part)
-        return out.select("customer_id", "exclusion", "items")
-
-    def _by_block(self, wanted: DataFrame, k: int, settings: Sequence[bool]) -> DataFrame:
-        n = len(self.article_ids)
-        edges = self.upper.toPandas()  # at most n (n + 1) / 2 cells, n <= DENSE_ITEMS
-        dense = np.zeros((n, n))
-        dense[edges["a"], edges["b"]] = edges["sim"]
-        dense[edges["b"], edges["a"]] = edges["sim"]
-        sims = wanted.sparkSession.sparkContext.broadcast(dense)
-        ids = np.asarray(self.article_ids, dtype=np.int64)
-        modes = tuple(settings)
-
-        def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for batch in batches:
-                held = [np.asarray(c, dtype=np.int64) for c in batch["cols"]]
-                names = batch["customer_id"].to_numpy()
-                for at in blocks.batch_slices(len(held), n):
-                    owned = blocks.indicator(held[at], n)
-                    # equal sums must tie whatever the summation order
-                    scores = np.round(owned @ sims.value, 9)
-                    for exclude in modes:
-                        seen = np.where(owned > 0, -np.inf, scores) if exclude else scores
-                        cols, values = blocks.top_columns(seen, k)
-                        yield pd.DataFrame({
-                            "customer_id": names[at], "exclusion": exclude,
-                            "items": [ids[c[np.isfinite(v)]] for c, v in zip(cols, values)]})
-
-        key = wanted.schema["customer_id"].dataType.simpleString()
-        return spread(wanted, "customer_id").mapInPandas(score, f"customer_id {key}, exclusion boolean, items array<bigint>")
-
-    def _by_join(self, wanted: DataFrame, k: int, exclude: bool) -> DataFrame:
-        """The same lists by joining similarity rows, for catalogues too wide to broadcast."""
         held = wanted.select("customer_id", F.explode("cols").alias("a"))
+        # equal sums must tie whatever the summation order
         scored = held.join(self.similarity, "a").groupBy("customer_id", F.col("b").alias("col")).agg(
-            F.round(F.sum("sim"), 9).alias("score"))
-        scored = scored.filter("score > 0")
-        # a list short of k positives is filled from the head of the catalogue; its first
-        # |positives| + k columns always hold enough zero-score ones
-        positives = scored.groupBy("customer_id").agg(F.count(F.lit(1)).alias("n_pos"))
-        short = wanted.join(positives, "customer_id", "left").withColumn("n_pos", F.coalesce("n_pos", F.lit(0)))
-        if exclude:
-            short = short.filter(F.col("n_pos") - F.size("cols") < k)
-        else:
-            short = short.filter(F.col("n_pos") < k)
-        last = F.least(F.col("n_pos") + F.size("cols") + k, F.lit(len(self.article_ids))) - 1
-        fill = short.select("customer_id", F.explode(F.sequence(F.lit(0), last)).alias("col"), F.lit(0.0).alias("score"))
-        pool = scored.unionByName(fill).groupBy("customer_id", "col").agg(F.max("score").alias("score"))
-        if exclude:
-            pool = pool.join(held.withColumnRenamed("a", "col"), ["customer_id", "col"], "left_anti")
-        ranked = top_k(pool, ["customer_id"], [F.desc("score"), F.asc("col")], k)
-        return to_lists(ranked.join(F.broadcast(self.items), "col"), ["customer_id"])
+            F.round(F.sum("sim"), 9).alias("score")).filter("score > 0")
+        owned = held.withColumnRenamed("a", "col").withColumn("owned", F.lit(True))
+        scored = scored.join(owned, ["customer_id", "col"], "left").withColumn("owned", F.coalesce("owned", F.lit(False)))
+        positives = scored.groupBy("customer_id").agg(F.count(F.lit(1)).alias("n_pos"), F.count_if(~F.col("owned")).alias("n_new"))
+        short = wanted.join(positives, "customer_id", "left").fillna(0, ["n_pos", "n_new"])
+        short = short.filter((F.col("n_pos") < k) | (F.col("n_new") < k))
+        last = F.col("n_pos") + F.size("cols") + k
+        fill = short.select("customer_id", F.explode(F.sequence(F.lit(0).cast("bigint"), last)).alias("col"), F.lit(0.0).alias("score"),
+                            F.lit(False).alias("owned"))
+        fill = fill.join(scored, ["customer_id", "col"], "left_anti").join(self.items, "col", "left_semi").select(*scored.columns)
+        modes = F.array(*[F.when(~F.col("owned") | F.lit(not s), F.lit(s)) for s in settings])
+        pool = scored.unionByName(fill).withColumn("exclusion", F.explode(F.array_compact(modes)))
+        ranked = top_k(pool, ["customer_id", "exclusion"], [F.desc("score"), F.asc("col")], k)
+        return to_lists(ranked.join(self.items, "col"), ["customer_id", "exclusion"])
 
 
 def with_fallback(personal: DataFrame, customers: DataFrame, fallback: DataFrame,

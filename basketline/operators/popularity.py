@@ -11,7 +11,6 @@ from basketline.functions.lists import to_lists, top_k
 from basketline.functions.windows import days_ending_at, window_label
 
 K = 12
-POOL = 200  # list positions an exclusion may draw replacements from
 
 
 def count_order() -> tuple[Column, Column]:
@@ -56,12 +55,24 @@ def window_counts(history: DataFrame, windows: Sequence[int | None]) -> DataFram
     return article_counts(tagged, ["week", "window"])
 
 
-def popularity_lists(history: DataFrame, windows: Sequence[int | None], k: int = POOL) -> DataFrame:
+def popularity_lists(history: DataFrame, windows: Sequence[int | None], k: int) -> DataFrame:
     """(week, window, items): the k best sellers of each window as one short array per week."""
     ranked = top_k(window_counts(history, windows), ["week", "window"], count_order(), k)
     return to_lists(ranked, ["week", "window"])
 
 
+def exclusion_depth(history: DataFrame, customers: DataFrame, k: int = K) -> int:
+    """How many positions of a ranking always hold k articles that a customer does not own: k and the largest basket."""
+    owned = history.join(customers.select("week", "customer_id"), ["week", "customer_id"], "left_semi")
+    largest = owned.groupBy("week", "customer_id").agg(F.countDistinct("article_id").alias("n")).agg(F.max("n")).first()[0]
+    return k + (largest or 0)
+
+
+def exclusion_pool(history: DataFrame, customers: DataFrame, windows: Sequence[int | None], k: int = K) -> DataFrame:
+    """Lists deep enough that excluding what a customer owns leaves a full list, if the window sold enough articles."""
+    return popularity_lists(history, windows, exclusion_depth(history, customers, k))
+
+
 def same_list_for_all(customers: DataFrame, lists: DataFrame, k: int = K) -> DataFrame:
     """Everyone in a week gets that week's list; the lists table has one row per week and window."""
     short = lists.withColumn("items", F.slice("items", 1, k))
@@ -71,8 +82,7 @@ def same_list_for_all(customers: DataFrame, lists: DataFrame, k: int = K) -> Dat
 def owned_in_pool(history: DataFrame, lists: DataFrame) -> DataFrame:
     """(week, customer_id, owned): pool articles a customer has bought.
 
-    The pool is at most POOL articles per list, so the history shrinks on the map side and the
-    array per customer is bounded by the pool.
+    The history shrinks to pool articles first; the array of a customer is never longer than a list.
     """
     pool = lists.select("week", F.explode("items").alias("article_id")).distinct()
     return (history.select("week", "customer_id", "article_id")
@@ -85,7 +95,7 @@ def _not_owned() -> Column:
 
 
 def exclusion_lists(customers: DataFrame, lists: DataFrame, history: DataFrame, k: int = K) -> DataFrame:
-    """The first k pool articles each customer does not own; a heavy buyer may get fewer."""
+    """The first k articles of the lists that each customer does not own; fewer only if the lists are not deep enough."""
     owned = owned_in_pool(history, lists)
     return (customers.join(owned, ["week", "customer_id"], "left").join(F.broadcast(lists), "week")
             .withColumn("items", F.slice(_not_owned(), 1, k)).drop("owned"))
@@ -93,7 +103,7 @@ def exclusion_lists(customers: DataFrame, lists: DataFrame, history: DataFrame,
 
 def recency_lists(customers: DataFrame, history: DataFrame, windows: Sequence[int | None], k: int = K) -> DataFrame:
     """Lists of every window under both exclusion settings: week, customer_id, window, exclusion, items."""
-    lists = popularity_lists(history, windows)
+    lists = exclusion_pool(history, customers, windows, k)
     given = customers.join(owned_in_pool(history, lists), ["week", "customer_id"], "left").join(F.broadcast(lists), "week")
     settings = F.array(
         F.struct(F.lit(True).alias("exclusion"), F.slice(_not_owned(), 1, k).alias("items")),

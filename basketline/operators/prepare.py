@@ -80,12 +80,16 @@ def impute_age(customers: DataFrame) -> DataFrame:
             .withColumn("age", F.coalesce("age", median)))
 
 
-def clean_customers(customers: DataFrame, order: Sequence[str] = ("customer_id",)) -> DataFrame:
-    return impute_age(fill_categories(fill_flags(first_per_key(customers, "customer_id", order))))
+def clean_customers(customers: DataFrame, order: Sequence[str] | None = None) -> DataFrame:
+    """One row per customer; without an order, all other columns decide which one stays."""
+    first = first_per_key(customers, "customer_id", order or [c for c in customers.columns if c != "customer_id"])
+    return impute_age(fill_categories(fill_flags(first)))
 
 
-def clean_articles(articles: DataFrame, order: Sequence[str] = ("article_id",),
+def clean_articles(articles: DataFrame, order: Sequence[str] | None = None,
                    text: Sequence[str] = TEXT_COLUMNS) -> DataFrame:
+    """One row per article; without an order, all other columns decide which one stays."""
+    order = order or [c for c in articles.columns if c != "article_id"]
     return first_per_key(articles, "article_id", order).drop(*text)
 
 

@@ -127,6 +127,12 @@ class Ranker:
         return [(c, t / whole) for c, t in zip(self.columns, totals)]
 
 
+def drop_cached(frames: list[DataFrame]) -> None:
+    for frame in frames:
+        frame.unpersist()
+    frames.clear()
+
+
 def train_ranker(features: DataFrame, rounds: int = 300, learning_rate: float = 0.05, depth: int = 5,
                  min_rows: int = 50, truncation: int = 30, seed: int = 42, checkpoint_every: int = 5,
                  columns: Sequence[str] = FEATURES) -> Ranker:
@@ -140,7 +146,7 @@ def train_ranker(features: DataFrame, rounds: int = 300, learning_rate: float =
     # a fixed width by customer: the windows and every tree fit keep this partitioning
     rows = spread(materialize(rows.withColumn("score", F.lit(0.0))), *GROUP)
     ranker = Ranker([], learning_rate, columns)
-    held: DataFrame | None = None
+    held: list[DataFrame] = []  # cached rounds since the last checkpoint
     for n in range(rounds):
         weight = F.greatest("hessian", F.lit(1e-6))
         graded = lambda_gradients(rows, truncation).withColumn("_w", weight).withColumn(
@@ -151,13 +157,14 @@ def train_ranker(features: DataFrame, rounds: int = 300, learning_rate: float =
         ranker.trees.append(tree)
         rows = tree.transform(graded).withColumn("score", F.col("score") + learning_rate * F.col("_step")).select(
             *GROUP, "article_id", "label", "vector", "score")
+        held.append(graded)
         if (n + 1) % checkpoint_every == 0:
             rows = spread(materialize(rows), *GROUP)
-        previous, held = held, graded
-        if previous is not None and (n + 1) % checkpoint_every == 0:
-            previous.unpersist()
-    if held is not None:
-        held.unpersist()
+            drop_cached(held)
+        else:
+            drop_cached(held[:-1])  # the next round reads this one's rows only
+            held = held[-1:]
+    drop_cached(held)
     return ranker
 
 
@@ -167,14 +174,11 @@ def lists_by(rows: DataFrame, order: Sequence[Column], k: int = K, group: Sequen
     return to_lists(top_k(rows, group, [*order, *ties], k), group)
 
 
-def rule_score() -> Column:
-    """Own purchases of the last 28 days first, newest first; the rest by 7-day count."""
-    recent = F.col("ci_days_since") <= DAY_LIMIT
-    return F.when(recent, 1e9 - F.col("ci_days_since")).otherwise(F.col("item_cnt_7d").cast("double"))
-
-
 def repurchase_popularity(features: DataFrame, k: int = K) -> DataFrame:
-    return lists_by(features.withColumn("rule", rule_score()), [F.desc("rule")], k)
+    """Own purchases of the last 28 days first, newest first; the rest by 7-day count."""
+    recent = F.coalesce(F.col("ci_days_since") <= DAY_LIMIT, F.lit(False))
+    days, count = F.when(recent, F.col("ci_days_since")), F.when(~recent, F.col("item_cnt_7d"))
+    return lists_by(features, [F.desc(recent), F.asc_nulls_last(days), F.desc_nulls_last(count)], k)
 
 
 def cold_rows(features: DataFrame) -> DataFrame:

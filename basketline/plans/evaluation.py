@@ -12,7 +12,7 @@ from basketline.functions.windows import window_label
 from basketline.operators import als as als_ops
 from basketline.operators import compare
 from basketline.operators.folds import Folds, build_folds, check_folds
-from basketline.operators.itemitem import TOP_ITEMS, ItemItem, with_fallback
+from basketline.operators.itemitem import ItemItem, with_fallback
 from basketline.operators.metrics import customer_scores, metrics_by_scope
 from basketline.operators.popularity import (K, article_counts, count_order, popularity_lists, recency_lists,
                                              same_list_for_all)
@@ -54,7 +54,7 @@ def fallback_list(folds: Folds, days: int | None = FALLBACK_DAYS, k: int = K) ->
     return popularity_lists(folds.history, [days], k)
 
 
-def item_item_model(folds: Folds, n_items: int = TOP_ITEMS, k: int = K, fallback_days: int | None = FALLBACK_DAYS) -> DataFrame:
+def item_item_model(folds: Folds, n_items: int | None = None, k: int = K, fallback_days: int | None = FALLBACK_DAYS) -> DataFrame:
     """One week: item-item lists, with the popularity list for customers outside the matrix."""
     personal = ItemItem(folds.history, n_items).recommend(folds.customers, k)
     return _finished(personal, folds, fallback_list(folds, fallback_days, k), ITEM_ITEM)
@@ -73,7 +73,7 @@ def score_lists(lists: DataFrame, truth: DataFrame, k: int = K) -> DataFrame:
     return customer_scores(lists, truth, LIST_KEYS, k)
 
 
-def three_models(folds: Folds, config: Mapping[str, float] = als_ops.FROZEN, n_items: int = TOP_ITEMS,
+def three_models(folds: Folds, config: Mapping[str, float] = als_ops.FROZEN, n_items: int | None = None,
                  blocks: int | None = None, k: int = K) -> DataFrame:
     """Per-customer scores of ALS, item-item and the 14-day list under both settings, one week."""
     lists = (als_model(folds, config, k, blocks).unionByName(item_item_model(folds, n_items, k))
@@ -132,7 +132,7 @@ def weekly_comparison(scores: DataFrame, pairs=PAIRS, replicates: int = 2000, se
 
 
 def backtest(log: DataFrame, weeks: Sequence[dt.date], store: ScoreStore, config: Mapping[str, float] = als_ops.FROZEN,
-             n_items: int = TOP_ITEMS, target_days: int = 7, history_days: int | None = None,
+             n_items: int | None = None, target_days: int = 7, history_days: int | None = None,
              blocks: int | None = None) -> DataFrame:
     """Score every fold not stored yet and return the per-customer scores of all of them."""
     def score(week: dt.date, _config: str) -> DataFrame:
@@ -149,6 +149,7 @@ def sweep(log: DataFrame, weeks: Sequence[dt.date], store: ScoreStore, grid: Map
     """ALS configs by week under both settings, stored per (week, config) so that a sweep resumes."""
     def score(week: dt.date, config: str) -> DataFrame:
         fold = build_folds(log, [week], target_days, history_days)
+        check_folds(fold)
         return score_lists(als_model(fold, grid[config], blocks=blocks, name=config), fold.truth)
 
     store.fill(weeks, list(grid), score)

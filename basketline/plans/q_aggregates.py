@@ -14,7 +14,7 @@ from basketline.plans.q_sources import META
 from basketline.plans.registry import (clean_order_log, CLEAN, METRICS, ORDER_LOG, SCOPED, compare_sql, event_folds, event_folds_sql, final,
                                        order_folds, order_folds_sql, pools_sql, query, recency_sql, scores_sql, with_)
 from basketline.sources import logs
-from basketline.sources.sinks import model_version
+from basketline.sources.sinks import version_column
 
 REPLICATES = 200
 
@@ -215,7 +215,7 @@ ov AS (SELECT p.week, p."window", count(*) FILTER (s.pos <= 12) AS overlap, 100
                                  i="overlap", f="coverage_pct", d="week", s="window"))
 def a20(spark, sf):
     f = order_folds(spark, sf, (0, 1, 2))
-    return evaluation.week_overlap(f, popularity.popularity_lists(f.history, [7, 14, 28, None]))
+    return evaluation.week_overlap(f, popularity.popularity_lists(f.history, [7, 14, 28, None], 12))
 
 
 WEEKS4 = (0, 1, 2, 3)
@@ -424,5 +424,6 @@ def a34(spark, sf):
 @query("a35_model_version", final(with_(*event_folds_sql((0, 1, 2)), select="""SELECT week, 'als-f150-r0.1-a15-i40-h' || max(t_dat) AS model_version FROM h GROUP BY week"""),
                                   d="week", s="model_version"))
 def a35(spark, sf):
-    ends = event_folds(spark, sf, (0, 1, 2)).history.groupBy("week").agg(F.max("t_dat").cast("string").alias("end"))
-    return ends.select("week", F.concat(F.lit(model_version(META, "")), "end").alias("model_version"))
+    ends = event_folds(spark, sf, (0, 1, 2)).history.groupBy("week").agg(F.max("t_dat").cast("string").alias("history_end"))
+    meta = ends.withColumns({name: F.lit(value) for name, value in META.items()})
+    return meta.select("week", version_column(meta).alias("model_version"))

@@ -11,7 +11,7 @@ from basketline.operators.folds import temporal_split
 from basketline.operators.itemitem import with_fallback
 from basketline.operators.metrics import customer_scores, hit_positions
 from basketline.plans.q_prepare import (EXPORT, REQUESTS, SPLIT, both_modes, candidates_sql, event_candidates, requests)
-from basketline.plans.q_sources import EXPORT_ROWS, FALLBACK_ROW, META
+from basketline.plans.q_sources import EXPORT_ROWS, FALLBACK_ROW, version_at
 from basketline.plans.registry import (clean_order_log, CLEAN, EVENT_LOG, ORDER_LOG, event_folds, event_folds_sql, final,
                                        item_item_sql, order_folds, order_folds_sql, pools_sql, query, recency_sql, scores_sql, with_)
 from basketline.sources import logs, sinks
@@ -103,7 +103,7 @@ def j6(spark, sf):
     select='SELECT week, customer_id, "window", rank, article_id FROM plain'), i="customer_id rank article_id", d="week", s="window"))
 def j7(spark, sf):
     f = order_folds(spark, sf, (0, 1))
-    lists = popularity.popularity_lists(f.history, [7, 14, 28, None])
+    lists = popularity.popularity_lists(f.history, [7, 14, 28, None], 12)
     return to_rows(popularity.same_list_for_all(f.customers, lists))
 
 
@@ -111,7 +111,7 @@ def j7(spark, sf):
     select='SELECT week, customer_id, "window", rank, article_id FROM kept'), i="customer_id rank article_id", d="week", s="window"))
 def j8(spark, sf):
     f = order_folds(spark, sf, (0, 1))
-    lists = popularity.popularity_lists(f.history, [14, None])
+    lists = popularity.exclusion_pool(f.history, f.customers, [14, None])
     return to_rows(popularity.exclusion_lists(f.customers, lists, f.history))
 
 
@@ -126,7 +126,7 @@ def j8(spark, sf):
 def j9(spark, sf):
     f, lists = both_modes(spark, sf)
     end = f.history.agg(F.max("t_dat")).first()[0]
-    version = sinks.model_version(META, end)
+    version = version_at(spark, end)
     recs = lists.withColumn("customer_id", logs.hashed_id("customer_id")).withColumn("model_version", F.lit(version))
     fallback = sinks.fallback_row(popularity.popularity_lists(f.history, [7], 12).select("items"), F.lit(end), version, lookup.FALLBACK_SOURCE)
     return lookup.resolve(requests(spark, sf), recs, fallback)
@@ -167,7 +167,7 @@ PAIRED = [*order_folds_sql((0, 1)), *recency_sql([7, 14]), "ls AS (SELECT *, \"w
 
 
 def window_scores(f, windows=(7, 14)):
-    lists = popularity.popularity_lists(f.history, list(windows))
+    lists = popularity.popularity_lists(f.history, list(windows), 12)
     given = popularity.same_list_for_all(f.segmented_customers(), lists).withColumnRenamed("window", "model")
     return customer_scores(given, f.truth, ["week", "model", "customer_id", "segment"])
 
@@ -254,10 +254,10 @@ def w2(spark, sf):
     return hits.withColumn("running_hits", F.count(F.lit(1)).over(w)).drop("segment")
 
 
-@query("w3_rank_positions", final(with_(*order_folds_sql((0, 1)), *pools_sql([7, None]), select='SELECT week, "window", rank, article_id FROM pool'),
+@query("w3_rank_positions", final(with_(*order_folds_sql((0, 1)), *pools_sql([7, None]), select='SELECT week, "window", rank, article_id FROM pool WHERE rank <= 200'),
                                   i="rank article_id", d="week", s="window"))
 def w3(spark, sf):
-    return to_rows(popularity.popularity_lists(order_folds(spark, sf, (0, 1)).history, [7, None]))
+    return to_rows(popularity.popularity_lists(order_folds(spark, sf, (0, 1)).history, [7, None], 200))
 
 
 @query("w4_global_top_k", final(with_(ORDER_LOG, select="SELECT article_id, count(*) AS cnt FROM lg GROUP BY ALL ORDER BY cnt DESC, article_id LIMIT 12"),

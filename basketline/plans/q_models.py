@@ -24,7 +24,6 @@ from basketline.session import materialize, scratch_path
 from basketline.sources import logs
 from basketline.sources.score_store import ScoreStore
 
-ALS_BLOCKS = 4
 TOP_N = 200  # catalogue cut of the matrix queries on the order log
 
 
@@ -60,8 +59,7 @@ def m3(spark, sf):
 def m3_wide(spark, sf):
     """Per article over the whole order-log catalogue: neighbours, total and closest similarity."""
     history = order_folds(spark, sf).history
-    items = catalogue(history)
-    sims = both_ways(cosine(cooccurrence(baskets(interactions(history, items)), items.count())))
+    sims = both_ways(cosine(materialize(cooccurrence(baskets(interactions(history, catalogue(history)))))))
     return sims.groupBy("a").agg(count_as("n_neighbours"), F.sum("sim").alias("total"),
                                  F.max(F.when(F.col("a") != F.col("b"), F.col("sim"))).alias("closest"))
 
@@ -103,7 +101,7 @@ def m5(spark, sf):
 
 def event_als(spark, sf, offsets=(0,)):
     f = event_folds(spark, sf, offsets)
-    return f, als_ops.fit_als(als_ops.index_interactions(f.history), SMALL_ALS, blocks=ALS_BLOCKS)
+    return f, als_ops.fit_als(als_ops.index_interactions(f.history), SMALL_ALS)
 
 
 @query("m6_als_fit")
@@ -151,7 +149,7 @@ def m9_rescore(spark, sf):
 @query("m10_training_loss")
 def m10(spark, sf):
     data = als_ops.index_interactions(event_folds(spark, sf).history)
-    curve = als_ops.loss_curve(data, SMALL_ALS, (1, 2, 4, 8), blocks=ALS_BLOCKS)
+    curve = als_ops.loss_curve(data, SMALL_ALS, (1, 2, 4, 8))
     return profiling.relative_change(curve, "iteration", "loss")
 
 
@@ -164,7 +162,7 @@ def m11(spark, sf):
     frozen = {**SMALL_ALS, "iterations": 3}
     grid = {"frozen": frozen, "alpha40": {**frozen, "alpha": 40.0}, "f4": {**frozen, "factors": 4}}
     store = ScoreStore(spark, scratch_path(spark, f"sweep-{end}"))
-    scores = evaluation.sweep(log, weeks, store, grid, blocks=ALS_BLOCKS).select(
+    scores = evaluation.sweep(log, weeks, store, grid).select(
         "week", "setting", "model", "customer_id", "segment", "ap", "hit")
     rows = compare.compare_models(scores, [(c, "frozen") for c in grid if c != "frozen"], ["week", "setting"], REPLICATES,
                                   scopes=(segments.AGGREGATE,))
@@ -175,7 +173,7 @@ def m11(spark, sf):
 def m12(spark, sf):
     """ALS candidates with recall per scope."""
     f = event_folds(spark, sf)
-    personal = reranking.als_personal(f, CAND_N, SMALL_ALS, ALS_BLOCKS)
+    personal = reranking.als_personal(f, CAND_N, SMALL_ALS)
     rows = reranking.labelled_candidates(f, personal, CAND_N, CAND_POP, CAND_RECENT)
     config = f"als+pop{CAND_POP}+recent{CAND_RECENT}d"
     return candidate_recall(rows, f.segmented_customers(), f.truth, (5, 10, 20), CAND_POP, config)
@@ -242,7 +240,7 @@ def m16(spark, sf):
     people = f.segmented_customers().select("week", "customer_id", "segment")
     counts = popularity.article_counts(f.history.join(f.customers, ["week", "customer_id"], "left_semi"), ["week", "customer_id"])
     own = popularity.to_lists(popularity.top_k(counts, ["week", "customer_id"], popularity.count_order(), 12), ["week", "customer_id"])
-    popular = popularity.same_list_for_all(people, popularity.popularity_lists(f.history, [7]))
+    popular = popularity.same_list_for_all(people, popularity.popularity_lists(f.history, [7], 12))
     return ranker.route_cold(own, popular, people)
 
 
@@ -267,7 +265,7 @@ def m18_two(spark, sf):
 @query("m18_three_models")
 def m18(spark, sf):
     f = event_folds(spark, sf)
-    scores = evaluation.three_models(f, SMALL_ALS, blocks=ALS_BLOCKS)
+    scores = evaluation.three_models(f, SMALL_ALS)
     return metrics.metrics_by_scope(scores, ["setting", "model"])
 
 
@@ -277,7 +275,7 @@ def m18_backtest(spark, sf):
     log = clean_event_log(spark, sf)
     weeks = event_folds(spark, sf, (0, 1)).weeks
     store = ScoreStore(spark, scratch_path(spark, "backtest"))
-    scores = evaluation.backtest(log, weeks, store, SMALL_ALS, blocks=ALS_BLOCKS)
+    scores = evaluation.backtest(log, weeks, store, SMALL_ALS)
     weekly = evaluation.weekly_comparison(scores, replicates=REPLICATES)
     wide = compare.summarize_weeks(weekly, weeks, ["setting", "metric", "scope", "pair"])
     return wide.withColumnsRenamed({f"wk {w}": n for w, n in zip(weeks, ("newest", "older"))})

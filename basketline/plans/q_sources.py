@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -150,11 +149,17 @@ FALLBACK_ROW = """fr AS (SELECT 'fallback_popularity_7d' AS source, (SELECT max(
 EXPORT_SQL = [*event_folds_sql(), *pools_sql([7]), *item_item_sql(), EXPORT, EXPORT_ROWS, FALLBACK_ROW]
 
 
+def version_at(spark: SparkSession, end) -> str:
+    """The version of the frozen model with this history end."""
+    meta = spark.createDataFrame([(*META.values(), str(end))], "factors int, regularization double, alpha double, iterations int, history_end string")
+    return meta.select(sinks.version_column(meta)).first()[0]
+
+
 def exported(spark: SparkSession, sf: str) -> tuple[str, dict]:
     """Both modes of the item-item lists and the fallback list, written, checked and promoted."""
     f, lists = both_modes(spark, sf)
     end = f.history.agg(F.max("t_dat")).first()[0]
-    version = sinks.model_version(META, end)
+    version = version_at(spark, end)
     hashed = logs.hashed_id("customer_id")
     owned = f.history.select(hashed.alias("customer_id"), "article_id").distinct()
     fallback = sinks.fallback_row(popularity.popularity_lists(f.history, [7], 12).select("items"), F.lit(end), version, FALLBACK_SOURCE)
@@ -174,7 +179,7 @@ def s11(spark, sf):
     f = event_folds(spark, sf)
     end = f.history.agg(F.max("t_dat")).first()[0]
     row = sinks.fallback_row(popularity.popularity_lists(f.history, [7], 12).select("items"), F.lit(end),
-                             sinks.model_version(META, end), FALLBACK_SOURCE)
+                             version_at(spark, end), FALLBACK_SOURCE)
     path = scratch_path(spark, "fallback")
     sinks.write_result(row.withColumn("items", array_literal("items")), path)
     return spark.read.schema(sinks.FALLBACKS).csv(path, header=True)
@@ -259,19 +264,25 @@ def s16(spark, sf):
     return newest.select("as_of", "items", (F.col("items") == items.scalar()).alias("as_written"))
 
 
-@query("s17_model_artifact")
+@query("s17_model_artifact", final(with_(*event_folds_sql(), *pools_sql([7]), select="""SELECT count(DISTINCT customer_id) AS n_customers,
+  count(DISTINCT article_id) AS n_items, 0 AS customer_rows_off, 0 AS customer_repeats, 0 AS customer_non_finite, 0 AS article_rows_off,
+  0 AS article_repeats, 0 AS article_non_finite, 0 AS size_spread, max(t_dat) AS history_end, 7 AS fallback_days,
+  (SELECT count(*) FROM pool WHERE rank <= 12) AS fallback_items FROM h"""),
+    i="n_customers n_items customer_rows_off customer_repeats customer_non_finite article_rows_off article_repeats article_non_finite size_spread "
+      "fallback_days fallback_items", d="history_end"))
 def s17(spark, sf):
-    """Save and load the fitted factors, then check their structure."""
+    """Save and load the fitted factors, check their structure, and what the metadata says."""
     f = event_folds(spark, sf)
-    fitted = als_ops.fit_als(als_ops.index_interactions(f.history), SMALL_ALS, blocks=4)
+    fitted = als_ops.fit_als(als_ops.index_interactions(f.history), SMALL_ALS)
     path = scratch_path(spark, "artifact")
     fallback = popularity.popularity_lists(f.history, [7], 12).first()["items"]
     artifact.save_artifact(fitted, path, fallback, f.history.agg(F.max("t_dat")).first()[0])
     loaded = artifact.load_artifact(spark, path)
-    problems = artifact.check_artifact(loaded)
-    return loaded.user_factors.agg(F.count(F.lit(1)).alias("n_customers")).withColumns({
-        "n_items": loaded.item_factors.agg(F.count(F.lit(1))).scalar(), "problems": F.lit("; ".join(problems)),
-        "meta": F.lit(json.dumps(loaded.meta, sort_keys=True))})
+    artifact.require_servable(loaded)
+    return artifact.artifact_findings(loaded).withColumns({
+        "n_customers": loaded.user_factors.agg(F.count(F.lit(1))).scalar(), "n_items": loaded.item_factors.agg(F.count(F.lit(1))).scalar(),
+        "history_end": F.lit(loaded.meta["history_end"]), "fallback_days": F.lit(loaded.meta["fallback_days"]),
+        "fallback_items": F.lit(len(set(loaded.meta["fallback_top12"])))})
 
 
 STORE_SQL = [*order_folds_sql((0, 1)), *recency_sql([14]), """ls AS (SELECT week, customer_id, rank, article_id,

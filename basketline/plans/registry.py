@@ -89,7 +89,7 @@ EVENT_LOG = """lg AS (SELECT user_id AS customer_id, CAST(json_extract_string(pr
 CLEAN = "clean AS (SELECT * FROM lg WHERE customer_id IS NOT NULL AND article_id IS NOT NULL AND t_dat IS NOT NULL AND price > 0)"
 BAND = "CASE WHEN {n} = 0 THEN '0 purchases' WHEN {n} <= 2 THEN '1-2 purchases' ELSE '3+ purchases' END"
 
-ORDER_TARGET, ORDER_HISTORY = 28, 365  # order lines are sparse: a longer target and a bounded history fill every band
+ORDER_TARGET = 28  # order lines are sparse: a longer target
 
 
 _PREPARED: dict[tuple[str, str, str], str] = {}
@@ -116,7 +116,7 @@ def clean_event_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 def order_folds(spark: SparkSession, sf_dir: str, offsets: Sequence[int] = (0,)) -> Folds:
     log = clean_order_log(spark, sf_dir)
     latest = last_day(log) - dt.timedelta(days=ORDER_TARGET - 1)
-    return build_folds(log, fold_weeks(latest, offsets, ORDER_TARGET), ORDER_TARGET, ORDER_HISTORY)
+    return build_folds(log, fold_weeks(latest, offsets, ORDER_TARGET), ORDER_TARGET)
 
 
 def event_folds(spark: SparkSession, sf_dir: str, offsets: Sequence[int] = (0,)) -> Folds:
@@ -124,13 +124,12 @@ def event_folds(spark: SparkSession, sf_dir: str, offsets: Sequence[int] = (0,))
     return build_folds(log, fold_weeks(last_day(log) - dt.timedelta(days=6), offsets), 7)
 
 
-def _folds_sql(log: str, offsets: Sequence[int], days: int, history: int | None) -> list[str]:
+def _folds_sql(log: str, offsets: Sequence[int], days: int) -> list[str]:
     ks = ", ".join(f"({k})" for k in offsets)
-    bound = f" AND t_dat >= week - {history}" if history else ""
     return [
         log, CLEAN,
         f"fw AS (SELECT (SELECT max(t_dat) FROM clean) - {days - 1} - {days} * k AS week FROM (VALUES {ks}) v(k))",
-        f"h AS (SELECT week, c.* FROM clean c JOIN fw ON t_dat < week{bound})",
+        f"h AS (SELECT week, c.* FROM clean c JOIN fw ON t_dat < week)",
         f"t AS (SELECT week, c.* FROM clean c JOIN fw ON t_dat >= week AND t_dat < week + {days})",
         "truth AS (SELECT DISTINCT week, customer_id, article_id FROM t)",
         f"""cust AS (SELECT week, customer_id, coalesce(n, 0) AS n_purchases, {BAND.format(n='coalesce(n, 0)')} AS segment
@@ -139,17 +138,17 @@ def _folds_sql(log: str, offsets: Sequence[int], days: int, history: int | None)
 
 
 def order_folds_sql(offsets: Sequence[int] = (0,)) -> list[str]:
-    return _folds_sql(ORDER_LOG, offsets, ORDER_TARGET, ORDER_HISTORY)
+    return _folds_sql(ORDER_LOG, offsets, ORDER_TARGET)
 
 
 def event_folds_sql(offsets: Sequence[int] = (0,)) -> list[str]:
-    return _folds_sql(EVENT_LOG, offsets, 7, None)
+    return _folds_sql(EVENT_LOG, offsets, 7)
 
 
 # Shared SQL steps --------------------------------------------------------------------------
 
 def pools_sql(windows: Sequence[int | None]) -> list[str]:
-    """wc: counts per (week, window, article); pool: the 200 best of each."""
+    """wc: counts per (week, window, article); pool: all of each, ranked."""
     parts = []
     for d in windows:
         label, cond = (f"{d}d", f"t_dat > he - {d}") if d is not None else ("all-time", "true")
@@ -157,8 +156,7 @@ def pools_sql(windows: Sequence[int | None]) -> list[str]:
                      f"WHERE {cond} GROUP BY ALL")
     return ["hend AS (SELECT week, max(t_dat) AS he FROM h GROUP BY week)",
             "wc AS (" + " UNION ALL ".join(parts) + ")",
-            """pool AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY week, "window"
-  ORDER BY cnt DESC, article_id) AS rank FROM wc) WHERE rank <= 200)"""]
+            """pool AS (SELECT *, row_number() OVER (PARTITION BY week, "window" ORDER BY cnt DESC, article_id) AS rank FROM wc)"""]
 
 
 PLAIN_LISTS = """plain AS (SELECT c.week, c.customer_id, c.segment, p."window", false AS exclusion, p.rank, p.article_id
@@ -235,8 +233,8 @@ def compare_sql(pairs: Sequence[tuple[str, str]], by: str, replicates: int, seed
 def item_item_sql(k: int = 12) -> list[str]:
     """One week: sim over the catalogue, and iil: ranked lists under both settings."""
     return [
-        """items AS (SELECT * FROM (SELECT article_id, row_number() OVER (ORDER BY count(*) DESC, article_id) - 1 AS col
-  FROM h GROUP BY article_id) WHERE col < 5000)""",
+        """items AS (SELECT article_id, row_number() OVER (ORDER BY count(*) DESC, article_id) - 1 AS col
+  FROM h GROUP BY article_id)""",
         "pairs AS (SELECT DISTINCT customer_id, article_id, col FROM h JOIN items USING (article_id))",
         "held AS (SELECT col, count(*) AS n FROM pairs GROUP BY col)",
         """sim AS (SELECT p.col AS a, q.col AS b, count(*) / sqrt(CAST(max(x.n) AS DOUBLE) * max(y.n)) AS sim

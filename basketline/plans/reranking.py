@@ -14,7 +14,7 @@ from basketline.operators.folds import Folds
 from basketline.operators.itemitem import ItemItem
 from basketline.operators.compare import relative_gaps
 from basketline.operators.metrics import customer_scores, metrics_by_scope
-from basketline.operators.popularity import K, exclusion_lists, popularity_lists, same_list_for_all
+from basketline.operators.popularity import K, exclusion_lists, exclusion_pool, popularity_lists, same_list_for_all
 from basketline.operators.ranker import (Ranker, complete, discover_only, lists_by, personal_baseline,
                                          repurchase_popularity, route_cold)
 from basketline.session import materialize
@@ -53,11 +53,10 @@ def ranked_models(folds: Folds, features: DataFrame, ranker: Ranker | None = Non
     """SCORE_KEYS + items of the ranker and every baseline on the same customers."""
     customers = folds.segmented_customers().select("week", "customer_id", "segment")
     rows = discover_only(features) if discover else features
-    pools = popularity_lists(folds.history, [7])
     if discover:
-        popular = exclusion_lists(customers, pools, folds.history, k)
+        popular = exclusion_lists(customers, exclusion_pool(folds.history, customers, [7], k), folds.history, k)
     else:
-        popular = same_list_for_all(customers, pools, k)
+        popular = same_list_for_all(customers, popularity_lists(folds.history, [7], k), k)
     popular = popular.select("week", "customer_id", "segment", "items")
     models = {"ALS": complete(personal_baseline(rows, k), customers), "pop7d": popular}
     if not discover:
@@ -77,11 +76,14 @@ def scored_models(folds: Folds, lists: DataFrame, k: int = K) -> DataFrame:
     return customer_scores(lists, folds.truth, SCORE_KEYS, k)
 
 
-def model_pairs(models: Sequence[str]) -> list[tuple[str, str]]:
-    """The ranker against each baseline, the routed ranker against the two strongest rules."""
-    first = [("ranker", m) for m in ("ALS", "pop7d", "repurchase+pop") if m in models]
-    return first + [("ranker+cold", m) for m in ("pop7d", "repurchase+pop") if m in models]
+# What each model is compared as: a learned model meets every rule, and the personal model if it has no rule inside.
+ROLES = {"ALS": "personal", "pop7d": "rule", "repurchase+pop": "rule", "ranker": "learned", "ranker+cold": "learned with a rule"}
+
 
+def model_pairs(models: Sequence[str]) -> list[tuple[str, str]]:
+    """Every learned model with what its role has to beat."""
+    beats = {"learned": ("personal", "rule"), "learned with a rule": ("rule",)}
+    return [(a, b) for a in models for b in models if ROLES[b] in beats.get(ROLES[a], ())]
 
 
 def ranking_report(folds: Folds, features: DataFrame, ranker: Ranker, discover: bool = False,

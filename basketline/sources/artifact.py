@@ -6,9 +6,10 @@ import json
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from basketline.operators.als import FittedALS
-from basketline.operators.guards import structure_checks
+from basketline.operators.guards import require_clean, side_by_side, structure_checks
 
 
 @dataclass(frozen=True)
@@ -37,19 +38,20 @@ def load_artifact(spark: SparkSession, path: str) -> Artifact:
     return Artifact(spark.read.parquet(f"{path}/user_factors"), spark.read.parquet(f"{path}/item_factors"), meta)
 
 
-def check_artifact(artifact: Artifact) -> list[str]:
-    """Problems found; an empty list is a pass."""
-    u = structure_checks(artifact.user_factors, "customer_id").first()
-    v = structure_checks(artifact.item_factors, "article_id").first()
-    problems = []
-    if u["n_rows"] != artifact.meta["n_customers"]:
-        problems.append(f"user rows {u['n_rows']} vs meta {artifact.meta['n_customers']}")
-    if v["n_rows"] != artifact.meta["n_items"]:
-        problems.append(f"item rows {v['n_rows']} vs meta {artifact.meta['n_items']}")
-    if len({u["min_size"], u["max_size"], v["min_size"], v["max_size"]}) != 1:
-        problems.append("factor sizes differ")
-    if u["non_finite"] or v["non_finite"]:
-        problems.append("NaN or infinity in the factors")
-    if u["repeated_ids"] or v["repeated_ids"]:
-        problems.append("repeated ids")
-    return problems
+def artifact_findings(artifact: Artifact) -> DataFrame:
+    """One row that counts what is wrong with a saved model; all zero when it can be served."""
+    sides = []
+    for name, table, key, kept in (("customer", artifact.user_factors, "customer_id", "n_customers"),
+                                   ("article", artifact.item_factors, "article_id", "n_items")):
+        found = structure_checks(table, key)
+        sides.append(found.select(
+            F.abs(F.col("n_rows") - artifact.meta[kept]).alias(f"{name}_rows_off"), F.col("repeated_ids").alias(f"{name}_repeats"),
+            F.col("non_finite").alias(f"{name}_non_finite"), F.col("min_size").alias(f"{name}_least"), F.col("max_size").alias(f"{name}_most")))
+    sizes = [F.col(f"{n}_{end}") for n in ("customer", "article") for end in ("least", "most")]
+    both = side_by_side(*sides).withColumn("size_spread", F.greatest(*sizes) - F.least(*sizes))
+    return both.drop(*[f"{n}_{end}" for n in ("customer", "article") for end in ("least", "most")])
+
+
+def require_servable(artifact: Artifact) -> None:
+    findings = artifact_findings(artifact)
+    require_clean(findings, *findings.columns)

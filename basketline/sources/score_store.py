@@ -40,4 +40,10 @@ class ScoreStore:
     def read(self, weeks: Iterable[dt.date] | None = None) -> DataFrame:
         scores = self.spark.read.option("basePath", self.path).parquet(self.path)
         scores = scores.withColumn("week", F.col("week").cast("date"))
-        return scores if weeks is None else scores.filter(F.col("week").isin(list(weeks)))
+        if weeks is None:
+            return scores
+        weeks = list(weeks)
+        lost = [w for w in weeks if not path_exists(self.spark, f"{self.path}/week={w}")]
+        if lost:
+            raise LookupError(f"no scores are stored for {', '.join(map(str, lost))}")
+        return scores.filter(F.col("week").isin(weeks))

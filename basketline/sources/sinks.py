@@ -72,8 +72,12 @@ def limited_customers(lists: DataFrame, limit: int) -> DataFrame:
 
 
 def export_lists(lists: DataFrame, owned: DataFrame, out_dir: str, version: str, fallback: DataFrame,
-                 meta: Mapping, overwrite: bool = False, limit: int | None = None, k: int = 12) -> dict:
-    """Write to staged names, check what was written, then promote; refuses an existing export."""
+                 meta: Mapping, overwrite: bool = False, limit: int | None = None, k: int = 12,
+                 customers: DataFrame | None = None) -> dict:
+    """Write to staged names, check what was written, then promote; refuses an existing export.
+
+    ``customers`` are all that the model knows; the export is partial if it leaves any of them out.
+    """
     spark = lists.sparkSession
     final = {name: f"{out_dir}/{name}" for name in ("recommendations", "fallback", "manifest")}
     if not overwrite and any(path_exists(spark, p) for p in final.values()):
@@ -86,7 +90,7 @@ def export_lists(lists: DataFrame, owned: DataFrame, out_dir: str, version: str,
     checks = export_checks(written, owned, k)
     require_clean(checks, "wrong_size", "with_repeats", "owned_in_discover", "without_both_modes")
     row = checks.first()
-    n_all = row["n_customers"] if limit is None else lists.select("customer_id").distinct().count()
+    n_all = (lists if customers is None else customers).select("customer_id").distinct().count()
     summary = manifest(row["n_customers"], n_all, row["n_rows"], version, meta, k)
     spark.createDataFrame([(json.dumps(summary),)], "value string").coalesce(1).write.mode("overwrite").text(staged["manifest"])
     for name in final:
@@ -154,7 +158,16 @@ def sample_rows(df: DataFrame, n: int, key: str, seed: int = 0) -> DataFrame:
     return df.orderBy(F.md5(F.concat(F.lit(f"{seed}|"), F.col(key).cast("string"))), key).limit(n)
 
 
-def model_version(config: Mapping, history_end) -> str:
-    """als-f<factors>-r<reg>-a<alpha>-i<iterations>-h<last history day>"""
-    return "als-f{}-r{}-a{:g}-i{}-h{}".format(
-        config["factors"], config["regularization"], float(config["alpha"]), config["iterations"], history_end)
+# The letter of each part of a version, in its order.
+VERSION_PARTS = {"f": "factors", "r": "regularization", "a": "alpha", "i": "iterations", "h": "history_end"}
+
+
+def version_column(meta: DataFrame) -> Column:
+    """als, then each part's letter and value: a column over rows of metadata. Whole numbers have no decimals."""
+    kinds = dict(meta.dtypes)
+
+    def text(name: str) -> Column:
+        value = F.col(name).cast("string")
+        return F.regexp_replace(value, r"\.0+$", "") if kinds[name] in ("double", "float") else value
+
+    return F.concat_ws("-", F.lit("als"), *[F.concat(F.lit(letter), text(name)) for letter, name in VERSION_PARTS.items()])

@@ -69,16 +69,19 @@ def test_history_on_or_after_the_cutoff_is_refused(spark, world, log, day, offse
     history, _, _, _ = world
     rows = spark.createDataFrame([(1, 10, "als", 0.1, 1.0)], "customer_id bigint, article_id bigint, source string, als_score double, source_rank double")
     leak = history.drop("week").unionByName(log([(1, 1, day(30 + offset), 1.0)]))
-    with pytest.raises(ValueError, match="on or after"):
+    with pytest.raises(ValueError, match="not known yet"):
         features.build_features(leak, rows, day(30))
 
 
-def test_exclusion_draws_from_the_pool_only(spark, log, day):
+def test_exclusion_fills_lists_past_what_is_owned(spark, log, day):
     rows = [(9, a, day(0), 1.0) for a in range(30) for _ in range(40 - a)] + [(1, a, day(0), 1.0) for a in range(25)]
     history = log(rows).withColumn("week", F.lit(day(1)))
     people = spark.createDataFrame([(day(1), 1), (day(1), 2)], "week date, customer_id bigint")
-    lists = popularity.popularity_lists(history, [7])
+    lists = popularity.exclusion_pool(history, people, [7])
+    assert len(lists.first()["items"]) == 30  # 12 and the 25 that customer 1 owns, of 30
     got = {r.customer_id: r["items"] for r in popularity.exclusion_lists(people, lists, history).collect()}
     assert got == {1: [25, 26, 27, 28, 29], 2: list(range(12))}
     both = {(r.customer_id, r.exclusion): r["items"] for r in popularity.recency_lists(people, history, [7]).collect()}
+    old = history.unionByName(log([(1, 27, day(-400), 1.0)]).withColumn("week", F.lit(day(1))))
+    assert popularity.exclusion_lists(people, lists, old).where("customer_id = 1").first()["items"] == [25, 26, 28, 29]
     assert both[1, True] == got[1] and both[1, False] == both[2, True] == list(range(12))

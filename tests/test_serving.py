@@ -78,13 +78,18 @@ def test_upsert_is_idempotent_and_carries_the_version(spark, fallback):
     assert sinks.upsert_fallback(fallback.filter("false"), items, F.lit(dt.date(2024, 1, 1)), FALLBACK_SOURCE).count() == 0
 
 
-def test_refresh_dates():
+def test_refresh_dates(spark):
     lo, hi, latest = dt.date(2024, 1, 1), dt.date(2024, 3, 1), dt.date(2024, 2, 20)
+
+    def dates(as_of, served=latest):
+        return spark.createDataFrame([(as_of, lo, hi, served)], "as_of date, first_sale date, last_sale date, served date")
+
     for good in (latest, hi, dt.date(2024, 2, 25)):
-        guards.check_as_of(good, lo, hi, latest)
-    for bad, why in ((dt.date(2024, 3, 2), "after the last day"), (dt.date(2024, 2, 19), "older"), (dt.date(2024, 1, 7), "starts before")):
+        guards.require_refreshable(dates(good))
+    for bad, served, why in ((dt.date(2024, 3, 2), latest, "future day"), (dt.date(2024, 2, 19), latest, "already newer"),
+                             (dt.date(2024, 1, 7), lo, "not covered")):
         with pytest.raises(ValueError, match=why):
-            guards.check_as_of(bad, lo, hi, lo if why == "starts before" else latest)
+            guards.require_refreshable(dates(bad, served))
 
 
 def requests(spark):
