@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import datetime as dt
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,6 +32,20 @@ def calendar_days_of_history(history: DataFrame, days: int) -> DataFrame:
     return history.filter(F.col("t_dat") >= F.date_sub(last, days - 1))
 
 
+def history_ends(history: DataFrame) -> list[tuple]:
+    """(week, last history day) of every fold: one row for a fold, so that window bounds become literals."""
+    return [tuple(r) for r in history.groupBy("week").agg(F.max("t_dat")).collect()]
+
+
+def days_of_history(history: DataFrame, ends: list[tuple], days: int) -> DataFrame:
+    """t_dat > last history day - days of each fold; the widest range is a plain date filter that reaches the scan."""
+    if not ends:
+        return history.filter("false")
+    first = min(end for _, end in ends) - dt.timedelta(days=days)
+    inside = [(F.col("week") == F.lit(week)) & (F.col("t_dat") > F.lit(end - dt.timedelta(days=days))) for week, end in ends]
+    return history.filter(F.col("t_dat") > F.lit(first)).filter(reduce(Column.__or__, inside))
+
+
 def days_before_cutoff(cutoff: Column, days: int) -> Column:
     """cutoff - days <= t_dat < cutoff, as a condition for one-pass conditional aggregates."""
     return (F.col("t_dat") >= F.date_sub(cutoff, days)) & (F.col("t_dat") < cutoff)

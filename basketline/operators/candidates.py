@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from basketline.functions.windows import days_of_history, history_ends
 from basketline.operators.popularity import popularity_lists
 from basketline.operators.segments import with_scope
 
@@ -15,10 +16,8 @@ FALLBACK_DAYS = 7
 
 def recent_purchases(history: DataFrame, customers: DataFrame, days: int) -> DataFrame:
     """Distinct articles each target customer bought in the last ``days`` history days (max - (days - 1) on)."""
-    ends = history.groupBy("week").agg(F.max("t_dat").alias("history_end"))
-    recent = history.join(F.broadcast(ends), "week").filter(F.col("t_dat") >= F.date_sub("history_end", days - 1))
-    return (recent.select("week", "customer_id", "article_id").distinct()
-            .join(customers.select("week", "customer_id"), ["week", "customer_id"], "left_semi"))
+    recent = days_of_history(history, history_ends(history), days).select("week", "customer_id", "article_id")
+    return recent.join(customers.select("week", "customer_id"), ["week", "customer_id"], "left_semi").distinct()
 
 
 def recent_coverage(customers: DataFrame, recent: DataFrame) -> DataFrame:

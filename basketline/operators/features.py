@@ -40,10 +40,9 @@ def item_features(history: DataFrame, cutoff: dt.date) -> DataFrame:
 
 def customer_item_features(history: DataFrame, customers: DataFrame, cutoff: dt.date) -> DataFrame:
     """Times bought and days since, per (customer, article) of the target customers."""
-    pairs = history.groupBy("customer_id", "article_id").agg(
-        F.count(F.lit(1)).alias("ci_count"), F.max("t_dat").alias("ci_last"))
-    return (pairs.join(customers.select("customer_id").distinct(), "customer_id", "left_semi")
-            .withColumn("ci_days_since", F.datediff(F.lit(cutoff), "ci_last")))
+    own = history.join(customers.select("customer_id").distinct(), "customer_id", "left_semi")
+    pairs = own.groupBy("customer_id", "article_id").agg(F.count(F.lit(1)).alias("ci_count"), F.max("t_dat").alias("ci_last"))
+    return pairs.withColumn("ci_days_since", F.datediff(F.lit(cutoff), "ci_last"))
 
 
 def customer_features(pairs: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from basketline.functions.lists import to_lists, top_k
-from basketline.functions.windows import days_ending_at, window_label
+from basketline.functions.windows import days_ending_at, days_of_history, history_ends, window_label
 
 K = 12
 
@@ -37,20 +37,14 @@ def window_counts(history: DataFrame, windows: Sequence[int | None]) -> DataFram
     """Counts per (week, window, article) for several trailing windows in one aggregation.
 
     A window covers t_dat > last history day - days, per week; None is all of the history. Each row
-    is tagged with the windows it falls in before the partial aggregate, so the log is read once.
+    is tagged with the windows it falls in before the partial aggregate, so the log is read once; the
+    last days are literals, so short windows read few files.
     """
     bounded = [d for d in windows if d is not None]
-    rows = history
-    if bounded:
-        ends = history.groupBy("week").agg(F.max("t_dat").alias("history_end"))
-        rows = history.join(F.broadcast(ends), "week")  # one row per fold
-        age = F.datediff("history_end", "t_dat")
-        tags = F.array(*[F.when(age < d, window_label(d)) if d is not None else F.lit(window_label(None))
-                         for d in windows])
-        if None not in windows:
-            rows = rows.filter(age < max(bounded))
-    else:
-        tags = F.array(F.lit(window_label(None)))
+    ends = history_ends(history) if bounded else []
+    rows = history if None in windows else days_of_history(history, ends, max(bounded))
+    end = F.coalesce(*[F.when(F.col("week") == F.lit(w), F.lit(e)) for w, e in ends], F.lit(None).cast("date"))
+    tags = F.array(*[F.lit(window_label(None)) if d is None else F.when(F.datediff(end, "t_dat") < d, window_label(d)) for d in windows])
     tagged = rows.select("week", "article_id", F.explode(tags).alias("window")).filter(F.col("window").isNotNull())
     return article_counts(tagged, ["week", "window"])
 
@@ -79,14 +73,15 @@ def same_list_for_all(customers: DataFrame, lists: DataFrame, k: int = K) -> Dat
     return customers.join(F.broadcast(short), "week")
 
 
-def owned_in_pool(history: DataFrame, lists: DataFrame) -> DataFrame:
-    """(week, customer_id, owned): pool articles a customer has bought.
+def owned_in_pool(history: DataFrame, lists: DataFrame, customers: DataFrame) -> DataFrame:
+    """(week, customer_id, owned): pool articles that each of the customers has bought.
 
     The history shrinks to pool articles first; the array of a customer is never longer than a list.
     """
     pool = lists.select("week", F.explode("items").alias("article_id")).distinct()
     return (history.select("week", "customer_id", "article_id")
-            .join(F.broadcast(pool), ["week", "article_id"], "left_semi")
+            .join(customers.select("week", "customer_id"), ["week", "customer_id"], "left_semi")
+            .join(pool, ["week", "article_id"], "left_semi")
             .groupBy("week", "customer_id").agg(F.collect_set("article_id").alias("owned")))
 
 
@@ -96,7 +91,7 @@ def _not_owned() -> Column:
 
 def exclusion_lists(customers: DataFrame, lists: DataFrame, history: DataFrame, k: int = K) -> DataFrame:
     """The first k articles of the lists that each customer does not own; fewer only if the lists are not deep enough."""
-    owned = owned_in_pool(history, lists)
+    owned = owned_in_pool(history, lists, customers)
     return (customers.join(owned, ["week", "customer_id"], "left").join(F.broadcast(lists), "week")
             .withColumn("items", F.slice(_not_owned(), 1, k)).drop("owned"))
 
@@ -104,7 +99,7 @@ def exclusion_lists(customers: DataFrame, lists: DataFrame, history: DataFrame,
 def recency_lists(customers: DataFrame, history: DataFrame, windows: Sequence[int | None], k: int = K) -> DataFrame:
     """Lists of every window under both exclusion settings: week, customer_id, window, exclusion, items."""
     lists = exclusion_pool(history, customers, windows, k)
-    given = customers.join(owned_in_pool(history, lists), ["week", "customer_id"], "left").join(F.broadcast(lists), "week")
+    given = customers.join(owned_in_pool(history, lists, customers), ["week", "customer_id"], "left").join(F.broadcast(lists), "week")
     settings = F.array(
         F.struct(F.lit(True).alias("exclusion"), F.slice(_not_owned(), 1, k).alias("items")),
         F.struct(F.lit(False).alias("exclusion"), F.slice("items", 1, k).alias("items")))

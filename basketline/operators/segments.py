@@ -24,7 +24,8 @@ def purchase_counts(history: DataFrame, by: Sequence[str] = ("week", "customer_i
 def segment_customers(history: DataFrame, customers: DataFrame,
                       by: Sequence[str] = ("week", "customer_id")) -> DataFrame:
     """customers plus n_purchases (0 when unseen) and the band label."""
-    counted = customers.join(purchase_counts(history, by), list(by), "left")
+    own = history.join(customers.select(*by), list(by), "left_semi")
+    counted = customers.join(purchase_counts(own, by), list(by), "left")
     n = F.coalesce(F.col("n_purchases"), F.lit(0))
     return counted.withColumn("n_purchases", n).withColumn("segment", segment_band(F.col("n_purchases")))
 
