@@ -104,27 +104,44 @@ def event_als(spark, sf, offsets=(0,)):
     return f, als_ops.fit_als(als_ops.index_interactions(f.history), SMALL_ALS)
 
 
-@query("m6_als_fit")
+@query("m6_als_fit", final(with_(*event_folds_sql(), select=f"""SELECT 'customer' AS side, customer_id AS id, {SMALL_ALS['factors']} AS n_factors,
+  true AS finite FROM h GROUP BY customer_id UNION ALL SELECT 'article', article_id, {SMALL_ALS['factors']}, true FROM h GROUP BY article_id"""),
+    i="id n_factors", s="side finite"))
 def m6(spark, sf):
-    """Factor rows of both sides: size and norm."""
+    """Factor rows of both sides: their ids and sizes, and whether all numbers are finite."""
     _, fitted = event_als(spark, sf)
     def side(name: str, rows: DataFrame, key: str) -> DataFrame:
-        norm = F.sqrt(F.aggregate("features", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
-        return rows.select(F.lit(name).alias("side"), F.col(key).alias("id"), F.size("features").alias("n_factors"), norm.alias("norm"))
+        finite = F.forall("features", lambda x: ~F.isnan(x) & (F.abs(x) < float("inf")))
+        return rows.select(F.lit(name).alias("side"), F.col(key).alias("id"), F.size("features").alias("n_factors"), finite.alias("finite"))
     return side("customer", fitted.user_factors, "customer_id").unionByName(side("article", fitted.item_factors, "article_id"))
 
 
-@query("m7_als_lists")
+KNOWN_SQL = """kn AS (SELECT customer_id, count(DISTINCT article_id) AS n_own, (SELECT count(DISTINCT article_id) FROM h) AS n_all
+  FROM h SEMI JOIN cust USING (customer_id) GROUP BY customer_id)"""
+
+
+@query("m7_als_lists", final(with_(*event_folds_sql(), KNOWN_SQL, select="""SELECT mode, customer_id,
+  CASE mode WHEN 'discover' THEN least(12, n_all - n_own) ELSE least(12, n_all) END AS n, 0 AS repeats, 0 AS owned_in_discover
+  FROM kn, (VALUES ('repurchase'), ('discover')) m(mode)"""), i="customer_id n repeats owned_in_discover", s="mode"))
 def m7(spark, sf):
+    """Both lists of every customer with factors: how long, repeated articles, and owned ones where none may be."""
     f, fitted = event_als(spark, sf)
     lists = als_ops.recommend(fitted, f.customers, f.history)
-    return to_rows(lists.drop("scores"))
+    own = f.history.groupBy("customer_id").agg(F.collect_set("article_id").alias("own"))
+    held = F.when(F.col("mode") == "discover", F.size(F.array_intersect("items", "own"))).otherwise(0)
+    return lists.join(own, "customer_id").select("mode", "customer_id", F.size("items").alias("n"), (F.size("items") - F.size(
+        F.array_distinct("items"))).alias("repeats"), held.alias("owned_in_discover"))
 
 
-@query("m8_als_top_n")
+@query("m8_als_top_n", final(with_(*event_folds_sql(), KNOWN_SQL, select=f"""SELECT customer_id, least({CAND_N}, n_all) AS n,
+  least({CAND_N}, n_all) AS last_rank, 0 AS out_of_order FROM kn"""), i="customer_id n last_rank out_of_order"))
 def m8(spark, sf):
+    """The n best articles of every customer with factors: how many, their last rank, and ranks against the order of scores."""
     f, fitted = event_als(spark, sf)
-    return als_ops.top_n(fitted, f.customers, CAND_N)
+    rows = als_ops.top_n(fitted, f.customers, CAND_N)
+    before = F.lag("score").over(Window.partitionBy("customer_id").orderBy("rank"))
+    return rows.withColumn("up", F.col("score") > before).groupBy("customer_id").agg(
+        F.countDistinct("article_id").alias("n"), F.max("rank").alias("last_rank"), F.count_if("up").alias("out_of_order"))
 
 
 @query("m9_factor_scoring", final(with_(DOTS, select="""SELECT user_id, mode, rank, item_id, round(score * 1e9) AS score FROM (SELECT *, row_number() OVER
@@ -146,11 +163,13 @@ def m9_rescore(spark, sf):
     return metrics.metrics(scores, ["mode"])
 
 
-@query("m10_training_loss")
+@query("m10_training_loss", final("SELECT unnest([1, 2, 4, 8]) AS iteration, unnest([true, true, true, true]) AS falls", i="iteration", s="falls"))
 def m10(spark, sf):
+    """The loss after so many iterations, and whether it is below the one before."""
     data = als_ops.index_interactions(event_folds(spark, sf).history)
-    curve = als_ops.loss_curve(data, SMALL_ALS, (1, 2, 4, 8))
-    return profiling.relative_change(curve, "iteration", "loss")
+    curve = profiling.relative_change(als_ops.loss_curve(data, SMALL_ALS, (1, 2, 4, 8)), "iteration", "loss")
+    before = F.lag("loss").over(Window.orderBy("iteration"))  # a row for a measured iteration
+    return curve.select("iteration", F.coalesce(F.col("loss") < before, F.col("loss") > 0).alias("falls"))
 
 
 @query("m11_sweep")
@@ -187,7 +206,7 @@ def ranked_week(spark, sf, discover=False):
     train, test = event_folds(spark, sf, (1,)), event_folds(spark, sf)
     frames = []
     for f in (train, test):
-        rows = reranking.labelled_candidates(f, reranking.item_item_personal(f, CAND_N, 5000), CAND_N, CAND_POP, CAND_RECENT, "ii")
+        rows = reranking.labelled_candidates(f, reranking.item_item_personal(f, CAND_N), CAND_N, CAND_POP, CAND_RECENT, "ii")
         frames.append(materialize(reranking.features_of(f, rows, "ii")))
     learned = ranker.discover_only(frames[0]) if discover else frames[0]
     return test, frames[1], ranker.train_ranker(learned, **RANKER)
@@ -200,12 +219,16 @@ def m13(spark, sf):
     return metrics.metrics_by_scope(reranking.scored_models(f, lists), ["model"])
 
 
-@query("m14_ranker_importance")
+@query("m14_ranker_importance", final(with_(*[f"ft AS (SELECT unnest({list(features.FEATURES)}) AS feature)"], select="""SELECT feature, true AS in_range,
+  1 AS total_share, true AS tells_rows_apart FROM ft"""), f="total_share", s="feature in_range tells_rows_apart"))
 def m14(spark, sf):
+    """Each feature's share of the gain lies between 0 and 1, all add up to 1, and the scores differ."""
     _, rows, fitted = ranked_week(spark, sf)
-    spread = fitted.score(rows).agg(F.countDistinct("score").alias("n_scores"))
-    shares = F.array(*[F.struct(F.lit(c).alias("feature"), F.lit(v).alias("share")) for c, v in fitted.importances()])
-    return spread.select("n_scores", F.inline(shares))
+    differ = fitted.score(rows).agg((F.countDistinct("score") > 1).alias("tells_rows_apart"))
+    known = fitted.importances()
+    shares = F.array(*[F.struct(F.lit(c).alias("feature"), F.lit(0 <= v <= 1).alias("in_range"),
+                                F.lit(sum(share for _, share in known)).alias("total_share")) for c, v in known])
+    return differ.select("tells_rows_apart", F.inline(shares))
 
 
 @query("b3_ranker_gaps_discover")

@@ -230,7 +230,7 @@ def candidates_sql() -> list[str]:
 
 def event_candidates(spark: SparkSession, sf: str):
     f = event_folds(spark, sf)
-    personal = reranking.item_item_personal(f, CAND_N, 5000)
+    personal = reranking.item_item_personal(f, CAND_N)
     return f, reranking.labelled_candidates(f, personal, CAND_N, CAND_POP, CAND_RECENT, "ii")
 
 

@@ -31,7 +31,7 @@ def als_personal(folds: Folds, n: int, config, blocks: int | None = None) -> Dat
     return materialize(als_ops.top_n(fitted, folds.customers, n).withColumn("week", F.lit(folds.weeks[0])))
 
 
-def item_item_personal(folds: Folds, n: int, n_items: int) -> DataFrame:
+def item_item_personal(folds: Folds, n: int, n_items: int | None = None) -> DataFrame:
     """The same shape from item-item lists; the rank stands in for a score."""
     lists = ItemItem(folds.history, n_items).recommend(folds.customers, n, settings=(False,))
     rows = lists.select("customer_id", F.posexplode("items").alias("pos", "article_id"))
