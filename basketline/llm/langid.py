@@ -34,7 +34,7 @@ ORDER = 4
 SAMPLE_ROWS = 1500     # labelled documents of a language that its model is fitted on, about
 MAX_LANGUAGES = 1000   # the most frequent languages are learned
 HELD_OUT, CALIBRATION = 0, 1  # folds of the id that are not learned from, and that the limits are set on
-LIMIT_SPREADS = 25.0   # how many spreads above the middle a cross-entropy is still accepted
+LIMIT_SPREADS = 70.0   # how many spreads above the middle a cross-entropy is still accepted
 UNKNOWN = "und"
 CACHE_PIECES = 600_000
 
