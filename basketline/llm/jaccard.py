@@ -9,8 +9,9 @@ the rest of one of them. Pairs of groups are then expanded to their members and
 
 Nothing is capped, and no group is paired with itself:
 
-* Hashes that more than `BUCKET` prefixes hold (lines and passages that many documents share) come
-  last in the global order, so prefixes are made of rare hashes; this repeats until none is new.
+* Hashes that more than `BUCKET` prefixes hold (lines and passages that many documents share), and
+  frequent ones beside them in the texts, come last in the global order, so that prefixes are made
+  of rare hashes. Which ones do decides the work and not the result.
 * In each list of groups that share a hash, all are first verified against one leader. Of the pairs
   that are left, only those are made whose two sides are not connected yet. As any link between
   sets of one component is one of that component, components lose nothing.
@@ -39,11 +40,12 @@ from basketline.llm.components import components
 from basketline.llm.text import mix, slices, word_hashes
 
 BUCKET = 32            # groups that share a hash, beyond which it counts as frequent
+REACH, SPREADS = 16, 2  # shingles around a frequent one that are counted too, and how often that is repeated
 MOST_IN_TASKS = 4_000_000  # hashes that are sent to the tasks as one array (32 MB); beyond, see each use
 
 
-def shingle_sets(texts: pa.Array, words: int) -> list[np.ndarray]:
-    """The sorted distinct shingle hashes of each text."""
+def shingles_in_order(texts: pa.Array, words: int) -> list[np.ndarray]:
+    """The shingle hashes of each text, in the order of the text."""
     first, h = word_hashes(texts)
     weights = [mix(np.array([k + 1], np.uint64))[0] | np.uint64(1) for k in range(words)]
     n = len(h)
@@ -55,7 +57,7 @@ def shingle_sets(texts: pa.Array, words: int) -> list[np.ndarray]:
     out = []
     for begin, end in zip(first[:-1], first[1:]):
         if end - begin >= words:
-            out.append(np.unique(total[begin:end - words + 1]))
+            out.append(total[begin:end - words + 1])
         elif end > begin:
             parts = [mix(h[begin + k:begin + k + 1] * weights[k]) for k in range(end - begin)]
             out.append(mix(np.sum(parts, axis=0, dtype=np.uint64) + np.uint64(end - begin)))
@@ -64,6 +66,11 @@ def shingle_sets(texts: pa.Array, words: int) -> list[np.ndarray]:
     return out
 
 
+def shingle_sets(texts: pa.Array, words: int) -> list[np.ndarray]:
+    """The sorted distinct shingle hashes of each text."""
+    return [np.unique(s) for s in shingles_in_order(texts, words)]
+
+
 def digest(s: np.ndarray) -> int:
     """A 64-bit name of a set, as a signed number."""
     with np.errstate(over="ignore"):
@@ -81,6 +88,18 @@ def member(keys: np.ndarray, among: np.ndarray) -> np.ndarray:
     return among[at] == keys
 
 
+def around(s: np.ndarray, new: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Distinct hashes up to REACH shingles before or after one of `new` in a text, but for the known ones."""
+    at = np.flatnonzero(member(s, new))
+    if not len(at):
+        return s[:0]
+    marks = np.zeros(len(s) + 1, np.int64)
+    np.add.at(marks, np.maximum(at - REACH, 0), 1)
+    np.add.at(marks, np.minimum(at + REACH + 1, len(s)), -1)
+    near = np.unique(s[np.cumsum(marks)[:-1] > 0])
+    return near[~member(near, known)]
+
+
 def prefix(s: np.ndarray, frequent: np.ndarray, percent: int) -> np.ndarray:
     """The first hashes of a set in the global order: by hash, the frequent ones last."""
     length = prefix_length(len(s), percent)
@@ -104,44 +123,41 @@ class SetJoin:
         self.docs, self.shingle, self.percent = documents(docs), shingle, percent
         self.spark = docs.sparkSession
 
-    def _over_sets(self, emit, schema: str) -> DataFrame:
+    def _over_sets(self, emit, schema: str, in_order: bool = False) -> DataFrame:
         """emit(doc_id, set) gives rows of the schema; the texts are read anew, which is cheaper than to keep all sets."""
-        shingle = self.shingle
+        shingle, read = self.shingle, shingles_in_order if in_order else shingle_sets
         names = [c.split()[0] for c in schema.split(", ")]
         types = [pa.list_(pa.int64()) if c.endswith("array<bigint>") else pa.int64() for c in schema.split(", ")]
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for rows, texts in slices(batch):
-                    out = [r for d, s in zip(rows.column("doc_id").to_pylist(), shingle_sets(texts, shingle)) for r in emit(d, s)]
+                    out = [r for d, s in zip(rows.column("doc_id").to_pylist(), read(texts, shingle)) for r in emit(d, s)]
                     if out:
                         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names=names)
 
         return self.docs.mapInArrow(run, schema)
 
-    def members(self, frequent: np.ndarray, touched: bool) -> DataFrame:
-        """doc_id, sid (set), gid (group), n; with `touched`, of sets whose plain prefix holds frequent hashes, else of the others."""
-        percent, none = self.percent, np.zeros(0, np.uint64)
+    def members(self, frequent: np.ndarray) -> DataFrame:
+        """doc_id, sid (set), gid (group), n of every document; nulls and 0 for one without words."""
+        percent, shared = self.percent, self.spark.sparkContext.broadcast(frequent)
 
         def emit(doc_id: int, s: np.ndarray):
             if len(s):
-                plain = prefix(s, none, percent)
-                if member(plain, frequent).any() == touched:
-                    final = prefix(s, frequent, percent) if touched else plain
-                    yield doc_id, digest(s), _group(final, len(s)), len(s)
+                yield doc_id, digest(s), _group(prefix(s, shared.value, percent), len(s)), len(s)
+            else:
+                yield doc_id, None, None, 0
 
         return self._over_sets(emit, "doc_id bigint, sid bigint, gid bigint, n bigint")
 
-    def prefixes(self, frequent: np.ndarray, touched: bool | None) -> DataFrame:
-        """gid, n, prefix of every group; see members()."""
-        percent, none = self.percent, np.zeros(0, np.uint64)
+    def prefixes(self, frequent: np.ndarray) -> DataFrame:
+        """gid, n, prefix of every group."""
+        percent, shared = self.percent, self.spark.sparkContext.broadcast(frequent)
 
         def emit(doc_id: int, s: np.ndarray):
             if len(s):
-                plain = prefix(s, none, percent)
-                if touched is None or member(plain, frequent).any() == touched:
-                    final = prefix(s, frequent, percent) if touched else plain
-                    yield _group(final, len(s)), len(s), final.view(np.int64)
+                final = prefix(s, shared.value, percent)
+                yield _group(final, len(s)), len(s), final.view(np.int64)
 
         rows = self._over_sets(emit, "gid bigint, n bigint, prefix array<bigint>")
         return rows.groupBy("gid", "n").agg(F.any_value("prefix").alias("prefix"))
@@ -169,26 +185,40 @@ class SetJoin:
             sets = sets.join(wanted, "sid", "left_semi")
         return sets.groupBy("sid").agg(F.any_value("tokens").alias("tokens"))
 
-    def frequent_hashes(self, plain: DataFrame) -> np.ndarray:
-        """Hashes that more than BUCKET prefixes hold, prefixes being made anew without the ones found so far, until none is new.
+    def frequent_hashes(self) -> np.ndarray:
+        """Hashes that more than BUCKET documents have in their prefixes, or near such a hash in their texts.
 
-        At most MOST_IN_TASKS, which a higher bound than BUCKET ensures in very large tables; hashes
-        that are then left in their place only make longer lists.
+        Any set of hashes may come last without harm to the result. A passage that many documents share
+        has some of its hashes in their prefixes, and the others beside those in the texts. There are
+        MOST_IN_TASKS at most, which a higher bound than BUCKET ensures in very large tables.
         """
-        counted = plain.select(F.explode("prefix").alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > BUCKET)
-        frequent = np.zeros(0, np.uint64)
-        while True:
-            counted = written(counted, "frequent")
+        percent, none = self.percent, np.zeros(0, np.uint64)
+
+        def plain(doc_id: int, s: np.ndarray):
+            if len(s):
+                yield (prefix(s, none, percent).view(np.int64),)
+
+        found = self._over_sets(plain, "hashes array<bigint>")
+        frequent = none
+        for _ in range(SPREADS + 1):
+            counted = written(found.select(F.explode("hashes").alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("m"))
+                              .where(F.col("m") > BUCKET), "frequent")
             bound = BUCKET
             while counted.where(F.col("m") > bound).count() > MOST_IN_TASKS - len(frequent):
                 bound *= 2
-            new = counted.where(F.col("m") > bound).select("t").toArrow()["t"].to_numpy().view(np.uint64)
-            new = new[~member(new, frequent)]
+            new = np.sort(counted.where(F.col("m") > bound).select("t").toArrow()["t"].to_numpy().view(np.uint64))
             if not len(new):
-                return frequent
+                break
             frequent = np.sort(np.concatenate([frequent, new]))
-            rows = self.prefixes(frequent, True)
-            counted = rows.select(F.explode("prefix").alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > BUCKET)
+            shared = self.spark.sparkContext.broadcast((new, frequent))
+
+            def near(doc_id: int, s: np.ndarray, shared=shared):
+                hashes = around(s, *shared.value)
+                if len(hashes):
+                    yield (hashes.view(np.int64),)
+
+            found = self._over_sets(near, "hashes array<bigint>", in_order=True)
+        return frequent
 
     def verified(self, pairs: DataFrame) -> DataFrame:
         """Those of the pairs (a, b) of sets that link, with their overlap."""
@@ -200,29 +230,13 @@ class SetJoin:
         return both.where(links_by_size(F.col("overlap"), F.size("ta"), F.size("tb"), self.percent)).select("a", "b", "overlap")
 
     def classed(self) -> DataFrame:
-        """doc_id, sid, n, component (a set's name) of every document with words."""
-        plain = written(self.prefixes(np.zeros(0, np.uint64), None), "groups")
-        frequent = self.frequent_hashes(plain)
-        kept = plain
-        if len(frequent):
-            hashes = self.spark.sparkContext.broadcast(frequent)
-
-            def untouched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-                for batch in batches:
-                    lists = batch.column("prefix")
-                    offsets = lists.offsets.to_numpy()
-                    held = np.append(0, np.cumsum(member(lists.values.to_numpy().view(np.uint64), hashes.value)))
-                    yield batch.filter(pa.array(held[offsets[1:]] == held[offsets[:-1]]))
-
-            kept = plain.mapInArrow(untouched, plain.schema).unionByName(self.prefixes(frequent, True))
-        rows = kept.select("gid", "n", F.explode("prefix").alias("t"))
+        """doc_id, sid, n, component (a set's name) of every document; nulls and 0 for one without words."""
+        frequent = self.frequent_hashes()
+        rows = self.prefixes(frequent).select("gid", "n", F.explode("prefix").alias("t"))
         rows = rows.withColumn("m", F.count(F.lit(1)).over(Window.partitionBy("t"))).where("m > 1")
         rows = written(rows, "lists")
-        members = self.members(frequent, False)
-        if len(frequent):
-            members = members.unionByName(self.members(frequent, True))
-        members = written(members, "members")
-        groups = written(members.groupBy("gid", "sid").agg(F.min("doc_id").alias("rep")), "sets").drop("rep")
+        members = written(self.members(frequent), "members")
+        groups = written(members.where("n > 0").groupBy("gid", "sid").agg(F.min("doc_id").alias("rep")), "sets").drop("rep")
 
         links = self._links(rows, groups)
         joined = components(links).withColumnRenamed("node", "sid")
@@ -231,10 +245,9 @@ class SetJoin:
     def classes(self) -> DataFrame:
         """doc_id, n_shingles, component_id of every document."""
         classed = written(self.classed(), "classed")
-        least = classed.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-        full = classed.join(least, "component").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
-        empty = self._over_sets(lambda d, s: [(d, 0, d)] if not len(s) else [], "doc_id bigint, n_shingles bigint, component_id bigint")
-        return full.unionByName(empty)
+        least = classed.where("n > 0").groupBy("component").agg(F.min("doc_id").alias("component_id"))
+        return classed.join(least, "component", "left").select(
+            "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
     def representatives(self, docs: DataFrame) -> DataFrame:
         """The documents, all their columns, with one for each class: the smallest doc_id, and of its rows one.
@@ -242,7 +255,7 @@ class SetJoin:
         A document without words is a class of its own. Rows to leave out are known by a hash of doc_id
         and set; up to MOST_IN_TASKS of them are sent to the tasks, more are found by a join.
         """
-        classed = written(self.classed(), "classed")
+        classed = written(self.classed().where("n > 0"), "classed")
         rows = F.count(F.lit(1)).alias("rows")
         texts = classed.groupBy("component", "doc_id", "sid").agg(rows)
         first = texts.groupBy("component").agg(F.min(F.struct("doc_id", "sid")).alias("first"))
@@ -288,6 +301,10 @@ class SetJoin:
         led = rows.join(rows.groupBy("t").agg(leader.alias("l")), "t")
         size_ok = F.least("n", "l.n") * 100 >= F.greatest("n", "l.n") * percent
         star = led.where(size_ok & (F.col("gid") != F.col("l.gid"))).select("gid", F.col("l.gid").alias("leader")).distinct()
+        held = rows.groupBy("gid", "n").agg(F.collect_list("t").alias("held"))  # of a prefix
+        shared = F.size(F.array_intersect("held", "led.held"))
+        star = (star.join(held, "gid").join(held.select(F.col("gid").alias("leader"), F.struct("n", "held").alias("led")), "leader")
+                .where(shared >= self._shared_needed(F.least("n", "led.n"), F.greatest("n", "led.n"))).select("gid", "leader"))
         heads = groups.groupBy("gid").agg(F.min("sid").alias("head"))
         star = (star.join(groups, "gid").join(heads.withColumnRenamed("gid", "leader"), "leader").select(F.col("sid").alias("a"), F.col("head").alias("b"))
                 .unionByName(groups.join(heads, "gid").where("sid <> head").select(F.col("sid").alias("a"), F.col("head").alias("b"))))
