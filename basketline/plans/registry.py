@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from basketline.operators.folds import Folds, build_folds, fold_weeks, last_day
 from basketline.operators.prepare import clean_transactions
-from basketline.session import path_exists, scratch_path
+from basketline.session import changed_at, path_exists, scratch_path
 from basketline.sources import logs
 from basketline.sources.sinks import laid_out_by_day
 
@@ -92,12 +92,14 @@ BAND = "CASE WHEN {n} = 0 THEN '0 purchases' WHEN {n} <= 2 THEN '1-2 purchases'
 ORDER_TARGET = 28  # order lines are sparse: a longer target
 
 
-_PREPARED: dict[tuple[str, str, str], str] = {}
+_PREPARED: dict[tuple, str] = {}
+SOURCE_TABLES = {"order_log": ("orders", "lineitem"), "event_log": ("events",)}
 
 
 def prepared_log(spark: SparkSession, sf_dir: str, source: Callable[[SparkSession, str], DataFrame]) -> DataFrame:
-    """The cleaned log, written once per application in date order; later queries prune on its dates."""
-    key = (spark.sparkContext.applicationId, sf_dir, source.__name__)
+    """The cleaned log, written once per application and state of its tables, in date order; later queries prune on its dates."""
+    state = tuple(changed_at(spark, f"{sf_dir}/{t}.parquet") for t in SOURCE_TABLES[source.__name__])
+    key = (spark.sparkContext.applicationId, sf_dir, source.__name__, state)
     if key not in _PREPARED or not path_exists(spark, f"{_PREPARED[key]}/_SUCCESS"):
         path = scratch_path(spark, source.__name__)
         laid_out_by_day(clean_transactions(source(spark, sf_dir))).write.parquet(path)

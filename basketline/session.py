@@ -62,6 +62,12 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop_path)
 
 
+def changed_at(spark: SparkSession, path: str) -> int:
+    """When a path was last written, in milliseconds."""
+    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(hadoop_path).getModificationTime()
+
+
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Partition rows that are cheap to ship but expensive to process over the whole cluster.
 

@@ -112,3 +112,17 @@ def test_load_prefers_the_parquet_copy(spark, day, tmp_path):
     rows.unionByName(rows).write.parquet(str(tmp_path / "transactions_train.parquet"))
     assert logs.load_transactions(spark, str(tmp_path)).count() == 2
     assert isinstance(loaded.first().t_dat, dt.date)
+
+
+def test_prepared_log_follows_its_tables(spark, tmp_path):
+    from basketline.plans.registry import clean_event_log
+
+    def write(n):
+        rows = [(i, "purchase", f'{{"k": {i}}}', "2024-01-0%d 10:00:00" % (1 + i % 5), 2.0) for i in range(n)]
+        events = spark.createDataFrame(rows, "user_id bigint, event_type string, props string, ts string, value double")
+        events.withColumn("ts", F.to_timestamp("ts")).write.mode("overwrite").parquet(f"{tmp_path}/events.parquet")
+
+    write(4)
+    assert clean_event_log(spark, str(tmp_path)).count() == 4
+    write(9)
+    assert clean_event_log(spark, str(tmp_path)).count() == 9

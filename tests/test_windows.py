@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from basketline.functions import windows
-from basketline.operators import popularity
+from basketline.operators import folds, popularity
 
 
 def days(df):
@@ -40,3 +40,16 @@ def test_window_counts_in_one_pass(log, day):
     got = {(r.window, r.article_id): r.cnt for r in popularity.window_counts(rows, [7, 28, None]).collect()}
     assert got == {("7d", 1): 1, ("7d", 2): 1, ("28d", 1): 1, ("28d", 2): 1, ("28d", 3): 1,
                    ("all-time", 1): 1, ("all-time", 2): 1, ("all-time", 3): 2}
+
+
+def test_recent_window_reaches_the_scan(spark, log, day, tmp_path):
+    """Both ends of a trailing window are date filters of the scan, for one fold and for several."""
+    log([(n % 3, n, day(n), 1.0) for n in range(30)]).write.parquet(str(tmp_path / "log"))
+    stored = spark.read.parquet(str(tmp_path / "log"))
+    for weeks in ([day(20)], [day(20), day(27)]):
+        history = folds.build_folds(stored, weeks).history
+        plan = popularity.window_counts(history, [7])._jdf.queryExecution().executedPlan().toString()
+        pushed = plan.split("PushedFilters: ")[1].split("]")[0]
+        assert "LessThan(t_dat" in pushed and "GreaterThan(t_dat" in pushed, pushed
+        counts = {(r.week, r.article_id): r.cnt for r in popularity.window_counts(history, [7]).collect()}
+        assert counts == {(w, n): 1 for w in weeks for n in range(30) if 0 < (w - day(n)).days <= 7}
