@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from basketline.llm.common import documents, written
 from basketline.llm.components import components
-from basketline.llm.text import mix, slices, word_hashes
+from basketline.llm.text import mix, slices, with_row_text, word_hashes
 
 BUCKET = 32            # groups that share a hash, beyond which it counts as frequent
 REACH, SPREADS = 16, 2  # shingles around a frequent one that are counted too, and how often that is repeated
@@ -264,12 +264,11 @@ class SetJoin:
         dropped, repeated = texts.where("NOT stays").select("key"), texts.where("stays AND rows > 1").select("key")
         columns, shingle = docs.columns, self.shingle
         whole = docs.where(F.col("doc_id").isNotNull()).select(
-            F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
-            F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"))
+            F.col("doc_id").cast("bigint").alias("doc_id"), F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"))
 
         def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for rows, texts in slices(batch):
+                for rows, texts in slices(with_row_text(batch)):
                     sids = [digest(s) if len(s) else None for s in shingle_sets(texts, shingle)]
                     yield pa.RecordBatch.from_pydict({"doc_id": rows.column("doc_id"), "sid": pa.array(sids, pa.int64()), "row": rows.column("row")})
 

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from basketline.llm.common import id_fold
-from basketline.llm.text import clean_texts, mix, pieces, slices
+from basketline.llm.text import mix, pieces, slices, with_row_text
 
 ORDER = 4
 SAMPLE_ROWS = 1500     # labelled documents of a language that its model is fitted on, about
@@ -36,7 +36,7 @@ MAX_LANGUAGES = 1000   # the most frequent languages are learned
 HELD_OUT, CALIBRATION = 0, 1  # folds of the id that are not learned from, and that the limits are set on
 LIMIT_SPREADS = 70.0   # how many spreads above the middle a cross-entropy is still accepted
 UNKNOWN = "und"
-CACHE_PIECES = 600_000
+CACHE_PIECES = 250_000
 
 
 def windows(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -276,13 +276,13 @@ def identify(docs: DataFrame, model: Model | None, whole_rows: bool = False) ->
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the sample
     kept = docs.where(F.col("doc_id").isNotNull()).select(
-        F.col("doc_id").cast("bigint").alias("doc_id"), id_fold().alias("fold"), F.col("text").cast("string").alias("text"),
-        *([F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")] if whole_rows else []))
+        F.col("doc_id").cast("bigint").alias("doc_id"), id_fold().alias("fold"),
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row") if whole_rows else F.col("text").cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shared.value) if shared.value else None
         for batch in batches:
-            for rows, texts in slices(batch):
+            for rows, texts in slices(with_row_text(batch) if whole_rows else batch):
                 if scorer:
                     n, cost = scorer.texts(texts)
                     best, bits = cost.argmin(1), cost.min(1)

@@ -24,17 +24,17 @@ from pyspark.sql import functions as F
 
 from basketline.llm.common import documents, written
 from basketline.llm.text import slices
-from basketline.llm.token_files import encoder
-from basketline.llm.tokens import with_end
+from basketline.llm.tokens import PieceIds, with_end
 
 
 def cut_pieces(docs: DataFrame, tokenizer_path: str, end_id: int, size: int) -> DataFrame:
     """doc_id, start, length, ids_crc32, doc_tokens of every piece."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = PieceIds(tokenizer_path)  # what it remembers goes with the task
         for batch in batches:
             for rows, texts in slices(batch):
-                bounds, ids = with_end(*encoder(tokenizer_path).encode(texts), end_id)
+                bounds, ids = with_end(*encoder.encode(texts), end_id)
                 ids, out = ids.astype("<u4"), []
                 for k, d in enumerate(rows.column("doc_id").to_pylist()):
                     begin, end = bounds[k], bounds[k + 1]

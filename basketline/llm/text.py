@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 2 << 20  # texts worked on at once; a longer text is a slice of its own
+SLICE_BYTES = 1 << 20  # texts worked on at once; a longer text is a slice of its own
 
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -48,6 +48,11 @@ def slices(batch: pa.RecordBatch, text: str = "text", limit: int = SLICE_BYTES)
         row = end
 
 
+def with_row_text(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """The batch with the text inside its struct `row` as a column, so that whole rows carry their text once."""
+    return batch.append_column("text", batch.column("row").field("text"))
+
+
 def pieces(texts: pa.Array) -> tuple[np.ndarray, pa.Array]:
     """Cut each text before every run of ASCII white space and between an ASCII letter and a point or comma.
 

@@ -25,7 +25,7 @@ from basketline.llm.tokens import CACHE_PIECES, WordForm, load, text_bytes
 ASCII_PRETOKEN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
 WORD_END = "</w>"
 
-_counters: dict[str, "PieceCounts"] = {}
+_whole: dict[str, frozenset[str]] = {}  # by tokenizer file, once for each worker
 
 
 def whole_tokens(tokenizer) -> frozenset[str]:
@@ -39,7 +39,9 @@ class PieceCounts:
 
     def __init__(self, path: str):
         self.tokenizer = load(path)
-        self.single = whole_tokens(self.tokenizer)
+        if path not in _whole:
+            _whole[path] = whole_tokens(self.tokenizer)
+        self.single = _whole[path]
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.form = WordForm(self.tokenizer)
         self.pieces: dict[str, int] = {}
@@ -83,9 +85,7 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, limit: int = 2048) -> Dat
     """doc_id, n_bytes, n_tokens, over_limit of every document, in one pass without a shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if tokenizer_path not in _counters:
-            _counters[tokenizer_path] = PieceCounts(tokenizer_path)
-        counter = _counters[tokenizer_path]
+        counter = PieceCounts(tokenizer_path)  # what it remembers goes with the task
         for batch in batches:
             for rows, texts in slices(batch):
                 n = counter.count(texts)

@@ -37,15 +37,6 @@ HEAD = struct.Struct("<QI")
 BODY = struct.Struct("<qB")
 MASK_ROTATE, MASK_ADD = 15, 0xA282EAD8
 
-_encoders: dict[str, PieceIds] = {}
-
-
-def encoder(path: str) -> PieceIds:
-    if path not in _encoders:
-        _encoders[path] = PieceIds(path)
-    return _encoders[path]
-
-
 def masked(data: bytes) -> int:
     crc = zlib.crc32(data)
     return (((crc >> MASK_ROTATE) | (crc << (32 - MASK_ROTATE))) + MASK_ADD) & 0xFFFFFFFF
@@ -76,9 +67,10 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id:
     id_bytes = 2 if load(tokenizer_path).get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = PieceIds(tokenizer_path)  # what it remembers goes with the task
         for batch in batches:
             for rows, texts in slices(batch):
-                bounds, ids = with_end(*encoder(tokenizer_path).encode(texts), end_id)
+                bounds, ids = with_end(*encoder.encode(texts), end_id)
                 values = [frame(d, ids[bounds[k]:bounds[k + 1]], id_bytes) for k, d in enumerate(rows.column("doc_id").to_pylist())]
                 yield pa.RecordBatch.from_pydict({"record": pa.array(values, pa.binary())})
 

@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 
 from basketline.llm.text import pieces
 
-CACHE_PIECES = 800_000  # pieces that a worker remembers before it starts anew
+CACHE_PIECES = 400_000  # pieces that a worker remembers before it starts anew
 OTHER_SPACE = re.compile(r"[^\S \t-\r]")
 LATIN = re.compile("( ?)([A-Za-zÀ-ÖØ-öø-įı-ɏ]+)")  # letters that lower-case to one letter
 
