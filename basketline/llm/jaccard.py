@@ -321,15 +321,18 @@ class SetJoin:
         larger = F.least(F.col("n_max"), F.floor(F.col("n") * 100 / F.lit(percent)))
         smaller = F.greatest(F.col("n_min"), F.ceil(F.col("n") * percent / F.lit(100)))
         able = F.least(self._shared_needed(F.col("n"), larger), self._shared_needed(smaller, F.col("n")))
-        tagged = written(tagged.withColumn("alive", F.col("f") >= able).where(F.col("alive") | (F.col("m") <= BUCKET))
-                         .select("t", "gid", "n", "f", "c", "split", "alive"), "open-lists")
-        x, y = (tagged.select("t", *[F.col(c).alias(f"{c}_{s}") for c in ("gid", "n", "f", "c", "split", "alive")]) for s in "xy")
+        stays = (F.col("f") >= able) | (F.col("m") <= BUCKET)
+        # a group may stay in one long list and not in another: `left` counts those that it is left out of
+        left = F.sum(F.when(F.col("stays"), 0).otherwise(1)).over(Window.partitionBy("gid"))
+        tagged = written(tagged.withColumn("stays", stays).withColumn("left", left).where("stays")
+                         .select("t", "gid", "n", "f", "c", "split", "left"), "open-lists")
+        x, y = (tagged.select("t", *[F.col(c).alias(f"{c}_{s}") for c in ("gid", "n", "f", "c", "split", "left")]) for s in "xy")
         ordered = (F.col("n_x") < F.col("n_y")) | ((F.col("n_x") == F.col("n_y")) & (F.col("gid_x") < F.col("gid_y")))
         apart = (F.col("c_x") != F.col("c_y")) | F.col("split_x") | F.col("split_y")
         pairs = x.join(y, "t").where(ordered & apart & (F.col("n_x") * 100 >= F.col("n_y") * percent))
-        hidden = F.when(F.col("alive_x") & F.col("alive_y"), F.lit(0)).otherwise(F.least("f_x", "f_y"))
+        hidden = F.least("f_x", "f_y", F.col("left_x") + F.col("left_y"))  # lists that both hold and do not meet in, at most
         pairs = (pairs.groupBy("gid_x", "gid_y").agg(F.count(F.lit(1)).alias("shared"), F.first("n_x").alias("n_x"), F.first("n_y").alias("n_y"),
-                                                     F.max(hidden).alias("hidden"))
+                                                     F.first(hidden).alias("hidden"))
                  .where(F.col("shared") + F.col("hidden") >= self._shared_needed(F.col("n_x"), F.col("n_y"))).select("gid_x", "gid_y"))
         same = group.where("split").select(F.col("gid").alias("gid_x"), F.col("gid").alias("gid_y"))
         members = [placed.select(F.col("gid").alias(f"gid_{s}"), F.col("sid").alias(f"sid_{s}"), F.col("c").alias(f"c_{s}")) for s in "xy"]

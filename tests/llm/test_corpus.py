@@ -163,6 +163,20 @@ def test_large_group_of_near_copies(spark, monkeypatch):
     assert got == classes_by_pairs(rows)
 
 
+def test_letters_from_two_templates(spark):
+    """A longer letter holds what two of the shorter ones share besides their template: their link must not get lost."""
+    words = lambda name, n: [f"{name}{k}" for k in range(n)]
+    short, long, both = words("s", 84), words("l", 102), words("b", 5)
+    texts = [short + (both if i < 2 else words(f"x{i}y", 5)) + words(f"x{i}z", 11) for i in range(50)]
+    texts += [long + both + words("top", 13)] + [long + words(f"v{i}w", 18) for i in range(50)]
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.near_duplicate_classes(spark.createDataFrame(rows, "doc_id bigint, text string"), 1).collect()}
+    sets = [set(t) for t in texts]
+    links = [(i, j) for j in range(len(sets)) for i in range(j) if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])]
+    assert jaccard.BUCKET == 32 and links == [(0, 1)]
+    assert got == {i: 0 if i == 1 else i for i in range(len(texts))}
+
+
 def test_one_of_each(odd_docs, docs):
     for df in (odd_docs, docs):
         kept = jaccard.one_of_each(df)
