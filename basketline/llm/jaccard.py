@@ -318,10 +318,7 @@ class SetJoin:
                                         F.min("n").alias("n_min"), F.max("n").alias("n_max"))
         open_lists = whole.where("any OR lo <> hi").select("t", "n_min", "n_max")
         tagged = tagged.join(open_lists, "t")
-        larger = F.least(F.col("n_max"), F.floor(F.col("n") * 100 / F.lit(percent)))
-        smaller = F.greatest(F.col("n_min"), F.ceil(F.col("n") * percent / F.lit(100)))
-        able = F.least(self._shared_needed(F.col("n"), larger), self._shared_needed(smaller, F.col("n")))
-        stays = (F.col("f") >= able) | (F.col("m") <= BUCKET)
+        stays = (F.col("f") >= self._least_needed(F.col("n"), F.col("n_min"), F.col("n_max"))) | (F.col("m") <= BUCKET)
         # a group may stay in one long list and not in another: `left` counts those that it is left out of
         left = F.sum(F.when(F.col("stays"), 0).otherwise(1)).over(Window.partitionBy("gid"))
         tagged = written(tagged.withColumn("stays", stays).withColumn("left", left).where("stays")
@@ -345,6 +342,17 @@ class SetJoin:
         rest = F.greatest(F.ceil(smaller * self.percent / F.lit(100)), F.ceil(larger * self.percent / F.lit(100))) - 1
         return F.greatest(F.lit(1), least_overlap(smaller, larger, self.percent) - rest)
 
+    def _least_needed(self, n: Column, n_min: Column, n_max: Column) -> Column:
+        """The smallest _shared_needed of a set of n hashes and any of n_min to n_max that it can link with.
+
+        It rises with the smaller size. With the larger one it falls by p * p / (1 + p) a hash, p being the
+        similarity, but for two roundings up, so that its smallest value is among the last few sizes.
+        """
+        last = -(-100 * (100 + self.percent) // self.percent ** 2)
+        larger = F.least(n_max, F.floor(n * 100 / F.lit(self.percent)))
+        smaller = F.greatest(n_min, F.ceil(n * self.percent / F.lit(100)))
+        return F.least(self._shared_needed(smaller, n), *[self._shared_needed(n, F.greatest(n, larger - k)) for k in range(last)])
+
 
 def _group(prefix_hashes: np.ndarray, n: int) -> int:
     return digest(np.append(np.sort(prefix_hashes), np.uint64(n)))

@@ -177,6 +177,38 @@ def test_letters_from_two_templates(spark):
     assert got == {i: 0 if i == 1 else i for i in range(len(texts))}
 
 
+def test_partner_that_needs_least(spark, monkeypatch):
+    """Of 13, 14 and 15 words, two sets of 13 and 14 share least; that link is seen in a long list alone."""
+    import numpy as np
+
+    monkeypatch.setattr(jaccard, "BUCKET", 4)
+    import pyarrow as pa
+
+    words = [f"w{k}" for k in range(200)]
+    order = np.argsort([s[0] for s in jaccard.shingle_sets(pa.array(words), 1)])
+    it = iter([words[k] for k in order])  # by hash, which is the order of prefixes as all words are frequent
+    take = lambda n: [next(it) for _ in range(n)]
+    own, line, more = take(3), take(1), take(1)
+    common = line + take(11)
+    texts = [own[:1] + common, own[1:] + common] + [line + more + take(n - 2) for n in (13, 13, 13, 13, 13, 15)]
+    rows = [(10 * i + k, " ".join(t)) for i, t in enumerate(texts) for k in range(6)]  # copies make all words frequent
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.near_duplicate_classes(spark.createDataFrame(rows, "doc_id bigint, text string"), 1).collect()}
+    assert got == {d: 0 if d < 20 else d // 10 * 10 for d, _ in rows}
+
+
+@pytest.mark.parametrize("percent", [50, 80, 93])
+def test_least_needed_of_every_partner(spark, percent):
+    need = lambda a, b: max(1, -(-(a + b) * percent // (100 + percent)) - (-(-b * percent // 100) - 1))
+    cases = []
+    for n in range(1, 80):
+        partners = [p for p in range(1, 170) if 100 * min(n, p) >= percent * max(n, p)]
+        cases += [(n, lo, hi, min(need(min(n, p), max(n, p)) for p in partners if lo <= p <= hi))
+                  for lo in range(max(1, n - 12), n + 1) for hi in range(n, n + 90, 1 + n // 20)]
+    join = jaccard.SetJoin(spark.createDataFrame([(1, "a")], "doc_id bigint, text string"), 1, percent)
+    rows = spark.createDataFrame(cases, "n bigint, lo bigint, hi bigint, want bigint")
+    assert rows.where(join._least_needed(F.col("n"), F.col("lo"), F.col("hi")) != F.col("want")).limit(5).collect() == []
+
+
 def test_one_of_each(odd_docs, docs):
     for df in (odd_docs, docs):
         kept = jaccard.one_of_each(df)
