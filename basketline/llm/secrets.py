@@ -46,7 +46,9 @@ BASE = (
 )
 # Well-known shapes of further secrets.
 MORE = (
-    Rule("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
+    # from BEGIN through END; without END, as far as there are characters of a key block
+    Rule("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"
+                r"(?:[A-Za-z0-9+/=\x20\t\r\n:,\\-]*?-----END [A-Z ]*PRIVATE KEY-----|[A-Za-z0-9+/=\x20\t\r\n:,\\-]*)"),
     Rule("forge", r"gh[pousr]_[A-Za-z0-9]{36,}"),
     Rule("webtoken", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
 )
