@@ -8,9 +8,12 @@ model is kept as one sorted array of 64-bit window hashes for each order, with o
 log-probabilities for each language.
 
 A text's cross-entropy is its mean cost by letter; the language with the lowest wins, and ties go
-to the first language by name. Rejection is calibrated on labelled documents that the model did not
-see: for each language, the middle and the spread of the winning cross-entropy by length of text
-give a limit for texts of any length, and what lies above it is rejected.
+to the first language by name. For rejection, each line, or window of `WINDOW` pieces of it, is costed in its own best
+language, so that a text that mixes learned languages costs no more than one of each. The limits are
+calibrated on labelled documents that the model did not see, whole and cut short: for each language,
+the middle, the spread by length and a quantile of the distance in spreads give a limit for texts of
+any length, and what lies above it is rejected. A language with few such documents has the limit of
+all languages; if there is none, what costs more than letters drawn evenly is rejected.
 
 Defined results: a null text, or one without a letter, is `und`, score 0 and rejected; if nothing
 is labelled, every text is `und`; equal texts have equal results; rows without a doc_id take no
@@ -34,7 +37,11 @@ ORDER = 4
 SAMPLE_ROWS = 1500     # labelled documents of a language that its model is fitted on, about
 MAX_LANGUAGES = 1000   # the most frequent languages are learned
 HELD_OUT, CALIBRATION = 0, 1  # folds of the id that are not learned from, and that the limits are set on
-LIMIT_SPREADS = 70.0   # how many spreads above the middle a cross-entropy is still accepted
+WINDOW = 8             # pieces of a line that are costed in one language
+CUTS, LEAST_LETTERS = (8, 32, 128), 20  # pieces that calibration texts are cut to, and letters that are left at least
+QUANTILE, MARGIN = 0.99, 3.0  # the limit is MARGIN times as far from the middle as this quantile, in spreads
+LEAST_SPREADS, MOST_SPREADS = 10.0, 25.0
+LEAST_ROWS = 10        # calibration texts of a language, below which it has the limit of all languages
 UNKNOWN = "und"
 CACHE_PIECES = 250_000
 
@@ -79,7 +86,7 @@ class Model:
     contexts: list[np.ndarray]   # for orders 2..ORDER: sorted hashes of contexts
     backoffs: list[np.ndarray]   # (contexts, languages): -log2 of the weight of the lower order
     unseen: np.ndarray           # (languages): cost of a symbol that no language has
-    limits: np.ndarray | None = None  # (languages, 2): middle and spread of accepted cross-entropies
+    limits: np.ndarray | None = None  # (languages, 4), see limit_at()
 
     def cost(self, before: np.ndarray) -> np.ndarray:
         """(windows, languages) costs in bits."""
@@ -168,8 +175,11 @@ class Scorer:
         self.slots: dict[str, int] = {}
         self.costs = np.zeros((1024, len(self.model.languages) + 1))
 
-    def texts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """(predictions in each text, (texts, languages) mean costs in bits)."""
+    def texts(self, texts: pa.Array, most: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(predictions in each text, (texts, languages) mean costs in bits, mean costs with the best language of each window).
+
+        With `most`, of the first pieces of each text only.
+        """
         first, cut = pieces(texts)
         coded = cut.dictionary_encode()
         words = coded.dictionary.to_pylist()
@@ -187,16 +197,33 @@ class Scorer:
             self.costs[n:n + k, -1] = np.bincount(item, minlength=k)[:k]
             self.slots.update(zip(new, range(n, n + k)))
         slot = np.fromiter(map(self.slots.__getitem__, words), np.int64, len(words))[coded.indices.to_numpy()]
+        held = np.diff(first) if most is None else np.minimum(np.diff(first), most)
+        text, at = np.repeat(np.arange(len(texts)), np.diff(first)), np.arange(len(slot))
+        line = np.array(["\n" in w for w in words], bool)[coded.indices.to_numpy()] | (at == first[text])
+        starts = np.flatnonzero((at - np.maximum.accumulate(np.where(line, at, 0))) % WINDOW == 0)
+        stops = np.append(starts[1:], len(slot))
+        text = text[starts]
+        used = starts < (first[:-1] + held)[text]
+        starts, text = starts[used], text[used]
+        stops = np.minimum(stops[used], (first[:-1] + held)[text])
         total = np.zeros((len(texts), self.costs.shape[1]))
+        least = np.full(len(text), np.inf)
         for j in range(total.shape[1]):
-            total[:, j] = np.diff(np.append(0.0, np.cumsum(self.costs[slot, j]))[first])
+            upto = np.append(0.0, np.cumsum(self.costs[slot, j]))
+            total[:, j] = upto[first[:-1] + held] - upto[first[:-1]]
+            if j < total.shape[1] - 1:
+                least = np.minimum(least, upto[stops] - upto[starts])
         n = np.rint(total[:, -1]).astype(np.int64)
-        return n, total[:, :-1] / np.maximum(n, 1)[:, None]
+        return n, total[:, :-1] / np.maximum(n, 1)[:, None], np.bincount(text, least, len(texts)) / np.maximum(n, 1)
+
+
+def spread_at(limits: np.ndarray, n: np.ndarray) -> np.ndarray:
+    return np.sqrt(limits[..., 1] ** 2 / np.maximum(n, 1) + limits[..., 2] ** 2)
 
 
 def limit_at(limits: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """The highest accepted cross-entropy for n predictions, given rows (middle, spread at one prediction, spread of long texts)."""
-    return limits[:, 0] + LIMIT_SPREADS * np.sqrt(limits[:, 1] ** 2 / np.maximum(n, 1) + limits[:, 2] ** 2)
+    """The highest accepted cost for n predictions, given rows (middle, spread at one prediction, spread of long texts, accepted spreads)."""
+    return limits[..., 0] + limits[..., 3] * spread_at(limits, n)
 
 
 def sampled(docs: DataFrame, sample_rows: int) -> tuple[list[str], DataFrame]:
@@ -247,26 +274,37 @@ def fit(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model | None:
         scorer = Scorer(model)
         for batch in batches:
             for rows, texts in slices(batch):
-                n, cost = scorer.texts(texts)
+                n, cost, mixed = scorer.texts(texts)
                 best, right = cost.argmin(1), np.array([names[x] for x in rows.column("lang").to_pylist()])
                 use = (n > 0) & (best == right)
-                yield pa.RecordBatch.from_arrays([pa.array(best[use]), pa.array(n[use]), pa.array(cost.min(1)[use])], names=["language", "n", "cost"])
+                yield _rows(best[use], n[use], mixed[use], True)
+                for most in CUTS:
+                    some, _, mixed = scorer.texts(texts, most)
+                    cut = use & (some >= LEAST_LETTERS) & (some < n)
+                    yield _rows(best[cut], some[cut], mixed[cut], False)
 
-    seen = (sample.where(F.col("fold") == CALIBRATION).mapInArrow(calibrate, "language bigint, n bigint, cost double")
+    seen = (sample.where(F.col("fold") == CALIBRATION).mapInArrow(calibrate, "language bigint, n bigint, cost double, whole boolean")
             .toArrow())  # bounded by the sample
-    language, n, cost = (seen[c].to_numpy() for c in ("language", "n", "cost"))
-    model.limits = np.array([_limits(n[language == k], cost[language == k]) for k in range(len(languages))])
+    language, n, cost, whole = (seen[c].to_numpy() for c in ("language", "n", "cost", "whole"))
+    even = (float(np.log2(len(model.grams[0]) + 1)), 0.0, 0.0, 0.0)
+    together = _limits(n, cost, whole) if whole.any() else even
+    own = [language == k for k in range(len(languages))]
+    model.limits = np.array([_limits(n[k], cost[k], whole[k]) if whole[k].sum() >= LEAST_ROWS else together for k in own])
     return model
 
 
-def _limits(n: np.ndarray, cost: np.ndarray) -> tuple[float, float, float]:
-    """Middle, spread at one prediction, and spread between long texts; without rows, all is accepted."""
-    if len(n) < 10:
-        return float("inf"), 0.0, 0.0
-    middle = float(np.median(cost))
-    away = np.abs(cost - middle)
-    short = float(np.median(away * np.sqrt(n))) * 1.4826
-    return middle, max(short, 1.0), float(np.median(away)) * 1.4826
+def _rows(language: np.ndarray, n: np.ndarray, cost: np.ndarray, whole: bool) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pydict({"language": pa.array(language), "n": pa.array(n), "cost": pa.array(cost), "whole": pa.array(np.full(len(n), whole))})
+
+
+def _limits(n: np.ndarray, cost: np.ndarray, whole: np.ndarray) -> tuple[float, float, float, float]:
+    """A row for limit_at(): middle and spreads are those of whole texts, their number of cut ones too."""
+    middle = float(np.median(cost[whole]))
+    away = np.abs(cost[whole] - middle)
+    short = float(np.median(away * np.sqrt(n[whole]))) * 1.4826
+    row = np.array([middle, max(short, 1.0), float(np.median(away)) * 1.4826])
+    far = float(np.quantile((cost - middle) / spread_at(row, n), QUANTILE))
+    return *map(float, row), float(np.clip(MARGIN * far, LEAST_SPREADS, MOST_SPREADS))
 
 
 def identify(docs: DataFrame, model: Model | None, whole_rows: bool = False) -> DataFrame:
@@ -284,11 +322,11 @@ def identify(docs: DataFrame, model: Model | None, whole_rows: bool = False) ->
         for batch in batches:
             for rows, texts in slices(with_row_text(batch) if whole_rows else batch):
                 if scorer:
-                    n, cost = scorer.texts(texts)
+                    n, cost, mixed = scorer.texts(texts)
                     best, bits = cost.argmin(1), cost.min(1)
                     gap = (bits[:, None] - cost) * np.log(2) * np.minimum(n, 50)[:, None]
                     score = np.where(n > 0, 1 / np.exp(gap).sum(1), 0.0)
-                    rejected = (n == 0) | (bits > limit_at(scorer.model.limits[best], n))
+                    rejected = (n == 0) | (mixed > limit_at(scorer.model.limits[best], n))
                     language = [scorer.model.languages[b] if k else UNKNOWN for b, k in zip(best, n)]
                 else:
                     score, rejected = np.zeros(len(texts)), np.ones(len(texts), bool)

@@ -355,6 +355,23 @@ def test_languages(spoken):
     assert kept.columns == spoken.columns and {900, 901, 902, 903}.isdisjoint(r["doc_id"] for r in kept.collect())
 
 
+def test_limits_are_tight(spark, spoken):
+    """Random letters and an unlearned language are rejected, also next to a learned one with few rows; mixed texts are not."""
+    import random
+
+    rnd = random.Random(9)
+    noise = lambda n: " ".join("".join(rnd.choice("abeijklmnoqrstuvwyz") for _ in range(6)) for _ in range(n))
+    other = lambda n: " ".join("".join(rnd.choice(("mik", "uro", "nela", "bati")) for _ in range(rnd.randint(1, 3))) for _ in range(n))
+    texts = [f(n) for f in (noise, other) for n in (30, 200) for _ in range(10)]
+    mixed = [speech(rnd, "aa", 60) + "\n" + speech(rnd, b, 60) for b in ("bb", "cc") * 5]
+    rows = [(2000 + i, t, None) for i, t in enumerate(texts + mixed)]
+    model = langid.fit(spoken)
+    got = {r["doc_id"]: r["rejected"] for r in langid.identify(spark.createDataFrame(rows, spoken.schema), model).collect()}
+    assert [got[d] for d, _, _ in rows] == [True] * len(texts) + [False] * len(mixed)
+    few = spoken.where("lang <> 'cc' OR doc_id < 60")
+    assert langid.np.isfinite(langid.fit(few).limits).all()
+
+
 def test_probabilities_sum_to_one(spoken):
     import numpy as np
 
