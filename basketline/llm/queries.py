@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from basketline.llm import brown, fingerprints, jaccard, langid, mixing, packing, secrets, sql, token_counts, token_files, topk
+from basketline.llm import brown, conversations, fingerprints, jaccard, langid, mixing, packing, secrets, sql, token_counts, token_files, topk
 from basketline.llm.common import table
 from basketline.session import scratch_path
 
@@ -64,6 +64,10 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, langid.fit(docs))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.repair(conversations.damaged(table(spark, sf_dir, "conversations")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secrets": op1_secrets,
     "op2_fingerprints": op2_fingerprints,
@@ -75,5 +79,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_top_k": op8_top_k,
     "op9_token_counts": op9_token_counts,
     "op10_language_id": op10_language_id,
+    "op11_conversation_repair": op11_conversation_repair,
 }
 ORACLE_SQL: dict[str, str] = {"op1_secrets": sql.SECRETS, "op4_jaccard_join": sql.JACCARD, "op6_mixing": sql.MIXING, "op8_top_k": sql.TOP_K}
