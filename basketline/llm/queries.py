@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from basketline.llm import brown, conversations, fingerprints, jaccard, langid, mixing, packing, secrets, sql, token_counts, token_files, topk
+from basketline.llm import (brown, collocations, conversations, fingerprints, jaccard, langid, mixing, packing, secrets, sql,
+                            suffixes, token_counts, token_files, topk)
 from basketline.llm.common import table
 from basketline.session import scratch_path
 
@@ -68,6 +69,14 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.repair(conversations.damaged(table(spark, sf_dir, "conversations")))
 
 
+def op12_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.remove_repeats(table(spark, sf_dir, "documents"))
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secrets": op1_secrets,
     "op2_fingerprints": op2_fingerprints,
@@ -80,5 +89,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_token_counts": op9_token_counts,
     "op10_language_id": op10_language_id,
     "op11_conversation_repair": op11_conversation_repair,
+    "op12_suffix_dedup": op12_suffix_dedup,
+    "op13_collocations": op13_collocations,
 }
 ORACLE_SQL: dict[str, str] = {"op1_secrets": sql.SECRETS, "op4_jaccard_join": sql.JACCARD, "op6_mixing": sql.MIXING, "op8_top_k": sql.TOP_K}
