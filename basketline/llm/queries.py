@@ -92,4 +92,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op12_suffix_dedup": op12_suffix_dedup,
     "op13_collocations": op13_collocations,
 }
-ORACLE_SQL: dict[str, str] = {"op1_secrets": sql.SECRETS, "op4_jaccard_join": sql.JACCARD, "op6_mixing": sql.MIXING, "op8_top_k": sql.TOP_K}
+ORACLE_SQL: dict[str, str] = {"op1_secrets": sql.SECRETS, "op4_jaccard_join": sql.JACCARD, "op6_mixing": sql.MIXING, "op8_top_k": sql.TOP_K,
+                              "op11_conversation_repair": sql.REPAIR, "op12_suffix_dedup": sql.REPEATS, "op13_collocations": sql.COLLOCATIONS}
