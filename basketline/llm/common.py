@@ -31,6 +31,25 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+class Scratch:
+    """Written tables of one flow, each deleted once the tables made from it are written."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, {}
+
+    def write(self, df: DataFrame, name: str) -> DataFrame:
+        self.paths[name] = scratch_path(self.spark, name)
+        df.write.parquet(self.paths[name])
+        return self.spark.read.parquet(self.paths[name])
+
+    def drop(self, *names: str) -> None:
+        """Delete tables, and let Spark's cleaner drop the shuffle files of plans that are no longer held."""
+        for name in names:
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(self.paths.pop(name))
+            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        self.spark._jvm.System.gc()
+
+
 def with_text(rows: DataFrame, row: str, text: Column, columns: list[str]) -> DataFrame:
     """The struct column `row` as columns again, with another text and, if it is there, n_chars."""
     changed = {"text": text, "n_chars": F.char_length(text).cast("bigint")}

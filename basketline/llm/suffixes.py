@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from basketline.llm.common import documents, written
+from basketline.llm.common import Scratch, documents
 from basketline.llm.rolling import Prefixes, ragged
 from basketline.llm.text import mix, raw, slices
 
@@ -107,18 +107,26 @@ def in_groups(rows: DataFrame, digit: list[str]) -> DataFrame:
     return rows.join(groups, digit, "left_semi")
 
 
-def repeated_runs(found: DataFrame, docs: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, digest, start, end) of stretches that are repeated whole, and of repeated parts of the other runs."""
-    key = ["gram", "stretch"]
-    left = written(in_groups(found, ["gram"]), "suffixes-by-gram")
+def repeated_spans(docs: DataFrame, length: int, gram: int) -> DataFrame:
+    """doc_id, digest, start, end: overlapping repeated spans of docs (doc_id, text, digest), as a written table."""
+    key, scratch = ["gram", "stretch"], Scratch(docs.sparkSession)
+    found = scratch.write(led_runs(docs, length, gram), "suffixes")
+    left = scratch.write(in_groups(found, ["gram"]), "suffixes-by-gram")
+    scratch.drop("suffixes")
     one = [F.first(c).alias(c) for c in ("doc_id", "digest", "first", "size", "place")]  # any copy will do
-    stretches = written(left.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), *one), "suffixes-by-stretch")
+    stretches = scratch.write(left.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), *one), "suffixes-by-stretch")
     whole = left.join(stretches.where("n > 1").select(*key), key, "left_semi").select(
         "doc_id", "digest", F.col("first").alias("start"), (F.col("first") + F.col("size") - 1 + length).alias("end"))
+    spans = scratch.write(whole, "repeated-stretches")
+    scratch.drop("suffixes-by-gram")
     # groups of a gram that hold a run without a copy, and another run
     open_grams = stretches.groupBy("gram").agg(F.count(F.lit(1)).alias("kinds"), F.min("n").alias("least")).where("kinds > 1 and least = 1")
-    kept = stretches.join(open_grams.select("gram"), "gram", "left_semi").select(*key, "n", "doc_id", "digest", "first", "size", "place")
-    return whole, parts_of_runs(written(with_bytes(kept, docs, length), "suffix-bytes"), length)
+    rest = stretches.join(open_grams.select("gram"), "gram", "left_semi").select(*key, "n", "doc_id", "digest", "first", "size", "place")
+    rest = scratch.write(with_bytes(rest, docs, length), "suffix-bytes")
+    scratch.drop("suffixes-by-stretch")
+    spans = spans.unionByName(scratch.write(parts_of_runs(rest, length), "repeated-parts"))
+    scratch.drop("suffix-bytes")
+    return spans
 
 
 def with_bytes(kept: DataFrame, docs: DataFrame, length: int) -> DataFrame:
@@ -223,15 +231,9 @@ def without_spans(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(remove, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
 
 
-def repeated_spans(docs: DataFrame, length: int, gram: int) -> DataFrame:
-    """doc_id, digest, starts, ends: overlapping repeated spans of each text; docs with doc_id, text and digest."""
-    found = written(led_runs(docs, length, gram), "suffixes")
-    whole, parts = repeated_runs(found, docs, length)
-    return whole.unionByName(parts).groupBy("doc_id", "digest").agg(F.collect_list("start").alias("starts"), F.collect_list("end").alias("ends"))
-
-
 def remove_repeats(df: DataFrame, length: int = LENGTH, gram: int | None = None) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every document without its repeated passages."""
     docs = documents(df, F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("digest"))
     spans = repeated_spans(docs, length, gram or max(1, length // 4))
+    spans = spans.groupBy("doc_id", "digest").agg(F.collect_list("start").alias("starts"), F.collect_list("end").alias("ends"))
     return without_spans(docs.join(spans, ["doc_id", "digest"], "left").select("doc_id", "text", "starts", "ends"))
