@@ -36,7 +36,7 @@ from basketline.llm.text import LOWER, mix, raw, slices
 
 MOST_WORDS, LEAST_COUNT, REPORT = 3, 10, 2000
 PARTS_PER_MILLION, COVERED_PERCENT = 1_000_000, 50
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 2_000_000
 BLOCKS_A_BUCKET = 3
 BITS = 48
 
