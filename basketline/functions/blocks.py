@@ -32,8 +32,16 @@ def top_columns(scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     return np.take_along_axis(part, order, axis=1), np.take_along_axis(values, order, axis=1)
 
 
-def pair_counts(baskets: Iterable[np.ndarray], cells: int = CELLS) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(a, b, how often) of the column pairs a <= b in sorted baskets, at most `cells` pairs at once.
+def ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """starts[0], starts[0] + 1, ... of each range, one range after the other."""
+    ends = np.cumsum(sizes)
+    if not len(ends):
+        return np.empty(0, np.int64)
+    return np.arange(ends[-1]) + np.repeat(starts - (ends - sizes), sizes)
+
+
+def pair_counts(halves: Iterable[tuple[np.ndarray, np.ndarray]], cells: int = CELLS) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(a, b, how often) of the column pairs a <= b with a in a slice of a sorted basket and b in the rest from there, `cells` at once.
 
     A pair may come several times; the counts are to be added up.
     """
@@ -44,11 +52,11 @@ def pair_counts(baskets: Iterable[np.ndarray], cells: int = CELLS) -> Iterator[t
         found, times = np.unique(np.concatenate(waiting), return_counts=True)
         return found >> 31, found & 0x7FFFFFFF, times
 
-    for basket in baskets:
-        step = max(1, cells // max(1, len(basket)))
-        for start in range(0, len(basket), step):
-            left = basket[start:start + step]
-            codes = (left[:, None] << 31 | basket[None, :])[left[:, None] <= basket[None, :]]
+    for own, rest in halves:
+        step = max(1, cells // max(1, len(rest)))
+        for start in range(0, len(own), step):
+            left, right = own[start:start + step], rest[start:]
+            codes = (left[:, None] << 31 | right[None, :])[left[:, None] <= right[None, :]]
             waiting.append(codes)
             size += len(codes)
             if size >= cells:

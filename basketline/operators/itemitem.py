@@ -2,24 +2,35 @@
 
 Co-occurrence is counted sparsely: each task counts the pairs of its customers' baskets in bounded
 batches, and only counted cells are shuffled. No task holds a matrix of the catalogue and nothing
-comes back to the driver; a large basket is counted a slice at a time.
+comes back to the driver; a large basket is cut into slices that are counted in different tasks.
+
+Lists are a sparse product by request: a block of customers asks once for the similarity rows of the
+articles it owns, and adds them up in one accumulator per customer. No row per (customer, owned
+article, neighbour) exists, and a best seller's row travels in slices.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from basketline.functions import blocks
 from basketline.functions.ids import dense_index
-from basketline.functions.lists import to_lists, top_k
+from basketline.functions.lists import to_lists
 from basketline.operators.popularity import K, article_counts, count_order
 from basketline.session import materialize, spread
 
+PAIR_COLUMNS = 1024  # of a basket, paired with the rest of it in one go
+ROW_COLUMNS = 8192  # a similarity row is cut at multiples of it
+BASKET_COLUMNS = 4096  # of a basket, scored in one block
+BLOCK_COLUMNS = 1 << 14  # basket entries of a block of customers
+
 
 def catalogue(history: DataFrame, n_items: int | None = None) -> DataFrame:
     """(article_id, col): articles numbered 0.. in popularity order, all of them or the n best sellers."""
@@ -45,14 +56,24 @@ def baskets(pairs: DataFrame) -> DataFrame:
     return pairs.groupBy("customer_id").agg(F.sort_array(F.collect_list("col")).alias("cols"))
 
 
-def cooccurrence(customer_baskets: DataFrame) -> DataFrame:
+def sliced(customer_baskets: DataFrame, columns: int, *more: str | Column) -> DataFrame:
+    """customer_id, part, own, ...: each basket in slices of at most `columns` columns."""
+    parts = F.transform(F.sequence(F.lit(0), F.ceil(F.size("cols") / columns).cast("int") - 1),
+                        lambda p: F.slice("cols", p * columns + 1, columns))
+    return customer_baskets.select("customer_id", *more, F.posexplode(parts).alias("part", "own"))
+
+
+def cooccurrence(customer_baskets: DataFrame, columns: int = PAIR_COLUMNS) -> DataFrame:
     """(a, b, together) for a <= b: customers holding both columns."""
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for a, b, n in blocks.pair_counts(np.asarray(c, dtype=np.int64) for c in batch["cols"]):
+            pairs = ((np.asarray(own, np.int64), np.asarray(rest, np.int64)) for own, rest in zip(batch["own"], batch["rest"]))
+            for a, b, n in blocks.pair_counts(pairs):
                 yield pd.DataFrame({"a": a, "b": b, "together": n})
 
-    partial = spread(customer_baskets.select("cols")).mapInPandas(count, "a bigint, b bigint, together bigint")
+    rest = F.slice("cols", F.col("part") * columns + 1, F.size("cols")).alias("rest")  # from the slice's first column on
+    halves = sliced(customer_baskets, columns, "cols").select("own", rest)
+    partial = spread(halves).mapInPandas(count, "a bigint, b bigint, together bigint")
     return partial.groupBy("a", "b").agg(F.sum("together").alias("together"))
 
 
@@ -70,15 +91,55 @@ def both_ways(upper: DataFrame) -> DataFrame:
     return upper.unionByName(upper.filter("a < b").select(F.col("b").alias("a"), F.col("a").alias("b"), "sim"))
 
 
+def similarity_rows(upper: DataFrame, columns: int = ROW_COLUMNS) -> DataFrame:
+    """(a, cols, sims): each article's neighbours side by side, in slices of `columns` consecutive columns."""
+    cells = both_ways(upper).withColumn("part", F.expr(f"b div {columns}"))
+    return cells.groupBy("a", "part").agg(F.collect_list(F.struct(F.col("b").cast("int").alias("b"), "sim")).alias("row")).select(
+        "a", F.col("row.b").alias("cols"), F.col("row.sim").alias("sims"))
+
+
+def added_up(baskets: Sequence[np.ndarray], rows: pa.Table, n_items: int) -> Iterator[np.ndarray]:
+    """The sum of the similarity rows of each basket, over all columns."""
+    at = rows["a"].to_numpy()
+    order = np.argsort(at, kind="stable")
+    cols, sims = rows["cols"].combine_chunks(), rows["sims"].combine_chunks()
+    starts, sizes = cols.offsets.to_numpy()[:-1].astype(np.int64)[order], cols.value_lengths().to_numpy()[order]
+    ids, values, at = cols.values.to_numpy(), sims.values.to_numpy(), at[order]
+    for own in baskets:
+        first, last = np.searchsorted(at, own), np.searchsorted(at, own, "right")
+        row = blocks.ranges(first, last - first)
+        cell = blocks.ranges(starts[row], sizes[row])
+        yield np.bincount(ids[cell], values[cell], n_items)
+
+
+def best_columns(scores: np.ndarray, owned: Sequence[np.ndarray], k: int, exclusion: bool) -> Iterator[np.ndarray]:
+    """The k best columns of each row; columns without a score follow in their order, owned ones never with exclusion."""
+    if exclusion:
+        scores = scores.copy()
+        for row, own in enumerate(owned):
+            scores[row, own] = -np.inf
+    for cols, values in zip(*blocks.top_columns(scores, k)):
+        yield cols[np.isfinite(values)]
+
+
+LISTS = "customer_id {key}, exclusion boolean, cols array<bigint>"
+SUMS = "customer_id {key}, cols array<int>, sims array<double>"
+
+
 class ItemItem:
     """Fitted item-item model: catalogue, customer baskets and similarity, each a table."""
 
     def __init__(self, history: DataFrame, n_items: int | None = None):
         self.items = materialize(catalogue(history, n_items))
         self.baskets = materialize(baskets(interactions(history, self.items)))
-        self.upper = materialize(cosine(materialize(cooccurrence(self.baskets))))
+        self.upper = materialize(cosine(materialize(cooccurrence(self.baskets, PAIR_COLUMNS))))
         self.similarity = both_ways(self.upper)
 
+    @cached_property
+    def rows(self) -> DataFrame:
+        """The similarity as written rows by article."""
+        return materialize(similarity_rows(self.upper, ROW_COLUMNS))
+
     def similarity_by_article(self) -> DataFrame:
         a = self.items.select(F.col("article_id").alias("item_a"), F.col("col").alias("a"))
         b = self.items.select(F.col("article_id").alias("item_b"), F.col("col").alias("b"))
@@ -87,27 +148,64 @@ class ItemItem:
     def recommend(self, customers: DataFrame, k: int = K, settings: Sequence[bool] = (True, False)) -> DataFrame:
         """(customer_id, exclusion, items) for customers with a basket; all settings from one scoring.
 
-        Zero-score articles fill short lists in popularity order, which is the column order: the first
-        positives + owned + k columns always hold enough of them.
+        Zero-score articles fill short lists in popularity order, which is the column order.
         """
-        wanted = self.baskets.join(customers.select("customer_id"), "customer_id", "left_semi")
-        held = wanted.select("customer_id", F.explode("cols").alias("a"))
-        # equal sums must tie whatever the summation order
-        scored = held.join(self.similarity, "a").groupBy("customer_id", F.col("b").alias("col")).agg(
-            F.round(F.sum("sim"), 9).alias("score")).filter("score > 0")
-        owned = held.withColumnRenamed("a", "col").withColumn("owned", F.lit(True))
-        scored = scored.join(owned, ["customer_id", "col"], "left").withColumn("owned", F.coalesce("owned", F.lit(False)))
-        positives = scored.groupBy("customer_id").agg(F.count(F.lit(1)).alias("n_pos"), F.count_if(~F.col("owned")).alias("n_new"))
-        short = wanted.join(positives, "customer_id", "left").fillna(0, ["n_pos", "n_new"])
-        short = short.filter((F.col("n_pos") < k) | (F.col("n_new") < k))
-        last = F.col("n_pos") + F.size("cols") + k
-        fill = short.select("customer_id", F.explode(F.sequence(F.lit(0).cast("bigint"), last)).alias("col"), F.lit(0.0).alias("score"),
-                            F.lit(False).alias("owned"))
-        fill = fill.join(scored, ["customer_id", "col"], "left_anti").join(self.items, "col", "left_semi").select(*scored.columns)
-        modes = F.array(*[F.when(~F.col("owned") | F.lit(not s), F.lit(s)) for s in settings])
-        pool = scored.unionByName(fill).withColumn("exclusion", F.explode(F.array_compact(modes)))
-        ranked = top_k(pool, ["customer_id", "exclusion"], [F.desc("score"), F.asc("col")], k)
-        return to_lists(ranked.join(self.items, "col"), ["customer_id", "exclusion"])
+        wanted = materialize(self.baskets.join(customers.select("customer_id"), "customer_id", "left_semi"))
+        n_owned, largest = wanted.agg(F.sum(F.size("cols")), F.max(F.size("cols"))).first()
+        n_items = self.items.count()
+        key = wanted.schema["customer_id"].dataType.simpleString()
+
+        def listed(people: pa.Table, sums: Iterator[np.ndarray]) -> Iterator[tuple[list, bool, Iterator[np.ndarray]]]:
+            names, owned = people["customer_id"].to_pylist(), [np.asarray(c, np.int64) for c in people["cols"].to_pylist()]
+            for at in blocks.batch_slices(len(names), n_items):
+                # equal sums must tie whatever the summation order
+                scores = np.round(np.stack([next(sums) for _ in names[at]]), 9)
+                for setting in settings:
+                    yield names[at], setting, best_columns(scores, owned[at], k, setting)
+
+        def lists(people: pa.Table, sums: Iterator[np.ndarray]) -> pa.Table:
+            out: dict[str, list] = {"customer_id": [], "exclusion": [], "cols": []}
+            for names, setting, best in listed(people, sums):
+                out["customer_id"] += names
+                out["exclusion"] += [setting] * len(names)
+                out["cols"] += best
+            return pa.table({"customer_id": pa.array(out["customer_id"], people.schema.field("customer_id").type),
+                             "exclusion": pa.array(out["exclusion"], pa.bool_()), "cols": pa.array(out["cols"], pa.list_(pa.int64()))})
+
+        def whole(people: pa.Table, rows: pa.Table) -> pa.Table:
+            own = [np.asarray(c, np.int64) for c in people["own"].to_pylist()]
+            return lists(people, added_up(own, rows, n_items))
+
+        def partial(people: pa.Table, rows: pa.Table) -> pa.Table:
+            own = [np.asarray(c, np.int64) for c in people["own"].to_pylist()]
+            sums = list(added_up(own, rows, n_items))
+            found = [np.flatnonzero(x) for x in sums]
+            return pa.table({"customer_id": people["customer_id"], "cols": pa.array([f.astype(np.int32) for f in found], pa.list_(pa.int32())),
+                             "sims": pa.array([x[f] for x, f in zip(sums, found)], pa.list_(pa.float64()))})
+
+        def merged(people: pa.Table, parts: pa.Table) -> pa.Table:
+            total = np.zeros(n_items)
+            for cols, sims in zip(parts["cols"], parts["sims"]):
+                total[cols.values.to_numpy()] += sims.values.to_numpy()
+            return lists(people, iter([total]))
+
+        parts = sliced(wanted, BASKET_COLUMNS, "cols")
+        blocks_ = self._with_rows(parts.filter(F.size("cols") <= BASKET_COLUMNS), n_owned or 0)
+        out = blocks_.applyInArrow(whole, LISTS.format(key=key))
+        if (largest or 0) > BASKET_COLUMNS:  # someone's basket is more than a slice: its sums come from several blocks
+            heavy = wanted.filter(F.size("cols") > BASKET_COLUMNS)
+            sums = self._with_rows(parts.filter(F.size("cols") > BASKET_COLUMNS), n_owned).applyInArrow(partial, SUMS.format(key=key))
+            out = out.unionByName(heavy.groupBy("customer_id").cogroup(sums.groupBy("customer_id")).applyInArrow(merged, LISTS.format(key=key)))
+        ranked = out.select("customer_id", "exclusion", F.posexplode("cols").alias("rank", "col")).join(self.items, "col")
+        return to_lists(ranked, ["customer_id", "exclusion"])
+
+    def _with_rows(self, people: DataFrame, n_owned: int):
+        """People (customer_id, part, own) in blocks, each with the similarity rows of the articles it asks for."""
+        n_blocks = max(1, -(-n_owned // BLOCK_COLUMNS))
+        block = F.pmod(F.xxhash64("customer_id", "part"), F.lit(n_blocks))
+        people = people.withColumn("block", block)
+        asked = people.select(F.col("block").alias("by"), F.explode("own").alias("a")).distinct()
+        return people.groupBy("block").cogroup(asked.join(self.rows, "a").groupBy("by"))
 
 
 def with_fallback(personal: DataFrame, customers: DataFrame, fallback: DataFrame,

@@ -1,27 +1,20 @@
-"""Learning to rank on feature rows: boosted trees on LambdaRank gradients, and the rule baselines.
-
-Spark ML has no listwise objective, so the boosting loop is here: each round computes the gradient
-of every row from its customer's current top positions and fits a Spark ML regression tree to it.
-"""
+"""Learning to rank on feature rows: boosted trees on LambdaRank gradients, and the rule baselines."""
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
-from pyspark import StorageLevel
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import DecisionTreeRegressionModel, DecisionTreeRegressor
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from basketline.functions.lists import to_lists, top_k
+from basketline.operators.boosting import Tree, binned, boost, quantile_cuts
 from basketline.operators.features import FEATURES
-from basketline.session import materialize, spread
 
 K = 12
-MISSING = -1e9  # trees need a value; every known feature is above it
 GROUP = ("week", "customer_id")
 DAY_LIMIT = 28
 
@@ -46,126 +39,42 @@ def group_sizes(features: DataFrame, group: Sequence[str] = GROUP) -> DataFrame:
     return features.groupBy(*group).agg(F.count(F.lit(1)).alias("n_rows"), F.sum("label").alias("n_positive"))
 
 
-def assemble(features: DataFrame, columns: Sequence[str] = FEATURES) -> DataFrame:
-    known = features.withColumns({f"_x_{c}": F.coalesce(F.col(c).cast("double"), F.lit(MISSING)) for c in columns})
-    packed = VectorAssembler(inputCols=[f"_x_{c}" for c in columns], outputCol="vector").transform(known)
-    return packed.drop(*[f"_x_{c}" for c in columns])
-
-
-
-def lambda_gradients(rows: DataFrame, truncation: int, sigma: float = 1.0, group: Sequence[str] = GROUP) -> DataFrame:
-    """Adds gradient and hessian columns for NDCG-weighted pairs of unequal label.
-
-    A pair counts when its better-placed row is in the top ``truncation`` positions. Every row
-    compares itself with that short array, and the array's rows collect their share through one
-    windowed sum per position, so the work is rows x truncation and no pair is ever emitted.
-    """
-    whole = Window.partitionBy(*group)
-    placed = rows.withColumn("_pos", F.row_number().over(whole.orderBy(F.desc("score"), F.asc("article_id"))))
-    in_top = F.col("_pos") <= truncation
-    ideal = [0.0]
-    for p in range(1, truncation + 1):
-        ideal.append(ideal[-1] + 1 / math.log2(p + 1))
-    best = F.element_at(F.array(*[F.lit(v) for v in ideal]), F.least(F.col("_n_pos"), F.lit(truncation)).cast("int") + 1)
-    framed = placed.withColumns({
-        "_top": F.sort_array(F.collect_list(F.when(in_top, F.struct(
-            F.col("_pos").alias("pos"), F.col("score").alias("score"), F.col("label").alias("label")))).over(whole)),
-        "_n_pos": F.sum("label").over(whole)})
-
-    def discount(position: Column) -> Column:
-        return F.when(position <= truncation, 1 / F.log2(position + 1)).otherwise(0.0)
-
-    def pair(t: Column) -> Column:
-        """(gradient, hessian) the pair gives to this row; the top row gets the opposite gradient."""
-        sign = F.when(F.col("label") > t["label"], 1.0).otherwise(-1.0)
-        rho = 1 / (1 + F.exp(sigma * sign * (F.col("score") - t["score"])))
-        weight = F.abs(discount(t["pos"]) - discount(F.col("_pos"))) / best
-        counts = (t["pos"] < F.col("_pos")) & (t["label"] != F.col("label"))
-        return F.struct(
-            F.when(counts, sign * sigma * rho * weight).otherwise(0.0).alias("g"),
-            F.when(counts, sigma * sigma * rho * (1 - rho) * weight).otherwise(0.0).alias("h"))
-
-    paired = framed.withColumn("_pairs", F.transform("_top", pair))
-    given = F.struct(*[F.sum(F.coalesce(F.get("_pairs", F.lit(p))["g"], F.lit(0.0))).over(whole).alias(f"g{p}")
-                       for p in range(truncation)],
-                     *[F.sum(F.coalesce(F.get("_pairs", F.lit(p))["h"], F.lit(0.0))).over(whole).alias(f"h{p}")
-                       for p in range(truncation)])
-    shared = paired.withColumn("_given", given)
-
-    def own(part: str) -> Column:
-        return F.aggregate("_pairs", F.lit(0.0), lambda total, p: total + p[part])
-
-    def back(part: str) -> Column:
-        by_position = F.array(*[F.col(f"_given.{part}{p}") for p in range(truncation)])
-        return F.when(in_top, F.get(by_position, F.col("_pos") - 1)).otherwise(0.0)
-
-    return shared.withColumns({"gradient": own("g") - back("g"), "hessian": own("h") + back("h")}).drop(
-        "_pos", "_top", "_n_pos", "_pairs", "_given")
-
-
 @dataclass
 class Ranker:
-    """A sum of regression trees, each scaled by the learning rate."""
+    """A sum of regression trees over binned features, each scaled by the learning rate."""
 
-    trees: list[DecisionTreeRegressionModel] = field(default_factory=list)
-    learning_rate: float = 0.1
+    trees: list[Tree]
+    shares: list[float]
+    cuts: list[np.ndarray]
+    learning_rate: float = 0.05
     columns: Sequence[str] = FEATURES
 
     def score(self, features: DataFrame, out: str = "score") -> DataFrame:
-        rows = assemble(features, self.columns).withColumn(out, F.lit(0.0))
-        for tree in self.trees:
-            rows = (tree.transform(rows).withColumn(out, F.col(out) + self.learning_rate * F.col("_step")).drop("_step"))
-        return rows.drop("vector")
+        trees, cuts, rate, n = self.trees, self.cuts, self.learning_rate, len(self.columns)
 
-    def importances(self) -> list[tuple[str, float]]:
-        """Each feature's share of the gain over all trees."""
-        totals = [0.0] * len(self.columns)
-        for tree in self.trees:
-            for i, v in zip(tree.featureImportances.indices, tree.featureImportances.values):
-                totals[int(i)] += float(v)
-        whole = sum(totals) or 1.0
-        return [(c, t / whole) for c, t in zip(self.columns, totals)]
+        @F.pandas_udf("double")
+        def predict(rows: pd.DataFrame) -> pd.Series:
+            bins = binned([rows.iloc[:, i].to_numpy(np.float64, na_value=np.nan) for i in range(n)], cuts)
+            total = np.zeros(len(rows))
+            for tree in trees:
+                total += rate * tree.values(bins)
+            return pd.Series(total)
 
+        return features.withColumn(out, predict(F.struct(*[F.col(c).cast("double").alias(c) for c in self.columns])))
 
-def drop_cached(frames: list[DataFrame]) -> None:
-    for frame in frames:
-        frame.unpersist()
-    frames.clear()
+    def importances(self) -> list[tuple[str, float]]:
+        """Each feature's share of the gain over all trees."""
+        return list(zip(self.columns, self.shares))
 
 
-def train_ranker(features: DataFrame, rounds: int = 300, learning_rate: float = 0.05, depth: int = 5,
-                 min_rows: int = 50, truncation: int = 30, seed: int = 42, checkpoint_every: int = 5,
+def train_ranker(features: DataFrame, rounds: int = 300, learning_rate: float = 0.05, leaves: int = 63,
+                 min_rows: int = 50, truncation: int = 30, checkpoint_every: int = 10,
                  columns: Sequence[str] = FEATURES) -> Ranker:
-    """Boosting on LambdaRank gradients.
-
-    A tree fitted to gradient / hessian with the hessian as weight splits by the Newton gain and
-    predicts the Newton step in each leaf. Scores are written out every few rounds, so the plan
-    stays short and a lost executor repeats at most those rounds.
-    """
-    rows = assemble(with_positive(features), columns).select(*GROUP, "article_id", "label", "vector")
-    # a fixed width by customer: the windows and every tree fit keep this partitioning
-    rows = spread(materialize(rows.withColumn("score", F.lit(0.0))), *GROUP)
-    ranker = Ranker([], learning_rate, columns)
-    held: list[DataFrame] = []  # cached rounds since the last checkpoint
-    for n in range(rounds):
-        weight = F.greatest("hessian", F.lit(1e-6))
-        graded = lambda_gradients(rows, truncation).withColumn("_w", weight).withColumn(
-            "_target", F.col("gradient") / F.col("_w")).persist(StorageLevel.MEMORY_AND_DISK)
-        tree = DecisionTreeRegressor(
-            featuresCol="vector", labelCol="_target", weightCol="_w", predictionCol="_step", maxDepth=depth,
-            minInstancesPerNode=min_rows, seed=seed).fit(graded)
-        ranker.trees.append(tree)
-        rows = tree.transform(graded).withColumn("score", F.col("score") + learning_rate * F.col("_step")).select(
-            *GROUP, "article_id", "label", "vector", "score")
-        held.append(graded)
-        if (n + 1) % checkpoint_every == 0:
-            rows = spread(materialize(rows), *GROUP)
-            drop_cached(held)
-        else:
-            drop_cached(held[:-1])  # the next round reads this one's rows only
-            held = held[-1:]
-    drop_cached(held)
-    return ranker
+    """Boosting on LambdaRank gradients; ties of the score go to the lower article id."""
+    rows = with_positive(features).select(*GROUP, "article_id", "label", *columns)
+    cuts = quantile_cuts(rows, columns)
+    trees, shares = boost(rows, columns, cuts, GROUP, "article_id", rounds, learning_rate, leaves, min_rows, truncation, checkpoint_every)
+    return Ranker(trees, shares, cuts, learning_rate, columns)
 
 
 def lists_by(rows: DataFrame, order: Sequence[Column], k: int = K, group: Sequence[str] = GROUP) -> DataFrame:

@@ -199,7 +199,7 @@ def m12(spark, sf):
     return candidate_recall(rows, f.segmented_customers(), f.truth, (5, 10, 20), CAND_POP, config)
 
 
-RANKER = {"rounds": 6, "learning_rate": 0.2, "depth": 4, "min_rows": 10, "truncation": 12}
+RANKER = {"rounds": 6, "learning_rate": 0.2, "leaves": 15, "min_rows": 10, "truncation": 12}
 
 
 def ranked_week(spark, sf, discover=False):

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from basketline.functions.blocks import pair_counts, top_columns
-from basketline.operators import als, factors, itemitem, ranker
+from basketline.operators import als, boosting, factors, itemitem, ranker
 from basketline.operators.itemitem import ItemItem, with_fallback
 
 
@@ -49,12 +49,27 @@ def test_item_item_matches_brute_force(history, purchases, n_items):
         assert mine == want, exclude
 
 
+def test_item_item_in_small_blocks(monkeypatch, spark, history, purchases):
+    """Baskets in slices of three and six columns, rows in slices of four, many blocks: the same lists."""
+    for name, size in (("PAIR_COLUMNS", 3), ("ROW_COLUMNS", 4), ("BASKET_COLUMNS", 6), ("BLOCK_COLUMNS", 16)):
+        monkeypatch.setattr(itemitem, name, size)
+    model = ItemItem(history)
+    rows = model.rows.filter("a = 0").collect()  # the best seller's row travels in slices
+    assert len(rows) > 3 and all(len(r["cols"]) <= 4 and len({c // 4 for c in r["cols"]}) == 1 for r in rows)
+    lists = model.recommend(history.select("customer_id").distinct())
+    plan = lists._jdf.queryExecution().toString()
+    assert "FlatMapCoGroupsInArrow" in plan and "sum(sim" not in plan  # no rows of (customer, owned, neighbour) are added up
+    for exclude in (True, False):
+        mine = {r.customer_id: r["items"] for r in lists.collect() if r.exclusion == exclude and r["items"]}
+        assert mine == {c: l for c, l in brute_lists(purchases, None, 12, exclude).items() if l}, exclude
+
+
 @pytest.mark.parametrize("cells", [1, 50, 4_000_000])
 def test_pairs_of_short_and_long_baskets(cells):
     rng = np.random.default_rng(0)
     sets = [np.sort(rng.choice(40, size=s, replace=False)) for s in [1, 2, 5, 8, 9, 30, 40, 0]]
     total = np.zeros((40, 40), dtype=int)
-    for a, b, n in pair_counts(sets, cells):
+    for a, b, n in pair_counts([(s[i:i + 7], s[i:]) for s in sets for i in range(0, len(s), 7)], cells):
         np.add.at(total, (a, b), n)
     want = np.zeros((40, 40), dtype=int)
     for s in sets:
@@ -176,14 +191,79 @@ def brute_lambdas(rows, truncation):
     return out
 
 
-def test_lambda_gradients_match_brute_force(spark, day):
+def test_lambda_gradients_match_brute_force():
     rng = random.Random(7)
-    rows = [{"week": day(0), "customer_id": c, "article_id": a, "label": int(a == c or rng.random() < 0.2),
-             "score": rng.choice([0.0, 0.5, -0.3, 1.2])} for c in range(6) for a in range(15)]
-    df = spark.createDataFrame(rows, "week date, customer_id bigint, article_id bigint, label int, score double")
+    rows = [{"customer_id": c, "article_id": a, "label": int(a == c or rng.random() < 0.2), "score": rng.choice([0.0, 0.5, -0.3, 1.2])}
+            for c in range(6) for a in range(15)]
     want = brute_lambdas(rows, 5)
-    for r in ranker.lambda_gradients(df, 5).collect():
-        assert (r.gradient, r.hessian) == pytest.approx(want[r.customer_id, r.article_id])
+    for c in range(6):
+        own = [r for r in rows if r["customer_id"] == c]
+        g, h = boosting.lambda_gradients(np.array([r["score"] for r in own]), np.array([r["label"] for r in own]), 5)
+        for r, x, y in zip(own, g, h):
+            assert (x, y) == pytest.approx(want[c, r["article_id"]])
+
+
+def brute_tree(bins, g, h, leaves, min_rows):
+    """Best leaf first, by trying every cut of every leaf: {row: value}."""
+    groups, gains = [np.arange(len(bins))], []
+
+    def power(r):
+        return g[r].sum() ** 2 / h[r].sum()
+
+    def best(rows):
+        found = None
+        for f in range(bins.shape[1]):
+            for cut in range(255):
+                low, high = rows[bins[rows, f] <= cut], rows[bins[rows, f] > cut]
+                if min(len(low), len(high)) >= min_rows and min(h[low].sum(), h[high].sum()) >= 1e-3:
+                    gain = power(low) + power(high) - power(rows)
+                    if gain > 1e-12 and (found is None or gain > found[0] + 1e-9):
+                        found = (gain, f, low, high)
+        return found
+
+    while len(groups) < leaves:
+        options = [(best(r), i) for i, r in enumerate(groups)]
+        options = [(o, i) for o, i in options if o]
+        if not options:
+            break
+        (gain, f, low, high), i = max(options, key=lambda x: x[0][0])
+        groups[i:i + 1] = [low, high]
+        gains.append((f, gain))
+    return {int(r): g[rows].sum() / h[rows].sum() for rows in groups for r in rows}, gains
+
+
+@pytest.mark.parametrize("leaves", [2, 5, 9])
+def test_one_tree_matches_every_cut_tried(spark, leaves):
+    rng = np.random.default_rng(leaves)
+    bins = rng.integers(0, 12, (400, 3)).astype(np.uint8)
+    g = np.rint((rng.normal(size=400) + (bins[:, 1] > 5) - (bins[:, 0] % 3)) * boosting.UNIT)
+    h = np.rint((rng.random(400) + 0.1) * boosting.UNIT)
+    parts = [(bytes(bins[i:i + 90].tobytes()), g[i:i + 90].astype(np.int64).tobytes(), h[i:i + 90].astype(np.int64).tobytes()) for i in range(0, 400, 90)]
+    rows = spark.createDataFrame([(bytearray(b), bytearray(x), bytearray(y)) for b, x, y in parts], "bins binary, gradient binary, hessian binary").repartition(3)
+    jobs = []
+    count = boosting.counter(rows, 3)
+    tree, gains = boosting.grow(lambda t, nodes: jobs.append(nodes) or count(t, nodes), leaves, 15)
+    want, want_gains = brute_tree(bins, g / boosting.UNIT, h / boosting.UNIT, leaves, 15)
+    assert tree.values(bins).tolist() == pytest.approx([want[i] for i in range(400)])
+    assert [f for f, _ in gains] == [f for f, _ in want_gains] and [x for _, x in gains] == pytest.approx([x for _, x in want_gains])
+    assert len(jobs) <= leaves  # leaves are counted together
+
+
+def test_bins_keep_missing_below_and_cuts_whole():
+    cuts = [np.array([1.0, 2.0]), np.array([])]
+    assert boosting.binned([np.array([np.nan, 0, 1, 1.5, 2, 9]), np.array([np.nan, 1, 1, 1, 1, 1])], cuts).tolist() == [
+        [0, 0], [1, 1], [1, 1], [2, 1], [2, 1], [3, 1]]
+
+
+def test_chunks_hold_whole_groups(monkeypatch, spark, day):
+    monkeypatch.setattr(boosting, "CHUNK_ROWS", 10)
+    rows = [(day(0), c, a, int(a == 1), float(a)) for c in range(30) for a in range(c % 5 + 1)]
+    df = spark.createDataFrame(rows, "week date, customer_id bigint, article_id bigint, label int, x double")
+    found = boosting.chunks(df, ["x"], [np.array([0.0, 1.0, 2.0, 3.0])], ["week", "customer_id"], "article_id").collect()
+    sizes = [np.frombuffer(r["sizes"], np.int32) for r in found]
+    assert sorted(np.concatenate(sizes)) == sorted(c % 5 + 1 for c in range(30)) and len(found) > 4
+    for r, n in zip(found, sizes):
+        assert np.frombuffer(r["bins"], np.uint8).tolist() == [a + 1 for size in n for a in range(size)]
 
 
 def test_ranker_learns_a_planted_feature(spark, day):
@@ -194,7 +274,7 @@ def test_ranker_learns_a_planted_feature(spark, day):
         rows += [(day(0), c, a, int(a in good), float(a in good) + rng.gauss(0, 0.3), rng.random(), float(a)) for a in range(20)]
     names = ("signal", "noise", "source_rank")
     df = spark.createDataFrame(rows, "week date, customer_id bigint, article_id bigint, label int, signal double, noise double, source_rank double")
-    fitted = ranker.train_ranker(df, rounds=6, learning_rate=0.3, depth=3, min_rows=5, truncation=5, checkpoint_every=2, columns=names)
+    fitted = ranker.train_ranker(df, rounds=6, learning_rate=0.3, leaves=6, min_rows=5, truncation=5, checkpoint_every=2, columns=names)
     shares = dict(fitted.importances())
     assert shares["signal"] > 0.9 and sum(shares.values()) == pytest.approx(1.0)
     lists = ranker.lists_by(fitted.score(df), [F.desc("score")], 3)
