@@ -101,18 +101,18 @@ def led_runs(docs: DataFrame, length: int, gram: int) -> DataFrame:
     return docs.mapInArrow(find, "doc_id bigint, digest bigint, gram bigint, stretch bigint, first bigint, size bigint, place bigint")
 
 
-def in_groups(rows: DataFrame, digit: list[str]) -> DataFrame:
-    """The rows whose digit occurs more than once."""
+def in_groups(rows: DataFrame, digit: list[str], scratch: Scratch, name: str) -> DataFrame:
+    """The rows whose digit occurs more than once; the groups are a table, so that Spark can split the join of a hot one."""
     groups = rows.groupBy(*digit).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n")
-    return rows.join(groups, digit, "left_semi")
+    return rows.join(scratch.write(groups, name), digit, "left_semi")
 
 
 def repeated_spans(docs: DataFrame, length: int, gram: int) -> DataFrame:
     """doc_id, digest, start, end: overlapping repeated spans of docs (doc_id, text, digest), as a written table."""
     key, scratch = ["gram", "stretch"], Scratch(docs.sparkSession)
     found = scratch.write(led_runs(docs, length, gram), "suffixes")
-    left = scratch.write(in_groups(found, ["gram"]), "suffixes-by-gram")
-    scratch.drop("suffixes")
+    left = scratch.write(in_groups(found, ["gram"], scratch, "grams"), "suffixes-by-gram")
+    scratch.drop("suffixes", "grams")
     one = [F.first(c).alias(c) for c in ("doc_id", "digest", "first", "size", "place")]  # any copy will do
     stretches = scratch.write(left.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), *one), "suffixes-by-stretch")
     whole = left.join(stretches.where("n > 1").select(*key), key, "left_semi").select(
@@ -124,8 +124,8 @@ def repeated_spans(docs: DataFrame, length: int, gram: int) -> DataFrame:
     rest = stretches.join(open_grams.select("gram"), "gram", "left_semi").select(*key, "n", "doc_id", "digest", "first", "size", "place")
     rest = scratch.write(with_bytes(rest, docs, length), "suffix-bytes")
     scratch.drop("suffixes-by-stretch")
-    spans = spans.unionByName(scratch.write(parts_of_runs(rest, length), "repeated-parts"))
-    scratch.drop("suffix-bytes")
+    spans = spans.unionByName(scratch.write(parts_of_runs(rest, length, scratch), "repeated-parts"))
+    scratch.drop("suffix-bytes", "blocks", "strings")
     return spans
 
 
@@ -184,7 +184,7 @@ def _digits(rows: pa.RecordBatch, length: int, blocks: bool) -> pa.RecordBatch:
                                       ["gram", "stretch", "n", "doc_id", "digest", "number", "print", "start"])
 
 
-def parts_of_runs(rows: DataFrame, length: int) -> DataFrame:
+def parts_of_runs(rows: DataFrame, length: int, scratch: Scratch) -> DataFrame:
     """(doc_id, digest, start, end) of the repeated strings of runs that occur once; rows are different runs with their bytes."""
     def passed(blocks: bool):
         def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -194,11 +194,11 @@ def parts_of_runs(rows: DataFrame, length: int) -> DataFrame:
         return find
 
     schema = "gram bigint, stretch bigint, n bigint, doc_id bigint, digest bigint, number bigint, print bigint, start bigint"
-    blocks = in_groups(rows.mapInArrow(passed(True), schema), ["gram", "number", "print"])
+    blocks = in_groups(rows.mapInArrow(passed(True), schema), ["gram", "number", "print"], scratch, "blocks")
     wanted = blocks.groupBy("gram", "stretch").agg(F.collect_list("number").alias("wanted"))
     strings = rows.join(wanted, ["gram", "stretch"]).mapInArrow(passed(False), schema)
     # each run is here once, so a group of two is two places
-    repeated = in_groups(strings, ["gram", "number", "print"]).where("n = 1")
+    repeated = in_groups(strings, ["gram", "number", "print"], scratch, "strings").where("n = 1")
     return repeated.select("doc_id", "digest", "start", (F.col("start") + length).alias("end"))
 
 
