@@ -3,10 +3,15 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
+from hashlib import md5
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from basketline.functions.ids import dense_index
 from basketline.operators.segments import with_scope
@@ -15,6 +20,8 @@ from basketline.session import materialize, spread
 SUMMARY_SCOPES = ("aggregate", "3+ purchases")  # scopes of the across-week summary
 DRAWS_PER_DIGEST = 8
 _BUCKETS = 1 << 16
+DRAWN_CELLS = 1 << 21  # weights held at once per task
+MOST_GROUPS = 64  # accumulators held at once per task
 
 
 def poisson_cuts() -> list[str]:
@@ -27,15 +34,44 @@ def poisson_cuts() -> list[str]:
     return cuts
 
 
-def digest_draws(digest: Column) -> Column:
-    """Eight Poisson(1) weights out of one md5 digest. Fixed-width hex text sorts like the number it spells."""
-    def weight(j: int) -> Column:
-        u = F.substring(digest, 1 + 4 * j, 4)
-        draw = F.when(u < poisson_cuts()[0], 0)
-        for n, cut in enumerate(poisson_cuts()[1:], start=1):
-            draw = draw.when(u < cut, n)
-        return draw.otherwise(len(poisson_cuts()))
-    return F.array(*[weight(j) for j in range(DRAWS_PER_DIGEST)])
+def drawn_weights(units: Sequence[str], replicates: int, seed: int) -> np.ndarray:
+    """(units, replicates) Poisson(1) weights: each md5 digest of seed, block and unit holds eight 16-bit uniforms."""
+    blocks = range(math.ceil(replicates / DRAWS_PER_DIGEST))
+    digests = b"".join(md5(f"{seed}|{b}|{u}".encode()).digest() for u in units for b in blocks)
+    uniform = np.frombuffer(digests, ">u2").reshape(len(units), -1)[:, :replicates]
+    return np.searchsorted(np.array([int(c, 16) for c in poisson_cuts()]), np.arange(_BUCKETS), "right").astype(np.uint8)[uniform]
+
+
+class ReplicateSums:
+    """Per group the weighted sums of each replicate over the rows seen so far."""
+
+    def __init__(self, replicates: int, n_values: int, seed: int):
+        self.replicates, self.n_values, self.seed, self.sums = replicates, n_values, seed, {}
+
+    def add(self, groups: Sequence[tuple], units: Sequence[str], values: np.ndarray) -> None:
+        """values: (rows, n) with NaN for a missing one."""
+        by_group: dict[tuple, list[int]] = {}
+        for i, g in enumerate(groups):
+            by_group.setdefault(g, []).append(i)
+        names, at = np.unique(np.asarray(units, object).astype(str), return_inverse=True)
+        step = max(1, DRAWN_CELLS // self.replicates)
+        for start in range(0, len(names), step):
+            weights = drawn_weights(names[start:start + step], self.replicates, self.seed).astype(np.float64)
+            for group, rows in by_group.items():
+                own = np.array(rows)
+                own = own[(at[own] >= start) & (at[own] < start + step)]
+                if len(own):
+                    known = ~np.isnan(values[own])
+                    columns = np.concatenate([np.ones((len(own), 1)), np.where(known, values[own], 0.0), known], axis=1)
+                    total = weights[at[own] - start].T @ columns
+                    self.sums[group] = self.sums[group] + total if group in self.sums else total
+
+    def rows(self) -> Iterator[tuple[tuple, np.ndarray]]:
+        """(group, (replicates, 1 + n) of weights and sums, NaN where no value was drawn)."""
+        for group, total in self.sums.items():
+            n = self.n_values
+            yield group, np.concatenate([total[:, :1], np.where(total[:, n + 1:] > 0, total[:, 1:n + 1], np.nan)], axis=1)
+        self.sums = {}
 
 
 def differences_wide(scores: DataFrame, pairs: Sequence[tuple[str, str]], by: Sequence[str],
@@ -64,28 +100,43 @@ def poisson_bootstrap(rows: DataFrame, by: Sequence[str], values: Mapping[str, C
                       seed: int = 42, unit: str = "customer_id", segment: str | None = "segment") -> DataFrame:
     """Bootstrap means with Poisson(1) weights per unit: by, [scope], replicate, one column per value.
 
-    Every task draws the weights of its own rows, so only partial sums per group and replicate are
-    shuffled. The weights depend on unit and replicate alone: all comparisons of a customer are
-    resampled together. Scopes come from rolling the per-segment sums up.
+    Every task draws the weights of its own customers in blocks and adds them up in one accumulator
+    of replicates x values per group, so that a task sends a row per group and replicate whatever its
+    number of customers. The weights depend on unit and replicate alone: all comparisons of a customer
+    are resampled together. Scopes come from rolling the per-segment sums up.
     """
     keys = [*by, segment] if segment else list(by)
-    blocks = math.ceil(replicates / DRAWS_PER_DIGEST)
-    digest = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("_block").cast("string"), F.col(unit).cast("string")))
     names = list(values)
-    held = spread(rows.select(*keys, unit, *[values[n].alias(n) for n in names]), unit)
-    # the digest is a column of its own: a generator does not share subexpressions
-    drawn = (held.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-             .withColumn("_digest", digest)
-             .select(*keys, *names, "_block", F.posexplode(digest_draws(F.col("_digest"))).alias("_j", "_w"))
-             .withColumn("replicate", F.col("_block") * DRAWS_PER_DIGEST + F.col("_j"))
-             .filter((F.col("replicate") < replicates) & (F.col("_w") > 0)))
-    sums = drawn.groupBy(*keys, "replicate").agg(
-        F.sum("_w").alias("_w"), *[F.sum(F.col("_w") * F.col(n)).alias(n) for n in names])
+    held = spread(rows.select(*keys, F.col(unit).cast("string").alias("_unit"), *[values[n].cast("double").alias(n) for n in names]), "_unit")
+    schema = T.StructType([*[held.schema[k] for k in keys], *T.StructType.fromDDL("replicate int, _w double").fields,
+                           *[T.StructField(n, T.DoubleType()) for n in names]])
+    arrow = to_arrow_schema(schema)
+
+    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = ReplicateSums(replicates, len(names), seed)
+
+        def out() -> Iterator[pa.RecordBatch]:
+            for group, total in sums.rows():
+                columns = [pa.array([g] * replicates, f.type) for g, f in zip(group, arrow)]
+                columns += [pa.array(np.arange(replicates), pa.int32())]
+                columns += [pa.array(c, pa.float64(), from_pandas=True) for c in total.T]
+                yield pa.RecordBatch.from_arrays(columns, schema=arrow)
+
+        for batch in batches:
+            if batch.num_rows:
+                groups = list(zip(*(batch.column(i).to_pylist() for i in range(len(keys))))) if keys else [()] * batch.num_rows
+                found = np.stack([batch.column(len(keys) + 1 + i).to_numpy(zero_copy_only=False).astype(np.float64) for i in range(len(names))], axis=1)
+                sums.add(groups, batch.column(len(keys)).to_pylist(), found)
+                if len(sums.sums) > MOST_GROUPS:
+                    yield from out()
+        yield from out()
+
+    sums = held.mapInArrow(added, schema).filter("_w > 0")
+    scopes = [*by, "scope"] if segment else keys
     if segment:
-        keys = [*by, "scope"]
-        sums = with_scope(sums, segment).groupBy(*keys, "replicate").agg(
-            F.sum("_w").alias("_w"), *[F.sum(n).alias(n) for n in names])
-    return sums.select(*keys, "replicate", *[(F.col(n) / F.col("_w")).alias(n) for n in names])
+        sums = with_scope(sums, segment)
+    sums = sums.groupBy(*scopes, "replicate").agg(F.sum("_w").alias("_w"), *[F.sum(n).alias(n) for n in names])
+    return sums.select(*scopes, "replicate", *[(F.col(n) / F.col("_w")).alias(n) for n in names])
 
 
 def resample_bootstrap(diffs: DataFrame, by: Sequence[str], replicates: int, seed: int = 42,

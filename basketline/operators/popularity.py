@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from basketline.functions.lists import to_lists, top_k
 from basketline.functions.windows import days_ending_at, days_of_history, history_ends, window_label
+from basketline.session import materialize
 
 K = 12
 
@@ -55,18 +56,6 @@ def popularity_lists(history: DataFrame, windows: Sequence[int | None], k: int)
     return to_lists(ranked, ["week", "window"])
 
 
-def exclusion_depth(history: DataFrame, customers: DataFrame, k: int = K) -> int:
-    """How many positions of a ranking always hold k articles that a customer does not own: k and the largest basket."""
-    owned = history.join(customers.select("week", "customer_id"), ["week", "customer_id"], "left_semi")
-    largest = owned.groupBy("week", "customer_id").agg(F.countDistinct("article_id").alias("n")).agg(F.max("n")).first()[0]
-    return k + (largest or 0)
-
-
-def exclusion_pool(history: DataFrame, customers: DataFrame, windows: Sequence[int | None], k: int = K) -> DataFrame:
-    """Lists deep enough that excluding what a customer owns leaves a full list, if the window sold enough articles."""
-    return popularity_lists(history, windows, exclusion_depth(history, customers, k))
-
-
 def same_list_for_all(customers: DataFrame, lists: DataFrame, k: int = K) -> DataFrame:
     """Everyone in a week gets that week's list; the lists table has one row per week and window."""
     short = lists.withColumn("items", F.slice("items", 1, k))
@@ -85,22 +74,57 @@ def owned_in_pool(history: DataFrame, lists: DataFrame, customers: DataFrame) ->
             .groupBy("week", "customer_id").agg(F.collect_set("article_id").alias("owned")))
 
 
-def _not_owned() -> Column:
-    return F.array_except("items", F.coalesce("owned", F.array().cast("array<bigint>")))
+def _missing_first(lists: DataFrame, counts: DataFrame, people: DataFrame, history: DataFrame, k: int) -> DataFrame:
+    """Lists of customers whose purchases fill most of the short lists: week, customer_id, window, items.
 
-
-def exclusion_lists(customers: DataFrame, lists: DataFrame, history: DataFrame, k: int = K) -> DataFrame:
-    """The first k articles of the lists that each customer does not own; fewer only if the lists are not deep enough."""
-    owned = owned_in_pool(history, lists, customers)
-    return (customers.join(owned, ["week", "customer_id"], "left").join(F.broadcast(lists), "week")
-            .withColumn("items", F.slice(_not_owned(), 1, k)).drop("owned"))
+    The n-th article that a customer does not own stands at the n-th position that none of the own
+    purchases takes, so each list costs the customer's own basket and k positions to look up. The
+    ranking goes as deep as the largest of these baskets and is joined, never broadcast.
+    """
+    bought = materialize(history.select("week", "customer_id", "article_id").join(people, ["week", "customer_id"], "left_semi").distinct())
+    largest = bought.groupBy("week", "customer_id").count().agg(F.max("count")).first()[0] or 0
+    ranked = materialize(top_k(counts, ["week", "window"], count_order(), k + largest).select("week", "window", "article_id", "rank"))
+    taken = bought.join(ranked, ["week", "article_id"]).groupBy("week", "window", "customer_id").agg(F.collect_list("rank").alias("taken"))
+    asked = people.join(lists.select("week", "window"), "week").join(taken, ["week", "window", "customer_id"], "left")
+    taken = F.coalesce("taken", F.array().cast("array<int>"))
+    free = F.slice(F.array_except(F.sequence(F.lit(1), F.size(taken) + k), taken), 1, k)
+    places = asked.select("week", "window", "customer_id", F.posexplode(free).alias("at", "rank"))
+    found = to_lists(places.join(ranked, ["week", "window", "rank"]), ["week", "window", "customer_id"], rank="at")
+    return (asked.select("week", "window", "customer_id").join(found, ["week", "window", "customer_id"], "left")
+            .withColumn("items", F.coalesce("items", F.array().cast("array<bigint>"))))
+
+
+def _lists(customers: DataFrame, history: DataFrame, windows: Sequence[int | None], k: int, settings: Sequence[bool]) -> DataFrame:
+    counts = materialize(window_counts(history, windows))
+    lists = materialize(to_lists(top_k(counts, ["week", "window"], count_order(), 2 * k), ["week", "window"]))
+    owned = materialize(owned_in_pool(history, lists, customers))
+    many = F.size("owned") > k  # with more, 2 k positions may not hold k articles that are new
+    given = customers.join(owned.filter(~many), ["week", "customer_id"], "left").join(F.broadcast(lists), "week")
+    new = F.slice(F.array_except("items", F.coalesce("owned", F.array().cast("array<bigint>"))), 1, k)
+    kinds = {True: F.struct(F.lit(True).alias("exclusion"), new.alias("items")),
+             False: F.struct(F.lit(False).alias("exclusion"), F.slice("items", 1, k).alias("items"))}
+    deep = owned.filter(many).select("week", "customer_id")
+    if deep.isEmpty():
+        return given.select(*customers.columns, "window", F.inline(F.array(*[kinds[s] for s in settings])))
+    plain = given.select(*customers.columns, "window", F.inline(F.array(kinds[False]))) if False in settings else None
+    if True not in settings:
+        return plain
+    shallow = given.join(deep, ["week", "customer_id"], "left_anti").select(*customers.columns, "window", F.inline(F.array(kinds[True])))
+    rest = customers.join(_missing_first(lists, counts, deep, history, k), ["week", "customer_id"]).select(
+        *customers.columns, "window", F.lit(True).alias("exclusion"), "items")
+    out = shallow.unionByName(rest)
+    return out if plain is None else out.unionByName(plain)
+
+
+def exclusion_lists(customers: DataFrame, history: DataFrame, windows: Sequence[int | None], k: int = K) -> DataFrame:
+    """The first k articles of each window that each customer does not own; fewer only if the window sold fewer.
+
+    Everyone gets the first k new ones out of 2 k positions; the few who own more than k of these
+    get theirs by position, however deep.
+    """
+    return _lists(customers, history, windows, k, (True,)).drop("exclusion")
 
 
 def recency_lists(customers: DataFrame, history: DataFrame, windows: Sequence[int | None], k: int = K) -> DataFrame:
     """Lists of every window under both exclusion settings: week, customer_id, window, exclusion, items."""
-    lists = exclusion_pool(history, customers, windows, k)
-    given = customers.join(owned_in_pool(history, lists, customers), ["week", "customer_id"], "left").join(F.broadcast(lists), "week")
-    settings = F.array(
-        F.struct(F.lit(True).alias("exclusion"), F.slice(_not_owned(), 1, k).alias("items")),
-        F.struct(F.lit(False).alias("exclusion"), F.slice("items", 1, k).alias("items")))
-    return given.select(*customers.columns, "window", F.inline(settings))
+    return _lists(customers, history, windows, k, (True, False))

@@ -111,8 +111,7 @@ def j7(spark, sf):
     select='SELECT week, customer_id, "window", rank, article_id FROM kept'), i="customer_id rank article_id", d="week", s="window"))
 def j8(spark, sf):
     f = order_folds(spark, sf, (0, 1))
-    lists = popularity.exclusion_pool(f.history, f.customers, [14, None])
-    return to_rows(popularity.exclusion_lists(f.customers, lists, f.history))
+    return to_rows(popularity.exclusion_lists(f.customers, f.history, [14, None]))
 
 
 @query("j9_lookup", final(with_(*event_folds_sql(), *pools_sql([7]), *item_item_sql(), EXPORT, EXPORT_ROWS, FALLBACK_ROW, REQUESTS,

@@ -14,7 +14,7 @@ from basketline.operators.folds import Folds
 from basketline.operators.itemitem import ItemItem
 from basketline.operators.compare import relative_gaps
 from basketline.operators.metrics import customer_scores, metrics_by_scope
-from basketline.operators.popularity import K, exclusion_lists, exclusion_pool, popularity_lists, same_list_for_all
+from basketline.operators.popularity import K, exclusion_lists, popularity_lists, same_list_for_all
 from basketline.operators.ranker import (Ranker, complete, discover_only, lists_by, personal_baseline,
                                          repurchase_popularity, route_cold)
 from basketline.session import materialize
@@ -54,7 +54,7 @@ def ranked_models(folds: Folds, features: DataFrame, ranker: Ranker | None = Non
     customers = folds.segmented_customers().select("week", "customer_id", "segment")
     rows = discover_only(features) if discover else features
     if discover:
-        popular = exclusion_lists(customers, exclusion_pool(folds.history, customers, [7], k), folds.history, k)
+        popular = exclusion_lists(customers, folds.history, [7], k)
     else:
         popular = same_list_for_all(customers, popularity_lists(folds.history, [7], k), k)
     popular = popular.select("week", "customer_id", "segment", "items")

@@ -1,5 +1,9 @@
 """Candidate union, recall and point-in-time features on hand-made rows."""
 
+import datetime as dt
+import random
+from collections import Counter
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -77,11 +81,30 @@ def test_exclusion_fills_lists_past_what_is_owned(spark, log, day):
     rows = [(9, a, day(0), 1.0) for a in range(30) for _ in range(40 - a)] + [(1, a, day(0), 1.0) for a in range(25)]
     history = log(rows).withColumn("week", F.lit(day(1)))
     people = spark.createDataFrame([(day(1), 1), (day(1), 2)], "week date, customer_id bigint")
-    lists = popularity.exclusion_pool(history, people, [7])
-    assert len(lists.first()["items"]) == 30  # 12 and the 25 that customer 1 owns, of 30
-    got = {r.customer_id: r["items"] for r in popularity.exclusion_lists(people, lists, history).collect()}
+    got = {r.customer_id: r["items"] for r in popularity.exclusion_lists(people, history, [7]).collect()}
     assert got == {1: [25, 26, 27, 28, 29], 2: list(range(12))}
     both = {(r.customer_id, r.exclusion): r["items"] for r in popularity.recency_lists(people, history, [7]).collect()}
     old = history.unionByName(log([(1, 27, day(-400), 1.0)]).withColumn("week", F.lit(day(1))))
-    assert popularity.exclusion_lists(people, lists, old).where("customer_id = 1").first()["items"] == [25, 26, 28, 29]
+    assert popularity.exclusion_lists(people, old, [7]).where("customer_id = 1").first()["items"] == [25, 26, 28, 29]
     assert both[1, True] == got[1] and both[1, False] == both[2, True] == list(range(12))
+
+
+def test_one_customer_who_owns_everything_changes_nobody_else(spark, log, day):
+    """Lists against plain Python; what is broadcast stays 2 k deep."""
+    rnd = random.Random(8)
+    rows = [(c, a, day(rnd.randint(0, 20)), 1.0) for c in range(2, 40) for a in rnd.sample(range(200), rnd.randint(1, 30))]
+    rows += [(1, a, day(-30), 1.0) for a in range(200)] + [(7, a, day(5), 1.0) for a in range(120)]
+    history = log(rows).withColumn("week", F.lit(day(21)))
+    people = spark.createDataFrame([(day(21), c) for c in range(45)], "week date, customer_id bigint")
+    want = {}
+    for label, days in (("7d", 7), ("all-time", 10_000)):
+        sold = Counter(a for _, a, d, _ in rows if d > day(20) - dt.timedelta(days=days))
+        ranked = sorted(sold, key=lambda a: (-sold[a], a))
+        for c in range(45):
+            own = {a for x, a, _, _ in rows if x == c}
+            want[c, label, True], want[c, label, False] = [a for a in ranked if a not in own][:5], ranked[:5]
+    lists = popularity.recency_lists(people, history, [7, None], 5)
+    assert {(r.customer_id, r.window, r.exclusion): r["items"] for r in lists.collect()} == want
+    assert want[1, "7d", True] == [] and lists.count() == 180
+    only = popularity.exclusion_lists(people, history, [7, None], 5)
+    assert {(r.customer_id, r.window, True): r["items"] for r in only.collect()} == {k: v for k, v in want.items() if k[2]}

@@ -1,5 +1,7 @@
 """Bootstrap, intervals, verdicts, weekly summaries and the sweep rule."""
 
+from hashlib import md5
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -21,10 +23,36 @@ def scores(spark):
     return spark.createDataFrame(rows, "customer_id bigint, segment string, model string, ap double, hit double").withColumn("week", F.lit(1))
 
 
-def test_poisson_draws_have_mean_and_variance_one(spark):
-    draws = spark.range(4000).select(F.explode(compare.digest_draws(F.md5(F.col("id").cast("string")))).alias("w"))
-    row = draws.agg(F.avg("w").alias("m"), F.var_samp("w").alias("v"), F.avg((F.col("w") == 0).cast("double")).alias("z")).first()
-    assert row.m == pytest.approx(1, abs=0.02) and row.v == pytest.approx(1, abs=0.04) and row.z == pytest.approx(np.exp(-1), abs=0.01)
+def test_poisson_draws_have_mean_and_variance_one():
+    draws = compare.drawn_weights([str(c) for c in range(400)], 80, 42).astype(float)
+    assert draws.mean() == pytest.approx(1, abs=0.02) and draws.var() == pytest.approx(1, abs=0.04)
+    assert (draws == 0).mean() == pytest.approx(np.exp(-1), abs=0.01)
+    hexed = md5(b"42|3|17").hexdigest()
+    assert draws[17, 24:32].tolist() == [sum(hexed[4 * j:4 * j + 4] >= c for c in compare.poisson_cuts()) for j in range(8)]
+
+
+@pytest.mark.parametrize("most", [1, 64])
+def test_replicate_sums_match_a_loop(monkeypatch, spark, most):
+    """Missing values, several groups, customers in several rows, accumulators that are sent early."""
+    monkeypatch.setattr(compare, "MOST_GROUPS", most)
+    monkeypatch.setattr(compare, "DRAWN_CELLS", 100)
+    rows = [(g, c, "s" if c % 2 else "t", None if c % 7 == 0 else c * 0.5, None) for g in (1, 2, None) for c in range(g or 5, 30)]
+    df = spark.createDataFrame(rows, "week int, customer_id bigint, segment string, d double, e double").repartition(3)
+    got = compare.poisson_bootstrap(df, ["week"], {"d": F.col("d"), "e": F.col("e")}, 20)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "range(" not in plan and "sequence(" not in plan  # nothing is generated per replicate
+    weights = {c: compare.drawn_weights([str(c)], 20, 42)[0] for c in range(30)}
+    want = {}
+    for g in (1, 2, None):
+        for scope in ("aggregate", "s", "t"):
+            own = [(c, d) for w, c, s, d, _ in rows if w == g and scope in ("aggregate", s)]
+            for r in range(20):
+                total = sum(int(weights[c][r]) for c, _ in own)
+                known = [(int(weights[c][r]), d) for c, d in own if d is not None and weights[c][r]]
+                if total:
+                    want[g, scope, r] = pytest.approx(sum(w * d for w, d in known) / total) if known else None
+    found = {(r.week, r.scope, r.replicate): r.d for r in got.collect()}
+    assert found == want and all(r.e is None for r in got.collect())
 
 
 def test_intervals_match_a_numpy_bootstrap(scores):
