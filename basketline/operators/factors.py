@@ -1,141 +1,173 @@
-"""Top-k by dot product from saved factor tables, with and without already-bought articles."""
+"""Top-k by dot product from saved factor tables, with and without already-bought articles.
+
+Articles are packed into blocks of falling norm. A block of customers is held by one task, which
+streams the article blocks past it and keeps a running top k: no score of a block can exceed the
+product of the norms, so once that is below everybody's k-th score the block, and all after it, is
+skipped. Neither side is collected or broadcast; one task holds one block of each.
+"""
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from basketline.functions import blocks
-from basketline.functions.lists import top_k
-from basketline.session import spread
+from basketline.functions.ids import dense_index
 
 REPURCHASE, DISCOVER = "repurchase", "discover"
 MODES = (REPURCHASE, DISCOVER)
-BROADCAST_BYTES = 256 << 20
-USER_BLOCK, ITEM_BLOCK = 4096, 8192
-
-
-def _vectors(column: pd.Series) -> np.ndarray:
-    return np.stack([np.asarray(v, dtype=np.float64) for v in column]) if len(column) else np.empty((0, 0))
-
-
-def _best(users: pd.DataFrame, ids: np.ndarray, matrix: np.ndarray, k: int,
-          modes: Sequence[str]) -> Iterator[pd.DataFrame]:
-    """Rank one block of users against one block of articles; ``ids`` ascend, so ties go to the lower id."""
-    names = users["user_id"].to_numpy()
-    factors = _vectors(users["features"])
-    for at in blocks.batch_slices(len(users), len(ids)):
-        scores = np.round(factors[at] @ matrix.T, 9)
-        for mode in modes:
-            if mode == DISCOVER:
-                for row, owned in enumerate(users["owned"].iloc[at]):
-                    if owned is not None and len(owned):
-                        place = np.searchsorted(ids, owned)
-                        known = place < len(ids)
-                        place = place[known]
-                        scores[row, place[ids[place] == np.asarray(owned)[known]]] = -np.inf
-            cols, values = blocks.top_columns(scores, k)
-            keep = [np.isfinite(v) for v in values]
-            yield pd.DataFrame({
-                "user_id": names[at], "mode": mode,
-                "items": [ids[c[m]] for c, m in zip(cols, keep)],
-                "scores": [v[m] for v, m in zip(values, keep)]})
-
-
-def score_top_k(users: DataFrame, items: DataFrame, k: int, owned: DataFrame | None = None,
-                modes: Sequence[str] = (REPURCHASE,), broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
-    """(user_id, mode, items, scores), best first.
-
-    users: (user_id, features); items: (item_id, features); owned: distinct (user_id, item_id). One
-    dot product per block serves both modes. Item factors of a checked size are broadcast; larger
-    ones go through a grid of user blocks and item blocks, each of bounded size.
+USER_BLOCK, ITEM_BLOCK = 8192, 4096
+USERS, ITEMS = 0, 1  # kinds of rows in a block's stream, in their order
+
+
+def _matrix(lists: pa.Array) -> np.ndarray:
+    return lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(lists), -1)
+
+
+class RunningTop:
+    """The k best articles of each customer of a block over the article blocks seen so far."""
+
+    def __init__(self, factors: np.ndarray, owned: Sequence[np.ndarray] | None, k: int):
+        n = len(factors)
+        self.factors, self.owned, self.k, self.seen, self.skipped = factors, owned, k, 0, 0
+        self.norms = np.sqrt((factors ** 2).sum(axis=1))
+        self.ids, self.scores = np.zeros((n, 0), np.int64), np.zeros((n, 0))
+
+    def add(self, ids: np.ndarray, matrix: np.ndarray, largest_norm: float) -> None:
+        """A block with ascending ids; blocks come by falling norm."""
+        self.seen += 1
+        rows = np.arange(len(self.factors))
+        if self.scores.shape[1] >= self.k:
+            # scores are rounded to 9 places, and an equal score with a lower id still counts
+            rows = np.flatnonzero(self.norms * largest_norm * (1 + 1e-12) + 1e-9 >= self.scores[:, -1])
+        if not len(rows):
+            self.skipped += 1
+            return
+        width = min(self.k, len(ids))
+        best_ids, best = np.zeros((len(self.factors), width), np.int64), np.full((len(self.factors), width), -np.inf)
+        for at in blocks.batch_slices(len(rows), len(ids)):
+            scores = np.round(self.factors[rows[at]] @ matrix.T, 9)
+            if self.owned is not None:
+                for i, row in enumerate(rows[at]):
+                    own = self.owned[row]
+                    place = np.searchsorted(ids, own)
+                    place = place[(place < len(ids)) & (ids[np.minimum(place, len(ids) - 1)] == own)]
+                    scores[i, place] = -np.inf
+            columns, values = blocks.top_columns(scores, width)
+            best_ids[rows[at]], best[rows[at]] = ids[columns], values
+        ids, scores = np.concatenate([self.ids, best_ids], axis=1), np.concatenate([self.scores, best], axis=1)
+        order = np.argsort(ids, axis=1, kind="stable")
+        ids, scores = np.take_along_axis(ids, order, axis=1), np.take_along_axis(scores, order, axis=1)
+        order = np.argsort(-scores, axis=1, kind="stable")[:, :self.k]
+        self.ids, self.scores = np.take_along_axis(ids, order, axis=1), np.take_along_axis(scores, order, axis=1)
+
+    def lists_between(self, first: int, end: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for ids, scores in zip(self.ids[first:end], self.scores[first:end]):
+            known = np.isfinite(scores)
+            yield ids[known], scores[known]
+
+
+def item_blocks(items: DataFrame) -> DataFrame:
+    """ib, ids, vectors, norm: articles in blocks of falling norm, ids ascending within a block."""
+    norm = F.sqrt(F.aggregate("features", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
+    known = items.select("item_id", F.col("features").cast("array<double>").alias("features"), norm.alias("norm"))
+    placed = dense_index(known.withColumn("less", -F.col("norm")), ["less", "item_id"], "at")
+    packed = F.sort_array(F.collect_list(F.struct("item_id", "features")))
+    return (placed.groupBy(F.expr(f"at div {ITEM_BLOCK}").alias("ib")).agg(packed.alias("x"), F.max("norm").alias("norm"))
+            .select("ib", F.col("x.item_id").alias("ids"), F.col("x.features").alias("vectors"), "norm"))
+
+
+def score_top_k(users: DataFrame, items: DataFrame, k: int, owned: DataFrame | None = None, modes: Sequence[str] = (REPURCHASE,)) -> DataFrame:
+    """(user_id, mode, items, scores), best first; ties go to the lower id.
+
+    users: (user_id, features); items: (item_id, features); owned: distinct (user_id, item_id).
     """
-    modes = tuple(m for m in MODES if m in modes)  # discover masks the scores, so it comes last
-    n_items, width = items.agg(F.count(F.lit(1)), F.max(F.size("features"))).first()
+    modes = tuple(m for m in MODES if m in modes)
     if DISCOVER in modes and owned is None:
         raise ValueError("discover mode needs the owned pairs")
-    if n_items * (width or 0) * 8 <= broadcast_bytes:
-        return _broadcast_items(users, items, k, owned, modes)
-    return _grid(users, items, k, owned, modes, n_items)
-
-
-def _schema(users: DataFrame) -> str:
-    key = users.schema["user_id"].dataType.simpleString()
-    return f"user_id {key}, mode string, items array<bigint>, scores array<double>"
-
-
-def _broadcast_items(users, items, k, owned, modes) -> DataFrame:
-    table = items.select("item_id", "features").toPandas().sort_values("item_id")
-    ids = table["item_id"].to_numpy(dtype=np.int64)
-    shared = users.sparkSession.sparkContext.broadcast((ids, _vectors(table["features"])))
-    rows = spread(_with_owned(users, owned, ["user_id"]), "user_id")
+    n_users = users.count()
+    n_blocks = max(1, -(-n_users // USER_BLOCK), min(users.sparkSession.sparkContext.defaultParallelism, n_users // 256))
+    block = F.pmod(F.xxhash64("user_id"), F.lit(n_blocks))
+    people = users.select("user_id", F.col("features").cast("array<double>").alias("features"))
+    if owned is not None:
+        held = owned.groupBy("user_id").agg(F.sort_array(F.collect_list(F.col("item_id").cast("bigint"))).alias("owned"))
+        people = people.join(held, "user_id", "left")
+    else:
+        people = people.withColumn("owned", F.lit(None).cast("array<bigint>"))
+    empty = {"user_id": people.schema["user_id"].dataType, "features": "array<double>", "owned": "array<bigint>", "ib": "bigint",
+             "ids": "array<bigint>", "vectors": "array<array<double>>", "norm": "double"}
+
+    def row(kind: int, rows: DataFrame, block) -> DataFrame:
+        return rows.select(block.alias("block"), F.lit(kind).alias("kind"),
+                           *[F.col(c) if c in rows.columns else F.lit(None).cast(t).alias(c) for c, t in empty.items()])
+
+    copies = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n_blocks - 1).cast("bigint")))
+    stream = row(USERS, people, block).unionByName(row(ITEMS, item_blocks(items).withColumn("block", copies), F.col("block")))
+    stream = stream.repartition(n_blocks, "block").sortWithinPartitions("block", "kind", "ib")
+    key = people.schema["user_id"].dataType.simpleString()
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, people, tops = None, [], {}
+
+        def finished() -> Iterator[pa.RecordBatch]:
+            names = pa.concat_arrays([p.column("user_id") for p in people])
+            for mode, top in tops.items():
+                for at in range(0, len(names), 1024):
+                    lists = list(top.lists_between(at, at + 1024))
+                    yield pa.RecordBatch.from_arrays(
+                        [names.slice(at, 1024), pa.array([mode] * len(lists)), pa.array([i for i, _ in lists], pa.list_(pa.int64())),
+                         pa.array([s for _, s in lists], pa.list_(pa.float64()))], ["user_id", "mode", "items", "scores"])
+
+        def begin() -> dict[str, RunningTop]:
+            vectors = np.concatenate([_matrix(p.column("features")) for p in people])
+            own = [np.asarray(o or [], np.int64) for p in people for o in p.column("owned").to_pylist()]
+            return {m: RunningTop(vectors, own if m == DISCOVER else None, k) for m in modes}
 
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids, matrix = shared.value
         for batch in batches:
-            yield from _best(batch, ids, matrix, k, modes)
-
-    return rows.mapInPandas(score, _schema(users))
-
-
-def _with_owned(users: DataFrame, owned: DataFrame | None, keys: Sequence[str]) -> DataFrame:
-    if owned is None:
-        return users.withColumn("owned", F.lit(None).cast("array<bigint>"))
-    held = owned.groupBy(*keys).agg(F.collect_list("item_id").alias("owned"))
-    return users.join(held, list(keys), "left")
-
-
-def _grid(users, items, k, owned, modes, n_items) -> DataFrame:
-    """Every (user block, item block) cell is one group; partial lists are merged per user."""
-    n_ib = max(1, math.ceil(n_items / ITEM_BLOCK))
-    n_ub = max(1, math.ceil(users.count() / USER_BLOCK))
-    block_of = F.pmod(F.xxhash64("item_id"), F.lit(n_ib)).cast("int")
-    copies = users.select("user_id", "features").withColumn(
-        "ib", F.explode(F.sequence(F.lit(0), F.lit(n_ib - 1))))
-    if owned is not None:
-        owned = owned.withColumn("ib", block_of)
-    left = (_with_owned(copies, owned, ["user_id", "ib"])
-            .withColumn("ub", F.pmod(F.xxhash64("user_id"), F.lit(n_ub)).cast("int")))
-    right = (items.select("item_id", "features").withColumn("ib", block_of)
-             .withColumn("ub", F.explode(F.sequence(F.lit(0), F.lit(n_ub - 1)))))
-
-    def cell(u: pd.DataFrame, i: pd.DataFrame) -> pd.DataFrame:
-        i = i.sort_values("item_id")
-        ids = i["item_id"].to_numpy(dtype=np.int64)
-        parts = list(_best(u, ids, _vectors(i["features"]), k, modes)) if len(i) and len(u) else []
-        if not parts:
-            return pd.DataFrame({"user_id": [], "mode": [], "items": [], "scores": []})
-        return pd.concat(parts)
-
-    # a cell is small but its product is not
-    cells = spread(left, "ub", "ib").groupBy("ub", "ib").cogroup(spread(right, "ub", "ib").groupBy("ub", "ib"))
-    partial = cells.applyInPandas(cell, _schema(users))
-    rows = partial.select("user_id", "mode", F.explode(F.arrays_zip("items", "scores")).alias("x")).select(
-        "user_id", "mode", F.col("x.items").alias("item_id"), F.col("x.scores").alias("score"))
-    best = top_k(rows, ["user_id", "mode"], [F.desc("score"), F.asc("item_id")], k)
-    merged = best.groupBy("user_id", "mode").agg(
-        F.sort_array(F.collect_list(F.struct("rank", "item_id", "score"))).alias("x"))
-    return merged.select(
-        "user_id", "mode", F.transform("x", lambda r: r["item_id"]).alias("items"),
-        F.transform("x", lambda r: r["score"]).alias("scores"))
+            which, kinds = batch.column("block").to_numpy(), batch.column("kind").to_numpy()
+            cuts = np.flatnonzero((which[1:] != which[:-1]) | (kinds[1:] != kinds[:-1])) + 1
+            for lo, hi in zip([0, *cuts], [*cuts, batch.num_rows]):
+                part = batch.slice(lo, hi - lo)
+                if which[lo] != now:
+                    if people:
+                        tops = tops or begin()
+                        yield from finished()
+                    now, people, tops = which[lo], [], {}
+                if kinds[lo] == USERS:
+                    people.append(part)
+                elif people:
+                    tops = tops or begin()
+                    for i in range(part.num_rows):
+                        ids = part.column("ids")[i].values.to_numpy()
+                        matrix = _matrix(part.column("vectors")[i].values)
+                        for top in tops.values():
+                            top.add(ids, matrix, part.column("norm")[i].as_py())
+        if people:
+            tops = tops or begin()
+            yield from finished()
+
+    return stream.mapInArrow(score, f"user_id {key}, mode string, items array<bigint>, scores array<double>")
 
 
 def gram(factors: DataFrame) -> DataFrame:
-    """(i, j, value): the factor table's rank x rank Gram matrix from per-task partial products."""
-    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(i, j, value): the factor table's rank x rank Gram matrix from per-task partial products, added up in one order."""
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = None
         for batch in batches:
-            if len(batch):
-                m = _vectors(batch["features"])
+            if batch.num_rows:
+                m = _matrix(batch.column("features"))
                 total = m.T @ m if total is None else total + m.T @ m
         if total is not None:
             i, j = np.indices(total.shape)
-            yield pd.DataFrame({"i": i.ravel(), "j": j.ravel(), "value": total.ravel()})
+            task = np.full(total.size, TaskContext.get().partitionId(), np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (i.ravel().astype(np.int32), j.ravel().astype(np.int32), task, total.ravel())],
+                                             ["i", "j", "task", "value"])
 
-    parts = factors.select("features").mapInPandas(partial, "i int, j int, value double")
-    return parts.groupBy("i", "j").agg(F.sum("value").alias("value"))
+    parts = factors.select("features").mapInArrow(partial, "i int, j int, task int, value double")
+    in_order = F.sort_array(F.collect_list(F.struct("task", "value")))
+    return parts.groupBy("i", "j").agg(F.aggregate(in_order, F.lit(0.0), lambda s, x: s + x["value"]).alias("value"))

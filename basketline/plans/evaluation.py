@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import threading
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -60,10 +61,10 @@ def item_item_model(folds: Folds, n_items: int | None = None, k: int = K, fallba
     return _finished(personal, folds, fallback_list(folds, fallback_days, k), ITEM_ITEM)
 
 
-def als_model(folds: Folds, config: Mapping[str, float], k: int = K, blocks: int | None = None,
-              name: str = ALS_MODEL, seed: int = als_ops.SEED) -> DataFrame:
-    """One week: one fit, both settings from the same score block."""
-    fitted = als_ops.fit_als(als_ops.index_interactions(folds.history), config, seed, blocks)
+def als_model(folds: Folds, config: Mapping[str, float], k: int = K, name: str = ALS_MODEL, seed: int = als_ops.SEED,
+              data: als_ops.Interactions | None = None) -> DataFrame:
+    """One week: one fit, both settings from the same score block; `data` is the week's matrix if it is there already."""
+    fitted = als_ops.fit_als(data or als_ops.index_interactions(folds.history), config, seed)
     lists = als_ops.recommend(fitted, folds.customers, folds.history, k)
     personal = lists.select("customer_id", (F.col("mode") == "discover").alias("exclusion"), "items")
     return _finished(personal, folds, fallback_list(folds, k=k), name)
@@ -73,10 +74,9 @@ def score_lists(lists: DataFrame, truth: DataFrame, k: int = K) -> DataFrame:
     return customer_scores(lists, truth, LIST_KEYS, k)
 
 
-def three_models(folds: Folds, config: Mapping[str, float] = als_ops.FROZEN, n_items: int | None = None,
-                 blocks: int | None = None, k: int = K) -> DataFrame:
+def three_models(folds: Folds, config: Mapping[str, float] = als_ops.FROZEN, n_items: int | None = None, k: int = K) -> DataFrame:
     """Per-customer scores of ALS, item-item and the 14-day list under both settings, one week."""
-    lists = (als_model(folds, config, k, blocks).unionByName(item_item_model(folds, n_items, k))
+    lists = (als_model(folds, config, k).unionByName(item_item_model(folds, n_items, k))
              .unionByName(recency_models(folds, k=k)))
     return score_lists(lists, folds.truth, k)
 
@@ -132,25 +132,36 @@ def weekly_comparison(scores: DataFrame, pairs=PAIRS, replicates: int = 2000, se
 
 
 def backtest(log: DataFrame, weeks: Sequence[dt.date], store: ScoreStore, config: Mapping[str, float] = als_ops.FROZEN,
-             n_items: int | None = None, target_days: int = 7, history_days: int | None = None,
-             blocks: int | None = None) -> DataFrame:
+             n_items: int | None = None, target_days: int = 7, history_days: int | None = None, at_once: int = 2) -> DataFrame:
     """Score every fold not stored yet and return the per-customer scores of all of them."""
     def score(week: dt.date, _config: str) -> DataFrame:
         fold = build_folds(log, [week], target_days, history_days)
         check_folds(fold)
-        return three_models(fold, config, n_items, blocks)
+        return three_models(fold, config, n_items)
 
-    store.fill(weeks, ["frozen"], score)
+    store.fill(weeks, ["frozen"], score, at_once)
     return store.read(weeks)
 
 
 def sweep(log: DataFrame, weeks: Sequence[dt.date], store: ScoreStore, grid: Mapping[str, Mapping[str, float]],
-          target_days: int = 7, history_days: int | None = None, blocks: int | None = None) -> DataFrame:
-    """ALS configs by week under both settings, stored per (week, config) so that a sweep resumes."""
+          target_days: int = 7, history_days: int | None = None, at_once: int = 2) -> DataFrame:
+    """ALS configs by week under both settings, stored per (week, config) so that a sweep resumes.
+
+    All configs of a week share one matrix; independent fits run at the same time.
+    """
+    made, lock = {}, threading.Lock()
+
+    def matrix(week: dt.date) -> tuple[Folds, als_ops.Interactions]:
+        with lock:
+            if week not in made:
+                fold = build_folds(log, [week], target_days, history_days)
+                check_folds(fold)
+                made[week] = fold, als_ops.index_interactions(fold.history)
+            return made[week]
+
     def score(week: dt.date, config: str) -> DataFrame:
-        fold = build_folds(log, [week], target_days, history_days)
-        check_folds(fold)
-        return score_lists(als_model(fold, grid[config], blocks=blocks, name=config), fold.truth)
+        fold, data = matrix(week)
+        return score_lists(als_model(fold, grid[config], name=config, data=data), fold.truth)
 
-    store.fill(weeks, list(grid), score)
+    store.fill(weeks, list(grid), score, at_once)
     return store.read(weeks)

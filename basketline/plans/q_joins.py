@@ -299,9 +299,7 @@ def scored_rows(lists):
 @query("w6_block_top_k", final(with_(DOTS, select="""SELECT user_id, 'repurchase' AS mode, rank, item_id, round(score * 1e9) AS score FROM (SELECT *, row_number() OVER
   (PARTITION BY user_id ORDER BY score DESC, item_id) AS rank FROM dt) WHERE rank <= 5"""), i="user_id rank item_id score", s="mode"))
 def w6(spark, sf):
-    """The grid of user and item blocks, as used for factor tables too large to broadcast."""
-    lists = factors.score_top_k(vectors(spark, sf, "user_id"), vectors(spark, sf, "item_id"), 5, broadcast_bytes=0)
-    return scored_rows(lists)
+    return scored_rows(factors.score_top_k(vectors(spark, sf, "user_id"), vectors(spark, sf, "item_id"), 5))
 
 
 @query("w7_grouped_for_training", final(with_(*candidates_sql(), select="""SELECT week, customer_id, count(*) AS n_rows, sum(label) AS n_positive

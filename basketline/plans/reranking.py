@@ -22,12 +22,12 @@ from basketline.session import materialize
 SCORE_KEYS = ("week", "model", "customer_id", "segment")
 
 
-def als_personal(folds: Folds, n: int, config, blocks: int | None = None) -> DataFrame:
+def als_personal(folds: Folds, n: int, config) -> DataFrame:
     """(week, customer_id, article_id, score, rank) from ALS for one week.
 
     Written out: the candidate union reads it once for the rows and once for who has any.
     """
-    fitted = als_ops.fit_als(als_ops.index_interactions(folds.history), config, blocks=blocks)
+    fitted = als_ops.fit_als(als_ops.index_interactions(folds.history), config)
     return materialize(als_ops.top_n(fitted, folds.customers, n).withColumn("week", F.lit(folds.weeks[0])))
 
 

@@ -24,7 +24,6 @@ def save_artifact(fitted: FittedALS, path: str, fallback: list[int], history_end
     users, items = fitted.user_factors, fitted.item_factors
     users.write.mode("overwrite").parquet(f"{path}/user_factors")
     items.write.mode("overwrite").parquet(f"{path}/item_factors")
-    fitted.model.write().overwrite().save(f"{path}/als_model")
     spark = users.sparkSession
     meta = {"config": dict(fitted.config), "fallback_days": fallback_days, "fallback_top12": list(fallback),
             "history_end": str(history_end),

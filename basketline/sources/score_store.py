@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import datetime as dt
 from collections.abc import Callable, Iterable
+from concurrent.futures import ThreadPoolExecutor
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,12 +31,24 @@ class ScoreStore:
         return [(w, c) for w in weeks for c in configs if not self.has(w, c)]
 
     def fill(self, weeks: Iterable[dt.date], configs: Iterable[str],
-             score: Callable[[dt.date, str], DataFrame]) -> int:
-        """Score what is not stored yet; an interrupted run resumes here."""
+             score: Callable[[dt.date, str], DataFrame], at_once: int = 1) -> int:
+        """Score what is not stored yet, `at_once` parts at the same time; an interrupted run resumes here.
+
+        Each part has a scheduler pool of its own, so that with the fair scheduler none waits for another.
+        """
         todo = self.missing(weeks, configs)
-        for week, config in todo:
-            rows = score(week, config).drop("week", "config")
-            rows.write.mode("overwrite").parquet(self._folder(week, config))
+
+        def part(week: dt.date, config: str) -> None:
+            self.spark.sparkContext.setLocalProperty("spark.scheduler.pool", f"{week}-{config}" if at_once > 1 else None)
+            score(week, config).drop("week", "config").write.mode("overwrite").parquet(self._folder(week, config))
+
+        if at_once <= 1:
+            for key in todo:
+                part(*key)
+        else:
+            with ThreadPoolExecutor(at_once) as pool:
+                for done in [pool.submit(inheritable_thread_target(self.spark)(part), *key) for key in todo]:
+                    done.result()
         return len(todo)
 
     def read(self, weeks: Iterable[dt.date] | None = None) -> DataFrame:

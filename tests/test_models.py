@@ -105,7 +105,7 @@ def test_fallback_only_for_customers_without_a_list(spark):
     assert got == {1: [7], 2: [8, 9]}
 
 
-def test_factor_scoring_paths_agree_with_numpy(monkeypatch, spark):
+def test_factor_scoring_agrees_with_numpy(monkeypatch, spark):
     monkeypatch.setattr(factors, "USER_BLOCK", 16)
     monkeypatch.setattr(factors, "ITEM_BLOCK", 8)
     rng = np.random.default_rng(2)
@@ -115,13 +115,26 @@ def test_factor_scoring_paths_agree_with_numpy(monkeypatch, spark):
     pairs = sorted({(int(a), 100 + int(b)) for a, b in zip(rng.integers(0, 50, 400), rng.integers(0, 30, 400))})
     owned = spark.createDataFrame(pairs, "user_id bigint, item_id bigint")
     scores = np.round(u @ v.T, 9)
-    for limit in (1 << 20, 0):
-        got = factors.score_top_k(users, items, 6, owned, factors.MODES, broadcast_bytes=limit).collect()
-        assert len(got) == 100
-        for r in got:
-            skip = {i for c, i in pairs if c == r.user_id} if r["mode"] == factors.DISCOVER else set()
-            order = sorted((j for j in range(30) if 100 + j not in skip), key=lambda j: (-scores[r.user_id, j], j))[:6]
-            assert r["items"] == [100 + j for j in order], (limit, r["mode"])
+    got = factors.score_top_k(users, items, 6, owned, factors.MODES).collect()
+    assert len(got) == 100
+    for r in got:
+        skip = {i for c, i in pairs if c == r.user_id} if r["mode"] == factors.DISCOVER else set()
+        order = sorted((j for j in range(30) if 100 + j not in skip), key=lambda j: (-scores[r.user_id, j], j))[:6]
+        assert r["items"] == [100 + j for j in order], r["mode"]
+
+
+def test_blocks_that_cannot_win_are_skipped():
+    """Norms fall fast: after the first blocks nothing can enter the lists, and nothing does."""
+    rng = np.random.default_rng(3)
+    u, v = rng.normal(size=(40, 4)), rng.normal(size=(400, 4))
+    v *= (0.97 ** np.arange(400) / np.sqrt((v ** 2).sum(axis=1)))[:, None]
+    top = factors.RunningTop(u, None, 5)
+    for at in range(0, 400, 20):
+        top.add(np.arange(at, at + 20), v[at:at + 20], 0.97 ** at)
+    scores = np.round(u @ v.T, 9)
+    for row, (ids, found) in enumerate(top.lists_between(0, 40)):
+        assert ids.tolist() == sorted(range(400), key=lambda j: (-scores[row, j], j))[:5]
+    assert top.seen == 20 and 5 < top.skipped < 20
 
 
 CONFIG = {"factors": 4, "regularization": 0.1, "alpha": 10.0, "iterations": 4}
@@ -137,8 +150,8 @@ def planted(spark):
 
 def test_als_invariants(planted):
     data = als.index_interactions(planted)
-    fitted = als.fit_als(data, CONFIG, blocks=2)
-    again = als.fit_als(data, CONFIG, blocks=2)
+    fitted = als.fit_als(data, CONFIG)
+    again = als.fit_als(data, CONFIG)
     people = planted.select("customer_id").distinct()
     owned = {(r.customer_id, r.article_id) for r in planted.distinct().collect()}
     rows = als.recommend(fitted, people, planted, 12).collect()
@@ -157,16 +170,44 @@ def test_als_invariants(planted):
 
 def test_als_loss_matches_the_dense_objective_and_falls(planted):
     data = als.index_interactions(planted)
-    fitted = als.fit_als(data, CONFIG, blocks=2)
-    u = {r.id: np.array(r.features, dtype=float) for r in fitted.model.userFactors.collect()}
-    v = {r.id: np.array(r.features, dtype=float) for r in fitted.model.itemFactors.collect()}
+    fitted = als.fit_als(data, CONFIG)
+    u = {r.idx: np.array(r.features, dtype=float) for r in fitted.users.collect()}
+    v = {r.idx: np.array(r.features, dtype=float) for r in fitted.items.collect()}
     w = {(r.customer_idx, r.article_idx): r.weight for r in data.pairs.collect()}
     dense = sum((1 + CONFIG["alpha"] * w.get((i, j), 0)) * ((1 if (i, j) in w else 0) - u[i] @ v[j]) ** 2 for i in u for j in v)
     dense += CONFIG["regularization"] * (sum(x @ x for x in u.values()) + sum(x @ x for x in v.values()))
     confidence = len(u) * len(v) + CONFIG["alpha"] * sum(w.values())
-    assert als.training_loss(fitted).first().loss == pytest.approx(dense / confidence, rel=1e-6)
-    losses = [r.loss for r in als.loss_curve(data, CONFIG, (1, 2, 4), blocks=2).orderBy("iteration").collect()]
-    assert losses[0] > losses[1] > losses[2]
+    assert fitted.losses[-1] == (4, pytest.approx(dense / confidence, rel=1e-9))
+    losses = [r.loss for r in als.loss_curve(data, CONFIG, (1, 2, 4)).orderBy("iteration").collect()]
+    assert losses[0] > losses[1] > losses[2] and losses[2] == pytest.approx(fitted.losses[-1][1], rel=1e-12)
+
+
+def dense_als(w, v, alpha, reg, sweeps):
+    c = 1 + alpha * w
+    p = (w > 0).astype(float)
+    for _ in range(sweeps):
+        u = np.stack([np.linalg.solve((v * c[i][:, None]).T @ v + reg * np.eye(v.shape[1]), (c[i] * p[i]) @ v) for i in range(len(w))])
+        v = np.stack([np.linalg.solve((u * c[:, j][:, None]).T @ u + reg * np.eye(v.shape[1]), (c[:, j] * p[:, j]) @ u) for j in range(w.shape[1])])
+    return u, v
+
+
+@pytest.mark.parametrize("small", [False, True])
+def test_als_equals_dense_solving(monkeypatch, planted, small):
+    """Also with rows cut over several blocks, and when a fit goes on from another."""
+    if small:
+        monkeypatch.setattr(als, "BLOCK_PAIRS", 50)
+        monkeypatch.setattr(als, "ROW_PAIRS", 7)
+    data = als.index_interactions(planted)
+    w = np.zeros((80, 40))
+    for r in data.pairs.collect():
+        w[r.customer_idx, r.article_idx] = r.weight
+    first = als.random_factors(data.article_ids, "article_idx", 4, als.SEED).orderBy("idx").collect()
+    u, v = dense_als(w, np.array([r.features for r in first]), CONFIG["alpha"], CONFIG["regularization"], 3)
+    one = als.fit_als(data, {**CONFIG, "iterations": 2})
+    for fitted in (als.fit_als(data, {**CONFIG, "iterations": 3}), als.fit_als(data, {**CONFIG, "iterations": 1}, start=one)):
+        assert np.allclose([r.features for r in fitted.users.orderBy("idx").collect()], u)
+        assert np.allclose([r.features for r in fitted.items.orderBy("idx").collect()], v)
+        assert [n for n, _ in fitted.losses] == [1, 2, 3]
 
 
 def brute_lambdas(rows, truncation):
