@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,13 +12,15 @@ from basketline.operators import als as als_ops
 from basketline.operators import metrics as met
 from basketline.operators import popularity, prepare
 from basketline.operators.folds import temporal_split
+from basketline.operators.itemitem import ItemItem
 from basketline.operators.lookup import FALLBACK_SOURCE, latest_fallback
+from basketline.plans import serving
 from basketline.plans.evaluation import recency_models
-from basketline.plans.q_prepare import EXPORT, SPLIT, both_modes, candidates_sql, event_candidates
+from basketline.plans.q_prepare import EXPORT, SPLIT, candidates_sql, event_candidates
 from basketline.plans.registry import (clean_order_log, CLEAN, EVENT_LOG, ORDER_LOG, SCOPED, event_folds, event_folds_sql, final, item_item_sql,
                                        order_folds, order_folds_sql, pools_sql, query, recency_sql, scores_sql, with_)
-from basketline.session import scratch_path
-from basketline.sources import artifact, logs, sinks
+from basketline.session import materialize, scratch_path
+from basketline.sources import artifact, logs, sinks, versions
 from basketline.sources.score_store import ScoreStore
 
 SMALL_ALS = {"factors": 8, "regularization": 0.1, "alpha": 15.0, "iterations": 5}
@@ -146,7 +149,8 @@ EXPORT_ROWS = """er AS (SELECT sha256(CAST(customer_id AS VARCHAR)) AS customer_
 FALLBACK_ROW = """fr AS (SELECT 'fallback_popularity_7d' AS source, (SELECT max(t_dat) FROM h) AS as_of, 7 AS window_days,
   '{' || string_agg(article_id, ',' ORDER BY rank) || '}' AS items, 'als-f150-r0.1-a15-i40-h' || (SELECT max(t_dat) FROM h) AS model_version
   FROM pool WHERE rank <= 12)"""
-EXPORT_SQL = [*event_folds_sql(), *pools_sql([7]), *item_item_sql(), EXPORT, EXPORT_ROWS, FALLBACK_ROW]
+# lists of every customer with a history, not only of those who buy in the target week
+EXPORT_SQL = [*event_folds_sql(), *pools_sql([7]), *[c.replace("JOIN cust USING", "JOIN h USING") for c in item_item_sql()], EXPORT, EXPORT_ROWS, FALLBACK_ROW]
 
 
 def version_at(spark: SparkSession, end) -> str:
@@ -156,22 +160,54 @@ def version_at(spark: SparkSession, end) -> str:
 
 
 def exported(spark: SparkSession, sf: str) -> tuple[str, dict]:
-    """Both modes of the item-item lists and the fallback list, written, checked and promoted."""
-    f, lists = both_modes(spark, sf)
+    """Both modes of the item-item lists of every customer with a history and the fallback list, through the gates."""
+    f = event_folds(spark, sf)
     end = f.history.agg(F.max("t_dat")).first()[0]
     version = version_at(spark, end)
-    hashed = logs.hashed_id("customer_id")
-    owned = f.history.select(hashed.alias("customer_id"), "article_id").distinct()
+    hashed = logs.hashed_id("customer_id").alias("customer_id")
+    mode = F.when(F.col("exclusion"), "discover").otherwise("repurchase").alias("mode")
+    everyone = f.history.select("customer_id").distinct()
+    lists = materialize(ItemItem(f.history).recommend(everyone).select(hashed, mode, "items"))
+    owned = f.history.select(hashed, "article_id").distinct()
     fallback = sinks.fallback_row(popularity.popularity_lists(f.history, [7], 12).select("items"), F.lit(end), version, FALLBACK_SOURCE)
-    folder = scratch_path(spark, "export")
-    summary = sinks.export_lists(lists.withColumn("customer_id", hashed), owned, folder, version, fallback, {"history_end": end})
-    return folder, summary
+    root = scratch_path(spark, "export")
+    summary = sinks.export_lists(lists, owned, root, version, fallback, {"history_end": end}, customers=everyone.select(hashed),
+                                 articles=f.history.select("article_id").distinct(), history_end=end)
+    return root, summary
 
 
 @query("s10_export_lists", final(with_(*EXPORT_SQL, select="SELECT * FROM er"), s="customer_id mode items model_version"))
 def s10(spark, sf):
-    folder, _ = exported(spark, sf)
-    return spark.read.schema(sinks.RECOMMENDATIONS).csv(f"{folder}/recommendations", header=True)
+    root, _ = exported(spark, sf)
+    return spark.read.schema(sinks.RECOMMENDATIONS).csv(f"{sinks.export_folder(spark, root)}/recommendations", header=True)
+
+
+def saved_model(spark: SparkSession, sf: str) -> tuple[str, DataFrame]:
+    """An ALS model of the event history, saved under hashed customer ids, and that history."""
+    f = event_folds(spark, sf)
+    history = materialize(f.history.withColumn("customer_id", logs.hashed_id("customer_id")))
+    fitted = als_ops.fit_als(als_ops.index_interactions(history), SMALL_ALS)
+    path = scratch_path(spark, "artifact")
+    fallback = popularity.popularity_lists(f.history, [7], 12).first()["items"]
+    artifact.save_artifact(fitted, path, fallback, f.history.agg(F.max("t_dat")).first()[0])
+    return path, history
+
+
+@query("s10_export_saved_model", final(with_(*event_folds_sql(), *pools_sql([7]), """kn AS (SELECT customer_id, count(DISTINCT article_id) AS n FROM h GROUP BY 1)""",
+    f"""mo AS (SELECT unnest(['repurchase', 'discover']) AS mode)""", select=f"""SELECT mode, count(*) AS customers, 0 AS owned,
+  'als-f{SMALL_ALS['factors']}-r{SMALL_ALS['regularization']}-a{SMALL_ALS['alpha']:g}-i{SMALL_ALS['iterations']}-h' || (SELECT max(t_dat) FROM h) AS model_version,
+  'ids,fallback,history_end,row_count_and_distinct,no_bought_in_discover,parity' AS gates FROM kn, mo GROUP BY mode"""),
+    i="customers owned", s="mode model_version gates"))
+def s10_model(spark, sf):
+    """A saved model's lists of all its customers, exported through all six gates and loaded: rows by mode and version,
+    listed articles that the customer owns in discover lists, and the gates that ran."""
+    path, history = saved_model(spark, sf)
+    root, tables = scratch_path(spark, "export"), scratch_path(spark, "served")
+    summary = serving.export_artifact(spark, path, history, root)
+    counts = sinks.load_export(spark, root, tables)
+    shown = sinks.served_recommendations(spark, tables).filter("mode = 'discover'").select("customer_id", F.explode("items").alias("article_id"))
+    owned = shown.join(history, ["customer_id", "article_id"], "left_semi").agg(F.count(F.lit(1)).alias("owned"))
+    return counts.crossJoin(F.broadcast(owned)).withColumn("gates", F.lit(",".join(summary["checks_passed"])))
 
 
 @query("s11_export_fallback", final(with_(*EXPORT_SQL, select="SELECT * FROM fr"), i="window_days", d="as_of", s="source items model_version"))
@@ -187,13 +223,17 @@ def s11(spark, sf):
 
 @query("s12_export_manifest", final(with_(*EXPORT_SQL, select="""SELECT any_value(model_version) AS model_version,
   (SELECT max(t_dat) FROM h) AS history_end, 12 AS k, count(DISTINCT customer_id) AS customers_exported,
-  count(DISTINCT customer_id) AS customers_in_artifact, false AS partial_export, count(*) AS n_rows FROM er"""),
-    i="k customers_exported customers_in_artifact n_rows", d="history_end", s="model_version partial_export"))
+  (SELECT count(DISTINCT customer_id) FROM h) AS customers_in_artifact, false AS partial_export, count(*) AS n_rows,
+  (SELECT string_agg(article_id, ',' ORDER BY rank) FROM pool WHERE rank <= 12) AS fallback_items,
+  'ids,fallback,history_end,row_count_and_distinct,no_bought_in_discover' AS checks_passed, true AS has_sizes FROM er"""),
+    i="k customers_exported customers_in_artifact n_rows", d="history_end", s="model_version partial_export fallback_items checks_passed has_sizes"))
 def s12(spark, sf):
-    folder, _ = exported(spark, sf)
-    written = spark.read.text(f"{folder}/manifest")
-    fields = "model_version string, history_end string, k int, customers_exported bigint, customers_in_artifact bigint, partial_export boolean, rows bigint"
-    return written.select(F.from_json("value", fields).alias("m")).select("m.*").withColumnRenamed("rows", "n_rows")
+    root, _ = exported(spark, sf)
+    fields = ("model_version string, history_end string, k int, customers_exported bigint, customers_in_artifact bigint, partial_export boolean, "
+              "rows bigint, fallback_items array<bigint>, checks_passed array<string>, files map<string,bigint>, export_seconds double")
+    m = spark.read.text(f"{sinks.export_folder(spark, root)}/manifest").select(F.from_json("value", fields).alias("m")).select("m.*")
+    sizes = F.forall(F.map_values("files"), lambda n: n > 0) & (F.size("files") == 2) & (F.col("export_seconds") > 0)
+    return m.withColumn("has_sizes", sizes).withColumnRenamed("rows", "n_rows").drop("files", "export_seconds")
 
 
 @query("s13_parse_literal", final(with_(*order_folds_sql((0, 1, 2)), *pools_sql([7, 28]), """li AS (SELECT week, "window",
@@ -207,13 +247,13 @@ def s13(spark, sf):
     return to_rows(text.withColumn("items", parse_array_literal("items")))
 
 
-@query("s14_bulk_load", final(with_(*EXPORT_SQL, select="SELECT mode, model_version, count(*) AS customers FROM er GROUP BY ALL"),
-                              i="customers", s="mode model_version"))
+@query("s14_bulk_load", final(with_(*EXPORT_SQL, select="""SELECT mode, model_version, count(*) AS customers, (SELECT count(*) FROM fr) AS fallback_rows
+  FROM er GROUP BY ALL"""), i="customers fallback_rows", s="mode model_version"))
 def s14(spark, sf):
-    folder, _ = exported(spark, sf)
-    table = scratch_path(spark, "recommendations")
-    sinks.load_recommendations(spark, f"{folder}/recommendations").write.mode("overwrite").parquet(table)
-    return sinks.load_counts(spark.read.parquet(table))
+    root, _ = exported(spark, sf)
+    tables = scratch_path(spark, "served")
+    counts = sinks.load_export(spark, root, tables)
+    return counts.withColumn("fallback_rows", F.lit(sinks.served_fallbacks(spark, tables).read().count()))
 
 
 # a fallback table with one row per fold week, then a refresh that replaces the newest and one that adds
@@ -255,12 +295,19 @@ def s15(spark, sf):
     select="""SELECT as_of, items, items = (SELECT items FROM fresh) AS as_written FROM up ORDER BY as_of DESC LIMIT 1"""),
     d="as_of", s="items as_written"))
 def s16(spark, sf):
-    path = scratch_path(spark, "fallbacks")
-    refreshed(spark, sf).write.parquet(path)
-    newest = latest_fallback(spark.read.parquet(path))
+    """Two refreshes of a served table, the second a newer list; what is read back against what the window sold."""
+    f, table = fallback_table(spark, sf)
+    tables = scratch_path(spark, "served")
+    version = versions.new_version(tables)
+    sinks.fallback_lists(spark, version).upsert(table)
+    versions.switch(spark, tables, version)
     log = clean_order_log(spark, sf)
-    top = popularity.recent_top(log, log.agg(F.max("t_dat")).scalar(), 7)
+    last = log.agg(F.max("t_dat")).first()[0]
+    for day in (f.weeks[0] - dt.timedelta(days=1), last):
+        serving.refresh_fallback(spark, tables, log, day)
+    top = popularity.recent_top(log, F.lit(last), 7)
     items = popularity.to_lists(top.withColumn("_k", F.lit(1)), ["_k"]).select(F.col("items").alias("expected"))
+    newest = latest_fallback(sinks.served_fallbacks(spark, tables).read())
     return newest.select("as_of", "items", (F.col("items") == items.scalar()).alias("as_written"))
 
 

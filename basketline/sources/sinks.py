@@ -6,18 +6,26 @@ and the caller switches to it; nothing overwrites a folder that the same plan re
 
 from __future__ import annotations
 
+import datetime as dt
 import json
-from collections.abc import Mapping, Sequence
+import time
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from basketline.functions.lists import array_literal, parse_array_literal
-from basketline.operators.guards import export_checks, require_clean
-from basketline.session import path_exists
+from basketline.operators.guards import HEX_ID, MODES, export_checks, id_checks, list_checks, list_parity, require_clean, side_by_side
+from basketline.sources import versions
+from basketline.sources.keyed import KeyedTable
+
+# The names of the gates in a manifest, in the order in which they run.
+GATES = ("ids", "fallback", "history_end", "row_count_and_distinct", "no_bought_in_discover", "parity")
+PARITY_SAMPLE, PARITY_LEAST = 300, 0.995
 
 RECOMMENDATIONS = "customer_id string, mode string, items string, model_version string"
 FALLBACKS = "source string, as_of date, window_days int, items string, model_version string"
+FALLBACK_TABLE = "source string, as_of date, window_days int, items array<bigint>, model_version string"
 
 
 def laid_out_by_day(log: DataFrame) -> DataFrame:
@@ -71,48 +79,120 @@ def limited_customers(lists: DataFrame, limit: int) -> DataFrame:
     return lists.join(first, "customer_id", "left_semi")
 
 
-def export_lists(lists: DataFrame, owned: DataFrame, out_dir: str, version: str, fallback: DataFrame,
-                 meta: Mapping, overwrite: bool = False, limit: int | None = None, k: int = 12,
-                 customers: DataFrame | None = None) -> dict:
-    """Write to staged names, check what was written, then promote; refuses an existing export.
+def export_lists(lists: DataFrame, owned: DataFrame, root: str, version: str, fallback: DataFrame, meta: Mapping, overwrite: bool = False,
+                 limit: int | None = None, k: int = 12, customers: DataFrame | None = None, articles: DataFrame | None = None,
+                 history_end=None, recompute: Callable[[DataFrame], DataFrame] | None = None) -> dict:
+    """Write both modes and the fallback list as a new version of `root`, put it through the gates, then show it.
 
-    ``customers`` are all that the model knows; the export is partial if it leaves any of them out.
+    The gates run in order and any of them refuses the whole export: the ids of `customers` and
+    `articles`, the fallback list against `articles`, `history_end` against the metadata, then what was
+    written, read back: rows, sizes and repeats, bought articles in discover lists, and lists of
+    sampled customers against `recompute` (the second route to the same lists). A gate whose input
+    is not given does not run and is not named in the manifest. `customers` are all that the model knows:
+    the export is partial if it leaves any of them out. Refuses an existing export unless told to overwrite.
     """
-    spark = lists.sparkSession
-    final = {name: f"{out_dir}/{name}" for name in ("recommendations", "fallback", "manifest")}
-    if not overwrite and any(path_exists(spark, p) for p in final.values()):
-        raise FileExistsError(f"{out_dir} already holds an export")
+    spark, begun = lists.sparkSession, time.monotonic()
+    if not overwrite and versions.current(spark, root) is not None:
+        raise FileExistsError(f"{root} already holds an export")
+    passed: list[str] = []
+    everyone = (lists if customers is None else customers).select("customer_id").distinct()
+    if customers is not None and articles is not None:
+        require_clean(id_checks(customers, articles), "bad_customer_ids", "repeated_customer_ids", "bad_article_ids", "repeated_article_ids")
+        passed.append(GATES[0])
+    if articles is not None:
+        bad = list_checks(fallback.select("source", "items"), ["source"], articles, k).agg(F.count_if(~F.col("ok")).alias("bad_fallback"))
+        require_clean(bad, "bad_fallback")
+        passed.append(GATES[1])
+    if history_end is not None:
+        if str(history_end) != str(meta["history_end"]):
+            raise ValueError(f"the history ends on {history_end}, the model's on {meta['history_end']}")
+        passed.append(GATES[2])
     chosen = limited_customers(lists, limit) if limit is not None else lists
-    staged = {name: f"{path}.staged" for name, path in final.items()}
-    exported_rows(chosen, version).write.mode("overwrite").option("header", True).csv(staged["recommendations"])
-    fallback.withColumn("items", array_literal("items")).write.mode("overwrite").option("header", True).csv(staged["fallback"])
-    written = load_recommendations(spark, staged["recommendations"])
+    folder = versions.new_version(root)
+    exported_rows(chosen, version).write.option("header", True).csv(f"{folder}/recommendations")
+    fallback.withColumn("items", array_literal("items")).write.option("header", True).csv(f"{folder}/fallback")
+    written = load_recommendations(spark, f"{folder}/recommendations")
     checks = export_checks(written, owned, k)
-    require_clean(checks, "wrong_size", "with_repeats", "owned_in_discover", "without_both_modes")
+    require_clean(checks, "wrong_size", "with_repeats", "without_both_modes")
     row = checks.first()
-    n_all = (lists if customers is None else customers).select("customer_id").distinct().count()
-    summary = manifest(row["n_customers"], n_all, row["n_rows"], version, meta, k)
-    spark.createDataFrame([(json.dumps(summary),)], "value string").coalesce(1).write.mode("overwrite").text(staged["manifest"])
-    for name in final:
-        _promote(spark, staged[name], final[name])
+    n_asked = everyone.count() if limit is None else min(limit, everyone.count())
+    if row["n_rows"] != len(MODES) * n_asked:
+        raise ValueError(f"{row['n_rows']} rows for {n_asked} customers")
+    passed.append(GATES[3])
+    require_clean(checks, "owned_in_discover")
+    passed.append(GATES[4])
+    if recompute is not None:
+        some = sample_rows(written.select("customer_id").distinct(), PARITY_SAMPLE, "customer_id")
+        same = list_parity(written.join(some, "customer_id", "left_semi"), recompute(some), ["customer_id", "mode"]).first()["share_identical"]
+        if (same or 0.0) < PARITY_LEAST:
+            raise ValueError(f"only {100 * (same or 0.0):.1f}% of the sampled lists equal their recomputation")
+        passed.append(GATES[5])
+    first = fallback.first()
+    summary = {
+        "created_utc": dt.datetime.now(dt.timezone.utc).isoformat(timespec="seconds"), "model_version": version,
+        "history_end": str(meta["history_end"]), "k": k, "modes": list(MODES), "customers_exported": row["n_customers"],
+        "customers_in_artifact": everyone.count(), "partial_export": row["n_customers"] < everyone.count(), "rows": row["n_rows"],
+        "fallback_source": first["source"], "fallback_items": list(first["items"]), "export_seconds": round(time.monotonic() - begun, 1),
+        "files": {name: versions.folder_bytes(spark, f"{folder}/{name}") for name in ("recommendations", "fallback")}, "checks_passed": passed}
+    spark.createDataFrame([(json.dumps(summary),)], "value string").coalesce(1).write.text(f"{folder}/manifest")
+    versions.switch(spark, root, folder)
     return summary
 
 
-def manifest(n_exported: int, n_artifact: int, n_rows: int, version: str, meta: Mapping, k: int = 12) -> dict:
-    return {"model_version": version, "history_end": str(meta["history_end"]), "k": k,
-            "modes": ["repurchase", "discover"], "customers_exported": n_exported,
-            "customers_in_artifact": n_artifact, "partial_export": n_exported < n_artifact, "rows": n_rows,
-            "checks_passed": ["row_count_and_distinct", "no_bought_in_discover"]}
+def export_folder(spark: SparkSession, root: str) -> str:
+    """The export that readers see."""
+    return versions.require_current(spark, root)
+
+
+def load_manifest(spark: SparkSession, root: str) -> dict:
+    return json.loads(spark.read.text(f"{export_folder(spark, root)}/manifest").first()[0])
+
+
+def broken_constraints(recommendations: DataFrame, fallbacks: DataFrame, k: int = 12) -> DataFrame:
+    """One row: how often loaded rows break each rule of the two tables; all zero when they may be served."""
+    def wrong(condition: Column) -> Column:
+        return F.count_if(~F.coalesce(condition, F.lit(False)))
+
+    rows = recommendations.agg(
+        wrong(F.col("customer_id").rlike(HEX_ID)).alias("customer_id"), wrong(F.col("mode").isin(*MODES)).alias("mode"),
+        wrong(F.size("items") == k).alias("items"), wrong(F.col("model_version").isNotNull()).alias("model_version"))
+    twice = recommendations.groupBy("customer_id", "mode").count().agg(F.count_if(F.col("count") > 1).alias("repeated_keys"))
+    lists = fallbacks.agg(
+        wrong(F.col("source").isNotNull() & F.col("as_of").isNotNull()).alias("fallback_key"), wrong(F.col("window_days") > 0).alias("fallback_window"),
+        wrong(F.size("items") == k).alias("fallback_items"), wrong(F.col("model_version").isNotNull()).alias("fallback_version"))
+    also = fallbacks.groupBy("source", "as_of").count().agg(F.count_if(F.col("count") > 1).alias("repeated_fallback_keys"))
+    return side_by_side(rows, twice, lists, also)
+
+
+def load_export(spark: SparkSession, root: str, tables: str, partial: bool = False, k: int = 12) -> DataFrame:
+    """Replace both served tables by the current export, or neither; returns rows per mode and version.
+
+    A partial export is refused unless asked for, as are rows that break a constraint.
+    """
+    folder = export_folder(spark, root)
+    if load_manifest(spark, root)["partial_export"] and not partial:
+        raise ValueError(f"{root} is a partial export")
+    rows, lists = load_recommendations(spark, f"{folder}/recommendations"), load_fallbacks(spark, f"{folder}/fallback")
+    broken = broken_constraints(rows, lists, k)
+    require_clean(broken, *broken.columns)
+    target = versions.new_version(tables)
+    rows.write.parquet(f"{target}/recommendations")
+    fallback_lists(spark, target).upsert(lists)
+    versions.switch(spark, tables, target)
+    return load_counts(served_recommendations(spark, tables))
+
+
+def served_recommendations(spark: SparkSession, tables: str) -> DataFrame:
+    return spark.read.parquet(f"{versions.require_current(spark, tables)}/recommendations")
+
+
+def fallback_lists(spark: SparkSession, version: str) -> KeyedTable:
+    return KeyedTable(spark, f"{version}/fallback_lists", ["source", "as_of"], FALLBACK_TABLE, 8)
 
 
-def _promote(spark: SparkSession, staged: str, final: str) -> None:
-    jvm_path = spark._jvm.org.apache.hadoop.fs.Path
-    source, target = jvm_path(staged), jvm_path(final)
-    fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
-    if fs.exists(target):
-        fs.delete(target, True)
-    if not fs.rename(source, target):
-        raise IOError(f"could not promote {staged}")
+def served_fallbacks(spark: SparkSession, tables: str) -> KeyedTable:
+    """The fallback lists beside the recommendations that readers see."""
+    return fallback_lists(spark, versions.require_current(spark, tables))
 
 
 def load_recommendations(spark: SparkSession, path: str) -> DataFrame:

@@ -1,15 +1,17 @@
 """Export, load, refresh, lookup and the stores."""
 
 import datetime as dt
-import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from basketline.functions.lists import array_literal, parse_array_literal
-from basketline.operators import guards
+from basketline.operators import als, guards
 from basketline.operators.lookup import FALLBACK_SOURCE, resolve
-from basketline.sources import sinks
+from basketline.plans import serving
+from basketline.sources import artifact, sinks, versions
+from basketline.sources.keyed import KeyedTable
 from basketline.sources.score_store import ScoreStore
 from basketline.streaming.lookup import answer_stream, request_stream
 
@@ -40,30 +42,172 @@ def test_literal_round_trip(spark):
     assert (row.t, row["items"]) == ("{3,1,2}", [3, 1, 2])
 
 
-def test_export_is_checked_and_promoted(spark, lists, owned, fallback, tmp_path):
-    out = str(tmp_path / "export")
-    meta = {"history_end": dt.date(2024, 1, 8)}
-    summary = sinks.export_lists(lists, owned, out, "v", fallback, meta)
+META = {"history_end": dt.date(2024, 1, 8)}
+
+
+def test_export_is_checked_and_shown_last(spark, lists, owned, fallback, tmp_path):
+    root = str(tmp_path / "export")
+    summary = sinks.export_lists(lists, owned, root, "v", fallback, META)
     assert (summary["rows"], summary["customers_exported"], summary["partial_export"]) == (4, 2, False)
-    loaded = sinks.load_recommendations(spark, f"{out}/recommendations")
-    assert guards.list_parity(lists, loaded, ["customer_id", "mode"]).first().share_identical == 1.0
-    assert json.loads(spark.read.text(f"{out}/manifest").first()[0])["history_end"] == "2024-01-08"
-    assert sinks.load_fallbacks(spark, f"{out}/fallback").count() == 2
+    assert summary["checks_passed"] == ["row_count_and_distinct", "no_bought_in_discover"]  # no input for the others
+    folder = sinks.export_folder(spark, root)
+    assert guards.list_parity(lists, sinks.load_recommendations(spark, f"{folder}/recommendations"), ["customer_id", "mode"]).first().share_identical == 1.0
+    manifest = sinks.load_manifest(spark, root)
+    assert manifest == summary and manifest["history_end"] == "2024-01-08" and all(n > 0 for n in manifest["files"].values())
+    assert sinks.load_fallbacks(spark, f"{folder}/fallback").count() == 2
     with pytest.raises(FileExistsError):
-        sinks.export_lists(lists, owned, out, "v", fallback, meta)
-    part = sinks.export_lists(lists, owned, out, "v", fallback, meta, overwrite=True, limit=1)
-    assert (part["rows"], part["partial_export"]) == (2, True)
-
-
-def test_a_bad_export_is_not_promoted(spark, lists, fallback, tmp_path):
-    out = str(tmp_path / "export")
-    bought = spark.createDataFrame([(HEX[2], 152)], "customer_id string, article_id bigint")
-    with pytest.raises(ValueError, match="owned_in_discover"):
-        sinks.export_lists(lists, bought, out, "v", fallback, {"history_end": "x"})
-    assert not (tmp_path / "export" / "recommendations").exists()
-    short = lists.withColumn("items", F.slice("items", 1, 11))
-    with pytest.raises(ValueError, match="wrong_size"):
-        sinks.export_lists(short, bought.filter("false"), out, "v", fallback, {"history_end": "x"})
+        sinks.export_lists(lists, owned, root, "v", fallback, META)
+    part = sinks.export_lists(lists, owned, root, "v2", fallback, META, overwrite=True, limit=1)
+    assert (part["rows"], part["partial_export"]) == (2, True) and sinks.load_manifest(spark, root)["model_version"] == "v2"
+
+
+def gate_inputs(spark, lists, owned, fallback):
+    """Arguments with which all six gates run and pass."""
+    articles = spark.createDataFrame([(a,) for a in range(1, 200)], "article_id bigint")
+    return {"lists": lists, "owned": owned, "version": "v", "fallback": fallback.limit(1), "meta": META, "customers": lists.select("customer_id").distinct(),
+            "articles": articles, "history_end": dt.date(2024, 1, 8), "recompute": lambda some: lists.join(some, "customer_id", "left_semi")}
+
+
+def test_all_gates_pass_in_order(spark, lists, owned, fallback, tmp_path):
+    summary = sinks.export_lists(root=str(tmp_path / "e"), **gate_inputs(spark, lists, owned, fallback))
+    assert summary["checks_passed"] == list(sinks.GATES)
+
+
+@pytest.mark.parametrize("gate, message", [
+    ("ids", "bad_customer_ids"), ("articles", "repeated_article_ids"), ("fallback", "bad_fallback"), ("history_end", "the history ends"), ("sizes", "wrong_size"),
+    ("repeats", "with_repeats"), ("rows", "rows for"), ("modes", "without_both_modes"), ("bought", "owned_in_discover"), ("parity", "recomputation")])
+def test_each_gate_refuses_and_the_old_export_stays(spark, lists, owned, fallback, tmp_path, gate, message):
+    root, good = str(tmp_path / "e"), gate_inputs(spark, lists, owned, fallback)
+    sinks.export_lists(root=root, **good)
+    bad = {
+        "ids": {"customers": good["customers"].unionByName(spark.createDataFrame([("xyz",)], "customer_id string"))},
+        "articles": {"articles": good["articles"].unionByName(good["articles"].limit(1))},
+        "fallback": {"articles": good["articles"].filter("article_id <> 105")},
+        "history_end": {"history_end": dt.date(2024, 1, 9)},
+        "sizes": {"lists": lists.withColumn("items", F.slice("items", 1, 11))},
+        "repeats": {"lists": lists.withColumn("items", F.concat(F.slice("items", 1, 11), F.slice("items", 1, 1)))},
+        "rows": {"customers": good["customers"].unionByName(spark.createDataFrame([(HEX[4],)], "customer_id string"))},
+        "modes": {"lists": lists.filter(f"NOT (mode = 'discover' AND customer_id = '{HEX[1]}')")},
+        "bought": {"owned": spark.createDataFrame([(HEX[2], 152)], "customer_id string, article_id bigint")},
+        "parity": {"recompute": lambda some: lists.withColumn("items", F.reverse("items"))},
+    }[gate]
+    with pytest.raises(ValueError, match=message):
+        sinks.export_lists(root=root, overwrite=True, **{**good, "version": "new", **bad})
+    assert sinks.load_manifest(spark, root)["model_version"] == "v"
+
+
+def test_a_run_that_dies_before_the_switch_changes_nothing(monkeypatch, spark, lists, owned, fallback, tmp_path):
+    root, good = str(tmp_path / "e"), gate_inputs(spark, lists, owned, fallback)
+    sinks.export_lists(root=root, **good)
+
+    def dies(*_):
+        raise KeyboardInterrupt
+
+    monkeypatch.setattr(versions, "switch", dies)
+    with pytest.raises(KeyboardInterrupt):
+        sinks.export_lists(root=root, overwrite=True, **{**good, "version": "new"})
+    assert sinks.load_manifest(spark, root)["model_version"] == "v"
+    assert sinks.load_recommendations(spark, f"{sinks.export_folder(spark, root)}/recommendations").count() == 4
+
+
+def test_load_replaces_both_tables_or_neither(spark, lists, owned, fallback, tmp_path):
+    root, tables, good = str(tmp_path / "e"), str(tmp_path / "t"), gate_inputs(spark, lists, owned, fallback)
+    sinks.export_lists(root=root, **good)
+    assert {(r["mode"], r.model_version, r.customers) for r in sinks.load_export(spark, root, tables).collect()} == {("repurchase", "v", 2), ("discover", "v", 2)}
+    assert sinks.served_fallbacks(spark, tables).read().count() == 1
+    sinks.export_lists(root=root, overwrite=True, limit=1, **{**good, "version": "part"})
+    with pytest.raises(ValueError, match="partial"):
+        sinks.load_export(spark, root, tables)
+    assert sinks.served_recommendations(spark, tables).select("model_version").distinct().first()[0] == "v"
+    assert sinks.load_export(spark, root, tables, partial=True).first().customers == 1
+
+
+@pytest.mark.parametrize("column, rows, lists_", [
+    ("customer_id", "concat(customer_id, 'x')", {}), ("mode", None, {"mode": "'other'"}), ("items", None, {"items": "slice(items, 1, 11)"}),
+    ("model_version", None, {"model_version": "cast(null as string)"})])
+def test_constraints_of_the_recommendations(spark, lists, fallback, column, rows, lists_):
+    loaded = lists.withColumn("model_version", F.lit("v"))
+    broken = loaded.withColumn(column, F.expr(rows or lists_[column]))
+    assert not any(sinks.broken_constraints(loaded, fallback).first().asDict().values())
+    assert sinks.broken_constraints(broken, fallback).first()[column] == 4
+    assert sinks.broken_constraints(loaded.unionByName(loaded.limit(1)), fallback).first().repeated_keys == 1
+
+
+def test_constraints_of_the_fallback_lists(spark, lists, fallback):
+    loaded = lists.withColumn("model_version", F.lit("v"))
+    for name, column, value in (("fallback_window", "window_days", "0"), ("fallback_items", "items", "slice(items, 1, 3)"),
+                                ("fallback_key", "source", "cast(null as string)"), ("fallback_version", "model_version", "cast(null as string)")):
+        assert sinks.broken_constraints(loaded, fallback.withColumn(column, F.expr(value))).first()[name] == 2
+    assert sinks.broken_constraints(loaded, fallback.unionByName(fallback)).first().repeated_fallback_keys == 2
+
+
+def test_keyed_table_writes_touched_buckets_only(spark, tmp_path):
+    table = KeyedTable(spark, str(tmp_path / "k"), ["a", "b"], "a int, b string, v int", buckets=8)
+    assert table.read().count() == 0 and table.upsert(table.read()) == []
+    table.upsert(spark.createDataFrame([(n, None if n % 3 else "x", n) for n in range(40)], "a int, b string, v int"))
+    before = table.index()
+    touched = table.upsert(spark.createDataFrame([(1, None, 100), (50, "y", 50)], "a int, b string, v int"))
+    after = table.index()
+    assert {b for b in before if before[b] != after[b]} <= set(touched) and 1 <= len(touched) <= 2 < len(before)
+    got = {(r.a, r.b): r.v for r in table.read().collect()}
+    assert got == {**{(n, None if n % 3 else "x"): n for n in range(40)}, (1, None): 100, (50, "y"): 50}
+    with pytest.raises(ValueError, match="repeat a key"):
+        table.upsert(spark.createDataFrame([(7, "q", 1), (7, "q", 2)], "a int, b string, v int"))
+    assert table.index() == after
+
+
+@pytest.fixture
+def served(spark, lists, owned, fallback, tmp_path):
+    """Served tables whose newest fallback list is of 2024-01-08."""
+    root, tables = str(tmp_path / "e"), str(tmp_path / "t")
+    good = gate_inputs(spark, lists, owned, fallback)
+    sinks.export_lists(root=root, **{**good, "fallback": fallback.filter("model_version = 'v8'")})
+    sinks.load_export(spark, root, tables)
+    return tables
+
+
+def sales(spark, n_articles=14):
+    rows = [(a, dt.date(2024, 1, d)) for d in range(1, 16) for a in range(1, n_articles + 1) for _ in range(a if d > 8 else 1)]
+    return spark.createDataFrame(rows, "article_id bigint, t_dat date")
+
+
+def test_refresh_writes_and_reads_back(spark, served):
+    found = serving.refresh_fallback(spark, served, sales(spark), dt.date(2024, 1, 15), dry_run=True)
+    assert not found.written and sinks.served_fallbacks(spark, served).read().count() == 1
+    found = serving.refresh_fallback(spark, served, sales(spark), dt.date(2024, 1, 15))
+    assert found.items == list(range(14, 2, -1)) and found.served_as_of == dt.date(2024, 1, 8) and found.kept == 1
+    assert (found.window_start, found.first_sale, found.last_sale) == (dt.date(2024, 1, 9), dt.date(2024, 1, 1), dt.date(2024, 1, 15))
+    rows = {r.as_of.day: (r.model_version, r["items"][0]) for r in sinks.served_fallbacks(spark, served).read().collect()}
+    assert rows == {8: ("v8", 8), 15: ("v8", 14)}  # the version is carried over
+    assert serving.refresh_fallback(spark, served, sales(spark), dt.date(2024, 1, 15)).kept == 12  # again: the same row
+
+
+@pytest.mark.parametrize("day, days, articles, message", [
+    (16, 7, 14, "future day"), (8, 8, 14, "not covered"), (7, 3, 14, "already newer"), (15, 7, 11, "11 articles")])
+def test_each_refusal_leaves_the_served_list(spark, served, day, days, articles, message):
+    with pytest.raises(ValueError, match=message):
+        serving.refresh_fallback(spark, served, sales(spark, articles), dt.date(2024, 1, day), days)
+    assert [r.as_of.day for r in sinks.served_fallbacks(spark, served).read().collect()] == [8]
+
+
+def test_refresh_needs_a_served_list(spark, served):
+    with pytest.raises(LookupError, match="load an export first"):
+        serving.refresh_fallback(spark, served, sales(spark), dt.date(2024, 1, 15), source="other")
+
+
+def test_a_saved_model_is_exported_through_all_gates(spark, tmp_path):
+    rng = random.Random(2)
+    rows = [(HEX[c], a, dt.date(2024, 1, 1 + a % 8)) for c in HEX for a in [*rng.sample(range(1, 31), 9), 7, 12]]
+    history = spark.createDataFrame(rows, "customer_id string, article_id bigint, t_dat date")
+    fitted = als.fit_als(als.index_interactions(history), {"factors": 3, "regularization": 0.1, "alpha": 15.0, "iterations": 2})
+    popular = [r.article_id for r in history.groupBy("article_id").count().orderBy(F.desc("count"), "article_id").limit(12).collect()]
+    path, root = str(tmp_path / "model"), str(tmp_path / "e")
+    artifact.save_artifact(fitted, path, popular, max(r[2] for r in rows))
+    summary = serving.export_artifact(spark, path, history, root)
+    assert summary["checks_passed"] == list(sinks.GATES) and summary["rows"] == 10 and not summary["partial_export"]
+    assert summary["model_version"] == "als-f3-r0.1-a15-i2-h2024-01-08"
+    with pytest.raises(ValueError, match="the history ends"):
+        serving.export_artifact(spark, path, history.filter("t_dat < '2024-01-05'"), str(tmp_path / "f"))
 
 
 def test_upsert_is_idempotent_and_carries_the_version(spark, fallback):
