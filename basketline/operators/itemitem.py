@@ -27,6 +27,8 @@ from basketline.operators.popularity import K, article_counts, count_order
 from basketline.session import materialize, spread
 
 PAIR_COLUMNS = 1024  # of a basket, paired with the rest of it in one go
+BUCKET_ARTICLES = 64  # whose pairs are added up in one group
+SCALE = -1  # the article whose rows hold the scale of every column
 ROW_COLUMNS = 8192  # a similarity row is cut at multiples of it
 BASKET_COLUMNS = 4096  # of a basket, scored in one block
 BLOCK_COLUMNS = 1 << 14  # basket entries of a block of customers
@@ -91,11 +93,52 @@ def both_ways(upper: DataFrame) -> DataFrame:
     return upper.unionByName(upper.filter("a < b").select(F.col("b").alias("a"), F.col("a").alias("b"), "sim"))
 
 
-def similarity_rows(upper: DataFrame, columns: int = ROW_COLUMNS) -> DataFrame:
-    """(a, cols, sims): each article's neighbours side by side, in slices of `columns` consecutive columns."""
-    cells = both_ways(upper).withColumn("part", F.expr(f"b div {columns}"))
-    return cells.groupBy("a", "part").agg(F.collect_list(F.struct(F.col("b").cast("int").alias("b"), "sim")).alias("row")).select(
-        "a", F.col("row.b").alias("cols"), F.col("row.sim").alias("sims"))
+def similarity_rows(customer_baskets: DataFrame, n_items: int, columns: int = ROW_COLUMNS) -> DataFrame:
+    """(a, cols, sims): what each article gives to its neighbours, together / sqrt(n_a), in slices of `columns` columns.
+
+    Rows of article SCALE hold 1 / sqrt(n_b) of every column b, by which sums over articles are to be
+    multiplied. Pairs are counted, shuffled and added up as packed arrays by buckets of articles: no cell is a row.
+    """
+    buckets = max(1, -(-n_items // BUCKET_ARTICLES))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            halves = zip(*(batch.column(c) for c in ("own", "rest")))
+            for a, b, n in blocks.pair_counts((own.values.to_numpy(), rest.values.to_numpy()) for own, rest in halves):
+                other = a < b
+                codes = np.concatenate([a << 31 | b, b[other] << 31 | a[other]])
+                n = np.concatenate([n, n[other]])
+                bucket = (codes >> 31) % buckets
+                order = np.argsort(bucket, kind="stable")
+                codes, n, bucket = codes[order], n[order], bucket[order]
+                cuts = np.append(np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])), len(bucket))
+                spans = list(zip(cuts[:-1], cuts[1:]))
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(bucket[cuts[:-1]]), pa.array([codes[i:j].tobytes() for i, j in spans], pa.binary()),
+                    pa.array([n[i:j].astype(np.int64).tobytes() for i, j in spans], pa.binary())], ["bucket", "codes", "counts"])
+
+    def merge(parts: pa.Table) -> pa.Table:
+        codes, n = (np.concatenate([np.frombuffer(x.as_buffer(), np.int64) for x in parts[c]]) for c in ("codes", "counts"))
+        order = np.argsort(codes, kind="stable")
+        codes, n = codes[order], n[order]
+        first = np.flatnonzero(np.append(True, codes[1:] != codes[:-1]))
+        codes, n = codes[first], np.add.reduceat(n, first)
+        a, b = codes >> 31, codes & 0x7FFFFFFF
+        own = a == b  # every article that is in a basket meets itself there
+        scale = 1 / np.sqrt(n[own].astype(np.float64))
+        sims = n * scale[np.searchsorted(a[own], a)]
+        starts = np.flatnonzero(np.append(True, (a[1:] != a[:-1]) | (b[1:] // columns != b[:-1] // columns)))
+        offsets = pa.array(np.append(starts, len(a)).astype(np.int32))
+        rows = pa.table({"a": a[starts], "cols": pa.ListArray.from_arrays(offsets, pa.array(b.astype(np.int32))),
+                         "sims": pa.ListArray.from_arrays(offsets, pa.array(sims))})
+        whole = pa.array([0, int(own.sum())], pa.int32())
+        scales = pa.table({"a": pa.array([SCALE]), "cols": pa.ListArray.from_arrays(whole, pa.array(a[own].astype(np.int32))),
+                           "sims": pa.ListArray.from_arrays(whole, pa.array(scale))})
+        return pa.concat_tables([rows, scales])
+
+    rest = F.slice("cols", F.col("part") * PAIR_COLUMNS + 1, F.size("cols")).alias("rest")
+    packed = spread(sliced(customer_baskets, PAIR_COLUMNS, "cols").select("own", rest)).mapInArrow(count, "bucket bigint, codes binary, counts binary")
+    return packed.groupBy("bucket").applyInArrow(merge, "a bigint, cols array<int>, sims array<double>")
 
 
 def added_up(baskets: Sequence[np.ndarray], rows: pa.Table, n_items: int) -> Iterator[np.ndarray]:
@@ -105,11 +148,15 @@ def added_up(baskets: Sequence[np.ndarray], rows: pa.Table, n_items: int) -> Ite
     cols, sims = rows["cols"].combine_chunks(), rows["sims"].combine_chunks()
     starts, sizes = cols.offsets.to_numpy()[:-1].astype(np.int64)[order], cols.value_lengths().to_numpy()[order]
     ids, values, at = cols.values.to_numpy(), sims.values.to_numpy(), at[order]
-    for own in baskets:
-        first, last = np.searchsorted(at, own), np.searchsorted(at, own, "right")
+
+    def total(first: np.ndarray, last: np.ndarray) -> np.ndarray:
         row = blocks.ranges(first, last - first)
         cell = blocks.ranges(starts[row], sizes[row])
-        yield np.bincount(ids[cell], values[cell], n_items)
+        return np.bincount(ids[cell], values[cell], n_items)
+
+    scale = total(*(np.searchsorted(at, [SCALE], side) for side in ("left", "right")))
+    for own in baskets:
+        yield scale * total(np.searchsorted(at, own), np.searchsorted(at, own, "right"))
 
 
 def best_columns(scores: np.ndarray, owned: Sequence[np.ndarray], k: int, exclusion: bool) -> Iterator[np.ndarray]:
@@ -132,13 +179,20 @@ class ItemItem:
     def __init__(self, history: DataFrame, n_items: int | None = None):
         self.items = materialize(catalogue(history, n_items))
         self.baskets = materialize(baskets(interactions(history, self.items)))
-        self.upper = materialize(cosine(materialize(cooccurrence(self.baskets, PAIR_COLUMNS))))
-        self.similarity = both_ways(self.upper)
+
+    @cached_property
+    def upper(self) -> DataFrame:
+        """The similarity as a written table of cells, a <= b."""
+        return materialize(cosine(materialize(cooccurrence(self.baskets, PAIR_COLUMNS))))
+
+    @property
+    def similarity(self) -> DataFrame:
+        return both_ways(self.upper)
 
     @cached_property
     def rows(self) -> DataFrame:
-        """The similarity as written rows by article."""
-        return materialize(similarity_rows(self.upper, ROW_COLUMNS))
+        """The similarity as written rows by article; lists need no table of cells."""
+        return materialize(similarity_rows(self.baskets, self.items.count(), ROW_COLUMNS))
 
     def similarity_by_article(self) -> DataFrame:
         a = self.items.select(F.col("article_id").alias("item_a"), F.col("col").alias("a"))
@@ -204,7 +258,7 @@ class ItemItem:
         n_blocks = max(1, -(-n_owned // BLOCK_COLUMNS))
         block = F.pmod(F.xxhash64("customer_id", "part"), F.lit(n_blocks))
         people = people.withColumn("block", block)
-        asked = people.select(F.col("block").alias("by"), F.explode("own").alias("a")).distinct()
+        asked = people.select(F.col("block").alias("by"), F.explode(F.concat("own", F.array(F.lit(SCALE).cast("bigint")))).alias("a")).distinct()
         return people.groupBy("block").cogroup(asked.join(self.rows, "a").groupBy("by"))
 
 
