@@ -46,9 +46,10 @@ BASE = (
 )
 # Well-known shapes of further secrets.
 MORE = (
-    # from BEGIN through END; without END, as far as there are characters of a key block
-    Rule("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"
-                r"(?:[A-Za-z0-9+/=\x20\t\r\n:,\\-]*?-----END [A-Z ]*PRIVATE KEY-----|[A-Za-z0-9+/=\x20\t\r\n:,\\-]*)"),
+    # from BEGIN through END; without END, as long as lines (real or escaped breaks) are base64 or a header of a key
+    Rule("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:[A-Za-z0-9+/=\x20\t\r\n:,\\-]*?-----END [A-Z ]*PRIVATE KEY-----"
+                r"|(?:(?:(?:\\r)?\\n|\r?\n)+(?:[A-Za-z0-9+/]{32,}={0,2}|[A-Za-z]*[0-9+][A-Za-z0-9+/]{12,}={0,2}"
+                r"|[A-Za-z]{12,}[0-9+][A-Za-z0-9+/]*={0,2}|[A-Za-z0-9+/]+={1,2}|(?:Proc-Type|DEK-Info):[\x20A-Za-z0-9,-]*))*+)"),  # possessive: no recursion on long keys
     Rule("forge", r"gh[pousr]_[A-Za-z0-9]{36,}"),
     Rule("webtoken", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
 )

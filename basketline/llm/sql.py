@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from basketline.llm import secrets
+
 MIXING = r"""WITH d AS (
   SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size
   FROM documents WHERE doc_id IS NOT NULL),
@@ -33,7 +35,7 @@ SELECT query_id, rank::INT AS rank, vec_id, score FROM r WHERE rank <= 5"""
 
 _ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)"""
 _KINDS = (("assign", _ASSIGN, 2, 6), ("access", "AKIA[A-Z0-9]+", 0, 20), ("hex", "[0-9a-f]{24,}", 0, 24),
-          ("pem", "-----BEGIN [A-Z ]*PRIVATE KEY-----", 0, 0), ("forge", "gh[pousr]_[A-Za-z0-9]{36,}", 0, 0),
+          ("pem", secrets.MORE[0].pattern.replace("*+)", "*)"), 0, 0), ("forge", "gh[pousr]_[A-Za-z0-9]{36,}", 0, 0),
           ("webtoken", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", 0, 0))
 
 
