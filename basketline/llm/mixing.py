@@ -93,10 +93,13 @@ def mixed_corpus(docs: DataFrame) -> DataFrame:
     budget ends has its text cut after the last word that is taken, and n_chars follows."""
     columns = docs.columns
     rows = documents(docs, "source", F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row")).withColumn("h", F.xxhash64("text"))
-    same = Window.partitionBy("doc_id", "h").orderBy(F.lit(0))
+    same = Window.partitionBy("doc_id", "h", "source")  # rows that are alike but for further columns
     sizes = written(sized(docs.withColumn("h", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))), "h"), "sizes")
-    taken = mix(sizes).where("taken > 0").select("doc_id", "h", "size", "taken", F.row_number().over(same).alias("k"))
-    rows = rows.withColumn("k", F.row_number().over(same)).join(taken, ["doc_id", "h", "k"])
+    taken = mix(sizes).where("taken > 0").select(
+        F.col("doc_id").alias("_id"), F.col("h").alias("_h"), F.col("source").alias("_source"), "size", "taken",
+        F.row_number().over(same.orderBy(F.desc("taken"))).alias("_k"))
+    rows = rows.withColumn("k", F.row_number().over(same.orderBy(F.xxhash64("row"))))
+    rows = rows.join(taken, F.expr("doc_id = _id AND h = _h AND source <=> _source AND k = _k"))
     rest = F.col("taken") % F.col("size")
     words = F.concat(F.array_repeat(F.col("size"), (F.col("taken") / F.col("size")).cast("int")), F.when(rest > 0, F.array(rest)).otherwise(F.expr("array()")))
     copies = rows.withColumn("words", F.explode(words))
