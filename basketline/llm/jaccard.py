@@ -287,7 +287,7 @@ class SetJoin:
         else:
             whole = whole.join(dropped, "key", "left_anti")
         if not repeated.isEmpty():
-            twice = whole.join(repeated, "key", "left_semi").withColumn("k", F.row_number().over(Window.partitionBy("key").orderBy(F.lit(0))))
+            twice = whole.join(repeated, "key", "left_semi").withColumn("k", F.row_number().over(Window.partitionBy("key").orderBy(F.xxhash64("row"))))
             whole = whole.join(repeated, "key", "left_anti").select("row").unionByName(twice.where("k = 1").select("row"))
         return whole.select("row.*")
 
