@@ -243,6 +243,25 @@ def top_n(fitted: FittedALS, customers: DataFrame, n: int) -> DataFrame:
     return rows.select("customer_id", F.col("x.items").alias("article_id"), F.col("x.scores").alias("score"), (F.col("pos") + 1).alias("rank"))
 
 
+def direct_loss(fitted: FittedALS) -> DataFrame:
+    """One row: the loss from the factor tables alone, by joins of the bought pairs and the two Gram matrices.
+
+    The second route to what a fit reports; pairs that were not bought enter through the Gram matrices.
+    """
+    users, items = (t.select(F.col("idx").alias(i), F.col("features").alias(f)) for t, i, f in (
+        (fitted.users, "customer_idx", "u"), (fitted.items, "article_idx", "v")))
+    score = F.aggregate(F.zip_with("u", "v", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+    seen = fitted.data.pairs.join(users, "customer_idx").join(items, "article_idx").withColumn("p", score)
+    confidence = 1 + F.lit(float(fitted.config["alpha"])) * F.col("weight").cast("double")
+    observed = seen.agg(F.sum(confidence * (1 - F.col("p")) ** 2 - F.col("p") ** 2).alias("observed"))
+    both = gram(fitted.users).withColumnRenamed("value", "g").join(gram(fitted.items).withColumnRenamed("value", "h"), ["i", "j"])
+    norms = F.sum(F.when(F.col("i") == F.col("j"), F.col("g") + F.col("h")))
+    rest = both.agg((F.sum(F.col("g") * F.col("h")) + F.lit(float(fitted.config["regularization"])) * norms).alias("rest"))
+    n_users, n_items, weight, _ = fitted.data.sizes
+    total = float(n_users) * n_items + float(fitted.config["alpha"]) * weight
+    return observed.crossJoin(F.broadcast(rest)).select(((F.col("observed") + F.col("rest")) / F.lit(total)).alias("loss"))
+
+
 def loss_curve(data: Interactions, config: Mapping[str, float], iterations: Sequence[int], seed: int = SEED) -> DataFrame:
     """(iteration, loss) out of one fit."""
     fitted = fit_als(data, {**config, "iterations": max(iterations)}, seed)

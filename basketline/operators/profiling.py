@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from basketline.session import materialize
+
+RANGES = 256  # into which the distinct values of a group are parted
+
 
 def counts_with_zero(dimension: DataFrame, log: DataFrame, key: str) -> DataFrame:
     """Purchases per dimension row, 0 when it never occurs in the log."""
@@ -51,10 +55,15 @@ def histogram(df: DataFrame, value: str, bins: int = 50) -> DataFrame:
 
 
 def describe_value(df: DataFrame, value: str) -> DataFrame:
-    return df.agg(F.count(value).alias("count"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"),
-                  F.min(value).alias("min"), F.percentile(value, F.lit(0.25)).alias("p25"),
-                  F.percentile(value, F.lit(0.5)).alias("p50"), F.percentile(value, F.lit(0.75)).alias("p75"),
-                  F.max(value).alias("max"))
+    """Count, mean, deviation, extremes and quartiles (interpolated) of one column."""
+    basic = df.agg(F.count(value).alias("count"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"),
+                   F.min(value).alias("min"), F.max(value).alias("max"))
+    quarters = {f"p{p}": F.lit(p) * (F.col("n") - 1) / 100 for p in (25, 50, 75)}
+    ranks = {f"{name}_{end}": (side(at) + 1).cast("bigint") for name, at in quarters.items() for end, side in (("lo", F.floor), ("hi", F.ceil))}
+    found = values_at_ranks(df, value, ranks)
+    between = [(F.col(f"{name}_lo") + (at - F.floor(at)) * (F.col(f"{name}_hi") - F.col(f"{name}_lo"))).alias(name) for name, at in quarters.items()]
+    rows = basic.withColumn("_one", F.lit(1)).join(found.select(*between, F.lit(1).alias("_one")), "_one", "left")
+    return rows.select("count", "mean", "std", "min", "p25", "p50", "p75", "max")
 
 
 def cardinalities(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -67,50 +76,65 @@ def cardinalities(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return values.groupBy("column_name").agg(F.count(F.lit(1)).alias("n_distinct"))
 
 
-def running_counts(df: DataFrame, value: str, by: Sequence[str] = (), step: float = 1.0) -> DataFrame:
-    """(by, v, c, cum, n): each distinct value with its count, the count up to it and the group's count.
+def ranged(df: DataFrame, value: str, by: Sequence[str] = (), ranges: int = RANGES) -> DataFrame:
+    """(by, v, c, range): each distinct value with its count, in ranges of about equally many values.
 
-    Two levels: totals per step-wide range, then the values inside a range. A group with most of the
-    rows is therefore spread over its ranges, and no task holds a group's values.
+    The splitters are quantiles of a group's own values from a mergeable sketch, so that a range is a small
+    share of the values wherever they lie.
     """
     keys = list(by)
-    counted = df.filter(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("v")).agg(
-        F.count(F.lit(1)).alias("c")).withColumn("_range", F.floor(F.col("v") / step))
-    per_range = counted.groupBy(*keys, "_range").agg(F.sum("c").alias("_in"))
-    group = Window.partitionBy(*keys)  # one row per range
-    before = group.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    per_range = per_range.select(
-        *keys, "_range", F.coalesce(F.sum("_in").over(before), F.lit(0)).alias("_before"), F.sum("_in").over(group).alias("n"))
-    inside = Window.partitionBy(*keys, "_range").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    return counted.join(per_range, [*keys, "_range"]).withColumn(
-        "cum", F.sum("c").over(inside) + F.col("_before")).drop("_range", "_before")
-
+    counted = df.filter(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("v")).agg(F.count(F.lit(1)).alias("c"))
+    shares = F.array(*[F.lit(i / ranges) for i in range(1, ranges)])
+    # written, so that all that reads ranges sees the same ones
+    cuts = materialize(counted.groupBy(*keys).agg(F.percentile_approx("v", shares, 10 * ranges).alias("cuts")))
+    same = [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys]
+    both = counted.alias("a").join(cuts.alias("b"), same) if keys else counted.alias("a").crossJoin(F.broadcast(cuts).alias("b"))
+    return both.select(*[f"a.{k}" for k in keys], "v", "c", F.size(F.filter("cuts", lambda c: c < F.col("v"))).alias("range"))
 
-def at_rank(rank: Column) -> Column:
-    """The value at a 1-based rank, over running_counts rows."""
-    return F.min(F.when(F.col("cum") >= rank, F.col("v")))
 
+def values_at_ranks(df: DataFrame, value: str, ranks: Mapping[str, Column], by: Sequence[str] = (), ranges: int = RANGES) -> DataFrame:
+    """(by, n, one column per rank): the values at 1-based ranks, each a column over the group's count n.
 
-def exact_median(df: DataFrame, value: str, by: Sequence[str] = (), step: float = 1.0) -> DataFrame:
+    Ranges are counted first; only the one that holds a rank is put in order, so no task sorts more than a
+    range of the distinct values.
+    """
+    keys = list(by)
+    rows = ranged(df, value, by, ranges)
+    group = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))  # a row per range
+    before = group.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    counts = rows.groupBy(*keys, "range").agg(F.sum("c").alias("_in")).withColumn("n", F.sum("_in").over(group)).withColumn(
+        "_before", F.coalesce(F.sum("_in").over(before), F.lit(0)))
+    wanted = F.filter(F.array(*[F.struct(F.lit(name).alias("name"), rank.cast("bigint").alias("rank")) for name, rank in ranks.items()]),
+                      lambda w: (w["rank"] > F.col("_before")) & (w["rank"] <= F.col("_before") + F.col("_in")))
+    held = counts.withColumn("wanted", wanted).filter(F.size("wanted") > 0)
+    same = F.expr(" AND ".join(f"a.`{k}` <=> b.`{k}`" for k in [*keys, "range"]))
+    inside = Window.partitionBy(*[f"a.{k}" for k in keys], "a.range").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+    placed = rows.alias("a").join(held.alias("b"), same).select(
+        *[f"a.{k}" for k in keys], "v", "n", "wanted", (F.sum("c").over(inside) + F.col("_before")).alias("cum"))
+    found = placed.select(*keys, "v", "n", "cum", F.explode("wanted").alias("w")).filter("cum >= w.rank")
+    return found.groupBy(*keys).agg(F.first("n").alias("n"), *[F.min(F.when(F.col("w.name") == name, F.col("v"))).alias(name) for name in ranks])
+
+
+def exact_median(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
     """(by, median): the mean of the two middle values."""
-    low, high = at_rank(F.expr("(n + 1) div 2")), at_rank(F.expr("n div 2 + 1"))
-    return running_counts(df, value, by, step).groupBy(*by).agg(((low + high) / 2).alias("median"))
+    middle = values_at_ranks(df, value, {"low": F.expr("(n + 1) div 2"), "high": F.expr("n div 2 + 1")}, by)
+    return middle.select(*by, ((F.col("low") + F.col("high")) / 2).alias("median"))
 
 
-def latency_summary(log: DataFrame, value: str, by: Sequence[str], step: float = 1.0) -> DataFrame:
+def latency_summary(log: DataFrame, value: str, by: Sequence[str]) -> DataFrame:
     """n, mean, nearest-rank percentiles and max per group, rounded as the report prints them."""
-    def nearest(p: int) -> Column:
-        # integer ceil(p * n / 100), at least 1
-        return F.round(at_rank(F.greatest(F.expr(f"({p} * n + 99) div 100"), F.lit(1))), 3).alias(f"p{p}")
-
-    return running_counts(log, value, by, step).groupBy(*by).agg(
-        F.sum("c").alias("n"), F.round(F.sum(F.col("v") * F.col("c")) / F.sum("c"), 3).alias("mean"),
-        nearest(50), nearest(90), nearest(95), nearest(99), F.round(F.max("v"), 3).alias("max"))
+    # integer ceil(p * n / 100), at least 1
+    ranks = {f"p{p}": F.greatest(F.expr(f"({p} * n + 99) div 100"), F.lit(1).cast("bigint")) for p in (50, 90, 95, 99)}
+    found = values_at_ranks(log, value, ranks, by)
+    basic = log.filter(F.col(value).isNotNull()).groupBy(*by).agg(F.avg(value).alias("mean"), F.max(value).alias("max"))
+    same = F.expr(" AND ".join(f"a.`{k}` <=> b.`{k}`" for k in by))
+    return basic.alias("a").join(found.alias("b"), same).select(
+        *[f"a.{k}" for k in by], "n", *[F.round(c, 3).alias(c) for c in ("mean", *ranks, "max")])
 
 
 def upper_median(runs: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
     """The upper of the two middle values over runs."""
-    return running_counts(runs, value, by).groupBy(*by).agg(at_rank(F.expr("n div 2 + 1")).alias(value))
+    return values_at_ranks(runs, value, {value: F.expr("n div 2 + 1")}, by).drop("n")
 
 
 def relative_change(curve: DataFrame, step: str, value: str) -> DataFrame:

@@ -1,6 +1,7 @@
 """Cleaning, ids, splits and their guards."""
 
 import datetime as dt
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -32,6 +33,23 @@ def test_median_matches_the_builtin(spark, values):
     assert profiling.exact_median(df, "x").first().median == df.agg(F.median("x")).first()[0]
 
 
+def test_dense_values_are_spread_over_ranges(spark):
+    """All values in [0, 1), one far away, half of all rows on one value: no range holds more than a small share."""
+    rnd = random.Random(6)
+    values = [rnd.random() for _ in range(5000)] + [1e9] + [0.25] * 5000
+    df = spark.createDataFrame([(v, "a" if i % 3 else None) for i, v in enumerate(values)], "x double, g string").repartition(4)
+    sizes = [r["n"] for r in profiling.ranged(df, "x", ranges=50).groupBy("range").agg(F.count(F.lit(1)).alias("n")).collect()]
+    assert len(sizes) == 50 and max(sizes) < 2 * 5002 / 50
+    ordered = sorted(values)
+    got = profiling.values_at_ranks(df, "x", {"first": F.lit(1), "mid": F.expr("n div 2"), "last": F.col("n"), "beyond": F.col("n") + 1}, ranges=50).first()
+    assert (got["n"], got["first"], got["mid"], got["last"], got["beyond"]) == (10001, ordered[0], ordered[4999], 1e9, None)
+    groups = {g: sorted(v for i, v in enumerate(values) if ("a" if i % 3 else None) == g) for g in ("a", None)}
+    for r in profiling.values_at_ranks(df, "x", {"mid": F.expr("n div 2 + 1")}, ["g"], ranges=50).collect():
+        assert (r["n"], r["mid"]) == (len(groups[r["g"]]), groups[r["g"]][len(groups[r["g"]]) // 2])
+    described = profiling.describe_value(df, "x").first()
+    assert [described[p] for p in ("p25", "p50", "p75")] == pytest.approx(df.agg(F.percentile("x", F.array(F.lit(.25), F.lit(.5), F.lit(.75)))).first()[0])
+
+
 def test_dense_ids_follow_sorted_order(spark):
     ids = [f"c{n:05d}" for n in range(2000)]
     df = spark.createDataFrame([(c,) for c in reversed(ids)], "customer_id string").repartition(7)
