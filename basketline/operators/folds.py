@@ -104,16 +104,19 @@ def build_folds(log: DataFrame, weeks: Sequence[dt.date], target_days: int = 7,
     return Folds(tuple(weeks), tagged(past, in_history), tagged(ahead, in_target))
 
 
-def check_folds(folds: Folds) -> None:
-    """Every fold has history and target rows, and no history day reaches its target."""
-    hist = folds.history.groupBy("week").agg(F.max("t_dat").alias("history_end"))
-    target = folds.target.groupBy("week").agg(F.min("t_dat").alias("target_start"))
-    found = {r["week"]: r for r in hist.join(target, "week").collect()}
+def check_folds(folds: Folds, reserved_from: dt.date | None = None) -> None:
+    """Each week has a past and target rows, the past ends before them, and none of them lies in the reserved test split."""
+    past = folds.history.groupBy("week").agg(F.max("t_dat").alias("last_known"))
+    ahead = folds.target.groupBy("week").agg(F.min("t_dat").alias("first_asked"), F.max("t_dat").alias("last_asked"))
+    found = {r["week"]: r for r in past.join(ahead, "week").collect()}  # a row for a week
     for week in folds.weeks:
-        if week not in found:
-            raise ValueError(f"fold {week}: empty target or history")
-        if found[week]["history_end"] >= found[week]["target_start"]:
-            raise ValueError(f"fold {week}: history overlaps the target days")
+        row = found.get(week)
+        if row is None:
+            raise ValueError(f"week {week} lacks sales to learn from or to predict")
+        if row["last_known"] >= row["first_asked"]:
+            raise ValueError(f"week {week} would learn from {row['last_known']}, a day it has to predict")
+        if reserved_from is not None and row["last_asked"] >= reserved_from:
+            raise ValueError(f"week {week} predicts {row['last_asked']}, which is kept for the final test")
 
 
 def refuse_leak(history: DataFrame, cutoff: dt.date) -> None:

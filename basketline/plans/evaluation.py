@@ -14,12 +14,15 @@ from basketline.operators import als as als_ops
 from basketline.operators import compare
 from basketline.operators.folds import Folds, build_folds, check_folds
 from basketline.operators.itemitem import ItemItem, with_fallback
-from basketline.operators.metrics import customer_scores, metrics_by_scope
+from basketline.operators.guards import value_gap
+from basketline.operators.metrics import customer_scores, map_by_positions, metrics_by_scope
 from basketline.operators.popularity import (K, article_counts, count_order, popularity_lists, recency_lists,
                                              same_list_for_all)
 from basketline.operators.segments import SEGMENTS
 from basketline.functions.lists import to_lists, top_k
+from basketline.session import materialize
 from basketline.sources.score_store import ScoreStore
+from basketline.sources.sinks import sample_rows
 
 ITEM_ITEM, ALS_MODEL = "item-item CF", "ALS"
 FALLBACK_DAYS, RECENCY_DAYS = 7, 14
@@ -74,11 +77,23 @@ def score_lists(lists: DataFrame, truth: DataFrame, k: int = K) -> DataFrame:
     return customer_scores(lists, truth, LIST_KEYS, k)
 
 
+def verified_scores(lists: DataFrame, truth: DataFrame, k: int = K, customers: int = 3000) -> DataFrame:
+    """Scores of lists, refused unless a second route gives the same average precision for a sample of customers."""
+    lists = materialize(lists)
+    scores = materialize(score_lists(lists, truth, k))
+    some = sample_rows(lists.select("customer_id").distinct(), customers, "customer_id")
+    again = map_by_positions(lists.join(some, "customer_id", "left_semi"), truth, LIST_KEYS, k)
+    gap = value_gap(scores.join(some, "customer_id", "left_semi"), again, LIST_KEYS, "ap").first()["max_gap"]
+    if gap is not None and gap > 1e-9:
+        raise ValueError(f"average precisions of two routes differ by up to {gap}")
+    return scores
+
+
 def three_models(folds: Folds, config: Mapping[str, float] = als_ops.FROZEN, n_items: int | None = None, k: int = K) -> DataFrame:
     """Per-customer scores of ALS, item-item and the 14-day list under both settings, one week."""
     lists = (als_model(folds, config, k).unionByName(item_item_model(folds, n_items, k))
              .unionByName(recency_models(folds, k=k)))
-    return score_lists(lists, folds.truth, k)
+    return verified_scores(lists, folds.truth, k)
 
 
 def policy_grid(folds: Folds, windows: Sequence[int | None] = WINDOWS, k: int = K) -> DataFrame:
@@ -132,11 +147,12 @@ def weekly_comparison(scores: DataFrame, pairs=PAIRS, replicates: int = 2000, se
 
 
 def backtest(log: DataFrame, weeks: Sequence[dt.date], store: ScoreStore, config: Mapping[str, float] = als_ops.FROZEN,
-             n_items: int | None = None, target_days: int = 7, history_days: int | None = None, at_once: int = 2) -> DataFrame:
-    """Score every fold not stored yet and return the per-customer scores of all of them."""
+             n_items: int | None = None, target_days: int = 7, history_days: int | None = None, at_once: int = 2,
+             reserved_from: dt.date | None = None) -> DataFrame:
+    """Score every fold not stored yet and return the per-customer scores of all of them; no fold may reach reserved days."""
     def score(week: dt.date, _config: str) -> DataFrame:
         fold = build_folds(log, [week], target_days, history_days)
-        check_folds(fold)
+        check_folds(fold, reserved_from)
         return three_models(fold, config, n_items)
 
     store.fill(weeks, ["frozen"], score, at_once)
@@ -161,7 +177,7 @@ def sweep(log: DataFrame, weeks: Sequence[dt.date], store: ScoreStore, grid: Map
 
     def score(week: dt.date, config: str) -> DataFrame:
         fold, data = matrix(week)
-        return score_lists(als_model(fold, grid[config], name=config, data=data), fold.truth)
+        return verified_scores(als_model(fold, grid[config], name=config, data=data), fold.truth)
 
     store.fill(weeks, list(grid), score, at_once)
     return store.read(weeks)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -11,6 +11,7 @@ from basketline.operators import als as als_ops
 from basketline.operators.candidates import candidate_rows
 from basketline.operators.features import build_features
 from basketline.operators.folds import Folds
+from basketline.operators.guards import same_customers
 from basketline.operators.itemitem import ItemItem
 from basketline.operators.compare import relative_gaps
 from basketline.operators.metrics import customer_scores, metrics_by_scope
@@ -18,6 +19,8 @@ from basketline.operators.popularity import K, exclusion_lists, popularity_lists
 from basketline.operators.ranker import (Ranker, complete, discover_only, lists_by, personal_baseline,
                                          repurchase_popularity, route_cold)
 from basketline.session import materialize
+from basketline.sources import versions
+from basketline.sources.sinks import append_runs
 
 SCORE_KEYS = ("week", "model", "customer_id", "segment")
 
@@ -86,9 +89,43 @@ def model_pairs(models: Sequence[str]) -> list[tuple[str, str]]:
     return [(a, b) for a in models for b in models if ROLES[b] in beats.get(ROLES[a], ())]
 
 
+def require_covering(folds: Folds, features: DataFrame, discover: bool = False) -> None:
+    """Candidates are of evaluated customers only and, unless bought ones are left out, of all of them."""
+    sides = same_customers(features, folds.customers).first()
+    if sides["only_a"]:
+        raise ValueError(f"{sides['only_a']} customers with candidates are not evaluated")
+    if sides["only_b"] and not discover:
+        raise ValueError(f"{sides['only_b']} evaluated customers have no candidates")
+
+
 def ranking_report(folds: Folds, features: DataFrame, ranker: Ranker, discover: bool = False,
                    replicates: int = 2000) -> tuple[DataFrame, DataFrame]:
     """Metrics per (model, scope), and the ranker's relative gaps with their intervals per scope."""
+    require_covering(folds, features, discover)
     scores = materialize(scored_models(folds, ranked_models(folds, features, ranker, discover)))
     models = ["ALS", "pop7d", "ranker", "ranker+cold"] + ([] if discover else ["repurchase+pop"])
     return metrics_by_scope(scores, ["model"]), relative_gaps(scores, model_pairs(models), ["week"], replicates)
+
+
+def run_rows(metrics: DataFrame, gaps: DataFrame, label: str, settings: Mapping[str, float]) -> DataFrame:
+    """One row per scope for a run log: label, time, settings, every model's metrics, every gap with its interval."""
+    models = [r[0] for r in metrics.select("model").distinct().orderBy("model").collect()]  # a handful
+    pairs = [tuple(r) for r in gaps.select("a_model", "b_model").distinct().orderBy("a_model", "b_model").collect()]
+    wide = metrics.groupBy("scope").agg(F.max("n_customers").alias("n"), *[
+        F.max(F.when(F.col("model") == m, F.col(x))).alias(f"{m} {x}") for m in models for x in ("map", "hit_rate")])
+    pair = [(F.col("a_model") == a) & (F.col("b_model") == b) for a, b in pairs]
+    beside = gaps.groupBy("scope").agg(*[F.max(F.when(p, F.col(x))).alias(f"{a} vs {b} {x}")
+                                         for p, (a, b) in zip(pair, pairs) for x in ("rel_pct", "ci")])
+    known = {"run": F.lit(label), "run_utc": F.date_format(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss"),
+             **{k: F.lit(v) for k, v in settings.items()}}
+    return wide.join(beside, "scope", "left").select(*[c.alias(k) for k, c in known.items()], *wide.columns, *[c for c in beside.columns if c != "scope"])
+
+
+def log_run(root: str, rows: DataFrame) -> DataFrame:
+    """Append a run to the log under `root`, as a new version; runs may have different columns. Returns the whole log."""
+    spark = rows.sparkSession
+    now = versions.current(spark, root)
+    folder = versions.new_version(root)
+    (rows if now is None else append_runs(spark.read.parquet(now), rows)).write.parquet(folder)
+    versions.switch(spark, root, folder)
+    return spark.read.parquet(folder)

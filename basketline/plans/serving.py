@@ -13,6 +13,7 @@ from basketline.functions.lists import to_lists
 from basketline.operators.als import recommend_from
 from basketline.operators.guards import DEFAULT_MODE, MODES, require_refreshable
 from basketline.operators.lookup import FALLBACK_SOURCE, latest_fallback
+from basketline.operators.metrics import customer_scores, metrics
 from basketline.operators.popularity import K, recent_top
 from basketline.sources import sinks
 from basketline.sources.artifact import Artifact, load_artifact, require_servable
@@ -38,6 +39,24 @@ def model_version(spark: SparkSession, meta: Mapping) -> str:
     return frame.select(sinks.version_column(frame)).first()[0]
 
 
+def reproduced_map(artifact: Artifact, history: DataFrame, truth: DataFrame, k: int = K, tolerance: float = 1e-6) -> dict[str, float]:
+    """MAP by mode of a week scored from the saved tables alone; refused if it is not what was recorded with the model.
+
+    truth: distinct (week, customer_id, article_id). Customers without factors get the saved fallback list.
+    """
+    people = truth.select("week", "customer_id").distinct()
+    lists = recommend_from(artifact.user_factors, artifact.item_factors, people, history, k).select("customer_id", "mode", "items")
+    modes = F.explode(F.array(*[F.lit(m) for m in MODES])).alias("mode")
+    fallback = F.array(*[F.lit(a).cast("bigint") for a in artifact.meta["fallback_top12"]])
+    full = people.select("week", "customer_id", modes).join(lists, ["customer_id", "mode"], "left").withColumn("items", F.coalesce("items", fallback))
+    scores = customer_scores(full, truth, ["week", "customer_id", "mode"], k)
+    found = {r["mode"]: r["map"] for r in metrics(scores, ["mode"], k).select("mode", "map").collect()}
+    for mode, value in artifact.meta["recorded_map"].items():
+        if abs(found.get(mode, float("inf")) - value) > tolerance:
+            raise ValueError(f"{mode} lists score {found.get(mode)}, recorded is {value}")
+    return found
+
+
 def export_artifact(spark: SparkSession, artifact_path: str, history: DataFrame, root: str, overwrite: bool = False,
                     limit: int | None = None, k: int = K) -> dict:
     """Both modes of every customer of a saved model, through all gates; one product serves both modes."""

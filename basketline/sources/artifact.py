@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Mapping
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,14 +20,15 @@ class Artifact:
     meta: dict
 
 
-def save_artifact(fitted: FittedALS, path: str, fallback: list[int], history_end, fallback_days: int = 7) -> None:
-    """Factors, fallback list, config and the last history day; readable without the fitted model."""
+def save_artifact(fitted: FittedALS, path: str, fallback: list[int], history_end, fallback_days: int = 7,
+                  recorded_map: Mapping[str, float] | None = None) -> None:
+    """Factors, fallback list, config, the last history day and, if known, MAP by mode; readable without the fitted model."""
     users, items = fitted.user_factors, fitted.item_factors
     users.write.mode("overwrite").parquet(f"{path}/user_factors")
     items.write.mode("overwrite").parquet(f"{path}/item_factors")
     spark = users.sparkSession
     meta = {"config": dict(fitted.config), "fallback_days": fallback_days, "fallback_top12": list(fallback),
-            "history_end": str(history_end),
+            "history_end": str(history_end), "recorded_map": dict(recorded_map or {}),
             "n_customers": spark.read.parquet(f"{path}/user_factors").count(),
             "n_items": spark.read.parquet(f"{path}/item_factors").count()}
     spark.createDataFrame([(json.dumps(meta),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/meta")

@@ -87,12 +87,19 @@ def test_folds_do_not_leak(log, day):
     assert got == {(day(20), day(20), day(26)), (day(13), day(13), day(19))}
     ends = {r.week: r.hi for r in f.history.groupBy("week").agg(F.max("t_dat").alias("hi")).collect()}
     assert ends == {day(20): day(19), day(13): day(12)}
-    with pytest.raises(ValueError, match="empty target"):
+    with pytest.raises(ValueError, match="lacks sales"):
         folds.check_folds(folds.build_folds(log([(1, 1, day(0), 1.0)]), [day(5)]))
     with pytest.raises(ValueError, match="not known yet"):
         folds.refuse_leak(log([(1, 1, day(5), 1.0)]), day(5))
 
 
+def test_no_fold_reaches_reserved_days(log, day):
+    f = folds.build_folds(log([(1, 1, day(n), 1.0) for n in range(20)]), [day(7)])
+    folds.check_folds(f, day(14))
+    with pytest.raises(ValueError, match="kept for the final test"):
+        folds.check_folds(f, day(13))
+
+
 def test_fold_dates_reach_the_scan(spark, log, day, tmp_path):
     log([(n % 3, n, day(n), 1.0) for n in range(30)]).write.parquet(str(tmp_path / "log"))
     f = folds.build_folds(spark.read.parquet(str(tmp_path / "log")), [day(20)], history_days=5)

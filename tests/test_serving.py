@@ -7,9 +7,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from basketline.functions.lists import array_literal, parse_array_literal
-from basketline.operators import als, guards
+from basketline.operators import als, folds, guards
 from basketline.operators.lookup import FALLBACK_SOURCE, resolve
-from basketline.plans import serving
+from basketline.plans import reranking, serving
 from basketline.sources import artifact, sinks, versions
 from basketline.sources.keyed import KeyedTable
 from basketline.sources.score_store import ScoreStore
@@ -210,6 +210,52 @@ def test_a_saved_model_is_exported_through_all_gates(spark, tmp_path):
         serving.export_artifact(spark, path, history.filter("t_dat < '2024-01-05'"), str(tmp_path / "f"))
 
 
+def test_a_saved_model_gives_its_recorded_map(spark, tmp_path):
+    rng = random.Random(3)
+    rows = [(c, a, dt.date(2024, 1, 1 + a % 8)) for c in range(12) for a in rng.sample(range(30), 9)]
+    history = spark.createDataFrame(rows, "customer_id bigint, article_id bigint, t_dat date")
+    truth = spark.createDataFrame([(1, c, a) for c in range(15) for a in rng.sample(range(30), 4)], "week int, customer_id bigint, article_id bigint")
+    fitted = als.fit_als(als.index_interactions(history), {"factors": 3, "regularization": 0.1, "alpha": 15.0, "iterations": 2})
+    popular, end = list(range(12)), dt.date(2024, 1, 8)
+    artifact.save_artifact(fitted, str(tmp_path / "m"), popular, end)
+    found = serving.reproduced_map(artifact.load_artifact(spark, str(tmp_path / "m")), history, truth)
+    lists = {(r.customer_id, r["mode"]): r["items"] for r in als.recommend(fitted, truth, history).collect()}
+    for mode, value in found.items():
+        total = 0.0
+        for c in range(15):
+            want, hits, gain = {r.article_id for r in truth.collect() if r.customer_id == c}, 0, 0.0
+            for rank, a in enumerate(lists.get((c, mode), popular), 1):
+                if a in want:
+                    hits += 1
+                    gain += hits / rank
+            total += gain / 4 / 15
+        assert value == pytest.approx(total)
+    artifact.save_artifact(fitted, str(tmp_path / "n"), popular, end, recorded_map={**found, "discover": found["discover"] + 0.001})
+    with pytest.raises(ValueError, match="recorded"):
+        serving.reproduced_map(artifact.load_artifact(spark, str(tmp_path / "n")), history, truth)
+
+
+def test_ranker_runs_are_logged_beside_each_other(spark, tmp_path):
+    metrics = spark.createDataFrame([("ranker", "aggregate", 3, 0.2, 0.5), ("pop7d", "aggregate", 3, 0.1, 0.4)],
+                                    "model string, scope string, n_customers bigint, map double, hit_rate double")
+    gaps = spark.createDataFrame([("ranker", "pop7d", "aggregate", 100.0, "[+0.1, +0.2] *")], "a_model string, b_model string, scope string, rel_pct double, ci string")
+    reranking.log_run(str(tmp_path / "r"), reranking.run_rows(metrics, gaps, "one", {"rounds": 6}))
+    log = reranking.log_run(str(tmp_path / "r"), reranking.run_rows(metrics.filter("model = 'ranker'"), gaps, "two", {"rounds": 9, "leaves": 15}))
+    rows = {r.run: r for r in log.collect()}
+    assert (rows["one"].rounds, rows["one"].leaves, rows["one"]["pop7d map"], rows["one"]["ranker vs pop7d ci"]) == (6, None, 0.1, "[+0.1, +0.2] *")
+    assert (rows["two"].leaves, rows["two"]["pop7d map"], rows["two"]["ranker hit_rate"]) == (15, None, 0.5)
+
+
+def test_candidates_must_cover_the_evaluated_customers(spark, log, day):
+    fold = folds.build_folds(log([(1, 1, day(0), 1.0), (1, 2, day(8), 1.0), (2, 2, day(8), 1.0)]), [day(7)])
+    both = spark.createDataFrame([(1,), (2,)], "customer_id bigint")
+    reranking.require_covering(fold, both)
+    reranking.require_covering(fold, both.filter("customer_id = 1"), discover=True)
+    for bad, message in ((both.filter("customer_id = 1"), "have no candidates"), (spark.createDataFrame([(1,), (2,), (3,)], "customer_id bigint"), "not evaluated")):
+        with pytest.raises(ValueError, match=message):
+            reranking.require_covering(fold, bad)
+
+
 def test_upsert_is_idempotent_and_carries_the_version(spark, fallback):
     items = spark.createDataFrame([(TWELVE,)], "items array<bigint>")
     added = sinks.upsert_fallback(fallback, items, F.lit(dt.date(2024, 1, 15)), FALLBACK_SOURCE)
