@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from basketline.llm.common import documents, written
 from basketline.llm.components import components
-from basketline.llm.text import mix, slices, with_row_text, word_hashes
+from basketline.llm.text import mix, slices, text_slices, word_hashes
 
 BUCKET = 32            # groups that share a hash, beyond which it counts as frequent
 REACH, SPREADS = 16, 2  # shingles around a frequent one that are counted too, and how often that is repeated
@@ -138,29 +138,18 @@ class SetJoin:
 
         return self.docs.mapInArrow(run, schema)
 
-    def members(self, frequent: np.ndarray) -> DataFrame:
-        """doc_id, sid (set), gid (group), n of every document; nulls and 0 for one without words."""
-        percent, shared = self.percent, self.spark.sparkContext.broadcast(frequent)
-
-        def emit(doc_id: int, s: np.ndarray):
-            if len(s):
-                yield doc_id, digest(s), _group(prefix(s, shared.value, percent), len(s)), len(s)
-            else:
-                yield doc_id, None, None, 0
-
-        return self._over_sets(emit, "doc_id bigint, sid bigint, gid bigint, n bigint")
-
-    def prefixes(self, frequent: np.ndarray) -> DataFrame:
-        """gid, n, prefix of every group."""
+    def prefixed(self, frequent: np.ndarray) -> DataFrame:
+        """doc_id, sid (set), gid (group), n, prefix of every document; nulls and 0 for one without words."""
         percent, shared = self.percent, self.spark.sparkContext.broadcast(frequent)
 
         def emit(doc_id: int, s: np.ndarray):
             if len(s):
                 final = prefix(s, shared.value, percent)
-                yield _group(final, len(s)), len(s), final.view(np.int64)
+                yield doc_id, digest(s), _group(final, len(s)), len(s), final.view(np.int64)
+            else:
+                yield doc_id, None, None, 0, None
 
-        rows = self._over_sets(emit, "gid bigint, n bigint, prefix array<bigint>")
-        return rows.groupBy("gid", "n").agg(F.any_value("prefix").alias("prefix"))
+        return self._over_sets(emit, "doc_id bigint, sid bigint, gid bigint, n bigint, prefix array<bigint>")
 
     def sets_of(self, wanted: DataFrame) -> DataFrame:
         """sid, tokens of the sets named in `wanted` (sid): as one array in the tasks up to MOST_IN_TASKS of them, else by a join."""
@@ -232,10 +221,12 @@ class SetJoin:
     def classed(self) -> DataFrame:
         """doc_id, sid, n, component (a set's name) of every document; nulls and 0 for one without words."""
         frequent = self.frequent_hashes()
-        rows = self.prefixes(frequent).select("gid", "n", F.explode("prefix").alias("t"))
+        members = written(self.prefixed(frequent), "members")
+        rows = members.where("n > 0").groupBy("gid", "n").agg(F.any_value("prefix").alias("prefix"))
+        rows = rows.select("gid", "n", F.explode("prefix").alias("t"))
         rows = rows.withColumn("m", F.count(F.lit(1)).over(Window.partitionBy("t"))).where("m > 1")
         rows = written(rows, "lists")
-        members = written(self.members(frequent), "members")
+        members = members.select("doc_id", "sid", "gid", "n")
         groups = written(members.where("n > 0").groupBy("gid", "sid").agg(F.min("doc_id").alias("rep")), "sets").drop("rep")
 
         links = self._links(rows, groups)
@@ -263,27 +254,25 @@ class SetJoin:
             F.xxhash64("doc_id", "sid").alias("key"), "rows", (F.struct("doc_id", "sid") == F.col("first")).alias("stays")), "texts")
         dropped, repeated = texts.where("NOT stays").select("key"), texts.where("stays AND rows > 1").select("key")
         columns, shingle = docs.columns, self.shingle
-        whole = docs.where(F.col("doc_id").isNotNull()).select(
-            F.col("doc_id").cast("bigint").alias("doc_id"), F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"))
+        whole = docs.where(F.col("doc_id").isNotNull()).select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"))
 
-        def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        @F.arrow_udf("bigint")
+        def named(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
             for batch in batches:
-                for rows, texts in slices(with_row_text(batch)):
-                    sids = [digest(s) if len(s) else None for s in shingle_sets(texts, shingle)]
-                    yield pa.RecordBatch.from_pydict({"doc_id": rows.column("doc_id"), "sid": pa.array(sids, pa.int64()), "row": rows.column("row")})
+                yield pa.array([digest(s) if len(s) else None for texts in text_slices(batch) for s in shingle_sets(texts, shingle)], pa.int64())
 
-        whole = whole.mapInArrow(named, f"doc_id bigint, sid bigint, row {whole.schema['row'].dataType.simpleString()}")
-        whole = whole.withColumn("key", F.when(F.col("sid").isNotNull(), F.xxhash64("doc_id", "sid")))
+        sid = named(F.col("row.text").cast("string"))
+        whole = whole.withColumn("sid", sid).select(
+            "row", F.when(F.col("sid").isNotNull(), F.xxhash64(F.col("row.doc_id").cast("bigint"), "sid")).alias("key"))
         if dropped.count() <= MOST_IN_TASKS:
             known = self.spark.sparkContext.broadcast(np.sort(dropped.toArrow()["key"].to_numpy()))
 
-            def staying(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-                for batch in batches:
-                    key = batch.column("key")
-                    gone = member(key.fill_null(0).to_numpy(), known.value) & key.is_valid().to_numpy(zero_copy_only=False)
-                    yield batch.filter(pa.array(~gone))
+            @F.arrow_udf("boolean")
+            def stays(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+                for key in batches:
+                    yield pa.array(~(member(key.fill_null(0).to_numpy(), known.value) & key.is_valid().to_numpy(zero_copy_only=False)))
 
-            whole = whole.mapInArrow(staying, whole.schema)
+            whole = whole.where(stays("key"))
         else:
             whole = whole.join(dropped, "key", "left_anti")
         if not repeated.isEmpty():

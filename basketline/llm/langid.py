@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from basketline.llm.common import id_fold
-from basketline.llm.text import mix, pieces, slices, with_row_text
+from basketline.llm.text import mix, pieces, slices, text_slices
 
 ORDER = 4
 SAMPLE_ROWS = 1500     # labelled documents of a language that its model is fitted on, about
@@ -307,38 +307,44 @@ def _limits(n: np.ndarray, cost: np.ndarray, whole: np.ndarray) -> tuple[float,
     return *map(float, row), float(np.clip(MARGIN * far, LEAST_SPREADS, MOST_SPREADS))
 
 
-def identify(docs: DataFrame, model: Model | None, whole_rows: bool = False) -> DataFrame:
-    """doc_id, held_out, lang_pred, score, rejected, bits (mean cost) of every document, in one pass.
+def judged(scorer: Scorer | None, texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+    """(language, score, rejected, bits) of each text."""
+    if not scorer:
+        return [UNKNOWN] * len(texts), np.zeros(len(texts)), np.ones(len(texts), bool), np.zeros(len(texts))
+    n, cost, mixed = scorer.texts(texts)
+    best, bits = cost.argmin(1), cost.min(1)
+    gap = (bits[:, None] - cost) * np.log(2) * np.minimum(n, 50)[:, None]
+    score = np.where(n > 0, 1 / np.exp(gap).sum(1), 0.0)
+    rejected = (n == 0) | (mixed > limit_at(scorer.model.limits[best], n))
+    return [scorer.model.languages[b] if k else UNKNOWN for b, k in zip(best, n)], score, rejected, bits
 
-    With `whole_rows`, the document itself is kept as the struct `row`.
-    """
+
+def identify(docs: DataFrame, model: Model | None) -> DataFrame:
+    """doc_id, held_out, lang_pred, score, rejected, bits (mean cost) of every document, in one pass."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the sample
     kept = docs.where(F.col("doc_id").isNotNull()).select(
-        F.col("doc_id").cast("bigint").alias("doc_id"), id_fold().alias("fold"),
-        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row") if whole_rows else F.col("text").cast("string").alias("text"))
+        F.col("doc_id").cast("bigint").alias("doc_id"), id_fold().alias("fold"), F.col("text").cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shared.value) if shared.value else None
         for batch in batches:
-            for rows, texts in slices(with_row_text(batch) if whole_rows else batch):
-                if scorer:
-                    n, cost, mixed = scorer.texts(texts)
-                    best, bits = cost.argmin(1), cost.min(1)
-                    gap = (bits[:, None] - cost) * np.log(2) * np.minimum(n, 50)[:, None]
-                    score = np.where(n > 0, 1 / np.exp(gap).sum(1), 0.0)
-                    rejected = (n == 0) | (mixed > limit_at(scorer.model.limits[best], n))
-                    language = [scorer.model.languages[b] if k else UNKNOWN for b, k in zip(best, n)]
-                else:
-                    score, rejected = np.zeros(len(texts)), np.ones(len(texts), bool)
-                    bits, language = score, [UNKNOWN] * len(texts)
-                out = {"doc_id": rows.column("doc_id"), "held_out": pa.array(rows.column("fold").to_numpy() == HELD_OUT),
-                       "lang_pred": pa.array(language, pa.string()), "score": pa.array(score), "rejected": pa.array(rejected), "bits": pa.array(bits)}
-                yield pa.RecordBatch.from_pydict(out | ({"row": rows.column("row")} if whole_rows else {}))
-
-    schema = "doc_id bigint, held_out boolean, lang_pred string, score double, rejected boolean, bits double"
-    return kept.mapInArrow(run, schema + (f", row {kept.schema['row'].dataType.simpleString()}" if whole_rows else ""))
+            for rows, texts in slices(batch):
+                language, score, rejected, bits = judged(scorer, texts)
+                yield pa.RecordBatch.from_pydict({
+                    "doc_id": rows.column("doc_id"), "held_out": pa.array(rows.column("fold").to_numpy() == HELD_OUT),
+                    "lang_pred": pa.array(language, pa.string()), "score": pa.array(score), "rejected": pa.array(rejected), "bits": pa.array(bits)})
+
+    return kept.mapInArrow(run, "doc_id bigint, held_out boolean, lang_pred string, score double, rejected boolean, bits double")
 
 
 def accepted(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
-    """The documents that are not rejected, with all their columns."""
-    return identify(docs, fit(docs, sample_rows), whole_rows=True).where(~F.col("rejected")).select("row.*")
+    """The documents that are not rejected, with all their columns; only texts go through Python."""
+    shared = docs.sparkSession.sparkContext.broadcast(fit(docs, sample_rows))  # bounded by the sample
+
+    @F.arrow_udf("boolean")
+    def accepts(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        scorer = Scorer(shared.value) if shared.value else None
+        for batch in batches:
+            yield pa.array(np.concatenate([~judged(scorer, texts)[2] for texts in text_slices(batch)] or [np.zeros(0, bool)]))
+
+    return docs.where(F.col("doc_id").isNotNull()).where(accepts(F.col("text").cast("string")))

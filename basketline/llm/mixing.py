@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from basketline.llm.common import documents, with_text, written
+from basketline.llm.common import documents, written
 from basketline.llm.text import raw, slices, word_bounds, word_counts
 
 WEIGHTS = (5, 2, 1)
@@ -90,29 +90,29 @@ def mix_documents(docs: DataFrame) -> DataFrame:
 
 def mixed_corpus(docs: DataFrame) -> DataFrame:
     """The mix itself, with all columns: a row for each time that a document is taken; the one in which a source's
-    budget ends has its text cut after the last word that is taken, and n_chars follows."""
+    budget ends has its text cut after the last word that is taken, and n_chars follows.
+
+    Rows that are alike in all columns are taken as one, as often as all of them together. Whole rows are shuffled once."""
     columns = docs.columns
-    rows = documents(docs, "source", F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row")).withColumn("h", F.xxhash64("text"))
-    same = Window.partitionBy("doc_id", "h", "source")  # rows that are alike but for further columns
-    sizes = written(sized(docs.withColumn("h", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))), "h"), "sizes")
-    taken = mix(sizes).where("taken > 0").select(
-        F.col("doc_id").alias("_id"), F.col("h").alias("_h"), F.col("source").alias("_source"), "size", "taken",
-        F.row_number().over(same.orderBy(F.desc("taken"))).alias("_k"))
-    rows = rows.withColumn("k", F.row_number().over(same.orderBy(F.xxhash64("row"))))
-    rows = rows.join(taken, F.expr("doc_id = _id AND h = _h AND source <=> _source AND k = _k"))
+    row = F.struct(*[F.col(f"`{c}`") for c in columns])
+    sizes = written(sized(docs.select("doc_id", "text", "source", F.xxhash64(row).alias("alike")), "alike"), "sizes")
     rest = F.col("taken") % F.col("size")
-    words = F.concat(F.array_repeat(F.col("size"), (F.col("taken") / F.col("size")).cast("int")), F.when(rest > 0, F.array(rest)).otherwise(F.expr("array()")))
-    copies = rows.withColumn("words", F.explode(words))
-    full = copies.where("words = size").select("row.*")
-    part = copies.where("words < size").select("text", "words", "row")
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            short = [first_words(t, n) for t, n in zip(batch.column("text").to_pylist(), batch.column("words").to_pylist())]
-            yield pa.RecordBatch.from_pydict({"text": pa.array(short, pa.string()), "row": batch.column("row")})
-
-    part = part.mapInArrow(cut, f"text string, row {part.schema['row'].dataType.simpleString()}")
-    return full.unionByName(with_text(part, "row", F.col("text"), columns))
+    taken = mix(sizes).where("taken > 0").groupBy(F.col("doc_id").alias("id"), "alike").agg(
+        F.sum(F.floor(F.col("taken") / F.col("size"))).alias("full"), F.collect_list(F.when(rest > 0, rest)).alias("parts"))  # one part in a source
+    taken = written(taken, "taken")
+    keys = Window.partitionBy("id", "alike")
+    rows = (docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("bigint").alias("id"), F.xxhash64(row).alias("alike"), row.alias("row"))
+            .withColumn("k", F.row_number().over(keys.orderBy("id"))).where("k = 1").drop("k").join(taken, ["id", "alike"]))
+    copies = rows.select("row", F.explode(F.concat(F.array_repeat(F.lit(0).cast("bigint"), F.col("full").cast("int")), "parts")).alias("words"))
+
+    @F.arrow_udf("string")
+    def cut(texts: pa.Array, words: pa.Array) -> pa.Array:
+        return pa.array([t and first_words(t, n) for t, n in zip(texts.to_pylist(), words.to_pylist())], pa.string())
+
+    part = F.col("words") > 0
+    copies = copies.withColumn("short", cut(F.when(part, F.col("row.text").cast("string")), F.col("words")))
+    changed = {"text": F.col("short"), "n_chars": F.char_length("short").cast("bigint")}
+    return copies.select(*[(F.when(part, changed[c]).otherwise(F.col("row")[c]) if c in changed else F.col("row")[c]).alias(c) for c in columns])
 
 
 def first_words(text: str, words: int) -> str:

@@ -48,9 +48,9 @@ def slices(batch: pa.RecordBatch, text: str = "text", limit: int = SLICE_BYTES)
         row = end
 
 
-def with_row_text(batch: pa.RecordBatch) -> pa.RecordBatch:
-    """The batch with the text inside its struct `row` as a column, so that whole rows carry their text once."""
-    return batch.append_column("text", batch.column("row").field("text"))
+def text_slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[pa.Array]:
+    """slices() of a column of texts alone."""
+    return (texts for _, texts in slices(pa.RecordBatch.from_arrays([column], names=["text"]), limit=limit))
 
 
 def pieces(texts: pa.Array) -> tuple[np.ndarray, pa.Array]:
