@@ -41,6 +41,7 @@ from basketline.llm.text import mix, slices, text_slices, word_hashes
 
 BUCKET = 32            # groups that share a hash, beyond which it counts as frequent
 REACH, SPREADS = 16, 2  # shingles around a frequent one that are counted too, and how often that is repeated
+SKETCH = 8             # first long lists of a group that a pair looks up to be made once
 MOST_IN_TASKS = 4_000_000  # hashes that are sent to the tasks as one array (32 MB); beyond, see each use
 
 
@@ -311,21 +312,50 @@ class SetJoin:
         # a group may stay in one long list and not in another: `left` counts those that it is left out of
         left = F.sum(F.when(F.col("stays"), 0).otherwise(1)).over(Window.partitionBy("gid"))
         tagged = written(tagged.withColumn("stays", stays).withColumn("left", left).where("stays")
-                         .select("t", "gid", "n", "f", "c", "split", "left"), "open-lists")
-        x, y = (tagged.select("t", *[F.col(c).alias(f"{c}_{s}") for c in ("gid", "n", "f", "c", "split", "left")]) for s in "xy")
-        ordered = (F.col("n_x") < F.col("n_y")) | ((F.col("n_x") == F.col("n_y")) & (F.col("gid_x") < F.col("gid_y")))
-        apart = (F.col("c_x") != F.col("c_y")) | F.col("split_x") | F.col("split_y")
-        pairs = x.join(y, "t").where(ordered & apart & (F.col("n_x") * 100 >= F.col("n_y") * percent))
-        hidden = F.least("f_x", "f_y", F.col("left_x") + F.col("left_y"))  # lists that both hold and do not meet in, at most
-        pairs = (pairs.groupBy("gid_x", "gid_y").agg(F.count(F.lit(1)).alias("shared"), F.first("n_x").alias("n_x"), F.first("n_y").alias("n_y"),
-                                                     F.first(hidden).alias("hidden"))
-                 .where(F.col("shared") + F.col("hidden") >= self._shared_needed(F.col("n_x"), F.col("n_y"))).select("gid_x", "gid_y"))
+                         .select("t", "gid", "n", "f", "c", "split", "left", (F.col("m") > BUCKET).alias("long")), "open-lists")
+        pairs = self._pairs_of_short(tagged.where("NOT long")).unionByName(self._pairs_of_long(tagged.where("long"), held))
         same = group.where("split").select(F.col("gid").alias("gid_x"), F.col("gid").alias("gid_y"))
         members = [placed.select(F.col("gid").alias(f"gid_{s}"), F.col("sid").alias(f"sid_{s}"), F.col("c").alias(f"c_{s}")) for s in "xy"]
         expanded = (pairs.unionByName(same).join(members[0], "gid_x").join(members[1], "gid_y").where("c_x <> c_y")
                     .select(F.least("sid_x", "sid_y").alias("a"), F.greatest("sid_x", "sid_y").alias("b")))
         return first.unionByName(self.verified(expanded)).select("a", "b")
 
+    def _sides(self, left: DataFrame, right: DataFrame, *columns: str) -> tuple[DataFrame, DataFrame, Column, Column]:
+        """Both sides of a join by t, whether x comes first in the order, and whether their sizes and components allow a new link."""
+        x, y = (side.select("t", *[F.col(c).alias(f"{c}_{s}") for c in ("gid", "n", "c", "split", *columns)]) for side, s in ((left, "x"), (right, "y")))
+        ordered = (F.col("n_x") < F.col("n_y")) | ((F.col("n_x") == F.col("n_y")) & (F.col("gid_x") < F.col("gid_y")))
+        apart = (F.col("c_x") != F.col("c_y")) | F.col("split_x") | F.col("split_y")
+        size_ok = F.least("n_x", "n_y") * 100 >= F.greatest("n_x", "n_y") * self.percent
+        return x, y, ordered, apart & size_ok
+
+    def _pairs_of_short(self, tagged: DataFrame) -> DataFrame:
+        """gid_x, gid_y of short lists that share enough hashes, if they meet in no long list."""
+        x, y, ordered, possible = self._sides(tagged, tagged, "f", "left")
+        hidden = F.least("f_x", "f_y", F.col("left_x") + F.col("left_y"))  # lists that both hold and do not meet in, at most
+        return (x.join(y, "t").where(ordered & possible).groupBy("gid_x", "gid_y")
+                .agg(F.count(F.lit(1)).alias("shared"), F.first("n_x").alias("n_x"), F.first("n_y").alias("n_y"), F.first(hidden).alias("hidden"))
+                .where(F.col("shared") + F.col("hidden") >= self._shared_needed(F.col("n_x"), F.col("n_y"))).select("gid_x", "gid_y"))
+
+    def _pairs_of_long(self, tagged: DataFrame, held: DataFrame) -> DataFrame:
+        """gid_x, gid_y that meet in long lists and share enough hashes.
+
+        In each list only the groups outside its largest component look for partners. Near copies meet
+        in many lists: a pair is made in the first list that both are in, as far as the first SKETCH
+        lists of each tell, and what the two share is counted from their prefixes afterwards.
+        """
+        sketch = tagged.groupBy("gid").agg(F.slice(F.sort_array(F.collect_list("t")), 1, SKETCH).alias("sketch"))
+        main = (tagged.where("NOT split").groupBy("t", "c").agg(F.count(F.lit(1)).alias("k"))
+                .groupBy("t").agg(F.max_by("c", F.struct("k", "c")).alias("main")))
+        tagged = written(tagged.join(sketch, "gid").join(main, "t", "left")
+                         .withColumn("outside", F.col("split") | (F.col("c") != F.col("main"))), "long-lists")
+        x, y, ordered, possible = self._sides(tagged.where("outside"), tagged, "sketch", "outside")
+        earlier = F.coalesce(F.array_min(F.array_intersect("sketch_x", "sketch_y")), F.col("t")) < F.col("t")
+        pairs = x.join(y, "t").where((~F.col("outside_y") | ordered) & possible & ~earlier).select("gid_x", "gid_y").distinct()
+        for s in "xy":
+            pairs = pairs.join(held.select(F.col("gid").alias(f"gid_{s}"), F.col("n").alias(f"n_{s}"), F.col("held").alias(f"held_{s}")), f"gid_{s}")
+        shared = F.size(F.array_intersect("held_x", "held_y"))
+        return pairs.where(shared >= self._shared_needed(F.least("n_x", "n_y"), F.greatest("n_x", "n_y"))).select("gid_x", "gid_y")
+
     def _shared_needed(self, smaller: Column, larger: Column) -> Column:
         """How many hashes the prefixes of two linked sets share at least."""
         rest = F.greatest(F.ceil(smaller * self.percent / F.lit(100)), F.ceil(larger * self.percent / F.lit(100))) - 1

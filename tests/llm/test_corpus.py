@@ -202,6 +202,24 @@ def test_large_group_of_near_copies(spark, monkeypatch):
     assert got == classes_by_pairs(rows)
 
 
+@pytest.mark.parametrize("sketch", [1, 8])
+def test_pairs_of_long_lists(spark, monkeypatch, sketch):
+    """Pairs that are made grow with the copies outside the main component, not with the square or the number of lists."""
+    import random
+
+    made, plain = [], jaccard.SetJoin._pairs_of_long
+    monkeypatch.setattr(jaccard, "SKETCH", sketch)
+    monkeypatch.setattr(jaccard.SetJoin, "_pairs_of_long", lambda *a: made.append(plain(*a)) or made[-1])
+    rows = list(enumerate(edited_copies(random.Random(3), 600, 5)))
+    got = Counter(tuple(r.values()) for r in collected(jaccard.near_duplicate_classes(spark.createDataFrame(rows, "doc_id bigint, text string"))))
+    want = classes_by_pairs(rows)
+    assert got == want
+    outside = len(rows) - max(Counter(c for _, _, c in want).values())
+    pairs = made[0].collect()
+    assert len(set(map(tuple, pairs))) == len(pairs)
+    assert len(pairs) <= (outside + 40) * len(rows)
+
+
 def test_letters_from_two_templates(spark):
     """A longer letter holds what two of the shorter ones share besides their template: their link must not get lost."""
     words = lambda name, n: [f"{name}{k}" for k in range(n)]
