@@ -113,10 +113,10 @@ def grams(data: np.ndarray, lang: str, n: int, bits: int, sums: Prefixes) -> tup
     """(fingerprints, counts, starts, lengths) of the different n-grams of a block, each with its first occurrence."""
     stops = np.flatnonzero((data == 32) | (data == 10))
     goes_on = np.concatenate([[0], np.cumsum(data[stops] == 10)])
-    count = len(stops) - n + 1
-    if count <= 0:
-        return tuple(np.zeros(0, np.int64) for _ in range(4))
+    count = max(0, len(stops) - n + 1)
     at = np.flatnonzero(goes_on[n - 1:][:count] == goes_on[:count])  # no piece ends within the first n - 1 words
+    if not len(at):  # all pieces are shorter
+        return tuple(np.zeros(0, np.int64) for _ in range(4))
     starts = np.append(0, stops[:-1] + 1)[at]
     ends = stops[at + n - 1]
     seed = Prefixes(np.frombuffer(f"{n} {lang}".encode(), np.uint8))

@@ -69,6 +69,13 @@ def test_laid_out():
     assert (data.tobytes(), n) == (b"a b\nc\nd e\nf\ng\n", 7)
 
 
+def test_block_of_short_pieces(spark):
+    """Pieces of one word and of two only: a block without any 3-gram."""
+    rows = [("en", "a. b. c d")] * 12 + [("de", "x.\ny")] * 12
+    df = spark.createDataFrame([(i, t, lang, "s", 0) for i, (lang, t) in enumerate(rows)], SCHEMA).coalesce(1)
+    assert collected(collocations.collocations(df)) == brute(rows, 10, 2000) != []
+
+
 def test_packing_round_trip():
     columns = [np.array([0, 3, 2**47]), np.array([1, 1, 70000]), np.array([5, 0, 9])]
     assert [c.tolist() for c in collocations.unpacked(collocations.packed(columns), 3)] == [c.tolist() for c in columns]
