@@ -64,6 +64,27 @@ def test_item_item_in_small_blocks(monkeypatch, spark, history, purchases):
         assert mine == {c: l for c, l in brute_lists(purchases, None, 12, exclude).items() if l}, exclude
 
 
+@pytest.mark.parametrize("light", [0, 6, 1024])
+def test_item_item_by_baskets_or_rows(monkeypatch, history, purchases, light):
+    """All articles with a row of their own, some of them answered with their customers' baskets, nearly all: the same lists."""
+    monkeypatch.setattr(itemitem, "LIGHT_CUSTOMERS", light)
+    monkeypatch.setattr(itemitem, "BLOCK_COLUMNS", 50)
+    lists = ItemItem(history).recommend(history.select("customer_id").distinct()).collect()
+    for exclude in (True, False):
+        mine = {r.customer_id: r["items"] for r in lists if r.exclusion == exclude and r["items"]}
+        assert mine == {c: l for c, l in brute_lists(purchases, None, 12, exclude).items() if l}, exclude
+
+
+def test_sparse_catalogue_has_no_similarity_rows(spark):
+    """Articles with few customers each: no similarity row is made, shuffled or written."""
+    rng = random.Random(4)
+    rows = [(c, rng.randint(0, 7) + c // 10 * 8) for c in range(200) for _ in range(4)]
+    model = ItemItem(spark.createDataFrame(rows, "customer_id bigint, article_id bigint"))
+    got = model.recommend(model.baskets.select("customer_id"), settings=(False,)).collect()
+    assert {r.customer_id: r["items"] for r in got} == brute_lists(rows, None, 12, False)
+    assert model.rows.filter("a >= 0").isEmpty()
+
+
 @pytest.mark.parametrize("cells", [1, 50, 4_000_000])
 def test_pairs_of_short_and_long_baskets(cells):
     rng = np.random.default_rng(0)
