@@ -85,6 +85,22 @@ def test_sparse_catalogue_has_no_similarity_rows(spark):
     assert model.rows.filter("a >= 0").isEmpty()
 
 
+@pytest.mark.parametrize("light", [0, 6, 1024])
+def test_neighbour_counts(monkeypatch, history, purchases, light):
+    monkeypatch.setattr(itemitem, "LIGHT_CUSTOMERS", light)
+    monkeypatch.setattr(itemitem, "ARTICLE_BLOCK", 40)
+    model = ItemItem(history)
+    names = {r.col: r.article_id for r in model.items.collect()}
+    owners = {a: {c for c, x in purchases if x == a} for a in names.values()}
+    sim = {(a, b): len(owners[a] & owners[b]) / math.sqrt(len(owners[a]) * len(owners[b])) for a in owners for b in owners if owners[a] & owners[b]}
+    got = {names[r.a]: r for r in model.neighbour_counts().collect()}
+    assert len(got) == len(owners)
+    for a, r in got.items():
+        mine = {b: s for (x, b), s in sim.items() if x == a}
+        assert r.n_neighbours == len(mine) and r.total == pytest.approx(sum(mine.values()))
+        assert r.closest == pytest.approx(max(s for b, s in mine.items() if b != a))
+
+
 @pytest.mark.parametrize("cells", [1, 50, 4_000_000])
 def test_pairs_of_short_and_long_baskets(cells):
     rng = np.random.default_rng(0)
