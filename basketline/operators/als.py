@@ -111,7 +111,7 @@ class FittedALS:
     @property
     def user_factors(self) -> DataFrame:
         """(customer_id, features)"""
-        return (self.users.select(F.col("idx").alias("customer_idx"), "features").join(self.data.customer_ids, "customer_idx")
+        return (self.users.select(F.col("idx").alias("customer_idx"), "features").join(self.data.customer_ids.hint("merge"), "customer_idx")
                 .select("customer_id", "features"))
 
     @property
@@ -185,7 +185,8 @@ def solved(side: Side, other: DataFrame, base: np.ndarray, alpha: float) -> Data
         return finish([(parts["idx"][0].as_py(), a.reshape(rank, rank), b, sum(parts["c"].to_pylist()))])
 
     def blocks(whole_rows: bool):
-        asked = side.routes.join(other.select(F.col("idx").alias("other"), "features"), "other")
+        # both sides grow with the log, and a fit has two such joins a sweep: none of them goes through the driver
+        asked = side.routes.join(other.select(F.col("idx").alias("other"), "features").hint("merge"), "other")
         return side.rows.filter(F.col("whole") == whole_rows).groupBy("block").cogroup(asked.withColumnRenamed("block", "by").groupBy("by"))
 
     out = blocks(True).applyInArrow(whole, SOLVED)
@@ -228,10 +229,10 @@ def recommend_from(user_factors: DataFrame, item_factors: DataFrame, customers:
                    modes: Sequence[str] = ("repurchase", "discover")) -> DataFrame:
     """recommend() from factor tables alone, such as a loaded artifact's."""
     wanted = customers.select("customer_id").distinct()
-    users = user_factors.join(wanted, "customer_id", "left_semi").withColumnRenamed("customer_id", "user_id")
+    users = user_factors.join(wanted.hint("merge"), "customer_id", "left_semi").withColumnRenamed("customer_id", "user_id")
     items = item_factors.withColumnRenamed("article_id", "item_id")
     owned = (history.select(F.col("customer_id").alias("user_id"), F.col("article_id").alias("item_id"))
-             .join(wanted.withColumnRenamed("customer_id", "user_id"), "user_id", "left_semi").distinct())
+             .join(wanted.withColumnRenamed("customer_id", "user_id").hint("merge"), "user_id", "left_semi").distinct())
     return score_top_k(users, items, k, owned, modes).withColumnRenamed("user_id", "customer_id")
 
 

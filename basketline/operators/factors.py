@@ -96,7 +96,7 @@ def score_top_k(users: DataFrame, items: DataFrame, k: int, owned: DataFrame | N
     people = users.select("user_id", F.col("features").cast("array<double>").alias("features"))
     if owned is not None:
         held = owned.groupBy("user_id").agg(F.sort_array(F.collect_list(F.col("item_id").cast("bigint"))).alias("owned"))
-        people = people.join(held, "user_id", "left")
+        people = people.join(held.hint("merge"), "user_id", "left")
     else:
         people = people.withColumn("owned", F.lit(None).cast("array<bigint>"))
     empty = {"user_id": people.schema["user_id"].dataType, "features": "array<double>", "owned": "array<bigint>", "ib": "bigint",

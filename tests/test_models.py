@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from basketline.functions.blocks import pair_counts, top_columns
 from basketline.operators import als, boosting, factors, itemitem, ranker
+from basketline.operators.guards import export_checks
 from basketline.operators.itemitem import ItemItem, with_fallback
 
 
@@ -125,6 +126,20 @@ def test_more_articles_than_any_former_cut(spark, log, day):
     assert set(lists[519][:10]) == set(range(5180, 5190)) and len(lists[3]) == 12
 
 
+def test_growing_tables_are_not_broadcast(spark, history):
+    """Factors of a sweep and bought pairs of an export grow with the log: they are joined by shuffles, not through the driver."""
+    data = als.index_interactions(history)
+    items = als.random_factors(data.article_ids, "article_idx", 3, 1)
+    sweep = als.solved(data.customers, items, np.eye(3), 1.0)
+    owned = history.withColumn("customer_id", F.col("customer_id").cast("string"))
+    lists = spark.createDataFrame([("1", "discover", [1, 2])], "customer_id string, mode string, items array<bigint>")
+    checks = export_checks(lists, owned, 2)
+    for df, join in ((sweep, ["other"]), (checks, ["customer_id", "article_id"])):
+        df.collect()
+        lines = [x for x in df._jdf.queryExecution().executedPlan().toString().splitlines() if "Join" in x and all(f"{c}#" in x for c in join)]
+        assert lines and not any("BroadcastHashJoin" in x for x in lines)
+
+
 def test_top_columns_breaks_ties_by_column():
     rng = np.random.default_rng(1)
     scores = rng.integers(0, 4, size=(200, 30)).astype(float)
