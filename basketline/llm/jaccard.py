@@ -16,7 +16,10 @@ Nothing is capped, and no group is paired with itself:
   that are left, only those are made whose two sides are not connected yet. As any link between
   sets of one component is one of that component, components lose nothing.
 * In long lists, which only sets of frequent hashes are in, groups whose frequent hashes are too few
-  to link them with anything are left out first.
+  to link them with anything are left out first. What is left is compared by parity sketches before a
+  pair is made: bit i is the parity of the number of hashes of a set that fall to i, so that two
+  sketches differ in no more bits than their sets do in hashes. Nothing that links is left out; sets
+  that differ in more hashes than half the bits are only told apart by their prefixes and texts.
 
 Sets are identified by 64-bit hashes, like shingles: among N different sets, the chance that any two
 are taken for one another is about N * N / 2^65.
@@ -42,6 +45,8 @@ from basketline.llm.text import mix, slices, text_slices, word_hashes
 BUCKET = 32            # groups that share a hash, beyond which it counts as frequent
 REACH, SPREADS = 16, 2  # shingles around a frequent one that are counted too, and how often that is repeated
 SKETCH = 8             # first long lists of a group that a pair looks up to be made once
+PARITY_BITS = 1024     # of a set's parity sketch
+SLICE = 1 << 18        # bytes of text worked on at once
 MOST_IN_TASKS = 4_000_000  # hashes that are sent to the tasks as one array (32 MB); beyond, see each use
 
 
@@ -78,6 +83,18 @@ def digest(s: np.ndarray) -> int:
         return int(mix(np.array([mix(s ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64) + np.uint64(len(s))], np.uint64)).view(np.int64)[0])
 
 
+def parities(s: np.ndarray) -> np.ndarray:
+    """The parity sketch of a set, as signed 64-bit words."""
+    odd = np.bincount((s & np.uint64(PARITY_BITS - 1)).astype(np.int64), minlength=PARITY_BITS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
+def may_link(x: str, y: str, a: Column, b: Column, percent: int) -> Column:
+    """Whether the sketches x and y of sets of a and b hashes, where both are known, differ in as few bits as the hashes of linked sets."""
+    differing = sum((F.bit_count(F.get(x, F.lit(i)).bitwiseXOR(F.get(y, F.lit(i)))) for i in range(PARITY_BITS // 64)), F.lit(0))
+    return F.coalesce(differing <= a + b - 2 * least_overlap(a, b, percent), F.lit(True))
+
+
 def prefix_length(n: int, percent: int) -> int:
     return n - (-(-percent * n // 100)) + 1
 
@@ -132,7 +149,7 @@ class SetJoin:
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for rows, texts in slices(batch):
+                for rows, texts in slices(batch, limit=SLICE):
                     out = [r for d, s in zip(rows.column("doc_id").to_pylist(), read(texts, shingle)) for r in emit(d, s)]
                     if out:
                         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names=names)
@@ -140,17 +157,17 @@ class SetJoin:
         return self.docs.mapInArrow(run, schema)
 
     def prefixed(self, frequent: np.ndarray) -> DataFrame:
-        """doc_id, sid (set), gid (group), n, prefix of every document; nulls and 0 for one without words."""
+        """doc_id, sid (set), gid (group), n, prefix, parities of every document; nulls and 0 for one without words."""
         percent, shared = self.percent, self.spark.sparkContext.broadcast(frequent)
 
         def emit(doc_id: int, s: np.ndarray):
             if len(s):
                 final = prefix(s, shared.value, percent)
-                yield doc_id, digest(s), _group(final, len(s)), len(s), final.view(np.int64)
+                yield doc_id, digest(s), _group(final, len(s)), len(s), final.view(np.int64), parities(s)
             else:
-                yield doc_id, None, None, 0, None
+                yield doc_id, None, None, 0, None, None
 
-        return self._over_sets(emit, "doc_id bigint, sid bigint, gid bigint, n bigint, prefix array<bigint>")
+        return self._over_sets(emit, "doc_id bigint, sid bigint, gid bigint, n bigint, prefix array<bigint>, parities array<bigint>")
 
     def sets_of(self, wanted: DataFrame) -> DataFrame:
         """sid, tokens of the sets named in `wanted` (sid): as one array in the tasks up to MOST_IN_TASKS of them, else by a join."""
@@ -227,10 +244,10 @@ class SetJoin:
         rows = rows.select("gid", "n", F.explode("prefix").alias("t"))
         rows = rows.withColumn("m", F.count(F.lit(1)).over(Window.partitionBy("t"))).where("m > 1")
         rows = written(rows, "lists")
+        groups = written(members.where("n > 0").groupBy("gid", "sid").agg(F.any_value("parities").alias("parities")), "sets")
         members = members.select("doc_id", "sid", "gid", "n")
-        groups = written(members.where("n > 0").groupBy("gid", "sid").agg(F.min("doc_id").alias("rep")), "sets").drop("rep")
 
-        links = self._links(rows, groups)
+        links = self._links(rows, groups.select("gid", "sid"), groups)
         joined = components(links).withColumnRenamed("node", "sid")
         return members.join(joined, "sid", "left").withColumn("component", F.coalesce("component", "sid"))
 
@@ -260,7 +277,7 @@ class SetJoin:
         @F.arrow_udf("bigint")
         def named(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
             for batch in batches:
-                yield pa.array([digest(s) if len(s) else None for texts in text_slices(batch) for s in shingle_sets(texts, shingle)], pa.int64())
+                yield pa.array([digest(s) if len(s) else None for texts in text_slices(batch, SLICE) for s in shingle_sets(texts, shingle)], pa.int64())
 
         sid = named(F.col("row.text").cast("string"))
         whole = whole.withColumn("sid", sid).select(
@@ -281,8 +298,10 @@ class SetJoin:
             whole = whole.join(repeated, "key", "left_anti").select("row").unionByName(twice.where("k = 1").select("row"))
         return whole.select("row.*")
 
-    def _links(self, rows: DataFrame, groups: DataFrame) -> DataFrame:
+    def _links(self, rows: DataFrame, groups: DataFrame, sketched: DataFrame) -> DataFrame:
         percent = self.percent
+        # of groups of one set: no sketch stands for several
+        sketches = sketched.groupBy("gid").agg(F.when(F.count(F.lit(1)) == 1, F.any_value("parities")).alias("parities"))
         frequent = rows.where(F.col("m") > BUCKET)
         weight = frequent.groupBy("gid").agg(F.count(F.lit(1)).alias("f"))
         rows = rows.join(weight, "gid", "left").withColumn("f", F.coalesce("f", F.lit(0)))
@@ -313,7 +332,7 @@ class SetJoin:
         left = F.sum(F.when(F.col("stays"), 0).otherwise(1)).over(Window.partitionBy("gid"))
         tagged = written(tagged.withColumn("stays", stays).withColumn("left", left).where("stays")
                          .select("t", "gid", "n", "f", "c", "split", "left", (F.col("m") > BUCKET).alias("long")), "open-lists")
-        pairs = self._pairs_of_short(tagged.where("NOT long")).unionByName(self._pairs_of_long(tagged.where("long"), held))
+        pairs = self._pairs_of_short(tagged.where("NOT long")).unionByName(self._pairs_of_long(tagged.where("long"), held, sketches))
         same = group.where("split").select(F.col("gid").alias("gid_x"), F.col("gid").alias("gid_y"))
         members = [placed.select(F.col("gid").alias(f"gid_{s}"), F.col("sid").alias(f"sid_{s}"), F.col("c").alias(f"c_{s}")) for s in "xy"]
         expanded = (pairs.unionByName(same).join(members[0], "gid_x").join(members[1], "gid_y").where("c_x <> c_y")
@@ -336,21 +355,23 @@ class SetJoin:
                 .agg(F.count(F.lit(1)).alias("shared"), F.first("n_x").alias("n_x"), F.first("n_y").alias("n_y"), F.first(hidden).alias("hidden"))
                 .where(F.col("shared") + F.col("hidden") >= self._shared_needed(F.col("n_x"), F.col("n_y"))).select("gid_x", "gid_y"))
 
-    def _pairs_of_long(self, tagged: DataFrame, held: DataFrame) -> DataFrame:
+    def _pairs_of_long(self, tagged: DataFrame, held: DataFrame, sketches: DataFrame) -> DataFrame:
         """gid_x, gid_y that meet in long lists and share enough hashes.
 
         In each list only the groups outside its largest component look for partners. Near copies meet
         in many lists: a pair is made in the first list that both are in, as far as the first SKETCH
-        lists of each tell, and what the two share is counted from their prefixes afterwards.
+        lists of each tell, and if their sketches allow a link; what the two share is counted from their
+        prefixes afterwards.
         """
         sketch = tagged.groupBy("gid").agg(F.slice(F.sort_array(F.collect_list("t")), 1, SKETCH).alias("sketch"))
         main = (tagged.where("NOT split").groupBy("t", "c").agg(F.count(F.lit(1)).alias("k"))
                 .groupBy("t").agg(F.max_by("c", F.struct("k", "c")).alias("main")))
-        tagged = written(tagged.join(sketch, "gid").join(main, "t", "left")
+        tagged = written(tagged.join(sketch, "gid").join(sketches, "gid").join(main, "t", "left")
                          .withColumn("outside", F.col("split") | (F.col("c") != F.col("main"))), "long-lists")
-        x, y, ordered, possible = self._sides(tagged.where("outside"), tagged, "sketch", "outside")
+        x, y, ordered, possible = self._sides(tagged.where("outside"), tagged, "sketch", "outside", "parities")
         earlier = F.coalesce(F.array_min(F.array_intersect("sketch_x", "sketch_y")), F.col("t")) < F.col("t")
-        pairs = x.join(y, "t").where((~F.col("outside_y") | ordered) & possible & ~earlier).select("gid_x", "gid_y").distinct()
+        near = may_link("parities_x", "parities_y", F.col("n_x"), F.col("n_y"), self.percent)
+        pairs = x.join(y, "t").where((~F.col("outside_y") | ordered) & possible & near & ~earlier).select("gid_x", "gid_y").distinct()
         for s in "xy":
             pairs = pairs.join(held.select(F.col("gid").alias(f"gid_{s}"), F.col("n").alias(f"n_{s}"), F.col("held").alias(f"held_{s}")), f"gid_{s}")
         shared = F.size(F.array_intersect("held_x", "held_y"))

@@ -220,6 +220,40 @@ def test_pairs_of_long_lists(spark, monkeypatch, sketch):
     assert len(pairs) <= (outside + 40) * len(rows)
 
 
+def test_copies_that_link_with_nothing(spark, monkeypatch):
+    """Near copies that share many prefix hashes and yet differ too much are told apart before pairs of them are made."""
+    import random
+
+    made, plain = [], jaccard.SetJoin._pairs_of_long
+    monkeypatch.setattr(jaccard.SetJoin, "_pairs_of_long", lambda *a: made.append(plain(*a)) or made[-1])
+    rnd = random.Random(4)
+    base = [f"w{k}" for k in range(120)]
+    texts = []
+    for i in range(300):  # 1 of 3 has four words replaced far from each other, which no link reaches from one with another
+        copy, at = list(base), rnd.randrange(30)
+        for k in range(4 if i % 3 == 0 else 1):
+            copy[at + 30 * k] = f"x{i}y{k}"
+        texts.append(" ".join(copy))
+    rows = list(enumerate(texts))
+    got = Counter(tuple(r.values()) for r in collected(jaccard.near_duplicate_classes(spark.createDataFrame(rows, "doc_id bigint, text string"))))
+    want = classes_by_pairs(rows)
+    assert got == want
+    outside = len(rows) - max(Counter(c for _, _, c in want).values())
+    assert outside >= 90 and made[0].count() < 10 * outside
+
+
+def test_parity_sketches():
+    """Two sketches differ in no more bits than the sets differ in hashes, and in about as many if those are few."""
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    for n, k in ((1, 1), (40, 3), (150, 30), (5000, 40), (5000, 4000)):
+        s = rng.integers(0, 2 ** 63, n + k).astype(np.uint64)
+        a, b = s[:n], s[k:]
+        bits = int(np.bitwise_count((jaccard.parities(a) ^ jaccard.parities(b)).view(np.uint64)).sum())
+        assert bits <= len(set(a) ^ set(b)) and (k > 40 or bits >= 0.8 * len(set(a) ^ set(b)))
+
+
 def test_letters_from_two_templates(spark):
     """A longer letter holds what two of the shorter ones share besides their template: their link must not get lost."""
     words = lambda name, n: [f"{name}{k}" for k in range(n)]
