@@ -22,6 +22,7 @@ from basketline.functions.ids import dense_index
 REPURCHASE, DISCOVER = "repurchase", "discover"
 MODES = (REPURCHASE, DISCOVER)
 USER_BLOCK, ITEM_BLOCK = 8192, 4096
+ITEM_PIECE = 4  # articles in a row of the stream: Spark hands thousands of rows to Python at once
 USERS, ITEMS = 0, 1  # kinds of rows in a block's stream, in their order
 
 
@@ -50,8 +51,9 @@ class RunningTop:
             return
         width = min(self.k, len(ids))
         best_ids, best = np.zeros((len(self.factors), width), np.int64), np.full((len(self.factors), width), -np.inf)
-        for at in blocks.batch_slices(len(rows), len(ids)):
-            scores = np.round(self.factors[rows[at]] @ matrix.T, 9)
+        for at in blocks.batch_slices(len(rows), 4 * len(ids)):  # of the scores, several arrays are held
+            scores = self.factors[rows[at]] @ matrix.T
+            np.round(scores, 9, out=scores)
             if self.owned is not None:
                 for i, row in enumerate(rows[at]):
                     own = self.owned[row]
@@ -73,13 +75,14 @@ class RunningTop:
 
 
 def item_blocks(items: DataFrame) -> DataFrame:
-    """ib, ids, vectors, norm: articles in blocks of falling norm, ids ascending within a block."""
+    """ib, piece, ids, vectors, norm: articles in blocks of falling norm, each in pieces of ITEM_PIECE."""
     norm = F.sqrt(F.aggregate("features", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
     known = items.select("item_id", F.col("features").cast("array<double>").alias("features"), norm.alias("norm"))
     placed = dense_index(known.withColumn("less", -F.col("norm")), ["less", "item_id"], "at")
     packed = F.sort_array(F.collect_list(F.struct("item_id", "features")))
-    return (placed.groupBy(F.expr(f"at div {ITEM_BLOCK}").alias("ib")).agg(packed.alias("x"), F.max("norm").alias("norm"))
-            .select("ib", F.col("x.item_id").alias("ids"), F.col("x.features").alias("vectors"), "norm"))
+    return (placed.groupBy(F.expr(f"at div {ITEM_BLOCK}").alias("ib"), F.expr(f"at div {ITEM_PIECE}").alias("piece"))
+            .agg(packed.alias("x"), F.max("norm").alias("norm"))
+            .select("ib", "piece", F.col("x.item_id").alias("ids"), F.col("x.features").alias("vectors"), "norm"))
 
 
 def score_top_k(users: DataFrame, items: DataFrame, k: int, owned: DataFrame | None = None, modes: Sequence[str] = (REPURCHASE,)) -> DataFrame:
@@ -108,11 +111,12 @@ def score_top_k(users: DataFrame, items: DataFrame, k: int, owned: DataFrame | N
 
     copies = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n_blocks - 1).cast("bigint")))
     stream = row(USERS, people, block).unionByName(row(ITEMS, item_blocks(items).withColumn("block", copies), F.col("block")))
-    stream = stream.repartition(n_blocks, "block").sortWithinPartitions("block", "kind", "ib")
+    stream = stream.repartitionById(n_blocks, F.col("block").cast("int")).sortWithinPartitions("block", "kind", "ib")  # a task for each block
     key = people.schema["user_id"].dataType.simpleString()
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, people, tops = None, [], {}
+        last, held = None, []  # an article block, and what has come of it
 
         def finished() -> Iterator[pa.RecordBatch]:
             names = pa.concat_arrays([p.column("user_id") for p in people])
@@ -128,12 +132,22 @@ def score_top_k(users: DataFrame, items: DataFrame, k: int, owned: DataFrame | N
             own = [np.asarray(o or [], np.int64) for p in people for o in p.column("owned").to_pylist()]
             return {m: RunningTop(vectors, own if m == DISCOVER else None, k) for m in modes}
 
+        def add_held() -> None:
+            nonlocal held
+            if held:
+                ids, matrix = (np.concatenate(x) for x in list(zip(*held))[:2])
+                order = np.argsort(ids, kind="stable")
+                for top in tops.values():
+                    top.add(ids[order], matrix[order], max(norm for _, _, norm in held))
+            held = []
+
         for batch in batches:
-            which, kinds = batch.column("block").to_numpy(), batch.column("kind").to_numpy()
-            cuts = np.flatnonzero((which[1:] != which[:-1]) | (kinds[1:] != kinds[:-1])) + 1
+            which, kinds, block_of = batch.column("block").to_numpy(), batch.column("kind").to_numpy(), batch.column("ib").fill_null(-1).to_numpy()
+            cuts = np.flatnonzero((which[1:] != which[:-1]) | (kinds[1:] != kinds[:-1]) | (block_of[1:] != block_of[:-1])) + 1
             for lo, hi in zip([0, *cuts], [*cuts, batch.num_rows]):
                 part = batch.slice(lo, hi - lo)
                 if which[lo] != now:
+                    add_held()
                     if people:
                         tops = tops or begin()
                         yield from finished()
@@ -142,11 +156,11 @@ def score_top_k(users: DataFrame, items: DataFrame, k: int, owned: DataFrame | N
                     people.append(part)
                 elif people:
                     tops = tops or begin()
-                    for i in range(part.num_rows):
-                        ids = part.column("ids")[i].values.to_numpy()
-                        matrix = _matrix(part.column("vectors")[i].values)
-                        for top in tops.values():
-                            top.add(ids, matrix, part.column("norm")[i].as_py())
+                    if block_of[lo] != last:
+                        add_held()
+                    last = block_of[lo]
+                    held.append((part.column("ids").flatten().to_numpy(), _matrix(part.column("vectors").flatten()), max(part.column("norm").to_pylist())))
+        add_held()
         if people:
             tops = tops or begin()
             yield from finished()

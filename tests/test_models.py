@@ -175,6 +175,23 @@ def test_factor_scoring_agrees_with_numpy(monkeypatch, spark):
         assert r["items"] == [100 + j for j in order], r["mode"]
 
 
+def test_a_task_scores_one_block_in_small_rows(monkeypatch, spark):
+    for name, value in (("USER_BLOCK", 4), ("ITEM_BLOCK", 8), ("ITEM_PIECE", 3)):
+        monkeypatch.setattr(factors, name, value)
+    rng = np.random.default_rng(5)
+    u, v = np.round(rng.normal(size=(100, 3)), 1), np.round(rng.normal(size=(30, 3)), 1)
+    users = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(u)], "user_id bigint, features array<double>")
+    items = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(v)], "item_id bigint, features array<double>")
+    assert max(len(r["ids"]) for r in factors.item_blocks(items).collect()) == 3
+    found = factors.score_top_k(users, items, 4).withColumn("task", F.spark_partition_id()).collect()
+    block = {r.user_id: r.block for r in users.select("user_id", F.pmod(F.xxhash64("user_id"), F.lit(25)).alias("block")).collect()}
+    assert len({r["task"] for r in found}) == len(set(block.values())) == len({(r["task"], block[r["user_id"]]) for r in found})
+    scores = np.round(u @ v.T, 9)
+    assert len(found) == 100
+    for r in found:
+        assert r["items"] == sorted(range(30), key=lambda j: (-scores[r["user_id"], j], j))[:4]
+
+
 def test_blocks_that_cannot_win_are_skipped():
     """Norms fall fast: after the first blocks nothing can enter the lists, and nothing does."""
     rng = np.random.default_rng(3)
@@ -296,6 +313,33 @@ def test_lambda_gradients_match_brute_force():
             assert (x, y) == pytest.approx(want[c, r["article_id"]])
 
 
+def test_gradients_of_many_customers_are_those_of_each(monkeypatch):
+    rng = np.random.default_rng(3)
+    monkeypatch.setattr("basketline.functions.blocks.CELLS", 500)
+    sizes = rng.integers(0, 30, 200)
+    n = int(sizes.sum())
+    scores, labels = np.round(rng.normal(size=n), 1), (rng.random(n) < 0.15).astype(np.int64)
+    g, h = boosting.group_gradients(scores, labels, sizes, 12)
+    at = 0
+    for size in sizes:
+        want = boosting.lambda_gradients(scores[at:at + size], labels[at:at + size], 12)
+        assert np.array_equal(g[at:at + size], want[0]) and np.array_equal(h[at:at + size], want[1])  # to the last bit
+        at += size
+
+
+def test_histograms_of_many_nodes():
+    rng = np.random.default_rng(4)
+    bins, node = rng.integers(0, 256, (500, 3)).astype(np.uint8), rng.integers(0, 6, 500)
+    g, h = rng.integers(-2 ** 40, 2 ** 40, 500), rng.integers(0, 2 ** 40, 500)
+    found = boosting.histograms(bins, node, g, h, [4, 1, 9])
+    assert list(found) == [4, 1, 9] and not found[9].any()
+    for w in (4, 1):
+        for f in range(3):
+            for b in range(256):
+                own = (node == w) & (bins[:, f] == b)
+                assert found[w][f, b].tolist() == [g[own].sum(), h[own].sum(), own.sum()]
+
+
 def brute_tree(bins, g, h, leaves, min_rows):
     """Best leaf first, by trying every cut of every leaf: {row: value}."""
     groups, gains = [np.arange(len(bins))], []
