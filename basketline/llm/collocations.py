@@ -37,6 +37,7 @@ from basketline.llm.text import LOWER, mix, raw, slices
 MOST_WORDS, LEAST_COUNT, REPORT = 3, 10, 2000
 PARTS_PER_MILLION, COVERED_PERCENT = 1_000_000, 50
 BLOCK_BYTES = 2_000_000
+SLICE = 1 << 18  # bytes of text laid out at once
 BLOCKS_A_BUCKET = 3
 BITS = 48
 
@@ -72,7 +73,10 @@ def laid_out(texts: pa.Array) -> tuple[np.ndarray, int]:
 
 
 def blocks(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """block, lang, words, data: the texts of a task, laid out, in blocks of one language."""
+    """block, lang, words, data: the texts of a task, laid out, in blocks of one language.
+
+    Data is compressed, see layout(): Spark hands a task's blocks to Python together, which opens one at a time.
+    """
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, list[np.ndarray]] = {}
         sizes: dict[str, int] = {}
@@ -83,10 +87,10 @@ def blocks(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
             number += 1
             words = int(((data == 32) | (data == 10)).sum())
             return pa.RecordBatch.from_pydict({"block": pa.array([number], pa.int64()), "lang": [lang], "words": pa.array([words], pa.int64()),
-                                               "data": pa.array([data.tobytes()], pa.binary())})
+                                               "data": pa.array([zstandard.ZstdCompressor(1).compress(data)], pa.binary())})
 
         for batch in batches:
-            for part, texts in slices(batch, limit=min(1 << 20, block_bytes)):
+            for part, texts in slices(batch, limit=min(SLICE, block_bytes)):
                 langs = part.column("lang").dictionary_encode()
                 for i, lang in enumerate(langs.dictionary.to_pylist()):
                     data, n = laid_out(texts.filter(pa.array(langs.indices.to_numpy() == i)))
@@ -109,6 +113,11 @@ def blocks(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     return texts.mapInArrow(pack, "block bigint, lang string, words bigint, data binary")
 
 
+def layout(data: pa.Scalar) -> np.ndarray:
+    """The bytes of a block."""
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(data.as_buffer()), np.uint8)
+
+
 def grams(data: np.ndarray, lang: str, n: int, bits: int, sums: Prefixes) -> tuple[np.ndarray, ...]:
     """(fingerprints, counts, starts, lengths) of the different n-grams of a block, each with its first occurrence."""
     stops = np.flatnonzero((data == 32) | (data == 10))
@@ -163,7 +172,7 @@ def entries(rows: DataFrame, buckets: int, most_words: int, bits: int) -> DataFr
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block, lang, data in zip(*(batch.column(c) for c in ("block", "lang", "data"))):
-                data = np.frombuffer(data.as_buffer(), np.uint8)
+                data = layout(data)
                 sums = Prefixes(data)
                 for n in range(1, most_words + 1):
                     columns = grams(data, lang.as_py(), n, bits, sums)
@@ -211,7 +220,7 @@ def texts_of(rows: DataFrame, pointers: DataFrame) -> DataFrame:
     def read(block: pa.Table, named: pa.Table) -> pa.Table:
         if not block.num_rows or not named.num_rows:
             return pa.table({"lang": pa.array([], pa.string()), "phrase": pa.array([], pa.string()), "f": pa.array([], pa.int64())})
-        data = np.frombuffer(block["data"][0].as_buffer(), np.uint8)
+        data = layout(block["data"][0])
         starts, lengths, counts = (np.concatenate(c) for c in zip(*(unpacked(p.as_buffer().to_pybytes(), 3) for p in named["pointers"])))
         offsets = np.append(0, np.cumsum(lengths)).astype(np.int32)
         phrases = pa.Array.from_buffers(pa.string(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(data[ragged(starts, lengths)])])

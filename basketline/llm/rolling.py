@@ -31,7 +31,7 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.arange(total[-1]) + np.repeat(starts - (total - lengths), lengths)
 
 
-def differing(data: np.ndarray, a: np.ndarray, b: np.ndarray, lengths: np.ndarray, at_once: int = 1 << 21) -> np.ndarray:
+def differing(data: np.ndarray, a: np.ndarray, b: np.ndarray, lengths: np.ndarray, at_once: int = 1 << 18) -> np.ndarray:
     """Which stretches data[a:a + length] and data[b:b + length] are not the same, byte by byte."""
     out, row = np.zeros(len(a), bool), 0
     total = np.cumsum(lengths)

@@ -64,6 +64,14 @@ def test_equals_counting(spark, block_bytes, bits):
     assert got == brute(rows, 5, 40)
 
 
+def test_blocks_are_compressed(spark):
+    text = "one two three, four five six. " * 2000
+    found = collocations.blocks(spark.createDataFrame([(1, text, "xx")], "doc_id bigint, text string, lang string"), 10_000).collect()
+    raw = [collocations.layout(pa.scalar(bytes(r["data"]), pa.binary())) for r in found]
+    assert b"".join(x.tobytes() for x in raw) == b"one two three\nfour five six\n" * 2000
+    assert len(found) > 4 and all(len(r["data"]) < len(x) / 2 for r, x in zip(found, raw))
+
+
 def test_laid_out():
     data, n = collocations.laid_out(pa.array(["A  b,c", "", "D e\n\nf", "g"]))
     assert (data.tobytes(), n) == (b"a b\nc\nd e\nf\ng\n", 7)
