@@ -157,13 +157,13 @@ class SetJoin:
         return self.docs.mapInArrow(run, schema)
 
     def prefixed(self, frequent: np.ndarray) -> DataFrame:
-        """doc_id, sid (set), gid (group), n, prefix, parities of every document; nulls and 0 for one without words."""
+        """doc_id, sid (set), gid (group), n, prefix, parities (only with a frequent hash in the prefix, as in long lists) of every document; nulls and 0 for one without words."""
         percent, shared = self.percent, self.spark.sparkContext.broadcast(frequent)
 
         def emit(doc_id: int, s: np.ndarray):
             if len(s):
                 final = prefix(s, shared.value, percent)
-                yield doc_id, digest(s), _group(final, len(s)), len(s), final.view(np.int64), parities(s)
+                yield doc_id, digest(s), _group(final, len(s)), len(s), final.view(np.int64), parities(s) if member(final[-1:], shared.value)[0] else None
             else:
                 yield doc_id, None, None, 0, None, None
 
