@@ -83,6 +83,11 @@ def digest(s: np.ndarray) -> int:
         return int(mix(np.array([mix(s ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64) + np.uint64(len(s))], np.uint64)).view(np.int64)[0])
 
 
+def text_keys(doc_ids: np.ndarray, sids: np.ndarray) -> np.ndarray:
+    """A 64-bit name of each pair of a doc_id and a set."""
+    return mix(mix(doc_ids.astype(np.int64).view(np.uint64) + np.uint64(0x9E3779B97F4A7C15)) ^ sids.astype(np.int64).view(np.uint64))
+
+
 def parities(s: np.ndarray) -> np.ndarray:
     """The parity sketch of a set, as signed 64-bit words."""
     odd = np.bincount((s & np.uint64(PARITY_BITS - 1)).astype(np.int64), minlength=PARITY_BITS) & 1
@@ -261,41 +266,42 @@ class SetJoin:
     def representatives(self, docs: DataFrame) -> DataFrame:
         """The documents, all their columns, with one for each class: the smallest doc_id, and of its rows one.
 
-        A document without words is a class of its own. Rows to leave out are known by a hash of doc_id
-        and set; up to MOST_IN_TASKS of them are sent to the tasks, more are found by a join.
+        A document without words is a class of its own. Rows to leave out are known by doc_id and set; up
+        to MOST_IN_TASKS of them are sent to the tasks as hashes, more are found by a join. Texts go
+        through one Python worker of a task only.
         """
         classed = written(self.classed().where("n > 0"), "classed")
         rows = F.count(F.lit(1)).alias("rows")
         texts = classed.groupBy("component", "doc_id", "sid").agg(rows)
         first = texts.groupBy("component").agg(F.min(F.struct("doc_id", "sid")).alias("first"))
         texts = written(texts.join(first, "component").select(
-            F.xxhash64("doc_id", "sid").alias("key"), "rows", (F.struct("doc_id", "sid") == F.col("first")).alias("stays")), "texts")
-        dropped, repeated = texts.where("NOT stays").select("key"), texts.where("stays AND rows > 1").select("key")
+            "doc_id", "sid", "rows", (F.struct("doc_id", "sid") == F.col("first")).alias("stays")), "texts")
+        dropped, repeated = texts.where("NOT stays").select("doc_id", "sid"), texts.where("stays AND rows > 1").select("doc_id", "sid")
         columns, shingle = docs.columns, self.shingle
-        whole = docs.where(F.col("doc_id").isNotNull()).select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"))
-
-        @F.arrow_udf("bigint")
-        def named(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-            for batch in batches:
-                yield pa.array([digest(s) if len(s) else None for texts in text_slices(batch, SLICE) for s in shingle_sets(texts, shingle)], pa.int64())
+        many, keys = dropped.count() > MOST_IN_TASKS, np.zeros(0, np.uint64)
+        if not many:
+            named = dropped.toArrow()
+            keys = np.sort(text_keys(named["doc_id"].to_numpy(), named["sid"].to_numpy()))
+        known = self.spark.sparkContext.broadcast(keys)
+
+        @F.arrow_udf("struct<sid: bigint, stays: boolean>")
+        def judged(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+            for ids, column in batches:
+                sid = pa.array([digest(s) if len(s) else None for texts in text_slices(column, SLICE) for s in shingle_sets(texts, shingle)], pa.int64())
+                out = member(text_keys(ids.to_numpy(), sid.fill_null(0).to_numpy()), known.value) & sid.is_valid().to_numpy(zero_copy_only=False)
+                yield pa.StructArray.from_arrays([sid, pa.array(~out)], names=["sid", "stays"])
 
-        sid = named(F.col("row.text").cast("string"))
-        whole = whole.withColumn("sid", sid).select(
-            "row", F.when(F.col("sid").isNotNull(), F.xxhash64(F.col("row.doc_id").cast("bigint"), "sid")).alias("key"))
-        if dropped.count() <= MOST_IN_TASKS:
-            known = self.spark.sparkContext.broadcast(np.sort(dropped.toArrow()["key"].to_numpy()))
-
-            @F.arrow_udf("boolean")
-            def stays(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-                for key in batches:
-                    yield pa.array(~(member(key.fill_null(0).to_numpy(), known.value) & key.is_valid().to_numpy(zero_copy_only=False)))
-
-            whole = whole.where(stays("key"))
-        else:
-            whole = whole.join(dropped, "key", "left_anti")
+        whole = docs.where(F.col("doc_id").isNotNull()).select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"))
+        whole = whole.withColumn("doc_id", F.col("row.doc_id").cast("bigint"))
+        # not computed again for each column that is made from it
+        whole = whole.withColumn("is", judged.asNondeterministic()("doc_id", F.col("row.text").cast("string")))
+        whole = whole.where("is.stays").select("row", "doc_id", F.col("is.sid").alias("sid"))
+        if many:
+            whole = whole.join(dropped, ["doc_id", "sid"], "left_anti")
         if not repeated.isEmpty():
-            twice = whole.join(repeated, "key", "left_semi").withColumn("k", F.row_number().over(Window.partitionBy("key").orderBy(F.xxhash64("row"))))
-            whole = whole.join(repeated, "key", "left_anti").select("row").unionByName(twice.where("k = 1").select("row"))
+            twice = whole.join(repeated, ["doc_id", "sid"], "left_semi").withColumn(
+                "k", F.row_number().over(Window.partitionBy("doc_id", "sid").orderBy(F.xxhash64("row"))))
+            whole = whole.join(repeated, ["doc_id", "sid"], "left_anti").select("row").unionByName(twice.where("k = 1").select("row"))
         return whole.select("row.*")
 
     def _links(self, rows: DataFrame, groups: DataFrame, sketched: DataFrame) -> DataFrame:

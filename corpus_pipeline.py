@@ -13,7 +13,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from basketline.llm import jaccard, langid, mixing, packing, secrets
-from basketline.llm.common import table, written
+from basketline.llm.common import small_batches, table, written
 
 TOKENIZER, END_ID = "byte_bpe_50k.json", 1
 ORACLE_SQL = None  # SQL has no tokenizer; tests compare every stage with a brute-force version
@@ -51,6 +51,7 @@ STAGES = [
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rows of the last stage; each stage is written and read again."""
     rows = table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        rows = written(stage(spark, rows, sf_dir), name)
+    with small_batches(spark):
+        for name, stage in STAGES:
+            rows = written(stage(spark, rows, sf_dir), name)
     return rows

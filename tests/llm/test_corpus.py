@@ -311,6 +311,40 @@ def test_one_of_each(odd_docs, docs):
         assert sum(bool(shingles(r["text"] or "")) for r in kept.collect()) == groups
 
 
+def test_representatives_run_texts_through_one_worker(docs, odd_docs):
+    import contextlib
+    import io
+
+    out = io.StringIO()
+    with contextlib.redirect_stdout(out):
+        jaccard.one_of_each(docs.dropDuplicates(["doc_id"])).explain()
+    plan = out.getvalue().split("== Initial Plan ==")[0]
+    assert plan.count("ArrowEvalPython") == 1
+    some = [sorted(map(str, jaccard.one_of_each(odd_docs).collect()))]
+    jaccard.MOST_IN_TASKS, before = 0, jaccard.MOST_IN_TASKS
+    try:
+        some.append(sorted(map(str, jaccard.one_of_each(odd_docs).collect())))
+    finally:
+        jaccard.MOST_IN_TASKS = before
+    assert some[0] == some[1]
+
+
+def test_small_batches(spark):
+    import pyarrow as pa
+    from basketline.llm.common import small_batches
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes])], names=["b"])
+
+    rows = spark.range(3000, numPartitions=1).select(F.repeat(F.lit("x"), 1000).alias("text"))
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    with small_batches(spark, 1 << 18):
+        got = [r["b"] for r in rows.mapInArrow(sizes, "b bigint").collect()]
+    assert sum(got) >= 3_000_000 and max(got) < 1 << 19 and spark.conf.get(key) == before
+
+
 # Class model ----------------------------------------------------------------------------------
 
 @pytest.mark.parametrize("name", FRAMES)
