@@ -381,6 +381,72 @@ def test_scores_are_probabilities(spark):
     assert (10 ** model.transition).sum(1) == pytest.approx(1.0)
 
 
+def trained(docs):
+    from basketline.llm.common import documents, id_fold
+
+    rows = documents(docs).withColumn("fold", id_fold())
+    model = brown.fit(rows, brown.word_rows(rows).groupBy("w").agg(F.min("tail").alias("tail"), F.sum("n").alias("n")))
+    return model, {r["w"]: (r["n"], r["c"]) for r in brown.word_classes(rows, model).collect()}
+
+
+def hashed(words):
+    import pyarrow as pa
+    from basketline.llm.text import words_with_tails
+
+    _, h, tails = words_with_tails(pa.array([" ".join(words)]))
+    return h, tails
+
+
+def test_rare_words_have_the_class_of_their_places(spark):
+    """1200 words of two kinds that take turns; words beyond the 600 frequent ones share one ending, which tells nothing."""
+    import random
+
+    rnd = random.Random(4)
+    frequent = [[f"{k}{i}{k}" for i in range(300)] for k in "ab"]
+    rare = [[f"{k}{i}zz" for i in range(300)] for k in "ab"]
+    rows = [(i, " ".join(rnd.choice((rare if rnd.random() < 0.12 else frequent)[j % 2]) for j in range(100))) for i in range(500)]
+    model, found = trained(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    h, _ = hashed(frequent[0])
+    assert len(found) == 1200
+    kinds = []
+    for k in range(2):
+        seeds = Counter(found[w][1] for w in hashed(frequent[k])[0].view("int64").tolist())
+        kinds.append(({c for c, _ in seeds.items()}, [found[w][1] for w in hashed(rare[k])[0].view("int64").tolist()]))
+    both = kinds[0][0] & kinds[1][0]
+    right = sum(c in seeds - both for seeds, mine in kinds for c in mine)
+    assert right >= 570
+
+
+@pytest.mark.parametrize("name", FRAMES)
+def test_class_scores(request, name):
+    """The score by dictionaries: class bigrams and counts of all training words, endings for others only."""
+    df = request.getfixturevalue(name)
+    model, found = trained(df)
+    end, log = brown.CLASSES - 1, math.log10
+    tokens = []
+    for d, t in texts_of(df):
+        words = WORD.findall(t.translate(LOWER))
+        h, tails = hashed(words)
+        spelled = model.classes(h, tails)
+        tokens.append((d, [*(found.get(w, (0, s)) for w, s in zip(h.view("int64").tolist(), spelled.tolist())), (model.ends, end)]))
+    train = [line for d, line in tokens if zlib.crc32(str(d).encode()) % 5 != 1]
+    pairs = Counter((a[1], b[1]) for line in train for a, b in zip([line[-1], *line], line))
+    size, before = Counter(), Counter()
+    for (a, b), n in pairs.items():
+        size[b] += n
+        before[a] += n
+    kinds = Counter(c for _, c in found.values())
+    total = sum(size.values())
+    share = lambda c: (size[c] + 0.5) / (total + 0.5 * brown.CLASSES)
+    p = lambda a, b: (pairs[a, b] + 2 * share(b)) / (before[a] + 2)
+    want = sorted((d, sum(log(p(a[1], b[1])) + log((b[0] + 0.5) / (size[b[1]] + 0.5 * (kinds[b[1]] + 1)))
+                          for a, b in zip([line[-1], *line], line))) for d, line in tokens)
+    for block in (None, F.lit("one block")):
+        got = sorted((r["doc_id"], r["score"]) for r in brown.score(df, block).collect())
+        assert [g[0] for g in got] == [w[0] for w in want]
+        assert [g[1] for g in got] == pytest.approx([w[1] for w in want])
+
+
 # Mixing ---------------------------------------------------------------------------------------
 
 def targets_by_rounds(sizes):
