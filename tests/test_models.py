@@ -3,8 +3,10 @@
 import itertools
 import math
 import random
+import time
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -12,6 +14,7 @@ from basketline.functions.blocks import pair_counts, top_columns
 from basketline.operators import als, boosting, factors, itemitem, ranker
 from basketline.operators.guards import export_checks
 from basketline.operators.itemitem import ItemItem, with_fallback
+from basketline.session import release
 
 
 @pytest.fixture(scope="module")
@@ -86,6 +89,39 @@ def test_sparse_catalogue_has_no_similarity_rows(spark):
     assert model.rows.filter("a >= 0").isEmpty()
 
 
+@pytest.mark.parametrize("light", [0, 6, 1024])
+def test_item_item_in_slices_of_the_catalogue(monkeypatch, history, purchases, light):
+    """Baskets and rows are written once, however many blocks of customers meet them: no block gets baskets by a shuffle."""
+    for name, size in (("LIGHT_CUSTOMERS", light), ("BLOCK_COLUMNS", 50), ("SLICE_ENTRIES", 40)):
+        monkeypatch.setattr(itemitem, name, size)
+    model = ItemItem(history)
+    lists = model.recommend(history.select("customer_id").distinct())
+    assert "CartesianProduct" in lists._jdf.queryExecution().executedPlan().toString()
+    assert model.slices.count() == model.n_slices > 4
+    parts = [itemitem.Slice.of({c: pa.scalar(r[c], pa.int32() if c == "slice" else pa.binary()) for c in r.asDict()}, model.n_slices) for r in model.slices.collect()]
+    assert sum(len(p.held) for p in parts) == len(set(purchases)) == sum(p.counts.sum() for p in parts)
+    for exclude in (True, False):
+        mine = {r.customer_id: r["items"] for r in lists.collect() if r.exclusion == exclude and r["items"]}
+        assert mine == {c: l for c, l in brute_lists(purchases, None, 12, exclude).items() if l}, exclude
+
+
+def test_shuffles_are_released(spark, history):
+    """What a written step has shuffled does not stay on disk for the rest of the query."""
+    def shuffled():
+        found = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllBlocks().toList()
+        return sum(found.apply(i).name().startswith("shuffle_") for i in range(found.size()))
+    release(spark)
+    time.sleep(3)
+    before = shuffled()
+    model = ItemItem(history)
+    assert model.slices.count() == 1
+    for _ in range(20):
+        if shuffled() <= before + 20:  # of the last counts, which wrote nothing
+            break
+        time.sleep(0.5)
+    assert shuffled() <= before + 20
+
+
 @pytest.mark.parametrize("light", [0, 6, 1024])
 def test_neighbour_counts(monkeypatch, history, purchases, light):
     monkeypatch.setattr(itemitem, "LIGHT_CUSTOMERS", light)
@@ -102,6 +138,21 @@ def test_neighbour_counts(monkeypatch, history, purchases, light):
         assert r.closest == pytest.approx(max(s for b, s in mine.items() if b != a))
 
 
+@pytest.mark.parametrize("light", [0, 1024])
+def test_neighbour_counts_in_slices(monkeypatch, history, light):
+    """Articles in many blocks, the catalogue in many slices: the same figures, and no basket is shuffled to a block of articles."""
+    def counts():
+        return {r.a: (r.n_neighbours, round(r.total, 9), round(r.closest, 9)) for r in model.neighbour_counts().collect()}
+    model = ItemItem(history)
+    want = counts()
+    for name, size in (("LIGHT_CUSTOMERS", light), ("ARTICLE_BLOCK", 40), ("SLICE_ENTRIES", 40)):
+        monkeypatch.setattr(itemitem, name, size)
+    model = ItemItem(history)
+    plan = model.neighbour_counts()._jdf.queryExecution().executedPlan().toString()
+    assert model.n_slices > 4 and "CartesianProduct" in plan and "CoGroups" not in plan
+    assert counts() == want
+
+
 @pytest.mark.parametrize("cells", [1, 50, 4_000_000])
 def test_pairs_of_short_and_long_baskets(cells):
     rng = np.random.default_rng(0)
