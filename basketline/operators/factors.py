@@ -3,7 +3,9 @@
 Articles are packed into blocks of falling norm. A block of customers is held by one task, which
 streams the article blocks past it and keeps a running top k: no score of a block can exceed the
 product of the norms, so once that is below everybody's k-th score the block, and all after it, is
-skipped. Neither side is collected or broadcast; one task holds one block of each.
+skipped. Once there are k scores, a block is multiplied in single precision, once for both modes, and
+only pairs that may pass the k-th score within the error of that are scored in double precision.
+Neither side is collected or broadcast; one task holds one block of each.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ from basketline.functions.ids import dense_index
 
 REPURCHASE, DISCOVER = "repurchase", "discover"
 MODES = (REPURCHASE, DISCOVER)
-USER_BLOCK, ITEM_BLOCK = 8192, 4096
+USER_BLOCK, ITEM_BLOCK = 32768, 4096
 ITEM_PIECE = 4  # articles in a row of the stream: Spark hands thousands of rows to Python at once
 USERS, ITEMS = 0, 1  # kinds of rows in a block's stream, in their order
 
@@ -38,17 +40,21 @@ class RunningTop:
         self.factors, self.owned, self.k, self.seen, self.skipped = factors, owned, k, 0, 0
         self.norms = np.sqrt((factors ** 2).sum(axis=1))
         self.ids, self.scores = np.zeros((n, 0), np.int64), np.zeros((n, 0))
+        self._owned_rows = self._owned_ids = None
 
     def add(self, ids: np.ndarray, matrix: np.ndarray, largest_norm: float) -> None:
         """A block with ascending ids; blocks come by falling norm."""
-        self.seen += 1
-        rows = np.arange(len(self.factors))
-        if self.scores.shape[1] >= self.k:
-            # scores are rounded to 9 places, and an equal score with a lower id still counts
-            rows = np.flatnonzero(self.norms * largest_norm * (1 + 1e-12) + 1e-9 >= self.scores[:, -1])
-        if not len(rows):
-            self.skipped += 1
-            return
+        add_block([self], ids, matrix, largest_norm)
+
+    def candidates(self, largest_norm: float) -> np.ndarray:
+        """Rows that a block may change."""
+        if self.scores.shape[1] < self.k:
+            return np.arange(len(self.factors))
+        # scores are rounded to 9 places, and an equal score with a lower id still counts
+        return np.flatnonzero(self.norms * largest_norm * (1 + 1e-12) + 1e-9 >= self.scores[:, -1])
+
+    def add_whole(self, rows: np.ndarray, ids: np.ndarray, matrix: np.ndarray) -> None:
+        """Every score of `rows` with a block."""
         width = min(self.k, len(ids))
         best_ids, best = np.zeros((len(self.factors), width), np.int64), np.full((len(self.factors), width), -np.inf)
         for at in blocks.batch_slices(len(rows), 4 * len(ids)):  # of the scores, several arrays are held
@@ -68,12 +74,86 @@ class RunningTop:
         order = np.argsort(-scores, axis=1, kind="stable")[:, :self.k]
         self.ids, self.scores = np.take_along_axis(ids, order, axis=1), np.take_along_axis(scores, order, axis=1)
 
+    def add_pairs(self, rows: np.ndarray, columns: np.ndarray, ids: np.ndarray, matrix: np.ndarray, taken: np.ndarray) -> None:
+        """Scores of single pairs, `taken` tells which are owned; k scores of every row are known."""
+        if self.owned is not None:
+            rows, columns = rows[~taken], columns[~taken]
+        scores = np.empty(len(rows))
+        for at in blocks.batch_slices(len(rows), 4 * matrix.shape[1]):
+            scores[at] = np.einsum("ij,ij->i", self.factors[rows[at]], matrix[columns[at]])
+        np.round(scores, 9, out=scores)
+        new = scores >= self.scores[rows, -1]
+        rows, columns, scores = rows[new], columns[new], scores[new]
+        changed = np.unique(rows)
+        rows = np.concatenate([np.repeat(changed, self.k), rows])
+        found = np.concatenate([self.ids[changed].ravel(), ids[columns]])
+        scores = np.concatenate([self.scores[changed].ravel(), scores])
+        order = np.lexsort((found, -scores, rows))
+        starts = np.searchsorted(rows[order], changed)
+        order = order[(starts[:, None] + np.arange(self.k)).ravel()]
+        self.ids[changed], self.scores[changed] = found[order].reshape(-1, self.k), scores[order].reshape(-1, self.k)
+
+    def owned_of(self, ids: np.ndarray) -> np.ndarray:
+        """Which cells of a block are owned: row * len(ids) + column, ascending."""
+        if self._owned_rows is None:
+            self._owned_rows = np.repeat(np.arange(len(self.owned)), [len(o) for o in self.owned])
+            self._owned_ids = np.concatenate([*self.owned, np.empty(0, np.int64)])
+        place = np.minimum(np.searchsorted(ids, self._owned_ids), len(ids) - 1)
+        met = ids[place] == self._owned_ids
+        return np.sort(self._owned_rows[met] * len(ids) + place[met])
+
     def lists_between(self, first: int, end: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         for ids, scores in zip(self.ids[first:end], self.scores[first:end]):
             known = np.isfinite(scores)
             yield ids[known], scores[known]
 
 
+def add_block(tops: Sequence[RunningTop], ids: np.ndarray, matrix: np.ndarray, largest_norm: float) -> None:
+    """A block with ascending ids for several lists of the same customers, multiplied once."""
+    first, wanted = tops[0], [top.candidates(largest_norm) for top in tops]
+    for top, rows in zip(tops, wanted):
+        top.seen += 1
+        top.skipped += not len(rows)
+    # |u . v| in single precision is off by less than that: the rounding of both sides, of each product and of each sum
+    error = (matrix.shape[1] + 4) * 2.0 ** -23 * first.norms * largest_norm + matrix.shape[1] * 1e-30
+    single = all(top.scores.shape[1] == top.k for top in tops) and np.abs(matrix).max(initial=0) < 1e15 and np.abs(first.factors).max(initial=0) < 1e15
+    if not single:
+        for top, rows in zip(tops, wanted):
+            if len(rows):
+                top.add_whole(rows, ids, matrix)
+        return
+    limits = [np.full(len(first.factors), np.inf) for _ in tops]
+    for top, rows, limit in zip(tops, wanted, limits):
+        last = top.scores[rows, -1]
+        limit[rows] = last - 2e-9 - error[rows] - np.abs(np.where(np.isfinite(last), last, 0)) * 2.0 ** -22
+    least = np.minimum.reduce(limits)
+    rows = np.flatnonzero(least < np.inf)
+    matrix_32, taken = matrix.astype(np.float32).T, None
+    for at in blocks.batch_slices(len(rows), len(ids)):
+        some = rows[at]
+        scores = first.factors[some].astype(np.float32) @ matrix_32
+        cells = np.flatnonzero(scores >= least[some].astype(np.float32)[:, None])
+        if not len(cells):
+            continue
+        if len(cells) > scores.size // 16 + 64 * len(some):  # most scores are about equal
+            for top, mine in zip(tops, wanted):
+                mine = np.intersect1d(mine, some)
+                if len(mine):
+                    top.add_whole(mine, ids, matrix)
+            continue
+        values, which, columns = scores.ravel()[cells].astype(np.float64), some[cells // len(ids)], cells % len(ids)
+        for top, limit in zip(tops, limits):
+            # the limit in single precision may lie a rounding above; its slack covers that
+            mine = values >= limit[which].astype(np.float32)
+            owned = np.zeros(np.count_nonzero(mine), bool)
+            if top.owned is not None:
+                taken = top.owned_of(ids) if taken is None else taken
+                code = which[mine] * len(ids) + columns[mine]
+                place = np.minimum(np.searchsorted(taken, code), max(0, len(taken) - 1))
+                owned = taken[place] == code if len(taken) else owned
+            top.add_pairs(which[mine], columns[mine], ids, matrix, owned)
+
+
 def item_blocks(items: DataFrame) -> DataFrame:
     """ib, piece, ids, vectors, norm: articles in blocks of falling norm, each in pieces of ITEM_PIECE."""
     norm = F.sqrt(F.aggregate("features", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
@@ -137,8 +217,7 @@ def score_top_k(users: DataFrame, items: DataFrame, k: int, owned: DataFrame | N
             if held:
                 ids, matrix = (np.concatenate(x) for x in list(zip(*held))[:2])
                 order = np.argsort(ids, kind="stable")
-                for top in tops.values():
-                    top.add(ids[order], matrix[order], max(norm for _, _, norm in held))
+                add_block(list(tops.values()), ids[order], matrix[order], max(norm for _, _, norm in held))
             held = []
 
         for batch in batches:

@@ -257,6 +257,34 @@ def test_blocks_that_cannot_win_are_skipped():
     assert top.seen == 20 and 5 < top.skipped < 20
 
 
+@pytest.mark.parametrize("kind", ["mixed", "close", "equal", "large"])
+def test_blocks_are_multiplied_once_for_both_modes(monkeypatch, kind):
+    """After the first blocks only pairs that may enter a list are scored exactly; near and exact ties are settled as before."""
+    rng = np.random.default_rng(7)
+    u, v = rng.normal(size=(70, 6)), rng.normal(size=(600, 6))
+    if kind == "close":  # scores that differ in the ninth place, far below single precision
+        v = np.tile(v[0], (600, 1)) + rng.integers(0, 5, (600, 1)) * 1e-9
+    elif kind == "equal":
+        v = np.tile(v[:3], (200, 1))
+    elif kind == "large":
+        v *= 1e16
+    v = v[np.argsort(-np.sqrt((v ** 2).sum(axis=1)), kind="stable")]
+    owned = [np.sort(rng.choice(600, 20, replace=False)) for _ in range(70)]
+    calls = []
+    whole = factors.RunningTop.add_whole
+    monkeypatch.setattr(factors.RunningTop, "add_whole", lambda self, *a: (calls.append(1), whole(self, *a)))
+    tops = [factors.RunningTop(u, None, 5), factors.RunningTop(u, owned, 5)]
+    for at in range(0, 600, 50):
+        factors.add_block(tops, np.arange(at, at + 50), v[at:at + 50], np.sqrt((v[at:at + 50] ** 2).sum(axis=1)).max())
+    scores = np.round(u @ v.T, 9)
+    for top, skip in zip(tops, ([()] * 70, owned)):
+        for row, (ids, found) in enumerate(top.lists_between(0, 70)):
+            assert ids.tolist() == sorted(set(range(600)) - set(skip[row]), key=lambda j: (-scores[row, j], j))[:5], kind
+            assert (found == scores[row, ids]).all()
+    if kind == "mixed":
+        assert len(calls) == 2  # the first block of each mode
+
+
 CONFIG = {"factors": 4, "regularization": 0.1, "alpha": 10.0, "iterations": 4}
 
 
